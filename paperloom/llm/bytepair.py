@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from paperloom.llm.common import prepare, segments, strings
+from paperloom.llm.pieces import finder
 
 LEAF = 16
 _LOADED: dict = {}
@@ -30,11 +31,9 @@ class ByteBPE:
     """ranks: each token's bytes and rank; pattern: what cuts texts into pieces. limit bounds the caches."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 300_000):
-        import regex
-
         self.ranks, self.limit = ranks, limit
         self.bytes_of = {v: k for k, v in ranks.items()}
-        self.find = regex.compile(pattern).findall
+        self.find = finder(pattern)
         self.pairs: dict[tuple[int, int], bool] = {}
         self.shown: dict[str, str] = {}
         self.decoded: dict[str, bytes] = {}
