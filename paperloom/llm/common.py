@@ -27,6 +27,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     env["TOKENIZERS_PARALLELISM"] = "false"
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    # shuffle files of a finished step go at once: its result is in the shared folder
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
 
