@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import bytepair, neardup, packing, tokenfile, tokens
+from paperloom.llm import bytepair, neardup, packing, substrings, tokenfile, tokens
 
 HUB_JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -35,6 +35,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(_table(spark, sf_dir, "documents"), HUB_JSON, PATTERN)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicated(_table(spark, sf_dir, "documents")).drop("text_kept")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytepair.digests(_table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
