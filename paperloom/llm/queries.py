@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import bytepair, neardup, packing, substrings, tokenfile, tokens
+from paperloom.llm import bytepair, neardup, packing, substrings, tokenfile, tokens, vecdup
 
 HUB_JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -27,6 +27,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.grouped(_table(spark, sf_dir, "documents"))
 
 
+def op5_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecdup.grouped(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"), HUB_JSON, PATTERN)
 
