@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import bytepair, neardup, packing, substrings, tokenfile, tokens, vecdup
+from paperloom.llm import bytepair, langid, neardup, packing, quality, substrings, tokenfile, tokens, vecdup
 
 HUB_JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -27,6 +27,14 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.grouped(_table(spark, sf_dir, "documents"))
 
 
+def op3_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(_table(spark, sf_dir, "documents"))
+
+
+def op4_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecdup.grouped(_table(spark, sf_dir, "embeddings"))
 
