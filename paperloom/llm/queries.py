@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import bytepair, langid, neardup, packing, quality, substrings, tokenfile, tokens, vecdup
+from paperloom.llm import bytepair, langid, media, neardup, packing, quality, substrings, tokenfile, tokens, vecdup
 
 HUB_JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -39,6 +39,10 @@ def op5_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecdup.grouped(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(_table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"), HUB_JSON, PATTERN)
 
