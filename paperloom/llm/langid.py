@@ -19,15 +19,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperloom.llm.common import prepare, strings, utf8
 
 WINDOW = 256
+NONE = "und"
 WIDTHS, FILTERS, EMBED = (2, 3, 4, 5), 8, 6
 #: The sample's bound: texts a language, windows a text, languages.
 PER_LANG, WINDOWS, MAX_LANGS = 2500, 3, 200
+#: Steps that training takes at least, however few windows there are.
+LEAST_STEPS = 1500
 #: Windows that are worked on at once.
 BATCH = 512
 
@@ -74,6 +78,7 @@ def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], epochs: int
     share = np.bincount(labels, minlength=len(langs)).clip(1)
     weigh = (len(labels) / len(langs) / share).astype(f32)
     t, widest = 0, max(WIDTHS)
+    epochs = max(epochs, -(-LEAST_STEPS * batch // max(1, len(labels))))
     for epoch in range(epochs):
         order = rng.permutation(len(labels))
         for lo in range(0, len(order), batch):
@@ -167,14 +172,29 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG, windows: int = WINDOWS) -
     return train(x, np.array([place[v] for v in got.column("lang").to_pylist()]), langs)
 
 
-def identified(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
-    """docs: doc_id, text, lang. Per row: doc_id, held_out, lang_pred, score. Learns from rows that aren't held out."""
+def held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def fitted(docs: DataFrame, per_lang: int = PER_LANG) -> Net | None:
+    """Learns from the rows of docs (doc_id, text, lang) that have all three and aren't held out."""
     prepare(docs.sparkSession)
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    labelled = docs.filter("doc_id is not null and lang is not null and text is not null").filter(~held)
-    net = fit(labelled, per_lang)
-    return docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(_predict(net), "doc_id long, held_out boolean, lang_pred string, score double")
+    return fit(docs.filter("doc_id is not null and lang is not null and text is not null").filter(~held_out()), per_lang)
+
+
+def annotated(docs: DataFrame, net: Net | None) -> DataFrame:
+    """docs with lang_pred and score. docs: any columns with text, but not these two."""
+    prepare(docs.sparkSession)
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.mapInArrow(_predict(net), schema)
+
+
+def identified(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
+    """docs: doc_id, text, lang. Per row: doc_id, held_out, lang_pred, score. Learns from rows that aren't held out."""
+    net = fitted(docs, per_lang)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
+    return annotated(rows, net).drop("text")
 
 
 def _predict(net: Net | None):
@@ -183,11 +203,11 @@ def _predict(net: Net | None):
             texts = strings(b.column("text"))
             known = np.array([net is not None and any(map(str.isalpha, t)) for t in texts], bool)
             if net is None or not len(texts):
-                lang, score = ["und"] * len(texts), np.zeros(len(texts))
+                lang, score = [NONE] * len(texts), np.zeros(len(texts))
             else:
                 at, score = predict(net, *utf8(b.column("text")))
-                lang = [net.langs[k] if ok else "und" for k, ok in zip(at.tolist(), known.tolist())]
+                lang = [net.langs[k] if ok else NONE for k, ok in zip(at.tolist(), known.tolist())]
                 score = np.where(known, score, 0.0)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
     return run

@@ -10,7 +10,7 @@ Equal texts are found by digest; one of each is looked into, and of those that h
 
 Nulls and edge cases: a null text counts as empty; a text of under SIZE bytes has no window; null doc_ids and repeated
 rows are rows like others (a repeated row repeats its windows); an empty table gives no rows; other columns are
-ignored. Bytes are removed without regard to characters; text_kept leaves out what is no whole character then.
+ignored. Bytes are removed without regard to characters.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ _BYTE = np.random.default_rng(77001).integers(1, 1 << 63, 256, dtype=np.uint64)
 _STEP = [_U(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 _PLACE = _U((1 << 19) - 1)
 
-KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text_kept string"
+KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def _grams(text: np.ndarray) -> np.ndarray:
@@ -176,29 +176,45 @@ def _sorted(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int32(), pa.int32()))], ["bucket", "digest", "lo", "hi"])
 
 
+def _left(text: np.ndarray, runs: list | None, copied: bool) -> tuple[bytes, int, int]:
+    """What stays of a text, the number of bytes that go, and of stretches of these."""
+    n, raw = len(text), text.tobytes()
+    spans = [(0, n - SIZE)] if copied and n >= SIZE else sorted((r["lo"], r["hi"]) for r in runs or ())
+    kept, removed, count, end = [], 0, 0, 0
+    for lo, hi in spans:  # windows lo to hi start a repeated string
+        stop = hi + SIZE
+        if lo > end or not count:
+            kept.append(raw[end:lo])
+            count += 1
+            removed += stop - lo
+            end = stop
+        elif stop > end:
+            removed += stop - end
+            end = stop
+    kept.append(raw[end:])
+    return b"".join(kept), removed, count
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, types = [c.split()[0] for c in KEPT.split(", ")], [pa.int64()] * 4 + [pa.string()]
     for b in batches:
-        out = []
         ids, runs, copied = (b.column(c).to_pylist() for c in ("doc_id", "runs", "copied"))
+        out = []
         for i, text in _texts(b):
-            n = len(text)
-            spans = [(0, n - SIZE)] if copied[i] and n >= SIZE else sorted((r["lo"], r["hi"]) for r in runs[i] or ())
-            kept, at, removed, count, end = [], 0, 0, 0, -1
-            raw = text.tobytes()
-            for lo, hi in spans:  # windows lo to hi start a repeated string
-                stop = hi + SIZE
-                if lo > end:
-                    kept.append(raw[at:lo])
-                    count += 1
-                    removed += stop - lo
-                elif stop > end:
-                    removed += stop - end
-                end = at = max(end, stop)
-            kept.append(raw[at:])
-            left = b"".join(kept)
-            out.append((ids[i], n, removed, count, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
-        cols = list(zip(*out)) or [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text_kept"])
+            left, removed, count = _left(text, runs[i], copied[i])
+            out.append((ids[i], len(text), removed, count, hashlib.sha256(left).hexdigest()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, types)], names)
+
+
+def _strip(columns: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            runs, copied = b.column("runs").to_pylist(), b.column("copied").to_pylist()
+            null = b.column("text").is_null().to_pylist()
+            left = [None if null[i] else _left(text, runs[i], copied[i])[0].decode("utf-8", "ignore") for i, text in _texts(b)]
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()) if c == "text" else b.column(c) for c in columns], columns)
+
+    return run
 
 
 def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -229,14 +245,25 @@ def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return runs.select("id", "same", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi")), copied
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text. Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, text_kept."""
-    prepare(docs.sparkSession)
-    docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+def _with_runs(docs: DataFrame) -> DataFrame:
+    """docs with runs and copied, which _remove and _strip take."""
     docs = docs.withColumn("id", F.coalesce("doc_id", F.lit(-1))).withColumn("same", F.xxhash64(F.col("doc_id").isNull(), "text"))
-    docs = docs.withColumn("row", F.xxhash64("id", "same"))
-    runs, copied = repeated_runs(docs.select("id", "same", "row", "text"))
+    runs, copied = repeated_runs(docs.select("id", "same", F.xxhash64("id", "same").alias("row"), "text"))
     runs = runs.groupBy("id", "same").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     marks = runs.join(copied.withColumn("copied", F.lit(True)), ["id", "same"], "full_outer")
-    out = docs.select("doc_id", "id", "same", "text").join(marks, ["id", "same"], "left")
-    return out.select("doc_id", "text", "runs", F.coalesce("copied", F.lit(False)).alias("copied")).mapInArrow(_remove, KEPT)
+    out = docs.join(marks, ["id", "same"], "left").drop("id", "same")
+    return out.withColumn("copied", F.coalesce("copied", F.lit(False)))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, text. Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    prepare(docs.sparkSession)
+    docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    return _with_runs(docs).select("doc_id", "text", "runs", "copied").mapInArrow(_remove, KEPT)
+
+
+def stripped(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text and any other columns but id, same, runs and copied) with what is left of the texts. A
+    character that loses some of its bytes goes. A null text stays null."""
+    prepare(docs.sparkSession)
+    return _with_runs(docs).mapInArrow(_strip(docs.columns), docs.schema)
