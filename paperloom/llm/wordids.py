@@ -10,6 +10,7 @@ import os
 from array import array
 
 from paperloom.llm.common import segments
+from paperloom.llm.pieces import finder
 
 _LOADED: dict = {}
 
@@ -19,16 +20,18 @@ class WordIds:
 
     def __init__(self, path: str, pattern: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.find = regex.compile(pattern).findall
+        self.find = finder(pattern)
         self.cache: dict[str, bytes] = {}
         self.limit = limit
+        self.heads = [False] * self.tok.get_vocab_size()
+        for token, i in self.tok.get_vocab().items():
+            self.heads[i] = token[0] == "\u0120"  # how byte-level vocabularies write a space
 
     def __call__(self, text: str) -> bytes:
         return b"".join([self._part(x) for x in segments(text)])
@@ -40,12 +43,29 @@ class WordIds:
             if len(cache) > self.limit:
                 cache.clear()
                 new = list(set(words))
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                    cache[w] = array("I", e.ids).tobytes()
+            self._learn(new)
         return b"".join(map(cache.__getitem__, words))
 
+    def _learn(self, new: list[str]) -> None:
+        """Encode distinct matches. Those that are a space and letters stay matches when put one after the other, so
+        many of them go to the library as one text; a token that begins with a space begins a match."""
+        plain = [w for w in new if len(w) > 1 and w[0] == " " and w[1:].isalpha()]
+        runs = [plain[at : at + 200] for at in range(0, len(plain), 200)]
+        for at in range(0, len(runs), 100):
+            some = runs[at : at + 100]
+            for run, e in zip(some, self.tok.encode_batch_fast(["".join(r) for r in some], add_special_tokens=False)):
+                got = e.ids
+                ids, starts = array("I", got).tobytes(), [i for i, head in enumerate(map(self.heads.__getitem__, got)) if head]
+                if len(starts) != len(run):
+                    raise ValueError("the library cuts words in another way than the pattern")
+                for w, lo, hi in zip(run, starts, [*starts[1:], len(got)]):
+                    self.cache[w] = ids[4 * lo : 4 * hi]
+        single = [w for w in new if not (len(w) > 1 and w[0] == " " and w[1:].isalpha())]
+        for at in range(0, len(single), 20_000):
+            part = single[at : at + 20_000]
+            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
+                self.cache[w] = array("I", e.ids).tobytes()
+
     @property
     def vocab_size(self) -> int:
         return self.tok.get_vocab_size()
