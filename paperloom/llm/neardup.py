@@ -6,8 +6,8 @@ step can lower any of its places, so long texts need one or two steps an element
 
 Texts with equal sets are one class; signatures are banded for one of each class. In a band's bucket everyone is first
 checked against the bucket's least member. Buckets whose members are then in one component are settled. In the others
-the members that are in different components are checked pair by pair, in blocks where a bucket is large, so that no
-link between different texts is lost and no pair is listed within what is known to belong together.
+all members in different components are checked on their full sets within a task, in blocks where a bucket is large:
+no link that banding finds is lost, and pairs are never listed.
 
 Nulls and edge cases: null or empty texts have empty sets and link with nothing; rows with the same doc_id are one
 node; a null doc_id never represents others; an empty table gives no rows; other columns are ignored.
@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import prepare, utf8, written
-from paperloom.llm.components import components
+from paperloom.llm.components import components, forest
 from paperloom.llm.shingles import mix, shingle_sets
 
 #: Places of a signature and bands: a pair of similarity 0.75 misses all 32 bands of 4 with probability 5e-6.
 PLACES, BANDS = 128, 32
-#: Elements whose permutations are held at once; members of a block.
-ELEMENTS, BLOCK = 50_000, 512
+#: Elements whose permutations are held at once; members of a block; elements of a matrix product's slice.
+ELEMENTS, BLOCK, SLICE = 50_000, 256, 8192
 _U = np.uint64
 _SCALE = 2.0**-53
 
@@ -108,32 +108,103 @@ def similar(inter: int, a: int, b: int, percent: int) -> bool:
     return 100 * inter >= percent * (a + b - inter)
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = shingle_sets(*utf8(b.column("text")))
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "elements"])
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets: dict[int, np.ndarray] = {}
-            for who, text in (("a", "text_a"), ("b", "text_b")):
-                new = {}
-                for i, x in enumerate(batch.column(who).to_pylist()):
-                    if x not in sets and x not in new:
-                        new[x] = i
-                sets.update(zip(new, shingle_sets(*utf8(batch.column(text).take(pa.array(list(new.values()), pa.int64()))))))
             keep = []
-            for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())):
-                x, y = sets[a], sets[b]
-                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) and similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent):
+            for i, (a, b) in enumerate(zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist())):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                if similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], ["a", "b"])
 
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full sets are similar."""
-    texts = docs.filter("doc_id is not null")
-    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(percent), "a long, b long")
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets (id, elements) are similar."""
+    both = pairs.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long")
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of the left has in common with each of the right: a product of 0/1 matrices over
+    the elements that both sides have, a slice of them at a time."""
+    n_left, n_right = np.array([len(s) for s in left]), np.array([len(s) for s in right])
+    a, b = np.concatenate(left), np.concatenate(right)
+    common = np.intersect1d(a, b)
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not len(common):
+        return out
+    sides = []
+    for values, sizes in ((a, n_left), (b, n_right)):
+        at = np.minimum(np.searchsorted(common, values), len(common) - 1)
+        hit = common[at] == values
+        sides.append((np.repeat(np.arange(len(sizes)), sizes)[hit], at[hit]))
+    for lo in range(0, len(common), SLICE):
+        marks = []
+        for (row, at), n in zip(sides, (len(left), len(right))):
+            here = (at >= lo) & (at < lo + SLICE)
+            m = np.zeros((n, min(SLICE, len(common) - lo)), np.float32)
+            m[row[here], at[here] - lo] = 1
+            marks.append(m)
+        out += marks[0] @ marks[1].T
+    return out
+
+
+def _block_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """rows: mine, other, id, root, elements of a pair of blocks. A forest of the links across components."""
+    first = min(r[0] for r in rows)
+    left = [r for r in rows if r[0] == first]
+    right = [r for r in rows if r[0] != first] if rows[0][0] != rows[0][1] else left
+    if not left or not right:
+        return []
+    x, y = ([np.frombuffer(r[4], np.uint64) for r in side] for side in (left, right))
+    inter = shared_counts(x, y).astype(np.int64)
+    total = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :]
+    apart = np.array([r[3] for r in left])[:, None] != np.array([r[3] for r in right])[None, :]
+    i, j = np.nonzero(apart & (100 * inter >= percent * (total - inter)))
+    return forest([(left[p][2], right[q][2]) for p, q in zip(i.tolist(), j.tolist())])
+
+
+def _across(percent: int):
+    """Rows come by pair of blocks; one is in memory at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        last, found = None, []
+        for b in batches:
+            columns = (b.column(c).to_pylist() for c in ("key", "x", "y", "mine", "other", "id", "root", "elements"))
+            for key, x, y, *row in zip(*columns):
+                if (key, x, y) != last:
+                    if rows:
+                        found += _block_links(rows, percent)
+                    last, rows = (key, x, y), []
+                rows.append(tuple(row))
+        if rows:
+            found += _block_links(rows, percent)
+        found = forest(found)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ([], []))], ["a", "b"])
+
+    return run
+
+
+def links_across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """rest: key, size, id, root of the members of buckets that hold several components. Links between different
+    components, as a forest. A bucket is dealt in blocks and each pair of blocks is a key of its own, so that a large
+    bucket is spread over many tasks; members travel with their sets, and no pair of them is listed."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = rest.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.join(sets, "id").select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "other", "id", "root", "elements")
+    spread = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(spread, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_across(percent), "a long, b long")
 
 
 def grouped(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -142,20 +213,24 @@ def grouped(docs: DataFrame, percent: int = 75) -> DataFrame:
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     sigs = written(signatures(docs), "signatures")
     classes = sigs.filter("n > 0 and doc_id is not null").groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys"))
+    classes = written(classes, "classes")
     rows = classes.select(F.explode("keys").alias("key"), F.col("rep").alias("id"), "n")
-    hubs = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("top")).filter("hub.id <> top")
-    members = written(rows.join(hubs, "key").select("key", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "members")
+    # written, so that both sides of the join are plain shuffles, of which a hot bucket's can be split
+    hubs = written(rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("top"), F.count("*").alias("size")).filter("hub.id <> top"), "hubs")
+    members = written(rows.join(hubs, "key").select("key", "size", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "members")
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
+    texts = texts.join(members.select("id").distinct(), "id").withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"])
+    sets = written(texts.select("id", "text").mapInArrow(_sets, "id long, elements binary"), "sets")
     fits = f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"
     star = members.filter("id <> hub").filter(fits).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = written(verified(star, docs, percent), "links")
+    links = written(verified(star, sets, percent), "links")
     roots = components(links)
 
     # buckets that still hold several components
-    known = members.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
+    known = members.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "size", "id", F.coalesce("root", "id").alias("root"))
     known = written(known, "known")
-    mixed = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("key", "size")
-    rest = known.join(mixed, "key")
-    more = written(verified(_across(rest, percent), docs, percent), "links")
+    mixed = written(known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key"), "mixed")
+    more = written(links_across(known.join(mixed, "key"), sets, percent), "links")
     if not more.isEmpty():
         roots = components(links.unionAll(more))
 
@@ -163,16 +238,3 @@ def grouped(docs: DataFrame, percent: int = 75) -> DataFrame:
     out = named.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("root", "rep")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
-
-
-def _across(rest: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of a bucket that are in different components, each pair once. A bucket is dealt in blocks, and
-    each pair of blocks is a key of its own, so that a large bucket is spread over many tasks."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    dealt = rest.withColumn("blocks", blocks).withColumn("mine", mine)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = dealt.filter("mine <= other").select("key", F.col("mine").alias("x"), F.col("other").alias("y"), F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    right = dealt.filter("other <= mine").select("key", F.col("other").alias("x"), F.col("mine").alias("y"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    both = left.join(right, ["key", "x", "y"]).filter("root_a <> root_b and (x <> y or a < b)").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
