@@ -74,19 +74,25 @@ def _texts(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, bucket) for every stretch."""
+    """(row, bucket, n): the buckets of each text, with the number of its stretches in them."""
+    names = ["row", "bucket", "n"]
     for b in batches:
-        rows, buckets = [], []
+        rows, buckets, counts, size = [], [], [], 0
         ids = b.column("row").to_pylist()
         for i, text in _texts(b):
-            for bucket, *_ in stretches(text):
-                rows.append(np.full(len(bucket), ids[i], np.int64))
-                buckets.append(bucket)
-            if sum(map(len, buckets[-64:])) > 1 << 16 or len(rows) > 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(buckets))], ["row", "bucket"])
-                rows, buckets = [], []
+            found = [bucket for bucket, *_ in stretches(text)]
+            if not found:
+                continue
+            bucket, n = np.unique(np.concatenate(found), return_counts=True)
+            rows.append(np.full(len(bucket), ids[i], np.int64))
+            buckets.append(bucket)
+            counts.append(n)
+            size += len(bucket)
+            if size > 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (rows, buckets, counts)], names)
+                rows, buckets, counts, size = [], [], [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(buckets))], ["row", "bucket"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (rows, buckets, counts)], names)
 
 
 STRETCH = "id long, same long, bucket long, digest binary, first long, gram int, text binary"
@@ -223,9 +229,10 @@ def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     info = written(docs.select("id", "same", "row", F.md5(F.coalesce("text", F.lit(""))).alias("md5"), F.octet_length(F.coalesce("text", F.lit(""))).alias("n")).filter(f"n >= {SIZE}"), "texts")
     sets = info.groupBy("md5", "n").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
     copied = info.join(sets.filter("copies > 1").select("md5", "n"), ["md5", "n"]).select("id", "same").distinct()
-    named = written(docs.mapInArrow(_name, "row long, bucket long"), "buckets")
-    twice = named.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    per_row = named.join(twice, "bucket").distinct().groupBy("row").agg(F.collect_list("bucket").alias("buckets"))
+    named = written(docs.mapInArrow(_name, "row long, bucket long, n long"), "buckets")
+    # written, so that both sides of the join are plain shuffles, of which a hot bucket's can be split
+    twice = written(named.groupBy("bucket").agg(F.sum("n").alias("n")).filter("n > 1").select("bucket"), "twice")
+    per_row = named.select("row", "bucket").join(twice, "bucket").groupBy("row").agg(F.collect_set("bucket").alias("buckets"))
     per_row = per_row.join(sets.select("row"), "row", "left_semi")
     cut = docs.join(per_row, "row").select("id", "same", "text", "buckets").mapInArrow(_cut, STRETCH)
     table = written(cut, "stretches", compression="zstd")
