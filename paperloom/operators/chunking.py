@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from paperloom.functions.text import section_heading, words
+from paperloom.operators.numbering import with_row_numbers
 
 #: Words of a chunk, words that neighbours share, characters that are embedded, chunks of a batch, characters of a page.
 CHUNK_WORDS, OVERLAP, EMBED_CHARS, BATCH, PAGE_CHARS, MAX_PAGES = 400, 80, 15_000, 16, 500_000, 1_000
@@ -40,10 +40,7 @@ def text_chunks(pages: DataFrame, size: int = CHUNK_WORDS, overlap: int = OVERLA
 
 
 def numbered(chunks: DataFrame, *order: str) -> DataFrame:
-    """chunk_id in the order of the columns given (file, page, place), without sending all rows to one task: rows are
-    range-partitioned, counted, and numbered from the sum of the partitions before. One count a partition is collected."""
-    from paperloom.operators.numbering import with_row_numbers
-
+    """chunk_id in the order of the columns given; by default file, page, place."""
     return with_row_numbers(chunks, list(order) or ["filename", "page_num", "chunk_seq"], "chunk_id")
 
 
@@ -53,11 +50,11 @@ def embed_texts(chunks: DataFrame, most: int = EMBED_CHARS) -> DataFrame:
 
 
 def embed_batches(chunks: DataFrame, size: int = BATCH) -> DataFrame:
-    """Batches of consecutive chunks within a file: filename, batch, n_chunks, token_estimate, pause_seconds."""
-    place = Window.partitionBy("filename").orderBy("page_num", "chunk_seq")
-    dealt = chunks.withColumn("batch", F.floor((F.row_number().over(place) - 1) / size).cast("int"))
+    """Batches of consecutive chunks (with chunk_id) within a file: filename, batch, n_chunks, token_estimate,
+    pause_seconds. A chunk's place in its file is its number less the file's first, so no file is sorted in one task."""
+    first = chunks.groupBy("filename").agg(F.min("chunk_id").alias("first_id"))
+    dealt = chunks.join(first, "filename").withColumn("batch", F.floor((F.col("chunk_id") - F.col("first_id")) / size).cast("int"))
     cut = F.max(F.length("text") > EMBED_CHARS)
     tokens = F.sum(F.size(words(F.substring("text", 1, EMBED_CHARS)))) * F.lit(TOKENS_A_WORD)
     pause = tokens / F.lit(TOKENS_A_MINUTE) * 60
-    out = dealt.groupBy("filename", "batch").agg(F.count("*").alias("n_chunks"), tokens.alias("token_estimate"), F.when(~cut & (pause > 0.1), pause).otherwise(F.lit(0.0)).alias("pause_seconds"))
-    return out
+    return dealt.groupBy("filename", "batch").agg(F.count("*").alias("n_chunks"), tokens.alias("token_estimate"), F.when(~cut & (pause > 0.1), pause).otherwise(F.lit(0.0)).alias("pause_seconds"))

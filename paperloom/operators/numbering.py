@@ -1,28 +1,24 @@
-"""Consecutive numbers in a total order without a global sort in one task."""
+"""Consecutive numbers in a total order without a sort in one task."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from paperloom.shared import written
 
-def with_row_numbers(df: DataFrame, order: list[str], name: str, buckets: int = 1024) -> DataFrame:
-    """Numbers from 0 in the given order. Rows are dealt to range buckets by the first column's approximate quantiles
-    (or its values, where it is text), counted by bucket, and numbered within it; the counts before a bucket are a
-    window over one row a bucket."""
-    first = df.select(F.col(order[0]).alias("k"))
-    if dict(df.dtypes)[order[0]] == "string":
-        bounds = first.groupBy("k").count().orderBy("k")
-        offsets = bounds.withColumn("before", F.sum("count").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1))).select("k", F.coalesce("before", F.lit(0)).alias("before"))
-        key = F.col(order[0])
-    else:
-        spread = df.stat.approxQuantile(order[0], [i / buckets for i in range(1, buckets)], 1e-4) if buckets > 1 else []
-        edges = F.array(*[F.lit(float(x)) for x in sorted(set(spread))]) if spread else F.array().cast("array<double>")
-        key = F.size(F.filter(edges, lambda e: e < F.col(order[0]).cast("double")))
-        sized = df.select(key.alias("k")).groupBy("k").count()
-        offsets = sized.withColumn("before", F.sum("count").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1))).select("k", F.coalesce("before", F.lit(0)).alias("before"))
-    dealt = df.withColumn("__k", key)
-    place = F.row_number().over(Window.partitionBy("__k").orderBy(*order)) - 1
-    joined = dealt.withColumn("__n", place).join(offsets, F.col("__k").eqNullSafe(F.col("k")))
-    return joined.withColumn(name, (F.col("before") + F.col("__n")).cast("long")).drop("__k", "__n", "k", "before")
+
+def with_row_numbers(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Numbers from 0 in the given order, which should be total. Rows are range-partitioned, sorted in their partition
+    and written with their place; a number is a place plus the rows of the partitions before: one count a partition,
+    which is all that the driver sees and sends out. A frequent first key is spread by the others."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    placed = written(placed, "numbered").withColumns({"__part": F.shiftright("__at", 33), "__at": F.col("__at").bitwiseAND((1 << 33) - 1)})
+    before, total = [], 0
+    for part, count in placed.groupBy("__part").count().orderBy("__part").collect():
+        before.append((part, total))
+        total += count
+    offsets = spark.createDataFrame(before, "__part long, __before long")
+    return placed.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__at") + F.col("__before")).drop("__part", "__at", "__before")
