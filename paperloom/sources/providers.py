@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Embed = Callable[[list[str]], list[list[float] | None]]
 Complete = Callable[[list[dict], float, int], str]
@@ -92,7 +93,8 @@ def expanded(queries: DataFrame, complete: Complete | None = None) -> DataFrame:
                 variants.append([x.strip() for x in v.splitlines() if len(x.strip()) > 10][:2])
             yield b.assign(expanded=expanded_, hyde=hyde, variants=variants)
 
-    schema = queries.schema.add("expanded", "string").add("hyde", "string").add("variants", "array<string>")
+    text = T.StringType()
+    schema = T.StructType([*queries.schema.fields, T.StructField("expanded", text), T.StructField("hyde", text), T.StructField("variants", T.ArrayType(text))])
     return queries.coalesce(1).mapInPandas(run, schema)
 
 
@@ -109,6 +111,6 @@ def reranked(hits: DataFrame, rerank: Rerank | None = None, n: int = 10) -> Data
             for b in batches:
                 yield b.assign(rerank_score=[float(x) for x in rerank(list(zip(b["query_text"], b["text"])))] if len(b) else pd.Series([], dtype=float))
 
-        scored = hits.mapInPandas(run, hits.schema.add("rerank_score", "double"))
+        scored = hits.mapInPandas(run, T.StructType([*hits.schema.fields, T.StructField("rerank_score", T.DoubleType())]))
         order = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank0")
     return scored.withColumn("place", F.row_number().over(order) - 1).filter(F.col("place") < n).withColumn("rank0", F.col("place")).drop("place")
