@@ -49,8 +49,7 @@ def ingest_counts(chunks: DataFrame) -> DataFrame:
 def index_health(vectors: DataFrame, documents: DataFrame) -> DataFrame:
     """One row: total_vectors, total_documents, index_healthy."""
     v = vectors.agg(F.count("*").alias("total_vectors"))
-    d = documents.agg(F.count("*").alias("total_documents"))
-    return v.crossJoin(d).withColumn("index_healthy", F.col("total_vectors") == F.col("total_documents"))
+    return v.withColumn("total_documents", documents.agg(F.count("*")).scalar()).withColumn("index_healthy", F.col("total_vectors") == F.col("total_documents"))
 
 
 def idle_sessions(events: DataFrame, hours: int = 24, as_of: DataFrame | None = None) -> DataFrame:
@@ -58,4 +57,5 @@ def idle_sessions(events: DataFrame, hours: int = 24, as_of: DataFrame | None =
     the last event of all): user_id, last_seen."""
     now = (events if as_of is None else as_of).agg(F.max("ts").alias("now"))
     last = events.groupBy("user_id").agg(F.max("ts").alias("last_seen"))
-    return last.crossJoin(F.broadcast(now)).filter(F.col("now") - F.col("last_seen") > F.expr(f"interval {hours} hours")).select("user_id", "last_seen")
+    idle = last.withColumn("now", now.scalar())
+    return idle.filter(F.col("now") - F.col("last_seen") > F.expr(f"interval {hours} hours")).select("user_id", "last_seen")

@@ -16,7 +16,7 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 @dataclass
 class LexicalIndex:
-    """posting: term, chunk_id, tf, len. terms: term, df, idf. corpus: one row n, avgdl, mean_idf."""
+    """posting: term, chunk_id, tf, len. terms: term, df, idf. corpus: one row n, avgdl."""
 
     posting: DataFrame
     terms: DataFrame
@@ -33,11 +33,12 @@ def build(chunks: DataFrame, epsilon: float = EPSILON) -> LexicalIndex:
     lengths = tokens.select("chunk_id", F.size("t").alias("len"))
     posting = tokens.select("chunk_id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").cast("int").alias("tf"), F.first("len").alias("len"))
     corpus = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    raw = posting.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus.select("n")))
+    raw = posting.groupBy("term").agg(F.count("*").alias("df")).withColumn("n", corpus.select("n").scalar())
     raw = raw.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw_idf"))
     mean = raw.agg(F.avg("raw_idf").alias("mean_idf"))
-    terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw_idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"))
-    return LexicalIndex(posting, terms, corpus.crossJoin(F.broadcast(mean)))
+    floored = raw.withColumn("mean_idf", mean.scalar())
+    terms = floored.select("term", "df", F.when(F.col("raw_idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"))
+    return LexicalIndex(posting, terms, corpus)
 
 
 def scores(index: LexicalIndex, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
@@ -45,7 +46,7 @@ def scores(index: LexicalIndex, queries: DataFrame, k1: float = K1, b: float = B
     counts as often as the query repeats it. Only terms of the queries reach the join with the postings."""
     asked = queries.select("query_id", F.explode(terms_of("query_text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     weighed = asked.join(index.terms.select("term", "idf"), "term")
-    hits = index.posting.join(weighed, "term").crossJoin(F.broadcast(index.corpus.select("avgdl")))
+    hits = index.posting.join(weighed, "term").withColumn("avgdl", index.corpus.select("avgdl").scalar())
     saturated = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
     return hits.groupBy("query_id", "chunk_id").agg(F.sum(F.col("times") * F.col("idf") * saturated).alias("score"))
 
