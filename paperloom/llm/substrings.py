@@ -4,7 +4,8 @@ Suffixes are dealt to buckets by content: a window of SIZE bytes goes to the buc
 grams, so equal windows meet in one bucket and neighbouring windows mostly share one. A stretch of windows of one
 bucket travels as one piece of text. Only buckets that at least two stretches of the corpus name are built; equal
 stretches become one row with a weight. A task sorts its buckets one block at a time (see suffixes.py). A bucket with
-very many different stretches is dealt anew, by windows' places around the gram and the bytes that these windows share.
+very many different stretches is dealt anew, by windows' places around the gram and the bytes that these windows share;
+if such a bucket is still too large, its windows are counted one by one, by digest.
 
 Equal texts are found by digest; one of each is looked into, and of those that have copies every window is repeated.
 
@@ -31,7 +32,7 @@ SIZE, GRAM = 200, 48
 #: Grams of a window; windows hashed at once (places must fit the low bits of a hash); bytes of a block.
 WIDTH, CHUNK, BLOCK = SIZE - GRAM + 1, 1 << 18, 2 << 20
 #: Different stretches from which a bucket is dealt anew, and the windows of a row then.
-LARGE, FEW = 2000, 16
+LARGE, FEW = 500, 16
 _U = np.uint64
 _BYTE = np.random.default_rng(77001).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _STEP = [_U(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -123,11 +124,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
 
-UNIT = "bucket long, origin long, digest binary, base int, weight long, text binary"
+UNIT = "bucket long, unit binary, origin long, digest binary, base int, weight long, text binary"
 
 
 def _deal_anew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of few windows, by these windows' places before the gram; the new bucket hashes the bytes they all share."""
+    """Units of few windows, by these windows' places before the gram; the new bucket hashes the bytes they all share."""
     for b in batches:
         out: list[tuple] = []
         for bucket, digest, gram, weight, text in zip(*(b.column(c).to_pylist() for c in ("bucket", "digest", "gram", "weight", "text"))):
@@ -136,35 +137,39 @@ def _deal_anew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lo, hi = max(0, gram - FEW * k - FEW + 1), min(last, gram - FEW * k)
                 if lo > hi:
                     continue
-                core = text[gram - FEW * k : gram - FEW * k - FEW + 1 + SIZE]
+                core, unit = text[gram - FEW * k : gram - FEW * k - FEW + 1 + SIZE], text[lo : hi + SIZE]
                 new = int.from_bytes(hashlib.blake2b(core, digest_size=8, person=str(k).encode()).digest(), "little", signed=True)
-                out.append((new, bucket, digest, lo, weight, text[lo : hi + SIZE]))
+                out.append((new, hashlib.blake2b(unit, digest_size=16).digest(), bucket, digest, lo, weight, unit))
             if len(out) > 16_384:
-                yield _units(out)
+                yield _rows(out, UNIT)
                 out = []
-        yield _units(out)
+        yield _rows(out, UNIT)
 
 
-def _units(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, types)], ["bucket", "origin", "digest", "base", "weight", "text"])
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+
+
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows)) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[t]) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
 
 
 FOUND = "bucket long, digest binary, lo int, hi int"
 
 
 def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by bucket; whole buckets are put in a block until it is full, and sorted. Gives the runs of repeated
-    windows of each stretch."""
+    """Rows (bucket, digest, weight, text) come by bucket; whole buckets are put in a block until it is full, and
+    sorted. Gives the runs of repeated windows of each text."""
     rows: list[tuple] = []
     size = 0
     for b in batches:
-        for row in zip(*(b.column(c).to_pylist() for c in ("bucket", "origin", "digest", "base", "weight", "text"))):
+        for row in zip(*(b.column(c).to_pylist() for c in ("bucket", "digest", "weight", "text"))):
             if size >= BLOCK and row[0] != rows[-1][0]:
                 yield _sorted(rows)
                 rows, size = [], 0
             rows.append(row)
-            size += len(row[5])
+            size += len(row[3])
     if rows:
         yield _sorted(rows)
 
@@ -173,13 +178,48 @@ def _sorted(rows: list[tuple]) -> pa.RecordBatch:
     out: list[tuple] = []
     # a stretch that is alone in its bucket has nothing to compare: its own windows lie differently around its gram
     names = [None, *(r[0] for r in rows), None]
-    rows = [r for i, r in enumerate(rows, 1) if r[4] > 1 or names[i] in (names[i - 1], names[i + 1])]
-    for (_, origin, digest, base, _, _), hit in zip(rows, repeated([r[5] for r in rows], [r[4] for r in rows], SIZE) if rows else ()):
+    rows = [r for i, r in enumerate(rows, 1) if r[2] > 1 or names[i] in (names[i - 1], names[i + 1])]
+    for (bucket, digest, _, _), hit in zip(rows, repeated([r[3] for r in rows], [r[2] for r in rows], SIZE) if rows else ()):
         edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-        for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist()):
-            out.append((origin, digest, base + lo, base + hi - 1))
-    cols = list(zip(*out)) or [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int32(), pa.int32()))], ["bucket", "digest", "lo", "hi"])
+        out += [(bucket, digest, lo, hi - 1) for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist())]
+    return _rows(out, FOUND)
+
+
+WINDOW = "window binary, bucket long, digest binary, lo int, weight long"
+
+
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every window of a row by itself, by digest."""
+    for b in batches:
+        out: list[tuple] = []
+        for bucket, digest, weight, text in zip(*(b.column(c).to_pylist() for c in ("bucket", "digest", "weight", "text"))):
+            out += [(hashlib.blake2b(text[i : i + SIZE], digest_size=16).digest(), bucket, digest, i, weight) for i in range(len(text) - SIZE + 1)]
+        yield _rows(out, WINDOW)
+
+
+def _sorted_buckets(rows: DataFrame) -> DataFrame:
+    """rows: bucket, digest, weight, text. The runs of repeated windows, as FOUND."""
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select("bucket", "digest", "weight", "text").repartition(spread, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort, FOUND)
+
+
+def _dealt_anew(rows: DataFrame) -> DataFrame:
+    """The same for the rows (bucket, digest, weight, gram, text) of large buckets. They are cut to units of few
+    windows, equal units become one, and what shares a core is a bucket. Should that still be large, its windows are
+    counted one by one, which spreads over any number of tasks."""
+    units = written(rows.select("bucket", "digest", "gram", "weight", "text").mapInArrow(_deal_anew, UNIT), "units", compression="zstd")
+    distinct = units.groupBy("bucket", F.col("unit").alias("digest")).agg(F.sum("weight").alias("weight"), F.first("text").alias("text"))
+    distinct = written(distinct, "distinct-units", compression="zstd")
+    large = written(distinct.groupBy("bucket").agg(F.count("*").alias("n")).filter(f"n > {LARGE}").select("bucket"), "large")
+    if large.isEmpty():
+        found = _sorted_buckets(distinct)
+    else:
+        windows = written(distinct.join(large, "bucket").select("bucket", "digest", "weight", "text").mapInArrow(_single, WINDOW), "windows")
+        twice = written(windows.groupBy("window").agg(F.sum("weight").alias("n")).filter("n > 1").select("window"), "twice")
+        single = windows.join(twice, "window").select("bucket", "digest", "lo", F.col("lo").alias("hi"))
+        found = _sorted_buckets(distinct.join(large, "bucket", "left_anti")).unionAll(single)
+    places = units.select("bucket", "unit", "origin", F.col("digest").alias("of"), "base").join(written(found.withColumnRenamed("digest", "unit"), "found"), ["bucket", "unit"])
+    return places.select(F.col("origin").alias("bucket"), F.col("of").alias("digest"), (F.col("base") + F.col("lo")).alias("lo"), (F.col("base") + F.col("hi")).alias("hi"))
 
 
 def _left(text: np.ndarray, runs: list | None, copied: bool) -> tuple[bytes, int, int]:
@@ -227,7 +267,7 @@ def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs: id, same (together they name a row up to repeats), row (their hash), text. Returns the repeated windows of
     the texts that have no copy, as (id, same, lo, hi), and the rows of texts that have copies, as (id, same)."""
     info = written(docs.select("id", "same", "row", F.md5(F.coalesce("text", F.lit(""))).alias("md5"), F.octet_length(F.coalesce("text", F.lit(""))).alias("n")).filter(f"n >= {SIZE}"), "texts")
-    sets = info.groupBy("md5", "n").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
+    sets = written(info.groupBy("md5", "n").agg(F.min("row").alias("row"), F.count("*").alias("copies")), "sets")
     copied = info.join(sets.filter("copies > 1").select("md5", "n"), ["md5", "n"]).select("id", "same").distinct()
     named = written(docs.mapInArrow(_name, "row long, bucket long, n long"), "buckets")
     # written, so that both sides of the join are plain shuffles, of which a hot bucket's can be split
@@ -239,15 +279,11 @@ def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     distinct = table.groupBy("bucket", "digest").agg(F.count("*").alias("weight"), F.min("gram").alias("gram"), F.first("text").alias("text"))
     distinct = written(distinct, "distinct", compression="zstd")
     large = written(distinct.groupBy("bucket").agg(F.count("*").alias("n")).filter(f"n > {LARGE}").select("bucket"), "large")
-    plain = ["bucket", F.col("bucket").alias("origin"), "digest", F.lit(0).alias("base"), "weight", "text"]
     if large.isEmpty():
-        units = distinct.select(*plain)
+        found = _sorted_buckets(distinct)
     else:
-        units = distinct.join(large, "bucket", "left_anti").select(*plain)
-        anew = distinct.join(large, "bucket").select("bucket", "digest", "gram", "weight", "text").mapInArrow(_deal_anew, UNIT)
-        units = units.unionByName(anew)
-    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = written(units.repartition(spread, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort, FOUND), "found")
+        found = _sorted_buckets(distinct.join(large, "bucket", "left_anti")).unionAll(_dealt_anew(distinct.join(large, "bucket")))
+    found = written(found, "found")
     runs = table.select("id", "same", "bucket", "digest", "first").join(found, ["bucket", "digest"])
     return runs.select("id", "same", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi")), copied
 

@@ -197,7 +197,7 @@ def passages(seed):
     return [*texts, texts[3], texts[5], texts[5], "", None, "ab" * 700, "a" * 450, "xy" + "a" * 199, "b" * 199, "b" * 200, "b" * 201, "tail " * 90 + "end"]
 
 
-@pytest.mark.parametrize("large", [2000, 2])
+@pytest.mark.parametrize("large", [2000, 2, 1, 0])
 def test_suffix_dedup(documents, large, monkeypatch):
     monkeypatch.setattr(substrings, "LARGE", large)
     texts = passages(large)
