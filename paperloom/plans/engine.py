@@ -129,6 +129,16 @@ class Engine:
     def export(self, target: str) -> str:
         return self.store.export(target)
 
+    def load(self, archive: str) -> dict:
+        """Take in an exported store in place of this one, and say whether it is whole."""
+        return Store.from_zip(self.spark, archive, self.path).verify()
+
+    def progress(self) -> dict:
+        return self.store.load_progress()
+
+    def export_chat(self, history: DataFrame) -> DataFrame:
+        return chat.exported(history)
+
     def clear_chat(self, history: DataFrame, conv_id: int) -> DataFrame:
         """A conversation's history without its messages; vectors stay."""
         return history.filter(F.col("conv_id") != conv_id)

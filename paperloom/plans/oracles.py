@@ -211,4 +211,19 @@ def oracle_sql() -> dict[str, str]:
         "q_ingest_counts": "SELECT count(*) AS total, count(embedding) AS successful, count(*) - count(embedding) AS skipped FROM documents LEFT JOIN embeddings ON vec_id = doc_id",
         "q_resume_antijoin": f"WITH {CHUNKS} SELECT filename, page_num, chunk_seq FROM chunks WHERE CAST(substr(filename, 4) AS INTEGER) % 2 <> 0",
         "q_allowed_files": "SELECT page_id, CASE page_id % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false ELSE regexp_matches(lower(url), '\\.(pdf|zip)$') END AS allowed FROM pages",
+        "q_table_accept": f"""WITH {COLLAPSED}, f AS (SELECT filename, page_num, table_idx, len(list_filter(head, lambda h: h <> '')) AS h, flatten(body) AS c,
+            list_filter(flatten(rows), lambda x: coalesce({strip("x")} <> '', false)) AS own, len(flatten(rows)) AS n FROM merged),
+          g AS (SELECT filename, page_num, table_idx, page_num % 3 <> 0 AS had, CASE WHEN h < 2 THEN 0.1 ELSE round(0.7 * (len(list_filter(c, lambda x: x <> '')) / greatest(len(c), 1))::DOUBLE + 0.3 * least(h / 3, 1.0)::DOUBLE, 3) END::DOUBLE AS q1,
+            round(0.7 * (len(own) / greatest(n, 1))::DOUBLE + 0.3::DOUBLE, 3)::DOUBLE AS q2 FROM f)
+          SELECT filename, page_num, table_idx, 'first' AS extractor, q1 AS quality FROM g WHERE had AND q1 >= 0.4
+          UNION ALL SELECT filename, page_num, table_idx, 'second', q2 FROM g WHERE had AND q1 < 0.4 AND q2 >= 0.4
+          UNION ALL SELECT filename, page_num, table_idx, 'second', -1.0 FROM g WHERE NOT had""",
+        "q_pages_with_grids": f"""WITH {ROWS}, g AS (SELECT *, list_prepend(list_transform(header, lambda h: coalesce(h, '')), list_transform(rows, lambda q: list_transform(q, lambda c: coalesce(replace(c, chr(10), ' '), '')))) AS g FROM texts),
+          w AS (SELECT *, list_sum(list_transform(range(1, 5), lambda c: list_max(list_transform(g, lambda q: length(q[c]))))) + 13 AS wide, len(rows) AS n FROM g)
+          SELECT filename, page_num, CAST(length(page_text) + CASE WHEN page_num % 2 = 0 THEN 1 + (2 * n + 3) * (wide + 1) - 1 ELSE 0 END AS INTEGER) AS n_chars, {heading("page_text")} AS heading FROM w""",
+        "q_embed_list": f"SELECT item_id AS query_id, {_kind('text')} AS complexity, CAST(1 AS INTEGER) AS n_texts, md5(text) AS texts_md5 FROM benchmark",
+        "q_rerank_head": f"WITH {WHOLE}, {lex}, {top('lex', 'scored', 15, 'score > 0')} SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank0) - 1 AS INTEGER) AS rank0, chunk_id, true AS unscored FROM lex WHERE rank0 % 2 = 1) WHERE rank0 < 5",
+        "q_history_messages": f"WITH {SAID} SELECT conv_id, CAST(count(*) + 1 AS INTEGER) AS n_messages, md5('system=rules' || chr(10) || string_agg(role || '=' || text, chr(10) ORDER BY turn)) AS messages_md5 FROM said WHERE back <= 6 GROUP BY conv_id",
+        "q_store_roundtrip": f"WITH {CHUNKS} SELECT chunk_id, filename, page_num, chunk_seq, CAST(coalesce(len(embedding), 0) AS INTEGER) AS dim FROM numbered LEFT JOIN embeddings ON vec_id = chunk_id",
+        "q_stream_ingest": f"WITH {CHUNKS} SELECT * FROM chunks",
     }

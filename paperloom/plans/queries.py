@@ -12,6 +12,10 @@ from paperloom.functions import text as T
 from paperloom.functions import vectors as V
 from paperloom.operators import chat, chunking, dense, fusion, ingest, lexical, postprocess, tables
 from paperloom.plans.frames import chunks, part_tables, pipe_pages, questions, table, vectors, whole_documents
+from paperloom.shared import new_path
+from paperloom.sources.providers import expanded, reranked
+from paperloom.sources.store import Store
+from paperloom.streaming.ingest import ingest_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -233,6 +237,63 @@ def q_allowed_files(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "pages").select("page_id", T.allowed_file(name).alias("allowed"))
 
 
+def q_table_accept(s: SparkSession, d: str) -> DataFrame:
+    """Tables that are good enough; pages with a worse one take the fallback's (here: the tables as they would be with
+    a plain header), pages without any table take the fallback's unscored."""
+    t = part_tables(s, d).select("filename", "page_num", "table_idx", "cells", F.lit("first").alias("extractor"))
+    header = F.array(F.lit("Key"), F.lit("Name"), F.lit("Brand"), F.lit("Size"))
+    plain = F.concat(F.array(header), F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(1))))
+    other = t.withColumn("cells", plain).withColumn("extractor", F.lit("second"))
+    return tables.accepted(t.filter("page_num % 3 <> 0"), other).select("filename", "page_num", "table_idx", "extractor", F.coalesce("quality", F.lit(-1.0)).alias("quality"))
+
+
+def q_pages_with_grids(s: SparkSession, d: str) -> DataFrame:
+    t = part_tables(s, d)
+    cells = F.transform("cells", lambda r: F.transform(r, lambda c: F.coalesce(F.replace(c, F.lit("\n"), F.lit(" ")), F.lit(""))))
+    pages = t.select("filename", "page_num", F.col("page_text").alias("text"))
+    out = tables.pages_with_grids(pages, t.filter("page_num % 2 = 0").withColumn("cells", cells))
+    return out.select("filename", "page_num", F.length("text").alias("n_chars"), T.section_heading("text").alias("heading"))
+
+
+def q_embed_list(s: SparkSession, d: str) -> DataFrame:
+    """What is embedded for each question: itself and its other wordings, without a model only itself; simple ones too."""
+    asked = questions(s, d).select("query_id", "query_text").withColumns({"complexity": T.query_complexity("query_text"), "summary": F.lit("")})
+    e = expanded(asked)
+    wanted = F.filter(F.concat(F.array("query_text", F.when(F.col("expanded") != F.col("query_text"), F.col("expanded")), "hyde"), "variants"), lambda t: t.isNotNull() & (t != ""))
+    return e.select("query_id", "complexity", F.size(wanted).alias("n_texts"), F.md5(F.array_join(wanted, "\n")).alias("texts_md5"))
+
+
+def q_rerank_head(s: SparkSession, d: str) -> DataFrame:
+    """Without a reranker, the first ten; numbered anew."""
+    top = lexical.bm25_topk(lexical.build(whole_documents(s, d)), questions(s, d), 15).filter("rank0 % 2 = 1")
+    return reranked(top.select("query_id", "rank0", "chunk_id"), None, 5).select("query_id", "rank0", "chunk_id", F.col("rerank_score").isNull().alias("unscored"))
+
+
+def q_history_messages(s: SparkSession, d: str) -> DataFrame:
+    """The messages that a model gets: a system message, the last turns, the question."""
+    last = chat.last_messages(table(s, d, "conversations"))
+    said = last.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("place", "role", F.col("text").alias("content")))).alias("m"))
+    whole = F.concat(F.array(F.struct(F.lit("system").alias("role"), F.lit("rules").alias("content"))), F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))))
+    return said.select("conv_id", F.size(whole).alias("n_messages"), F.md5(F.array_join(F.transform(whole, lambda x: F.concat(x["role"], F.lit("="), x["content"])), "\n")).alias("messages_md5"))
+
+
+def q_store_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    """Chunks and vectors saved as a store, and read from it."""
+    store = Store(s, new_path(s, "store"))
+    store.save({"chunk": chunks(s, d), "vector": vectors(s, d)}, 64)
+    got = store.load()
+    return got["chunk"].join(got["vector"].select("chunk_id", F.size("embedding").alias("dim")), "chunk_id", "left").select("chunk_id", "filename", "page_num", "chunk_seq", F.coalesce("dim", F.lit(0)).alias("dim"))
+
+
+def q_stream_ingest(s: SparkSession, d: str) -> DataFrame:
+    """Documents as a file stream, chunked as they come; the stream runs to its end and what it wrote is read. The path
+    is a pattern, as the table may be one file or a folder."""
+    out, state = new_path(s, "streamed"), new_path(s, "stream-state")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    ingest_stream(s, f"{d}/document[s].parquet", out, state, schema=schema, pages=chunking.pages_from_documents).awaitTermination()
+    return s.read.parquet(out)
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("q_")}
 

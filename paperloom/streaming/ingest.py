@@ -10,12 +10,22 @@ from pyspark.sql.streaming import StreamingQuery
 from paperloom.operators.chunking import text_chunks
 
 
-def ingest_stream(spark: SparkSession, pages: str, target: str, checkpoint: str, embed: Callable[[DataFrame], DataFrame] | None = None, schema: str = "filename string, page_num long, text string", once: bool = True) -> StreamingQuery:
-    """Reads Parquet files of pages as they arrive and appends chunks (and embed's columns) to target. The stream's
-    checkpoint says what is done; a replayed batch is told by (filename, page_num, chunk_seq)."""
+def ingest_stream(
+    spark: SparkSession,
+    source: str,
+    target: str,
+    checkpoint: str,
+    embed: Callable[[DataFrame], DataFrame] | None = None,
+    pages: Callable[[DataFrame], DataFrame] | None = None,
+    schema: str = "filename string, page_num long, text string",
+    once: bool = True,
+) -> StreamingQuery:
+    """Reads Parquet files of pages (or of what the function pages makes pages of) as they arrive and appends chunks,
+    with embed's columns, to target. The stream's checkpoint says what is done; a replayed batch is told by
+    (filename, page_num, chunk_seq)."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        chunks = text_chunks(batch)
+        chunks = text_chunks(pages(batch) if pages else batch)
         try:
             there = batch.sparkSession.read.parquet(target).select("filename", "page_num", "chunk_seq")
             chunks = chunks.join(there, ["filename", "page_num", "chunk_seq"], "left_anti")
@@ -24,5 +34,5 @@ def ingest_stream(spark: SparkSession, pages: str, target: str, checkpoint: str,
                 raise
         (embed(chunks) if embed else chunks).write.mode("append").parquet(target)
 
-    writer = spark.readStream.schema(schema).parquet(pages).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
