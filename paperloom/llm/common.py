@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from paperloom.shared import new_path, shared_dir, written
+
+__all__ = ["filesystem", "new_path", "prepare", "publish", "segments", "shared_dir", "strings", "utf8", "written"]
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Rows and bytes of an Arrow batch: a worker holds one batch of texts, so these bound its memory.
@@ -32,27 +34,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where the session names none (tests), one is made."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="paperloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage, survives lost executors, computes once."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def filesystem(uri: str):
     """A pyarrow file system and the path within it, for file:, hdfs:, s3: and the like."""
     from pyarrow import fs
@@ -64,6 +45,17 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def publish(fs, temporary: str, final: str) -> None:
+    """Give a whole file its name. A task that runs twice writes the same file, so one that is there already stays."""
+    try:
+        fs.move(temporary, final)
+    except OSError:
+        if fs.get_file_info(final).is_file:
+            fs.delete_file(temporary)
+        else:
+            raise
+
+
 def strings(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """Texts of a column; a null counts as empty."""
     return [x or "" for x in column.to_pylist()]

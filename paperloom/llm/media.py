@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from paperloom.llm.common import filesystem, new_path, prepare
+from paperloom.llm.common import filesystem, new_path, prepare, publish
 
 WIDTH = 192
 #: Bytes of a read partition and of an Arrow batch; tries of a member.
@@ -114,7 +114,7 @@ def write_archives(docs: DataFrame, path: str) -> int:
         if archive is not None:
             archive.close()
             out.close()
-            fs.move(f"{name}.{context.taskAttemptId()}.tmp", f"{name}.zip")
+            publish(fs, f"{name}.{context.taskAttemptId()}.tmp", f"{name}.zip")
             yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(write, "n long").count()

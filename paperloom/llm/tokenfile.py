@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import wordids
-from paperloom.llm.common import filesystem, new_path, prepare, strings
+from paperloom.llm.common import filesystem, new_path, prepare, publish, strings
 
 MAGIC = b"PLBITS01"
 BLOCK_IDS = 1 << 16
@@ -157,7 +157,7 @@ def write_ids(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, path:
         if w is not None:
             w.close()
             out.close()
-            fs.move(f"{name}.{context.taskAttemptId()}.tmp", f"{name}.bin")
+            publish(fs, f"{name}.{context.taskAttemptId()}.tmp", f"{name}.bin")
             yield pa.RecordBatch.from_pydict({"part": [context.partitionId()], "n": [w.ids]}, pa.schema([("part", pa.int32()), ("n", pa.int64())]))
 
     parts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(max(1, -(-count // file_docs)), F.col("doc_id").asc_nulls_first())
