@@ -26,6 +26,8 @@ from paperloom.llm.common import prepare, strings, written
 
 #: Pieces of a group at first, about; groups that meet in a round; sequences that a group passes on at most.
 GROUP_PIECES, FAN, PASS_ON = 40_000, 8, 512
+#: Exchanges that a group with a gap tries.
+REPACKS = 400
 
 PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"
 PLACED = f"grp long, {PIECE}, sequence_id long, offset int, open boolean, used int, bound int"
@@ -96,6 +98,44 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np
     return bins, place, np.array(fill, np.int64)
 
 
+def exchanged(lengths: np.ndarray, bins: np.ndarray, size: int, bound: int, rounds: int = REPACKS, seed: int = 5) -> np.ndarray:
+    """Bins after exchanges within a group that has a gap to its bound: the emptiest sequence and a few others are
+    packed again by best fit in a slightly shaken order, which stays if it needs fewer or brings the free room together
+    (the sum of squared fills doesn't fall). Only the PASS_ON emptiest take part. Stops at the bound."""
+    rng = np.random.default_rng(seed)
+    order, count = np.argsort(bins, kind="stable"), np.bincount(bins)
+    held = np.split(order, np.cumsum(count)[:-1])
+    fill = np.bincount(bins, lengths).astype(np.int64)
+    loose = np.argsort(fill, kind="stable")[:PASS_ON]
+    fixed = [held[b] for b in sorted(set(range(len(held))) - set(loose.tolist()))]
+    held, fill = [held[b] for b in loose], fill[loose]
+    for _ in range(rounds):
+        if len(held) + len(fixed) <= bound:
+            break
+        some = np.unique(np.append(rng.choice(len(held), min(7, len(held)), replace=False), fill.argmin()))
+        pool = np.concatenate([held[k] for k in some])
+        pool = pool[np.argsort(-lengths[pool] * rng.uniform(0.7, 1.3, len(pool)), kind="stable")]
+        new, _, got = best_fit(lengths[pool], size)
+        if len(got) < len(some) or len(got) == len(some) and (got**2).sum() >= (fill[some] ** 2).sum():
+            gone = set(some.tolist())
+            held = [h for k, h in enumerate(held) if k not in gone] + [pool[new == b] for b in range(len(got))]
+            fill = np.append(np.delete(fill, some), got)
+    out = np.empty(len(lengths), np.int64)
+    for b, h in enumerate(fixed + held):
+        out[h] = b
+    return out
+
+
+def places(lengths: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each piece's place in its bin, and the bins' fill."""
+    order = np.argsort(bins, kind="stable")
+    ends = np.cumsum(lengths[order])
+    fill = np.bincount(bins, lengths).astype(np.int64)
+    place = np.empty(len(bins), np.int64)
+    place[order] = ends - lengths[order] - (np.cumsum(fill) - fill)[bins[order]]
+    return place, fill
+
+
 def pack_group(rows: pa.Table, size: int, tag: int, last: bool) -> pa.Table:
     """Pack one group; mark the sequences to pass on as open. A certified group passes on what isn't nearly full, as
     the bound of several groups together may be lower than the sum of theirs; one with a gap passes on more."""
@@ -103,6 +143,9 @@ def pack_group(rows: pa.Table, size: int, tag: int, last: bool) -> pa.Table:
     lengths = rows.column("length").to_numpy()
     bins, place, fill = best_fit(lengths, size)
     bound = lower_bound(lengths, size)
+    if len(fill) > bound:
+        bins = exchanged(lengths, bins, size, bound)
+        place, fill = places(lengths, bins)
     open_ = np.zeros(len(fill), bool)
     if not last:
         loose = np.flatnonzero(fill < (size if len(fill) > bound else size - size // 64))
