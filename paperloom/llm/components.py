@@ -51,7 +51,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         around = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     least = around.groupBy("u").agg(F.min("v").alias("m"))
-    least = least.select("u", F.least("u", "m").alias("m"))
+    # written, so that both sides of the join are plain shuffles, of which a hot node's can be split
+    least = written(least.select("u", F.least("u", "m").alias("m")), "least")
     joined = around.join(least, "u")
     if large:
         return joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
