@@ -61,7 +61,8 @@ class Writer:
         self.blocks: list[int] = []
         self.docs: list[int | None] = []
         self.starts: list[int] = [0]
-        self.rest = np.zeros(0, np.uint32)
+        self.parts: list[np.ndarray] = []
+        self.waiting = 0
         self._put(MAGIC)
 
     def _put(self, data: bytes) -> None:
@@ -73,20 +74,25 @@ class Writer:
         self._put(pack(ids, self.bits))
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        if len(ids) and int(ids.max()) >> self.bits:
-            raise ValueError(f"an id needs more than {self.bits} bits")
         self.docs.append(doc_id)
         self.ids += len(ids)
         self.starts.append(self.ids)
-        rest = np.concatenate([self.rest, ids.astype(np.uint32)])
-        while len(rest) >= BLOCK_IDS:
-            self._block(rest[:BLOCK_IDS])
-            rest = rest[BLOCK_IDS:]
-        self.rest = rest
+        self.parts.append(ids)
+        self.waiting += len(ids)
+        if self.waiting >= BLOCK_IDS:
+            self._blocks(self.waiting // BLOCK_IDS * BLOCK_IDS)
+
+    def _blocks(self, n: int) -> None:
+        """Write the first n waiting ids."""
+        rest = np.concatenate(self.parts).astype(np.uint32) if self.parts else np.zeros(0, np.uint32)
+        if len(rest) and int(rest.max()) >> self.bits:
+            raise ValueError(f"an id needs more than {self.bits} bits")
+        for lo in range(0, n, BLOCK_IDS):
+            self._block(rest[lo : min(n, lo + BLOCK_IDS)])
+        self.parts, self.waiting = [rest[n:].copy()], len(rest) - n
 
     def close(self) -> None:
-        if len(self.rest):
-            self._block(self.rest)
+        self._blocks(self.waiting)
         table = self.at
         self._put(np.array(self.blocks, "<u8").tobytes())
         docs = self.at
@@ -147,13 +153,13 @@ def write_ids(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, path:
         fs.create_dir(root, recursive=True)
         context = TaskContext.get()
         name = f"{root}/ids-{context.partitionId():06d}"
-        end, out, w = np.array([end_id], np.uint32), None, None
+        end, out, w = np.array([end_id], "<u4").tobytes(), None, None
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), strings(batch.column("text"))):
                 if w is None:
                     out = fs.open_output_stream(f"{name}.{context.taskAttemptId()}.tmp")
                     w = Writer(out, bits_for(max(encode.vocab_size, end_id + 1)))
-                w.add(doc_id, np.concatenate([np.frombuffer(encode(text), np.uint32), end]))
+                w.add(doc_id, np.frombuffer(encode(text) + end, "<u4"))
         if w is not None:
             w.close()
             out.close()
