@@ -155,7 +155,8 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[t]) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
 
 
-FOUND = "bucket long, digest binary, lo int, hi int"
+FOUND = "bucket long, digest binary, runs array<struct<lo:int,hi:int>>"
+_RUNS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
 
 def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,8 +182,10 @@ def _sorted(rows: list[tuple]) -> pa.RecordBatch:
     rows = [r for i, r in enumerate(rows, 1) if r[2] > 1 or names[i] in (names[i - 1], names[i + 1])]
     for (bucket, digest, _, _), hit in zip(rows, repeated([r[3] for r in rows], [r[2] for r in rows], SIZE) if rows else ()):
         edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-        out += [(bucket, digest, lo, hi - 1) for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist())]
-    return _rows(out, FOUND)
+        if len(edge):
+            out.append((bucket, digest, [{"lo": lo, "hi": hi - 1} for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist())]))
+    columns = list(zip(*out)) if out else [()] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), _RUNS))], ["bucket", "digest", "runs"])
 
 
 WINDOW = "window binary, bucket long, digest binary, lo int, weight long"
@@ -216,16 +219,18 @@ def _dealt_anew(rows: DataFrame) -> DataFrame:
     else:
         windows = written(distinct.join(large, "bucket").select("bucket", "digest", "weight", "text").mapInArrow(_single, WINDOW), "windows")
         twice = written(windows.groupBy("window").agg(F.sum("weight").alias("n")).filter("n > 1").select("window"), "twice")
-        single = windows.join(twice, "window").select("bucket", "digest", "lo", F.col("lo").alias("hi"))
+        single = windows.join(twice, "window").groupBy("bucket", "digest").agg(F.collect_list(F.struct("lo", F.col("lo").alias("hi"))).alias("runs"))
         found = _sorted_buckets(distinct.join(large, "bucket", "left_anti")).unionAll(single)
     places = units.select("bucket", "unit", "origin", F.col("digest").alias("of"), "base").join(written(found.withColumnRenamed("digest", "unit"), "found"), ["bucket", "unit"])
-    return places.select(F.col("origin").alias("bucket"), F.col("of").alias("digest"), (F.col("base") + F.col("lo")).alias("lo"), (F.col("base") + F.col("hi")).alias("hi"))
+    moved = F.transform("runs", lambda r: F.struct((r["lo"] + F.col("base")).alias("lo"), (r["hi"] + F.col("base")).alias("hi")))
+    # a stretch has few windows, so its runs are few
+    return places.groupBy(F.col("origin").alias("bucket"), F.col("of").alias("digest")).agg(F.flatten(F.collect_list(moved)).alias("runs"))
 
 
 def _left(text: np.ndarray, runs: list | None, copied: bool) -> tuple[bytes, int, int]:
     """What stays of a text, the number of bytes that go, and of stretches of these."""
     n, raw = len(text), text.tobytes()
-    spans = [(0, n - SIZE)] if copied and n >= SIZE else sorted((r["lo"], r["hi"]) for r in runs or ())
+    spans = [(0, n - SIZE)] if copied and n >= SIZE else sorted((x["first"] + r["lo"], x["first"] + r["hi"]) for x in runs or () for r in x["runs"])
     kept, removed, count, end = [], 0, 0, 0
     for lo, hi in spans:  # windows lo to hi start a repeated string
         stop = hi + SIZE
@@ -264,8 +269,9 @@ def _strip(columns: list[str]):
 
 
 def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs: id, same (together they name a row up to repeats), row (their hash), text. Returns the repeated windows of
-    the texts that have no copy, as (id, same, lo, hi), and the rows of texts that have copies, as (id, same)."""
+    """docs: id, same (together they name a row up to repeats), row (their hash), text. Returns the stretches
+    with repeated windows, as (id, same, first, runs), runs counting from first, and the rows of texts that have copies,
+    as (id, same)."""
     info = written(docs.select("id", "same", "row", F.md5(F.coalesce("text", F.lit(""))).alias("md5"), F.octet_length(F.coalesce("text", F.lit(""))).alias("n")).filter(f"n >= {SIZE}"), "texts")
     sets = written(info.groupBy("md5", "n").agg(F.min("row").alias("row"), F.count("*").alias("copies")), "sets")
     copied = info.join(sets.filter("copies > 1").select("md5", "n"), ["md5", "n"]).select("id", "same").distinct()
@@ -284,15 +290,14 @@ def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     else:
         found = _sorted_buckets(distinct.join(large, "bucket", "left_anti")).unionAll(_dealt_anew(distinct.join(large, "bucket")))
     found = written(found, "found")
-    runs = table.select("id", "same", "bucket", "digest", "first").join(found, ["bucket", "digest"])
-    return runs.select("id", "same", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi")), copied
+    return table.select("id", "same", "bucket", "digest", "first").join(found, ["bucket", "digest"]), copied
 
 
 def _with_runs(docs: DataFrame) -> DataFrame:
     """docs with runs and copied, which _remove and _strip take."""
     docs = docs.withColumn("id", F.coalesce("doc_id", F.lit(-1))).withColumn("same", F.xxhash64(F.col("doc_id").isNull(), "text"))
     runs, copied = repeated_runs(docs.select("id", "same", F.xxhash64("id", "same").alias("row"), "text"))
-    runs = runs.groupBy("id", "same").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    runs = runs.groupBy("id", "same").agg(F.collect_list(F.struct("first", "runs")).alias("runs"))
     marks = runs.join(copied.withColumn("copied", F.lit(True)), ["id", "same"], "full_outer")
     out = docs.join(marks, ["id", "same"], "left").drop("id", "same")
     return out.withColumn("copied", F.coalesce("copied", F.lit(False)))
