@@ -15,7 +15,7 @@ __all__ = ["filesystem", "new_path", "prepare", "publish", "segments", "shared_d
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Rows and bytes of an Arrow batch: a worker holds one batch of texts, so these bound its memory.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:

@@ -30,7 +30,7 @@ from paperloom.llm.suffixes import repeated
 
 SIZE, GRAM = 200, 48
 #: Grams of a window; windows hashed at once (places must fit the low bits of a hash); bytes of a block.
-WIDTH, CHUNK, BLOCK = SIZE - GRAM + 1, 1 << 18, 2 << 20
+WIDTH, CHUNK, BLOCK = SIZE - GRAM + 1, 1 << 18, 1 << 20
 #: Different stretches from which a bucket is dealt anew, and the windows of a row then.
 LARGE, FEW = 500, 16
 _U = np.uint64
