@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperloom.llm.common import prepare, utf8, written
 from paperloom.llm.shingles import words
@@ -161,6 +162,15 @@ def _score(model: Model):
     return run
 
 
+def _annotate(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = model.score(statistics(*utf8(b.column("text"))))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], [*b.schema.names, "score", "predicted"])
+
+    return run
+
+
 def fit(measured: DataFrame, labels: DataFrame) -> Model:
     """measured: doc_id, held_out, NAMES; labels: doc_id, quality."""
     spark = measured.sparkSession
@@ -186,11 +196,28 @@ def fit(measured: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs: doc_id, text. Per row: doc_id, held_out, score, predicted."""
+def _measured(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, held_out boolean, " + ", ".join(f"{n} double" for n in NAMES)
-    measured = written(texts.mapInArrow(_measure, schema), "statistics")
+    return texts.mapInArrow(_measure, schema)
+
+
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs: doc_id, text. Per row: doc_id, held_out, score, predicted. Texts are read once: their statistics are
+    written and serve both training and scoring."""
+    measured = written(_measured(docs), "statistics")
     return measured.mapInArrow(_score(fit(measured, labels)), "doc_id long, held_out boolean, score double, predicted int")
+
+
+def fitted(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model that docs (doc_id, text) and their labels give."""
+    return fit(written(_measured(docs), "statistics"), labels)
+
+
+def annotated(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with score and predicted, without a shuffle. docs: any columns with text, but not these two."""
+    prepare(docs.sparkSession)
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return docs.mapInArrow(_annotate(model), schema)

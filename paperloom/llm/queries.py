@@ -7,9 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import bytepair, langid, media, neardup, packing, quality, substrings, tokenfile, tokens, vecdup
+from paperloom.llm import bytepair, langid, media, neardup, oracles, packing, quality, substrings, tokenfile, tokens, vecdup
 
-HUB_JSON = public_tokenizers.path("byte_bpe_50k.json")
+IDS = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 PATTERN = public_tokenizers.PATTERN
@@ -44,11 +44,11 @@ def op6_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(_table(spark, sf_dir, "documents"), HUB_JSON, PATTERN)
+    return packing.packed(_table(spark, sf_dir, "documents"), IDS, PATTERN)
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenfile.token_files(_table(spark, sf_dir, "documents"), HUB_JSON, PATTERN)
+    return tokenfile.token_files(_table(spark, sf_dir, "documents"), IDS, PATTERN)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +64,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For near-duplicates, vectors and repeats. The others tokenize, train or write files, which SQL can't express;
+    their tests hold them against the tokenizer libraries, held-out rows and exact round trips."""
+    return oracles.oracle_sql()
