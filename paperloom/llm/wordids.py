@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 from array import array
+from itertools import compress
 
 from paperloom.llm.common import segments
 from paperloom.llm.pieces import finder
@@ -49,18 +50,18 @@ class WordIds:
     def _learn(self, new: list[str]) -> None:
         """Encode distinct matches. Those that are a space and letters stay matches when put one after the other, so
         many of them go to the library as one text; a token that begins with a space begins a match."""
-        plain = [w for w in new if len(w) > 1 and w[0] == " " and w[1:].isalpha()]
+        plain, single = [], []
+        for w in new:
+            (plain if w[0] == " " and w[1:].isalpha() else single).append(w)
         runs = [plain[at : at + 200] for at in range(0, len(plain), 200)]
         for at in range(0, len(runs), 100):
             some = runs[at : at + 100]
             for run, e in zip(some, self.tok.encode_batch_fast(["".join(r) for r in some], add_special_tokens=False)):
-                got = e.ids
-                ids, starts = array("I", got).tobytes(), [i for i, head in enumerate(map(self.heads.__getitem__, got)) if head]
+                got = array("I", e.ids)
+                ids, starts = got.tobytes(), list(compress(range(0, 4 * len(got), 4), map(self.heads.__getitem__, got)))
                 if len(starts) != len(run):
                     raise ValueError("the library cuts words in another way than the pattern")
-                for w, lo, hi in zip(run, starts, [*starts[1:], len(got)]):
-                    self.cache[w] = ids[4 * lo : 4 * hi]
-        single = [w for w in new if not (len(w) > 1 and w[0] == " " and w[1:].isalpha())]
+                self.cache.update(zip(run, map(ids.__getitem__, map(slice, starts, [*starts[1:], len(ids)]))))
         for at in range(0, len(single), 20_000):
             part = single[at : at + 20_000]
             for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
