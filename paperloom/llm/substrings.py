@@ -227,42 +227,52 @@ def _dealt_anew(rows: DataFrame) -> DataFrame:
     return places.groupBy(F.col("origin").alias("bucket"), F.col("of").alias("digest")).agg(F.flatten(F.collect_list(moved)).alias("runs"))
 
 
-def _left(text: np.ndarray, runs: list | None, copied: bool) -> tuple[bytes, int, int]:
-    """What stays of a text, the number of bytes that go, and of stretches of these."""
-    n, raw = len(text), text.tobytes()
-    spans = [(0, n - SIZE)] if copied and n >= SIZE else sorted((x["first"] + r["lo"], x["first"] + r["hi"]) for x in runs or () for r in x["runs"])
-    kept, removed, count, end = [], 0, 0, 0
-    for lo, hi in spans:  # windows lo to hi start a repeated string
-        stop = hi + SIZE
-        if lo > end or not count:
-            kept.append(raw[end:lo])
-            count += 1
-            removed += stop - lo
-            end = stop
-        elif stop > end:
-            removed += stop - end
-            end = stop
-    kept.append(raw[end:])
-    return b"".join(kept), removed, count
+def _windows_of(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """First and last windows of each text's repeated runs, in order; numbers only, as a text may have very many."""
+    column = b.column("runs")
+    outer, stretch = column.offsets.to_numpy(), column.values
+    runs = stretch.field("runs")
+    inner = runs.offsets.to_numpy()
+    first = np.repeat(stretch.field("first").to_numpy(), np.diff(inner))
+    lo, hi = (runs.values.field(n).to_numpy()[inner[0] : inner[-1]] + first for n in ("lo", "hi"))
+    for i in range(b.num_rows):
+        here = slice(inner[outer[i]] - inner[0], inner[outer[i + 1]] - inner[0])
+        order = np.argsort(lo[here], kind="stable")
+        yield lo[here][order], hi[here][order]
+
+
+def _left(text: np.ndarray, lo: np.ndarray, hi: np.ndarray, copied: bool) -> tuple[bytes, int, int]:
+    """What stays of a text, the number of bytes that go, and of stretches of these. lo, hi: windows that start a
+    repeated string, in order of lo."""
+    n = len(text)
+    if copied and n >= SIZE:
+        return b"", n, 1
+    if not len(lo):
+        return text.tobytes(), 0, 0
+    stop = np.maximum.accumulate(hi) + SIZE
+    new = np.concatenate([[True], lo[1:] > stop[:-1]])
+    starts, ends = lo[new], stop[np.concatenate([new[1:], [True]])]
+    keep = np.ones(n, bool)
+    for x, y in zip(starts.tolist(), ends.tolist()):
+        keep[x:y] = False
+    return text[keep].tobytes(), int((ends - starts).sum()), len(starts)
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names, types = [c.split()[0] for c in KEPT.split(", ")], [pa.int64()] * 4 + [pa.string()]
     for b in batches:
-        ids, runs, copied = (b.column(c).to_pylist() for c in ("doc_id", "runs", "copied"))
+        ids, copied = b.column("doc_id").to_pylist(), b.column("copied").to_pylist()
         out = []
-        for i, text in _texts(b):
-            left, removed, count = _left(text, runs[i], copied[i])
+        for (i, text), (lo, hi) in zip(_texts(b), _windows_of(b)):
+            left, removed, count = _left(text, lo, hi, copied[i])
             out.append((ids[i], len(text), removed, count, hashlib.sha256(left).hexdigest()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, types)], names)
+        yield _rows(out, KEPT)
 
 
 def _strip(columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            runs, copied = b.column("runs").to_pylist(), b.column("copied").to_pylist()
-            null = b.column("text").is_null().to_pylist()
-            left = [None if null[i] else _left(text, runs[i], copied[i])[0].decode("utf-8", "ignore") for i, text in _texts(b)]
+            copied, null = b.column("copied").to_pylist(), b.column("text").is_null().to_pylist()
+            left = [None if null[i] else _left(text, lo, hi, copied[i])[0].decode("utf-8", "ignore") for (i, text), (lo, hi) in zip(_texts(b), _windows_of(b))]
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()) if c == "text" else b.column(c) for c in columns], columns)
 
     return run
