@@ -257,3 +257,41 @@ def test_vector_edge_rows(spark):
     got = vecdup.grouped(spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0]), (3, [2.0, 0.0])], schema)).collect()
     assert sorted((r.vec_id or 0, r.component_id or 0) for r in got) == [(0, 0), (1, 1), (1, 1), (3, 1)]
     assert vecdup.grouped(spark.createDataFrame([], schema)).count() == 0
+
+
+def linked_pairs(n, dim=64, cosine=0.9):
+    """n pairs of unit vectors of this cosine, or a little more, without other structure."""
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    rng = np.random.default_rng(11)
+    a, other = unit(rng.normal(size=(n, dim))), rng.normal(size=(n, dim))
+    other = unit(other - (other * a).sum(1, keepdims=True) * a)
+    cosine += 1e-9
+    return a, cosine * a + np.sqrt(1 - cosine**2) * other
+
+
+def test_recall_near_the_threshold(spark):
+    a, b = linked_pairs(5000)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.stack([a, b], 1).reshape(-1, 64))]
+    got = vecdup.grouped(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r.n_links for r in got} <= {0, 1} and sum(r.n_links for r in got) / len(got) > 0.995
+
+
+@pytest.mark.parametrize("n_pivots", [2_000, vecdup.MAX_PIVOTS])
+def test_recall_with_the_pivots_of_large_tables(n_pivots):
+    """The pivots of a million and of 67 million vectors; pairs of cosine 0.9 that are none of them."""
+    a, b = linked_pairs(2000)
+    pivots = np.random.default_rng(12).normal(size=(n_pivots, 64))
+    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
+    unit = pa.array([v.tobytes() for v in np.stack([a, b], 1).reshape(-1, 64)], pa.binary())
+    ids = pa.array(range(4000), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, pa.array([1] * 4000, pa.int64()), unit], ["rep", "weight", "unit"])
+    described = pa.Table.from_batches(vecdup._describe(pivots, vecdup.nearest_pivots(n_pivots))([batch]))
+    lists = np.array(described.column("pivots").to_pylist())
+    found = collections.Counter()
+    for p in np.unique(lists):
+        rows = described.filter(pa.array((lists == p).any(axis=1)))
+        for name, value in (("mine", 0), ("x", 0), ("y", 0), ("pivot", int(p))):
+            rows = rows.append_column(name, pa.array([value] * rows.num_rows, pa.int32()))
+        out = vecdup._links(0.9)(rows)
+        found.update(dict(zip(out.column("rep").to_pylist(), out.column("n").to_pylist())))
+    assert set(found.values()) == {1} and len(found) / 4000 > 0.995
