@@ -2,7 +2,8 @@
 
 Bytes are embedded, filters of several widths slide over windows of fixed length, each filter's largest response in a
 window is kept, and a softmax over these gives the window's language. The network is trained in numpy by Adam on a
-bounded sample of labelled texts (PER_LANG texts a language at most, WINDOWS windows of each): only where a window's
+bounded sample of labelled texts (PER_LANG texts a language at most, fewer where languages are so many that the whole
+sample would exceed TEXTS; WINDOWS windows of each; every value of lang is learned): only where a window's
 largest responses lie does a gradient flow, so a step costs little more than a forward pass. A text is read whole, in
 windows side by side; its language is that of the mean log probability over its windows.
 
@@ -28,8 +29,8 @@ from paperloom.llm.common import prepare, strings, utf8
 WINDOW = 256
 NONE = "und"
 WIDTHS, FILTERS, EMBED = (2, 3, 4, 5), 8, 6
-#: The sample's bound: texts a language, windows a text, languages.
-PER_LANG, WINDOWS, MAX_LANGS = 2500, 3, 200
+#: The sample's bound: texts a language, windows a text, texts; but LEAST_TEXTS a language however many there are.
+PER_LANG, WINDOWS, TEXTS, LEAST_TEXTS = 2500, 3, 500_000, 20
 #: Steps that training takes at least, however few windows there are.
 LEAST_STEPS = 1500
 #: Windows that are worked on at once.
@@ -156,16 +157,15 @@ def _sample(windows_a_text: int):
 
 
 def fit(labelled: DataFrame, per_lang: int = PER_LANG, windows: int = WINDOWS) -> Net | None:
-    """labelled: doc_id, text, lang, all not null. Learns from about per_lang texts of each language, those with the
-    least hashes of doc_id."""
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    """labelled: doc_id, text, lang, all not null. Learns every language, from about per_lang texts of each or an even
+    share of TEXTS, those with the least hashes of doc_id."""
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return None
     langs = [r[0] for r in counts]
-    share = F.lit(0.0)
-    for lang, n in counts:
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_lang / n))).otherwise(share)
-    picked = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    per_lang = min(per_lang, max(LEAST_TEXTS, TEXTS // len(langs)))
+    shares = labelled.sparkSession.createDataFrame([(lang, min(1.0, per_lang / n)) for lang, n in counts], "lang string, share double")
+    picked = labelled.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
     got = picked.select("lang", "text").mapInArrow(_sample(windows), "lang string, bytes binary").orderBy("lang", "bytes").toArrow()
     place = {x: i for i, x in enumerate(langs)}
     x = np.frombuffer(b"".join(got.column("bytes").to_pylist()), np.uint8).reshape(got.num_rows, WINDOW)

@@ -77,3 +77,21 @@ def test_quality(spark):
     assert quality.scored(docs.limit(0), labels).count() == 0
     assert {r.score for r in quality.scored(docs, labels.limit(0)).collect()} == {0.5}
     assert {r.score for r in quality.scored(docs, labels.filter("quality = 1")).collect()} == {1.0}
+
+
+def test_every_language_is_learned(spark):
+    """More languages than a fixed list would hold: each has letters of its own, the last ones have the fewest texts."""
+    rng = random.Random(4)
+    letters = lambda k: [chr(0x4E00 + 40 * k + i) for i in range(12)]
+    text = lambda k: " ".join("".join(rng.choice(letters(k)) for _ in range(3)) for _ in range(25))
+    rows, doc_id = [], 0
+    for k in range(230):
+        for _ in range(16 if k < 200 else 12):
+            rows.append((doc_id, text(k), f"l{k:03}"))
+            doc_id += 1
+    got = langid.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    right = {}
+    for r in got:
+        if r.held_out and int(rows[r.doc_id][2][1:]) >= 200:
+            right[r.doc_id] = r.lang_pred == rows[r.doc_id][2]
+    assert len(right) > 40 and np.mean(list(right.values())) > 0.8
