@@ -2,6 +2,11 @@
 
 Byte-level BPE never merges across the matches of its word pattern, so the ids of a text are the ids of its matches
 one after the other. Each distinct match is given to the library once per cache; texts are put together from there.
+
+Special tokens written out in a text are read as text: "<|endoftext|>" in a document is seven pieces, never the one id
+that ends documents in the files. That is the library's encoding with add_special_tokens=False and
+encode_special_tokens=True; as loaded from the file (encode_special_tokens=False) the library would give the one id.
+On texts without such a literal both are the same.
 """
 
 from __future__ import annotations

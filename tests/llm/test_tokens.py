@@ -91,6 +91,19 @@ def test_word_ids(hub, text):
     assert np.frombuffer(wordids.load(JSON, P.PATTERN)(text), np.uint32).tolist() == hub.encode(text, add_special_tokens=False).ids
 
 
+def test_word_ids_and_the_library_as_loaded():
+    """The same ids on texts without a special token's literal; with one, it is read as text, as the README states."""
+    loaded, ids = Tokenizer.from_file(JSON), lambda t: np.frombuffer(wordids.load(JSON, P.PATTERN)(t), np.uint32).tolist()
+    special = [t.content for t in loaded.get_added_tokens_decoder().values()]
+    assert special == ["<|endoftext|>"]
+    for text in [*EDGE, "x <|endoftext| > y", "<|ENDOFTEXT|>", "<| endoftext |>"]:
+        if special[0] not in text:
+            assert ids(text) == loaded.encode(text, add_special_tokens=False).ids, text
+    text = "x <|endoftext|> y"
+    assert loaded.encode(text, add_special_tokens=False).ids == [87, 220, 50256, 331]
+    assert ids(text) == [87, 1279, 91, 437, 1659, 5239, 91, 29, 331]
+
+
 @pytest.mark.parametrize("bits", [1, 5, 8, 13, 16, 17, 31, 32])
 def test_bit_packing(bits, tmp_path):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 200_001, dtype=np.uint64).astype(np.uint32)
