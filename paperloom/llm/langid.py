@@ -31,6 +31,8 @@ NONE = "und"
 WIDTHS, FILTERS, EMBED = (2, 3, 4, 5), 8, 6
 #: The sample's bound: texts a language, windows a text, texts; but LEAST_TEXTS a language however many there are.
 PER_LANG, WINDOWS, TEXTS, LEAST_TEXTS = 2500, 3, 500_000, 20
+#: Bits of a trigram's hash; the share of held-out windows that may be odd, and how much further off a text has to be.
+TRIGRAM_BITS, FEWEST, SLACK = 18, 0.01, 5.0
 #: Steps that training takes at least, however few windows there are.
 LEAST_STEPS = 1500
 #: Windows that are worked on at once.
@@ -156,9 +158,74 @@ def _sample(windows_a_text: int):
     return run
 
 
-def fit(labelled: DataFrame, per_lang: int = PER_LANG, windows: int = WINDOWS) -> Net | None:
-    """labelled: doc_id, text, lang, all not null. Learns every language, from about per_lang texts of each or an even
-    share of TEXTS, those with the least hashes of doc_id."""
+#: Bytes of words: space, ASCII letters, and all of longer characters.
+_WORD = np.array([b == 32 or b >= 128 or chr(b).isalpha() for b in range(256)])
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint32)
+
+
+@dataclass
+class Familiar:
+    """How likely a text's byte trigrams are in the learned languages together, and how likely they have to be."""
+
+    log_p: np.ndarray  # by trigram's hash
+    least: float
+
+    def scores(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Mean log probability of each text's trigrams of letters and spaces; 0 where there are none to tell by."""
+        out = np.zeros(len(off) - 1)
+        for i in range(len(out)):
+            got, n = 0.0, 0
+            for lo in range(int(off[i]), int(off[i + 1]), 1 << 20):
+                at, whole = _trigrams(buf[lo : min(lo + (1 << 20) + 2, off[i + 1])])
+                got, n = got + float(self.log_p[at[whole]].sum(dtype=np.float64)), n + int(whole.sum())
+            out[i] = got / n if n else 0.0
+        return out
+
+
+def _trigrams(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the trigrams of bytes, and which of them have letters and spaces only (numbers, codes and the zero
+    bytes that fill windows are of no language). ASCII capitals count as small letters."""
+    ok, b = _WORD[b], _LOWER[b]
+    code = b[:-2] << 16 | b[1:-1] << 8 | b[2:]
+    return (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - TRIGRAM_BITS), ok[:-2] & ok[1:-1] & ok[2:]
+
+
+def familiar(docs: DataFrame, per_lang: int = PER_LANG) -> Familiar | None:
+    """Learns trigrams from the texts that fitted() learns from, each language counting the same. Held-out texts tell
+    how likely is enough: their median less SLACK times its distance to their FEWEST quantile."""
+    prepare(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    docs = docs.filter("doc_id is not null and lang is not null and text is not null")
+    learned = _picked(docs.filter(~held_out()), per_lang, WINDOWS)
+    if learned is None:
+        return None
+    p = np.zeros(1 << TRIGRAM_BITS)
+    langs, rows = learned[1].column("lang").to_pylist(), _bytes(learned[1])
+    starts = [i for i in range(len(langs)) if not i or langs[i] != langs[i - 1]]
+    for lo, hi in zip(starts, [*starts[1:], len(langs)]):
+        here = np.zeros(len(p))
+        for at in range(lo, hi, 4096):
+            code, whole = _trigrams(np.pad(rows[at : min(at + 4096, hi)], ((0, 0), (0, 1))).reshape(-1))
+            here += np.bincount(code[whole], minlength=len(p))
+        p += here / max(1.0, here.sum()) / len(starts)
+    got = Familiar(np.log(0.99 * p + 0.01 / len(p)).astype(np.float32), -np.inf)
+    tested = _picked(docs.filter(held_out()), per_lang, WINDOWS)
+    if tested is not None:
+        x = _bytes(tested[1])
+        scores = got.scores(x.reshape(-1), np.arange(len(x) + 1, dtype=np.int64) * WINDOW)
+        scores = scores[scores < 0]
+        if len(scores):
+            middle = float(np.median(scores))
+            got.least = middle - SLACK * (middle - float(np.quantile(scores, FEWEST)))
+    return got
+
+
+def _bytes(sample: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(sample.column("bytes").to_pylist()), np.uint8).reshape(sample.num_rows, WINDOW)
+
+
+def _picked(labelled: DataFrame, per_lang: int, windows: int) -> tuple[list[str], pa.Table] | None:
+    """The languages, the most frequent first, and windows of a sample of their texts."""
     counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return None
@@ -166,10 +233,18 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG, windows: int = WINDOWS) -
     per_lang = min(per_lang, max(LEAST_TEXTS, TEXTS // len(langs)))
     shares = labelled.sparkSession.createDataFrame([(lang, min(1.0, per_lang / n)) for lang, n in counts], "lang string, share double")
     picked = labelled.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
-    got = picked.select("lang", "text").mapInArrow(_sample(windows), "lang string, bytes binary").orderBy("lang", "bytes").toArrow()
+    return langs, picked.select("lang", "text").mapInArrow(_sample(windows), "lang string, bytes binary").orderBy("lang", "bytes").toArrow()
+
+
+def fit(labelled: DataFrame, per_lang: int = PER_LANG, windows: int = WINDOWS) -> Net | None:
+    """labelled: doc_id, text, lang, all not null. Learns every language, from about per_lang texts of each or an even
+    share of TEXTS, those with the least hashes of doc_id."""
+    sample = _picked(labelled, per_lang, windows)
+    if sample is None:
+        return None
+    langs, got = sample
     place = {x: i for i, x in enumerate(langs)}
-    x = np.frombuffer(b"".join(got.column("bytes").to_pylist()), np.uint8).reshape(got.num_rows, WINDOW)
-    return train(x, np.array([place[v] for v in got.column("lang").to_pylist()]), langs)
+    return train(_bytes(got), np.array([place[v] for v in got.column("lang").to_pylist()]), langs)
 
 
 def held_out() -> Column:
@@ -183,11 +258,12 @@ def fitted(docs: DataFrame, per_lang: int = PER_LANG) -> Net | None:
     return fit(docs.filter("doc_id is not null and lang is not null and text is not null").filter(~held_out()), per_lang)
 
 
-def annotated(docs: DataFrame, net: Net | None) -> DataFrame:
-    """docs with lang_pred and score. docs: any columns with text, but not these two."""
+def annotated(docs: DataFrame, net: Net | None, known: Familiar | None = None) -> DataFrame:
+    """docs with lang_pred and score; with known, a text that isn't likely enough there is `und` with score 0 too.
+    docs: any columns with text, but not these two."""
     prepare(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(_predict(net), schema)
+    return docs.mapInArrow(_predict(net, known), schema)
 
 
 def identified(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
@@ -197,11 +273,13 @@ def identified(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     return annotated(rows, net).drop("text")
 
 
-def _predict(net: Net | None):
+def _predict(net: Net | None, likely: Familiar | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = strings(b.column("text"))
             known = np.array([net is not None and any(map(str.isalpha, t)) for t in texts], bool)
+            if likely is not None:
+                known &= likely.scores(*utf8(b.column("text"))) >= likely.least
             if net is None or not len(texts):
                 lang, score = [NONE] * len(texts), np.zeros(len(texts))
             else:
