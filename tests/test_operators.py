@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.operators import chat, chunking, dense, fusion, ingest, lexical, postprocess, tables
 from paperloom.operators.numbering import with_row_numbers
+from paperloom.sources.providers import reranked
 
 
 def test_chunk_counts(spark):
@@ -161,3 +162,13 @@ def test_rrf_bounds(spark, pairs):
     lists = spark.createDataFrame([(0, s, 1.0, r, "s", f"t{r}") for r, s in pairs], "query_id long, list_seq int, weight double, rank0 int, source string, text string")
     got = fusion.weighted(lists).collect()
     assert all(0 < r.rrf_score <= 4 / 61 + 1e-12 for r in got) and len(got) == len({r for r, _ in pairs})
+
+
+def test_first_ten_without_a_reranker(spark):
+    """All fifteen hits reach the operator; those that are left are numbered anew, also where ranks have gaps."""
+    rows = [("a", i, f"c{i}") for i in range(15)] + [("b", 3 * i + 1, f"d{i}") for i in range(12)] + [("c", 7, "e0")]
+    hits = spark.createDataFrame(rows, "query_id string, rank0 int, chunk_id string").repartition(3)
+    got = reranked(hits, None, 10).collect()
+    want = {("a", i, f"c{i}") for i in range(10)} | {("b", i, f"d{i}") for i in range(10)} | {("c", 0, "e0")}
+    assert {(r.query_id, r.rank0, r.chunk_id) for r in got} == want and len(got) == 21
+    assert all(r.rerank_score is None for r in got) and len(reranked(hits).collect()) == 21
