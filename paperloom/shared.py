@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Hadoop's checked local file system runs a chmod for each file, for its check sum file and once more; the plain one
+#: runs one and writes no check sums. A JVM that starts a process is briefly counted twice by tools that add up the
+#: memory of a process tree. Other file systems don't read these options.
+PLAIN_LOCAL_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+#: Rows of a task, and tasks a core, below which a small result isn't spread further.
+TASK_ROWS, TASKS_A_CORE = 20_000, 2
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where the session names none (tests), a folder is made."""
+    """spark.checkpoint.dir; only where the session names none and all runs on this machine (tests), a folder is made."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="paperloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -21,8 +32,31 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Cuts lineage, survives lost executors, and computes df once."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Tasks that a result of so many rows at most is worth, whatever the number of shuffle partitions is."""
+    return max(TASKS_A_CORE * spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+
+
+def written(df: DataFrame, name: str, compression: str = "snappy", rows: int | None = None) -> DataFrame:
+    """Cuts lineage, survives lost executors, and computes df once. rows: a bound of its rows, where one is known and
+    they lie evenly; then there are no more files than those are worth, also where adaptive execution may not merge
+    shuffle partitions."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(tasks_for(spark, rows))
+    df.write.options(**PLAIN_LOCAL_FILES).parquet(path, compression=compression)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more. One that can't be deleted stays."""
+    for table in tables:
+        path = getattr(table, "written_path", None)
+        if path:
+            spark = table.sparkSession
+            with contextlib.suppress(Exception):
+                place = spark._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
