@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paperloom.shared import new_path, shared_dir, written
+from paperloom.shared import discard, new_path, shared_dir, written
 
-__all__ = ["filesystem", "new_path", "prepare", "publish", "segments", "shared_dir", "strings", "utf8", "written"]
+__all__ = ["discard", "filesystem", "held", "new_path", "prepare", "publish", "release", "segments", "shared_dir", "spare", "strings", "utf8", "without", "written"]
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Rows and bytes of an Arrow batch: a worker holds one batch of texts, so these bound its memory.
@@ -34,6 +38,53 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, make: Callable[[], Any]) -> Any:
+    """A worker's model or tokenizer, made once. A worker holds one at a time: where stages follow one another in the
+    same worker, the one of the stage before goes, and its memory goes back to the system."""
+    if key not in _HELD:
+        _HELD.clear()
+        trim()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """For tasks without a model: drop the one of a stage before."""
+    if _HELD:
+        _HELD.clear()
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    import ctypes
+
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, changed until no column of df is called so (case doesn't count)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df less the columns that are called so (case doesn't count): those that an operator adds take their place."""
+    gone = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
+
+
 def filesystem(uri: str):
     """A pyarrow file system and the path within it, for file:, hdfs:, s3: and the like."""
     from pyarrow import fs

@@ -2,7 +2,8 @@
 
 Union-find within each partition first turns its links into stars, so what is shuffled is at most a row a node and
 partition. Then large-star and small-star steps (each: the least neighbour by a pre-aggregated minimum, and a join
-back, which adaptive execution splits where a node is hot) run until nothing changes.
+back, which adaptive execution splits where a node is hot) run until nothing changes. Each round is one plan and one
+written table; the table before it is deleted.
 """
 
 from __future__ import annotations
@@ -13,7 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import prepare, written
+from paperloom.llm.common import discard, prepare, written
+
+#: Links that a task's union-find holds at once; beyond them it gives what it has and begins anew.
+HELD = 200_000
 
 
 def forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -34,14 +38,19 @@ def forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(x, r) for x in list(parent) if (r := root(x)) != x]
 
 
+def stars(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*pairs) if pairs else ([], []))], ["a", "b"])
+
+
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's links as stars; contracted again and again, so memory holds its nodes, not its links."""
-    stars: list[tuple[int, int]] = []
+    """A partition's links as stars, contracted batch by batch; memory holds HELD of them and a batch."""
+    found: list[tuple[int, int]] = []
     for b in batches:
-        stars = forest(stars + list(zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
-    for at in range(0, len(stars), 50_000):
-        a, b = zip(*stars[at : at + 50_000])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        found = forest(found + list(zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
+        if len(found) > HELD:
+            yield stars(found)
+            found = []
+    yield stars(found)
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -50,9 +59,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         around = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
         around = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    least = around.groupBy("u").agg(F.min("v").alias("m"))
-    # written, so that both sides of the join are plain shuffles, of which a hot node's can be split
-    least = written(least.select("u", F.least("u", "m").alias("m")), "least")
+    least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # coalesce makes its partitioning unknown, so that both sides of the join are plain shuffles, of which a hot
+    # node's can be split
+    least = least.coalesce(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     joined = around.join(least, "u")
     if large:
         return joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
@@ -61,7 +71,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links: two columns of longs. Returns node, root for every node that isn't its component's least."""
+    """links: two columns of longs. Returns node, root for every node that isn't its component's least, as a written
+    table."""
     prepare(links.sparkSession)
     a, b = links.columns
     links = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b")
@@ -70,6 +81,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
-        edges = written(_star(_star(edges, True), False), "stars")
+            out = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out.written_path = edges.written_path
+            return out
+        before, last = now, edges
+        # a step never has more edges than the one before has nodes and edges
+        edges = written(_star(_star(edges, True), False), "stars", rows=2 * now[0])
+        discard(last)

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import prepare, utf8, written
-from paperloom.llm.components import components, forest
+from paperloom.llm.common import discard, prepare, release, utf8, written
+from paperloom.llm.components import HELD, components, forest, stars
 from paperloom.llm.shingles import mix, shingle_sets
 
 #: Places of a signature and bands: a pair of similarity 0.75 misses all 32 bands of 4 with probability 5e-6.
@@ -92,6 +92,7 @@ def signatures(docs: DataFrame, places: int = PLACES, bands: int = BANDS) -> Dat
     """doc_id, n (size of the set), digest (of the set), keys (one a band; none for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             sets = shingle_sets(*utf8(b.column("text")))
             keys = band_keys(super_minhash(sets, places), bands)
@@ -159,50 +160,52 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 
 def _block_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
-    """rows: mine, other, id, root, elements of a pair of blocks. A forest of the links across components."""
+    """rows: mine, other, root, elements of a pair of blocks. A forest of the links across components, by their roots."""
     first = min(r[0] for r in rows)
     left = [r for r in rows if r[0] == first]
     right = [r for r in rows if r[0] != first] if rows[0][0] != rows[0][1] else left
     if not left or not right:
         return []
-    x, y = ([np.frombuffer(r[4], np.uint64) for r in side] for side in (left, right))
+    x, y = ([np.frombuffer(r[3], np.uint64) for r in side] for side in (left, right))
     inter = shared_counts(x, y).astype(np.int64)
     total = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :]
-    apart = np.array([r[3] for r in left])[:, None] != np.array([r[3] for r in right])[None, :]
+    apart = np.array([r[2] for r in left])[:, None] != np.array([r[2] for r in right])[None, :]
     i, j = np.nonzero(apart & (100 * inter >= percent * (total - inter)))
     return forest([(left[p][2], right[q][2]) for p, q in zip(i.tolist(), j.tolist())])
 
 
 def _across(percent: int):
-    """Rows come by pair of blocks; one is in memory at a time."""
+    """Rows come by pair of blocks; one is in memory at a time, and a bounded number of links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         last, found = None, []
         for b in batches:
-            columns = (b.column(c).to_pylist() for c in ("key", "x", "y", "mine", "other", "id", "root", "elements"))
+            columns = (b.column(c).to_pylist() for c in ("key", "x", "y", "mine", "other", "root", "elements"))
             for key, x, y, *row in zip(*columns):
                 if (key, x, y) != last:
                     if rows:
                         found += _block_links(rows, percent)
                     last, rows = (key, x, y), []
+                    if len(found) > HELD:
+                        yield stars(forest(found))
+                        found = []
                 rows.append(tuple(row))
         if rows:
             found += _block_links(rows, percent)
-        found = forest(found)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ([], []))], ["a", "b"])
+        yield stars(forest(found))
 
     return run
 
 
 def links_across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """rest: key, size, id, root of the members of buckets that hold several components. Links between different
-    components, as a forest. A bucket is dealt in blocks and each pair of blocks is a key of its own, so that a large
+    components, by their roots, as a forest. A bucket is dealt in blocks and each pair of blocks is a key of its own, so that a large
     bucket is spread over many tasks; members travel with their sets, and no pair of them is listed."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = rest.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.join(sets, "id").select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "other", "id", "root", "elements")
+    dealt = dealt.join(sets, "id").select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "other", "root", "elements")
     spread = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(spread, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_across(percent), "a long, b long")
 
@@ -212,11 +215,13 @@ def grouped(docs: DataFrame, percent: int = 75) -> DataFrame:
     spark = prepare(docs.sparkSession)
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     sigs = written(signatures(docs), "signatures")
+    count = sigs.count()  # of file footers; bounds what follows
     classes = sigs.filter("n > 0 and doc_id is not null").groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys"))
-    classes = written(classes, "classes")
+    classes = written(classes, "classes", rows=count)
     rows = classes.select(F.explode("keys").alias("key"), F.col("rep").alias("id"), "n")
     # written, so that both sides of the join are plain shuffles, of which a hot bucket's can be split
-    hubs = written(rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("top"), F.count("*").alias("size")).filter("hub.id <> top"), "hubs")
+    hubs = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("top"), F.count("*").alias("size")).filter("hub.id <> top")
+    hubs = written(hubs, "hubs", rows=count)  # a bucket has two members at least, so half of the bands' rows at most
     members = written(rows.join(hubs, "key").select("key", "size", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "members")
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
     texts = texts.join(members.select("id").distinct(), "id").withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"])
@@ -229,12 +234,15 @@ def grouped(docs: DataFrame, percent: int = 75) -> DataFrame:
     # buckets that still hold several components
     known = members.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "size", "id", F.coalesce("root", "id").alias("root"))
     known = written(known, "known")
-    mixed = written(known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key"), "mixed")
+    mixed = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    mixed = written(mixed, "mixed", rows=count)
     more = written(links_across(known.join(mixed, "key"), sets, percent), "links")
-    if not more.isEmpty():
-        roots = components(links.unionAll(more))
+    discard(hubs, members, sets, links, known, mixed)
+    again = components(more)  # of components; few are left to be joined
+    discard(more)
 
     named = sigs.join(classes.select("digest", "rep"), "digest", "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
-    out = named.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("root", "rep")
+    out = named.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    out = out.join(again.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    component = F.coalesce("top", "root")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
