@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: runs one and writes no check sums. A JVM that starts a process is briefly counted twice by tools that add up the
 #: memory of a process tree. Other file systems don't read these options.
 PLAIN_LOCAL_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
-#: Rows of a task, and tasks a core, below which a small result isn't spread further.
-TASK_ROWS, TASKS_A_CORE = 20_000, 2
+#: Rows of a task that a small result isn't spread beyond.
+TASK_ROWS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,18 +33,20 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def tasks_for(spark: SparkSession, rows: int) -> int:
-    """Tasks that a result of so many rows at most is worth, whatever the number of shuffle partitions is."""
-    return max(TASKS_A_CORE * spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    """Tasks that a result of so many rows is worth, whatever the number of shuffle partitions is; one a core at least."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
 
 
-def written(df: DataFrame, name: str, compression: str = "snappy", rows: int | None = None) -> DataFrame:
-    """Cuts lineage, survives lost executors, and computes df once. rows: a bound of its rows, where one is known and
-    they lie evenly; then there are no more files than those are worth, also where adaptive execution may not merge
-    shuffle partitions."""
+def written(df: DataFrame, name: str, compression: str = "snappy", rows: int | None = None, dealt: bool = False) -> DataFrame:
+    """Cuts lineage, survives lost executors, and computes df once. rows: about how many there are, where that is
+    known; then there are no more files than those are worth, also where adaptive execution may not merge shuffle
+    partitions. Partitions are merged for that; with dealt, rows are dealt out to the files instead, so that work which
+    is split by skew stays split: for results that are small beside what they come from."""
     spark = df.sparkSession
     path = new_path(spark, name)
     if rows is not None:
-        df = df.coalesce(tasks_for(spark, rows))
+        files = tasks_for(spark, rows)
+        df = df.repartition(files) if dealt else df.coalesce(files)
     df.write.options(**PLAIN_LOCAL_FILES).parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
