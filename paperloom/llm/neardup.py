@@ -222,21 +222,21 @@ def grouped(docs: DataFrame, percent: int = 75) -> DataFrame:
     # written, so that both sides of the join are plain shuffles, of which a hot bucket's can be split
     hubs = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("top"), F.count("*").alias("size")).filter("hub.id <> top")
     hubs = written(hubs, "hubs", rows=count)  # a bucket has two members at least, so half of the bands' rows at most
-    members = written(rows.join(hubs, "key").select("key", "size", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "members")
+    members = written(rows.join(hubs, "key").select("key", "size", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "members", rows=count)
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
     texts = texts.join(members.select("id").distinct(), "id").withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"])
-    sets = written(texts.select("id", "text").mapInArrow(_sets, "id long, elements binary"), "sets")
+    sets = written(texts.select("id", "text").mapInArrow(_sets, "id long, elements binary"), "sets", rows=count)
     fits = f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"
     star = members.filter("id <> hub").filter(fits).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = written(verified(star, sets, percent), "links")
+    links = written(verified(star, sets, percent), "links", rows=count, dealt=True)
     roots = components(links)
 
     # buckets that still hold several components
     known = members.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "size", "id", F.coalesce("root", "id").alias("root"))
-    known = written(known, "known")
+    known = written(known, "known", rows=count)
     mixed = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
     mixed = written(mixed, "mixed", rows=count)
-    more = written(links_across(known.join(mixed, "key"), sets, percent), "links")
+    more = written(links_across(known.join(mixed, "key"), sets, percent), "links", rows=count, dealt=True)
     discard(hubs, members, sets, links, known, mixed)
     again = components(more)  # of components; few are left to be joined
     discard(more)
