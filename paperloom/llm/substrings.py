@@ -4,14 +4,16 @@ Suffixes are dealt to buckets by content: a window of SIZE bytes goes to the buc
 grams, so equal windows meet in one bucket and neighbouring windows mostly share one. A stretch of windows of one
 bucket travels as one piece of text. Only buckets that at least two stretches of the corpus name are built; equal
 stretches become one row with a weight. A task sorts its buckets one block at a time (see suffixes.py). A bucket with
-very many different stretches is dealt anew, by windows' places around the gram and the bytes that these windows share;
-if such a bucket is still too large, its windows are counted one by one, by digest.
+very many different stretches is split into smaller suffix buckets: first by windows' places around the gram and the
+bytes that FEW neighbouring windows share; where that is still too large, by the leading SIZE - 1 bytes of each window,
+so that at most 256 different windows, each with a weight, are left to a bucket. All are sorted in the same way.
 
 Equal texts are found by digest; one of each is looked into, and of those that have copies every window is repeated.
 
 Nulls and edge cases: a null text counts as empty; a text of under SIZE bytes has no window; null doc_ids and repeated
 rows are rows like others (a repeated row repeats its windows); an empty table gives no rows; other columns are
-ignored. Bytes are removed without regard to characters.
+ignored. Bytes are removed without regard to characters; stripped() gives texts, so there a character that loses some
+of its bytes goes whole: up to 3 bytes more at either end of a removed run.
 """
 
 from __future__ import annotations
@@ -24,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import prepare, utf8, written
+from paperloom.llm.common import discard, prepare, release, spare, utf8, written
 from paperloom.llm.shingles import mix
 from paperloom.llm.suffixes import repeated
 
 SIZE, GRAM = 200, 48
 #: Grams of a window; windows hashed at once (places must fit the low bits of a hash); bytes of a block.
 WIDTH, CHUNK, BLOCK = SIZE - GRAM + 1, 1 << 18, 1 << 20
-#: Different stretches from which a bucket is dealt anew, and the windows of a row then.
+#: Different stretches from which a bucket is split further, and the windows of a row then.
 LARGE, FEW = 500, 16
 _U = np.uint64
 _BYTE = np.random.default_rng(77001).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -77,6 +79,7 @@ def _texts(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
 def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, bucket, n): the buckets of each text, with the number of its stretches in them."""
     names = ["row", "bucket", "n"]
+    release()
     for b in batches:
         rows, buckets, counts, size = [], [], [], 0
         ids = b.column("row").to_pylist()
@@ -127,7 +130,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 UNIT = "bucket long, unit binary, origin long, digest binary, base int, weight long, text binary"
 
 
-def _deal_anew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Units of few windows, by these windows' places before the gram; the new bucket hashes the bytes they all share."""
     for b in batches:
         out: list[tuple] = []
@@ -146,6 +149,21 @@ def _deal_anew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(out, UNIT)
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every window of a row by itself; the new bucket is that of its leading SIZE - 1 bytes."""
+    for b in batches:
+        out: list[tuple] = []
+        for bucket, digest, weight, text in zip(*(b.column(c).to_pylist() for c in ("bucket", "digest", "weight", "text"))):
+            for lo in range(len(text) - SIZE + 1):
+                window = text[lo : lo + SIZE]
+                new = int.from_bytes(hashlib.blake2b(window[:-1], digest_size=8).digest(), "little", signed=True)
+                out.append((new, hashlib.blake2b(window, digest_size=16).digest(), bucket, digest, lo, weight, window))
+            if len(out) > 16_384:
+                yield _rows(out, UNIT)
+                out = []
+        yield _rows(out, UNIT)
+
+
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
 
 
@@ -188,54 +206,49 @@ def _sorted(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), _RUNS))], ["bucket", "digest", "runs"])
 
 
-WINDOW = "window binary, bucket long, digest binary, lo int, weight long"
-
-
-def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of a row by itself, by digest."""
-    for b in batches:
-        out: list[tuple] = []
-        for bucket, digest, weight, text in zip(*(b.column(c).to_pylist() for c in ("bucket", "digest", "weight", "text"))):
-            out += [(hashlib.blake2b(text[i : i + SIZE], digest_size=16).digest(), bucket, digest, i, weight) for i in range(len(text) - SIZE + 1)]
-        yield _rows(out, WINDOW)
-
-
 def _sorted_buckets(rows: DataFrame) -> DataFrame:
     """rows: bucket, digest, weight, text. The runs of repeated windows, as FOUND."""
     spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.select("bucket", "digest", "weight", "text").repartition(spread, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort, FOUND)
 
 
-def _dealt_anew(rows: DataFrame) -> DataFrame:
-    """The same for the rows (bucket, digest, weight, gram, text) of large buckets. They are cut to units of few
-    windows, equal units become one, and what shares a core is a bucket. Should that still be large, its windows are
-    counted one by one, which spreads over any number of tasks."""
-    units = written(rows.select("bucket", "digest", "gram", "weight", "text").mapInArrow(_deal_anew, UNIT), "units", compression="zstd")
-    distinct = units.groupBy("bucket", F.col("unit").alias("digest")).agg(F.sum("weight").alias("weight"), F.first("text").alias("text"))
-    distinct = written(distinct, "distinct-units", compression="zstd")
-    large = written(distinct.groupBy("bucket").agg(F.count("*").alias("n")).filter(f"n > {LARGE}").select("bucket"), "large")
-    if large.isEmpty():
-        found = _sorted_buckets(distinct)
-    else:
-        windows = written(distinct.join(large, "bucket").select("bucket", "digest", "weight", "text").mapInArrow(_single, WINDOW), "windows")
-        twice = written(windows.groupBy("window").agg(F.sum("weight").alias("n")).filter("n > 1").select("window"), "twice")
-        single = windows.join(twice, "window").groupBy("bucket", "digest").agg(F.collect_list(F.struct("lo", F.col("lo").alias("hi"))).alias("runs"))
-        found = _sorted_buckets(distinct.join(large, "bucket", "left_anti")).unionAll(single)
-    places = units.select("bucket", "unit", "origin", F.col("digest").alias("of"), "base").join(written(found.withColumnRenamed("digest", "unit"), "found"), ["bucket", "unit"])
+#: How large buckets are split, one after the other.
+SPLITS = (_units, _windows)
+
+
+def _found(distinct: DataFrame, docs: int, splits: tuple = SPLITS) -> DataFrame:
+    """distinct: bucket, digest, weight, gram, text, written. The runs of repeated windows, as a written FOUND. docs:
+    documents, which tell how far small tables are spread."""
+    large = None
+    if splits:
+        large = distinct.groupBy("bucket").agg(F.count("*").alias("n")).filter(f"n > {LARGE}").select("bucket")
+        large = written(large, "large", rows=1)
+    if large is None or large.isEmpty():
+        return written(_sorted_buckets(distinct), "found", rows=docs, dealt=True)
+    units = distinct.join(large, "bucket").select("bucket", "digest", "gram", "weight", "text").mapInArrow(splits[0], UNIT)
+    units = written(units, "units", compression="zstd", rows=docs, dealt=True)
+    fewer = units.groupBy("bucket", F.col("unit").alias("digest")).agg(F.sum("weight").alias("weight"), F.lit(0).alias("gram"), F.first("text").alias("text"))
+    fewer = written(fewer, "distinct-units", compression="zstd", rows=docs)
+    below = _found(fewer, docs, splits[1:])
+    places = units.select("bucket", "unit", "origin", F.col("digest").alias("of"), "base").join(below.withColumnRenamed("digest", "unit"), ["bucket", "unit"])
     moved = F.transform("runs", lambda r: F.struct((r["lo"] + F.col("base")).alias("lo"), (r["hi"] + F.col("base")).alias("hi")))
-    # a stretch has few windows, so its runs are few
-    return places.groupBy(F.col("origin").alias("bucket"), F.col("of").alias("digest")).agg(F.flatten(F.collect_list(moved)).alias("runs"))
+    # a row has few windows, so its runs are few
+    back = places.groupBy(F.col("origin").alias("bucket"), F.col("of").alias("digest")).agg(F.flatten(F.collect_list(moved)).alias("runs"))
+    back = written(back, "found", rows=docs)
+    discard(units, fewer, below)
+    rest = written(_sorted_buckets(distinct.join(large, "bucket", "left_anti")), "found", rows=docs, dealt=True)
+    discard(large)
+    return rest.unionAll(back)
 
 
-def _windows_of(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _windows_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """First and last windows of each text's repeated runs, in order; numbers only, as a text may have very many."""
-    column = b.column("runs")
     outer, stretch = column.offsets.to_numpy(), column.values
     runs = stretch.field("runs")
     inner = runs.offsets.to_numpy()
     first = np.repeat(stretch.field("first").to_numpy(), np.diff(inner))
     lo, hi = (runs.values.field(n).to_numpy()[inner[0] : inner[-1]] + first for n in ("lo", "hi"))
-    for i in range(b.num_rows):
+    for i in range(len(column)):
         here = slice(inner[outer[i]] - inner[0], inner[outer[i + 1]] - inner[0])
         order = np.argsort(lo[here], kind="stable")
         yield lo[here][order], hi[here][order]
@@ -262,17 +275,17 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, copied = b.column("doc_id").to_pylist(), b.column("copied").to_pylist()
         out = []
-        for (i, text), (lo, hi) in zip(_texts(b), _windows_of(b)):
+        for (i, text), (lo, hi) in zip(_texts(b), _windows_of(b.column("runs"))):
             left, removed, count = _left(text, lo, hi, copied[i])
             out.append((ids[i], len(text), removed, count, hashlib.sha256(left).hexdigest()))
         yield _rows(out, KEPT)
 
 
-def _strip(columns: list[str]):
+def _strip(columns: list[str], runs: str, copied: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            copied, null = b.column("copied").to_pylist(), b.column("text").is_null().to_pylist()
-            left = [None if null[i] else _left(text, lo, hi, copied[i])[0].decode("utf-8", "ignore") for (i, text), (lo, hi) in zip(_texts(b), _windows_of(b))]
+            all_, null = b.column(copied).to_pylist(), b.column("text").is_null().to_pylist()
+            left = [None if null[i] else _left(text, lo, hi, all_[i])[0].decode("utf-8", "ignore") for (i, text), (lo, hi) in zip(_texts(b), _windows_of(b.column(runs)))]
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()) if c == "text" else b.column(c) for c in columns], columns)
 
     return run
@@ -282,46 +295,49 @@ def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs: id, same (together they name a row up to repeats), row (their hash), text. Returns the stretches
     with repeated windows, as (id, same, first, runs), runs counting from first, and the rows of texts that have copies,
     as (id, same)."""
-    info = written(docs.select("id", "same", "row", F.md5(F.coalesce("text", F.lit(""))).alias("md5"), F.octet_length(F.coalesce("text", F.lit(""))).alias("n")).filter(f"n >= {SIZE}"), "texts")
-    sets = written(info.groupBy("md5", "n").agg(F.min("row").alias("row"), F.count("*").alias("copies")), "sets")
+    info = docs.select("id", "same", "row", F.md5(F.coalesce("text", F.lit(""))).alias("md5"), F.octet_length(F.coalesce("text", F.lit(""))).alias("n")).filter(f"n >= {SIZE}")
+    info = written(info, "texts")
+    count = info.count()
+    sets = written(info.groupBy("md5", "n").agg(F.min("row").alias("row"), F.count("*").alias("copies")), "sets", rows=count)
     copied = info.join(sets.filter("copies > 1").select("md5", "n"), ["md5", "n"]).select("id", "same").distinct()
     named = written(docs.mapInArrow(_name, "row long, bucket long, n long"), "buckets")
     # written, so that both sides of the join are plain shuffles, of which a hot bucket's can be split
-    twice = written(named.groupBy("bucket").agg(F.sum("n").alias("n")).filter("n > 1").select("bucket"), "twice")
+    twice = written(named.groupBy("bucket").agg(F.sum("n").alias("n")).filter("n > 1").select("bucket"), "twice", rows=count)
     per_row = named.select("row", "bucket").join(twice, "bucket").groupBy("row").agg(F.collect_set("bucket").alias("buckets"))
     per_row = per_row.join(sets.select("row"), "row", "left_semi")
     cut = docs.join(per_row, "row").select("id", "same", "text", "buckets").mapInArrow(_cut, STRETCH)
-    table = written(cut, "stretches", compression="zstd")
+    table = written(cut, "stretches", compression="zstd", rows=count)
+    discard(named, twice)
     distinct = table.groupBy("bucket", "digest").agg(F.count("*").alias("weight"), F.min("gram").alias("gram"), F.first("text").alias("text"))
-    distinct = written(distinct, "distinct", compression="zstd")
-    large = written(distinct.groupBy("bucket").agg(F.count("*").alias("n")).filter(f"n > {LARGE}").select("bucket"), "large")
-    if large.isEmpty():
-        found = _sorted_buckets(distinct)
-    else:
-        found = _sorted_buckets(distinct.join(large, "bucket", "left_anti")).unionAll(_dealt_anew(distinct.join(large, "bucket")))
-    found = written(found, "found")
+    distinct = written(distinct, "distinct", compression="zstd", rows=count)
+    found = _found(distinct, count)
+    discard(distinct)
     return table.select("id", "same", "bucket", "digest", "first").join(found, ["bucket", "digest"]), copied
 
 
-def _with_runs(docs: DataFrame) -> DataFrame:
-    """docs with runs and copied, which _remove and _strip take."""
-    docs = docs.withColumn("id", F.coalesce("doc_id", F.lit(-1))).withColumn("same", F.xxhash64(F.col("doc_id").isNull(), "text"))
-    runs, copied = repeated_runs(docs.select("id", "same", F.xxhash64("id", "same").alias("row"), "text"))
-    runs = runs.groupBy("id", "same").agg(F.collect_list(F.struct("first", "runs")).alias("runs"))
-    marks = runs.join(copied.withColumn("copied", F.lit(True)), ["id", "same"], "full_outer")
-    out = docs.join(marks, ["id", "same"], "left").drop("id", "same")
-    return out.withColumn("copied", F.coalesce("copied", F.lit(False)))
+def _with_runs(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with two columns, which _remove and _strip take, and what these are called."""
+    id_, same, runs_, copied_ = spare(docs, "id", "same", "runs", "copied")
+    keyed = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), same: F.xxhash64(F.col("doc_id").isNull(), "text")})
+    texts = keyed.select(F.col(id_).alias("id"), F.col(same).alias("same"), F.xxhash64(id_, same).alias("row"), F.col("text").cast("string").alias("text"))
+    runs, copied = repeated_runs(texts)
+    # a set: rows that repeat doc_id and text have the same stretches
+    runs = runs.groupBy("id", "same").agg(F.collect_set(F.struct("first", "runs")).alias("runs"))
+    marks = runs.join(copied.withColumn("copied", F.lit(True)), ["id", "same"], "full_outer").toDF(id_, same, runs_, copied_)
+    out = keyed.join(marks, [id_, same], "left").select(*[F.col(f"`{c}`") for c in docs.columns], runs_, F.coalesce(copied_, F.lit(False)).alias(copied_))
+    return out, runs_, copied_
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     prepare(docs.sparkSession)
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    return _with_runs(docs).select("doc_id", "text", "runs", "copied").mapInArrow(_remove, KEPT)
+    return _with_runs(docs)[0].select("doc_id", "text", "runs", "copied").mapInArrow(_remove, KEPT)
 
 
 def stripped(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text and any other columns but id, same, runs and copied) with what is left of the texts. A
-    character that loses some of its bytes goes. A null text stays null."""
+    """docs (doc_id, text and any other columns, whatever their names) with what is left of the texts. A character that
+    loses some of its bytes goes. A null text stays null."""
     prepare(docs.sparkSession)
-    return _with_runs(docs).mapInArrow(_strip(docs.columns), docs.schema)
+    out, runs, copied = _with_runs(docs)
+    return out.mapInArrow(_strip(docs.columns, runs, copied), docs.schema)
