@@ -1,13 +1,16 @@
 """Byte-level BPE encoding and decoding as a monoid tree reduction.
 
-A piece is halved down to a few bytes, the leaves are merged directly, and neighbours are joined: the last tokens of
-the left and the first of the right are encoded again as one window. The join is done when the window's outer tokens
-and the tokens beside them, taken as pairs, encode to themselves: a sequence of tokens is the encoding of its bytes
-exactly if that holds for every pair of neighbours, so what lies outside the window can't change any more. Otherwise
-the window grows. Decoding concatenates up the tree; the tree's order doesn't matter for either.
-
-Nulls and edge cases: a null text counts as empty and has no tokens; very long pieces take n log n steps; repeated rows
-each give a row; an empty table gives no rows; other columns are ignored.
+A text is cut into the matches of the pattern, and each match into halves, down to single bytes, which are tokens.
+Neighbours are joined up the tree: the last tokens of the left and the first of the right are encoded again as one
+window. The join is done when the window's outer tokens and the tokens beside them, taken as pairs, encode to
+themselves: a sequence of tokens is the encoding of its bytes exactly if that holds for every pair of neighbours, so
+what lies outside the window can't change any more. Otherwise the window grows. Between matches no merge is possible, so
+there nodes are joined by concatenation alone, FAN at a time. Decoding concatenates up the same kind of tree, from a
+text's ids. Subtrees that come again (short ones, whole matches) are kept, windows and pairs of tokens likewise.
+
+Nulls and edge cases: a null text counts as empty and has no tokens; very long matches take n log n steps and very long
+texts are worked off in segments; repeated rows each give a row; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -17,36 +20,42 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from paperloom.llm.common import prepare, segments, strings
+from paperloom.llm.common import held, prepare, segments, strings
 from paperloom.llm.pieces import finder
 
-LEAF = 16
-_LOADED: dict = {}
+#: Nodes that are concatenated at once; bytes of a subtree that is kept; bytes of a window merged without a heap.
+FAN, SUBTREE, DIRECT = 64, 8, 64
 
 
 class ByteBPE:
-    """ranks: each token's bytes and rank; pattern: what cuts texts into pieces. limit bounds the caches."""
+    """ranks: each token's bytes and rank; pattern: what cuts texts into matches. limit bounds each cache."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 250_000):
         self.ranks, self.limit = ranks, limit
         self.bytes_of = {v: k for k, v in ranks.items()}
+        self.names = {v: str(v) for v in self.bytes_of}
         self.find = finder(pattern)
+        self.leaves = {bytes([i]): (ranks[bytes([i])],) for i in range(256)}
+        self.nodes: dict[bytes, tuple[int, ...]] = {}
+        self.windows: dict[bytes, tuple[int, ...]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.shown: dict[str, str] = {}
-        self.decoded: dict[str, bytes] = {}
+        self.matches: dict[str, bytes] = {}
+        #: Nodes that were joined within matches, and of those the joins that had to let their window grow.
+        self.joins = self.grown = 0
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> ByteBPE:
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
 
-    def merge(self, data: bytes) -> list[int]:
+    def merge(self, data: bytes) -> tuple[int, ...]:
         """Merge the pair of the lowest rank, the leftmost of equals, until none is left."""
         ranks = self.ranks
-        if len(data) > 4 * LEAF:
+        if len(data) > DIRECT:
             return self._merge_heap(data)
         parts = [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
@@ -58,9 +67,9 @@ class ByteBPE:
             if best is None:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+        return tuple(ranks[p] for p in parts)
 
-    def _merge_heap(self, data: bytes) -> list[int]:
+    def _merge_heap(self, data: bytes) -> tuple[int, ...]:
         ranks, n = self.ranks, len(data)
         end, prev, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
@@ -82,78 +91,100 @@ class ByteBPE:
         while i < n:
             out.append(ranks[data[i : end[i]]])
             i = end[i]
-        return out
+        return tuple(out)
+
+    def window(self, data: bytes) -> tuple[int, ...]:
+        if (got := self.windows.get(data)) is None:
+            got = self.merge(data)
+            if len(data) <= DIRECT:
+                if len(self.windows) > self.limit:
+                    self.windows.clear()
+                self.windows[data] = got
+        return got
 
     def stable(self, a: int, b: int) -> bool:
         """Whether two tokens side by side encode to themselves."""
         if (known := self.pairs.get((a, b))) is None:
             if len(self.pairs) > self.limit:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            known = self.pairs[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == (a, b)
         return known
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
-        """The encoding of two encoded neighbours."""
-        if not left or not right:
-            return left or right
-        i = j = 1
+    def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
+        """The encoding of two encoded neighbours within a match."""
+        self.joins += 1
+        bytes_of, n, m, i, j = self.bytes_of, len(left), len(right), 1, 1
+        middle = self.window(bytes_of[left[-1]] + bytes_of[right[0]])
         while True:
-            window = self.merge(b"".join(map(self.bytes_of.__getitem__, left[-i:] + right[:j])))
-            left_ok = i == len(left) or self.stable(left[-i - 1], window[0])
-            right_ok = j == len(right) or self.stable(window[-1], right[j])
+            left_ok = i == n or self.stable(left[-i - 1], middle[0])
+            right_ok = j == m or self.stable(middle[-1], right[j])
             if left_ok and right_ok:
-                left[-i:] = window
-                left.extend(right[j:])
-                return left
-            i, j = i if left_ok else min(len(left), 2 * i), j if right_ok else min(len(right), 2 * j)
-
-    def piece(self, data: bytes) -> list[int]:
-        """Ids of one match of the pattern."""
-        if (r := self.ranks.get(data)) is not None:
-            return [r]
-        if len(data) <= LEAF:
-            return self.merge(data)
-        nodes = [self.merge(data[i : i + LEAF]) for i in range(0, len(data), LEAF)]
-        while len(nodes) > 1:  # one level of the tree a turn
-            nodes = [self.join(nodes[i], nodes[i + 1]) if i + 1 < len(nodes) else nodes[i] for i in range(0, len(nodes), 2)]
-        return nodes[0]
+                return left[: n - i] + middle + right[j:]
+            self.grown += 1
+            i, j = i if left_ok else min(n, 2 * i), j if right_ok else min(m, 2 * j)
+            middle = self.window(b"".join(map(bytes_of.__getitem__, left[n - i :] + right[:j])))
+
+    def node(self, data: bytes) -> tuple[int, ...]:
+        """The encoding of some bytes of a match: its halves' encodings, joined."""
+        n = len(data)
+        if n == 1:
+            return self.leaves[data]
+        if n > SUBTREE:
+            return self.join(self.node(data[: n // 2]), self.node(data[n // 2 :]))
+        if (got := self.nodes.get(data)) is None:
+            got = self.join(self.node(data[: n // 2]), self.node(data[n // 2 :]))
+            if len(self.nodes) > self.limit:
+                self.nodes.clear()
+            self.nodes[data] = got
+        return got
+
+    def piece(self, data: bytes) -> tuple[int, ...]:
+        """Ids of one match. One that is a token as a whole is that token, whether merges lead to it or not."""
+        ids = self.node(data)
+        if len(ids) > 1 and (rank := self.ranks.get(data)) is not None:
+            return (rank,)
+        return ids
+
+    def _reduced(self, text: str) -> bytes:
+        """Ids of a segment, as unsigned 32-bit numbers: its matches' nodes, concatenated up the tree."""
+        words, known = self.find(text), self.matches
+        if new := set(words).difference(known):
+            if len(known) > self.limit:
+                known.clear()
+                new = set(words)
+            for w in new:
+                known[w] = np.array(self.piece(w.encode()), "<u4").tobytes()
+        return concatenated(list(map(known.__getitem__, words)))
 
     def encode(self, text: str) -> list[int]:
-        return [i for part in segments(text) for w in self.find(part) for i in self.piece(w.encode())]
+        return np.frombuffer(concatenated([self._reduced(x) for x in segments(text)]), "<u4").tolist() if text else []
 
     def decode(self, ids: list[int]) -> bytes:
-        nodes = [self.bytes_of[i] for i in ids]
-        while len(nodes) > 64:
-            nodes = [b"".join(nodes[i : i + 64]) for i in range(0, len(nodes), 64)]
-        return b"".join(nodes)
+        return concatenated(list(map(self.bytes_of.__getitem__, ids)))
 
     def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, sha256 of their decimals joined by a space, sha256 of their decoded bytes. Every distinct
-        piece is encoded and its ids are decoded once per cache."""
+        """Number of ids, sha256 of their decimals joined by a space, sha256 of the bytes that they decode to. A long
+        text goes segment by segment."""
         ids_hash, out_hash, n = hashlib.sha256(), hashlib.sha256(), 0
         for part in segments(text):
-            words = self.find(part)
-            new = set(words).difference(self.shown)
-            if new and len(self.shown) > self.limit:
-                self.shown.clear()
-                self.decoded.clear()
-                new = set(words)
-            for w in new:
-                ids = self.piece(w.encode())
-                self.shown[w] = " ".join(map(str, ids))
-                self.decoded[w] = self.decode(ids)
-            if words:
-                line = " ".join(map(self.shown.__getitem__, words))
-                ids_hash.update((" " + line if n else line).encode())
-                n += line.count(" ") + 1
-                out_hash.update(b"".join(map(self.decoded.__getitem__, words)))
+            ids = np.frombuffer(self._reduced(part), "<u4").tolist()
+            if ids:
+                ids_hash.update(b" " if n else b"")
+                ids_hash.update(" ".join(map(self.names.__getitem__, ids)).encode())
+                out_hash.update(self.decode(ids))
+                n += len(ids)
         return n, ids_hash.hexdigest(), out_hash.hexdigest()
 
 
+def concatenated(nodes: list[bytes]) -> bytes:
+    """A reduction tree of concatenations, FAN nodes at a time."""
+    while len(nodes) > FAN:
+        nodes = [b"".join(nodes[i : i + FAN]) for i in range(0, len(nodes), FAN)]
+    return b"".join(nodes)
+
+
 def load(path: str, pattern: str) -> ByteBPE:
-    if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = ByteBPE.from_file(path, pattern)
-    return _LOADED[path, pattern]
+    return held((ByteBPE, path, pattern), lambda: ByteBPE.from_file(path, pattern))
 
 
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -17,10 +17,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from paperloom.llm.common import prepare, strings
+from paperloom.llm.common import held, prepare, strings
 
 SPACE = "▁"
-_LOADED: dict = {}
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -105,9 +104,7 @@ class UnigramCounter:
 
 
 def load(path: str) -> UnigramCounter:
-    if path not in _LOADED:
-        _LOADED[path] = UnigramCounter(vocabulary(path))
-    return _LOADED[path]
+    return held((UnigramCounter, path), lambda: UnigramCounter(vocabulary(path)))
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:

@@ -15,11 +15,9 @@ import os
 from array import array
 from itertools import compress
 
-from paperloom.llm.common import segments
+from paperloom.llm.common import held, segments
 from paperloom.llm.pieces import finder
 
-_LOADED: dict = {}
-
 
 class WordIds:
     """Little-endian unsigned 32-bit ids of texts. limit: words kept in the cache, which bounds its memory."""
@@ -79,6 +77,4 @@ class WordIds:
 
 def load(path: str, pattern: str) -> WordIds:
     """One per worker process and file."""
-    if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = WordIds(path, pattern)
-    return _LOADED[path, pattern]
+    return held((WordIds, path, pattern), lambda: WordIds(path, pattern))

@@ -64,6 +64,23 @@ def test_bpe_is_tiktokens(tik, text):
     assert ids == tik.encode_ordinary(text) and bpe.decode(ids) == text.encode()
 
 
+def test_bpe_joins_every_match(tik):
+    """A text's ids come out of joins of halves: a match of n bytes takes n - 1, less those of subtrees that are kept."""
+    bpe = bytepair.ByteBPE.from_file(RANKS, P.PATTERN)
+    text = "Unbelievable antidisestablishmentarianism, 12345 naïve façades"
+    words = bpe.find(text)
+    seen: dict[bytes, int] = {}
+    join = bpe.join
+    bpe.join = lambda a, b: seen.update({b"".join(map(bpe.bytes_of.get, a + b)): 1}) or join(a, b)
+    assert bpe.encode(text) == tik.encode_ordinary(text)
+    assert all(len(w.encode()) == 1 or w.encode() in seen for w in words)
+    fresh = bytepair.ByteBPE.from_file(RANKS, P.PATTERN)
+    long = "qzxv" * 50_000  # one match
+    assert fresh.encode(long) == tik.encode_ordinary(long) and fresh.joins > len(long) // bytepair.SUBTREE - 1
+    fresh.nodes.clear()
+    assert fresh.decode(fresh.encode(text)) == text.encode()
+
+
 @pytest.mark.parametrize("alphabet", ["a", "ab", "the an", "=-_", "\n \t"])
 def test_bpe_of_long_pieces(tik, alphabet):
     rng = np.random.default_rng(3)
