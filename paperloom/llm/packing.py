@@ -2,9 +2,15 @@
 
 Documents become ids of a tokenizer plus an end id; documents longer than a sequence are cut into pieces. Pieces are
 dealt to groups of bounded size, each packed by best fit decreasing. Dual feasible functions give a lower bound of the
-sequences that a group's pieces need. A group whose count meets the bound is certified; of the others, and of every
-group's ill-filled sequences, the pieces are exchanged: those of FAN groups meet in one and are packed again, until one
-group is left. A group passes on at most PASS_ON sequences, so no task grows with the input.
+sequences that a group's pieces need. A group whose count meets the bound is certified. One with a gap is packed again:
+each sequence begins with the longest piece left, then pieces of random lengths follow while more than one fits, and
+the last is the one that fits best; of some tries the fewest sequences count.
+
+Then groups exchange pieces: those of all sequences with room in groups with a gap, and of a certified group's emptiest
+ones (as many as have one sequence's room together, for bounds are rounded up), are dealt to new groups and packed
+again. Rounds end when the whole table's count meets the whole table's bound, when one group has taken all, or
+when IDLE rounds in a row, each with groups of twice the size, neither saved a sequence nor closed one. A group's pieces
+are numbers, and at most about GROUP_PIECES times 2 to the power IDLE.
 
 Nulls and edge cases: a null or empty text is the end id alone; an empty table gives no rows; repeated rows are packed
 each; other columns are ignored; pieces of equal length are taken in doc_id order, nulls first.
@@ -12,6 +18,7 @@ each; other columns are ignored; pieces of equal length are taken in doc_id orde
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections.abc import Iterator
 
@@ -22,15 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm import wordids
-from paperloom.llm.common import prepare, strings, written
+from paperloom.llm.common import discard, prepare, strings, written
 
-#: Pieces of a group at first, about; groups that meet in a round; sequences that a group passes on at most.
-GROUP_PIECES, FAN, PASS_ON = 40_000, 8, 512
-#: Exchanges that a group with a gap tries.
-REPACKS = 400
+#: Pieces of a group, about; rounds without a gain that end the exchange.
+GROUP_PIECES, IDLE = 40_000, 3
+#: Random lengths that are tried for a piece in the middle of a sequence, one number a repacking of a group with a gap.
+TRIES = (4, 16, 64)
+#: Pieces up to which a group with a gap is packed exactly.
+EXACT = 12
 
 PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"
-PLACED = f"grp long, {PIECE}, sequence_id long, offset int, open boolean, used int, bound int"
+PLACED = f"grp long, {PIECE}, sequence_id long, offset int, open boolean, used long, bound long"
 
 
 def pieces(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, size: int) -> DataFrame:
@@ -54,14 +63,17 @@ def pieces(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, size: int
 
 
 def lower_bound(lengths: np.ndarray, size: int) -> int:
-    """The largest bound that two families of dual feasible functions give, in whole numbers.
+    return counted_bound(np.bincount(lengths, minlength=size + 1), size)
+
+
+def counted_bound(count: np.ndarray, size: int) -> int:
+    """count: how many pieces have each length, 0 to size. The largest bound that two families of dual feasible
+    functions give, in whole numbers.
 
     The first, for each threshold e up to size/2: lengths over size - e count as size, those under e as nothing, others
     as they are. The second, for k = 1..32: x counts floor((k + 1) x / size) / k, or x / size where that product is
     whole. Without a threshold (e = 0) the first gives the sum over the size."""
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=size + 1).astype(np.int64)
+    count = np.asarray(count, np.int64)
     x = np.arange(size + 1, dtype=np.int64)
     many, mass = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(count * x)])
     e = np.arange(size // 2 + 1)
@@ -98,31 +110,60 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np
     return bins, place, np.array(fill, np.int64)
 
 
-def exchanged(lengths: np.ndarray, bins: np.ndarray, size: int, bound: int, rounds: int = REPACKS, seed: int = 5) -> np.ndarray:
-    """Bins after exchanges within a group that has a gap to its bound: the emptiest sequence and a few others are
-    packed again by best fit in a slightly shaken order, which stays if it needs fewer or brings the free room together
-    (the sum of squared fills doesn't fall). Only the PASS_ON emptiest take part. Stops at the bound."""
-    rng = np.random.default_rng(seed)
-    order, count = np.argsort(bins, kind="stable"), np.bincount(bins)
-    held = np.split(order, np.cumsum(count)[:-1])
-    fill = np.bincount(bins, lengths).astype(np.int64)
-    loose = np.argsort(fill, kind="stable")[:PASS_ON]
-    fixed = [held[b] for b in sorted(set(range(len(held))) - set(loose.tolist()))]
-    held, fill = [held[b] for b in loose], fill[loose]
-    for _ in range(rounds):
-        if len(held) + len(fixed) <= bound:
-            break
-        some = np.unique(np.append(rng.choice(len(held), min(7, len(held)), replace=False), fill.argmin()))
-        pool = np.concatenate([held[k] for k in some])
-        pool = pool[np.argsort(-lengths[pool] * rng.uniform(0.7, 1.3, len(pool)), kind="stable")]
-        new, _, got = best_fit(lengths[pool], size)
-        if len(got) < len(some) or len(got) == len(some) and (got**2).sum() >= (fill[some] ** 2).sum():
-            gone = set(some.tolist())
-            held = [h for k, h in enumerate(held) if k not in gone] + [pool[new == b] for b in range(len(got))]
-            fill = np.append(np.delete(fill, some), got)
-    out = np.empty(len(lengths), np.int64)
-    for b, h in enumerate(fixed + held):
-        out[h] = b
+def refilled(lengths: np.ndarray, size: int, tries: int, seed: int = 5) -> np.ndarray:
+    """Bins of lengths: each bin begins with the longest piece left and ends with the one that fits best; between these,
+    of some random lengths the one after which the best last piece leaves the least room. Lengths that are left are the
+    bits of one number."""
+    rng = random.Random(seed)
+    having: list[list[int]] = [[] for _ in range(size + 1)]
+    for i, n in enumerate(lengths.tolist()):
+        having[n].append(i)
+    left = sum(1 << n for n, h in enumerate(having) if h)
+    bins = np.empty(len(lengths), np.int64)
+
+    def longest(room: int, but: int = 0) -> int:
+        """The greatest length left up to room; without one piece of length but; -1 without any."""
+        some = left & ~(1 << but) if but and len(having[but]) == 1 else left
+        return (some & ((1 << (room + 1)) - 1)).bit_length() - 1
+
+    b = 0
+    while left:
+        room, n = size, left.bit_length() - 1
+        while n > 0:
+            bins[having[n].pop()] = b
+            if not having[n]:
+                left &= ~(1 << n)
+            room -= n
+            n, least = longest(room), (left & -left).bit_length() - 1
+            if n > 0 and room - least >= least:  # two more may fit
+                best = size
+                for _ in range(tries):
+                    a = longest(rng.randint(least, min(n, room - least)))
+                    rest = room - a - max(longest(room - a, a), 0)
+                    if rest < best:
+                        best, choice = rest, a
+                    if not rest:
+                        break
+                n = choice
+        b += 1
+    return bins
+
+
+def exact(lengths: np.ndarray, size: int) -> np.ndarray:
+    """Bins of a few lengths, as few as can be: over all subsets, the fewest bins and the least fill of the last."""
+    n = len(lengths)
+    best, last = [(0, 0)] + [(n + 1, 0)] * ((1 << n) - 1), [0] * (1 << n)
+    for have in range(1 << n):
+        bins, fill = best[have]
+        for i in range(n):
+            if not have >> i & 1:
+                now = (bins, fill + int(lengths[i])) if bins and fill + lengths[i] <= size else (bins + 1, int(lengths[i]))
+                if now < best[have | 1 << i]:
+                    best[have | 1 << i], last[have | 1 << i] = now, i
+    out, have = np.empty(n, np.int64), (1 << n) - 1
+    while have:
+        out[last[have]] = best[have][0] - 1
+        have &= ~(1 << last[have])
     return out
 
 
@@ -136,27 +177,42 @@ def places(lengths: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return place, fill
 
 
+def fewest(lengths: np.ndarray, size: int) -> tuple[np.ndarray, int, int]:
+    """lengths, descending: their bins, how many these are, and how many there must be at least."""
+    bins, _, fill = best_fit(lengths, size)
+    used, bound = len(fill), lower_bound(lengths, size)
+    for tries in TRIES:
+        if used == bound:
+            break
+        again = refilled(lengths, size, tries)
+        if again.max() + 1 < used:
+            bins, used = again, int(again.max()) + 1
+    if used > bound and len(lengths) <= EXACT:
+        bins = exact(lengths, size)
+        used = int(bins.max()) + 1
+    return bins, used, bound
+
+
 def pack_group(rows: pa.Table, size: int, tag: int, last: bool) -> pa.Table:
-    """Pack one group; mark the sequences to pass on as open. A certified group passes on what isn't nearly full, as
-    the bound of several groups together may be lower than the sum of theirs; one with a gap passes on more."""
+    """Pack one group; mark the sequences to pass on as open."""
     rows = rows.take(pc.sort_indices(rows, [("length", "descending"), *((c, "ascending") for c in ("doc_id", "piece", "start", "ids_crc32"))], null_placement="at_start"))
     lengths = rows.column("length").to_numpy()
-    bins, place, fill = best_fit(lengths, size)
-    bound = lower_bound(lengths, size)
-    if len(fill) > bound:
-        bins = exchanged(lengths, bins, size, bound)
-        place, fill = places(lengths, bins)
-    open_ = np.zeros(len(fill), bool)
+    bins, used, bound = fewest(lengths, size)
+    place, fill = places(lengths, bins)
+    open_ = np.zeros(used, bool)
     if not last:
-        loose = np.flatnonzero(fill < (size if len(fill) > bound else size - size // 64))
-        open_[loose[np.argsort(fill[loose], kind="stable")][:PASS_ON]] = True
+        loose = np.flatnonzero(fill < size)
+        if used == bound:
+            loose = loose[np.argsort(fill[loose], kind="stable")]
+            loose = loose[: 1 + np.searchsorted(np.cumsum(size - fill[loose]), size)]
+        open_[loose] = True
     group, n = rows.column("grp")[0].as_py(), rows.num_rows
     new = {
         "sequence_id": pa.array((tag << 56) + (group << 24) + bins, pa.int64()),
         "offset": pa.array(place, pa.int32()),
         "open": pa.array(open_[bins]),
-        "used": pa.array([len(fill)] * n, pa.int32()),
-        "bound": pa.array([bound] * n, pa.int32()),
+        "used": pa.array([used] * n, pa.int64()),
+        "bound": pa.array([bound] * n, pa.int64()),
     }
     for name, values in new.items():
         rows = rows.append_column(name, values)
@@ -170,27 +226,40 @@ def _packer(size: int, tag: int, last: bool):
     return run
 
 
-def pack(pieces_: DataFrame, size: int, group_pieces: int = GROUP_PIECES, fan: int = FAN) -> DataFrame:
-    """Pack pieces (PIECE) into sequences of size: the pieces with sequence_id and offset."""
+def bound_of(pieces_: DataFrame, size: int) -> int:
+    """The lower bound of a whole table's sequences, from the number of pieces of each length: size rows at most."""
+    count = np.zeros(size + 1, np.int64)
+    for length, n in pieces_.groupBy("length").count().collect():
+        count[length] = n
+    return counted_bound(count, size)
+
+
+def pack(pieces_: DataFrame, size: int, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """Pack pieces (PIECE) into sequences of size: the pieces with sequence_id, offset, and the sequences that the group
+    in which theirs was closed used and needed at least (used, bound; certified where they are equal)."""
+    columns = [c.split()[0] for c in PIECE.split(", ")]
     table = written(pieces_, "pieces")
-    groups = max(1, -(-table.count() // group_pieces))
-    now = table.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(groups)).cast("long"))
-    done: list[DataFrame] = []
-    tag = 0
+    n, least = table.count(), bound_of(table, size)
+    now, done, closed, tag, before, idle = table, [], 0, 0, None, 0
     while True:
-        last = groups == 1
-        now = now.select("grp", *[c.split()[0] for c in PIECE.split(", ")])
-        placed = written(now.groupBy("grp").applyInArrow(_packer(size, tag, last), PLACED), f"packed{tag}")
-        done.append(placed.filter("not open"))
-        if last:
+        groups = max(1, -(-n // (group_pieces << idle)))
+        dealt = now.withColumn("grp", F.pmod(F.xxhash64(F.lit(tag), "doc_id", "piece", "start", "ids_crc32"), F.lit(groups)).cast("long")).select("grp", *columns)
+        placed = dealt.groupBy("grp").applyInArrow(_packer(size, tag, groups == 1), PLACED)
+        placed = written(placed, f"packed{tag}", rows=n)
+        first = F.col("offset") == 0
+        n, open_, shut = placed.agg(F.count_if("open"), F.count_if(F.col("open") & first), F.count_if(~F.col("open") & first)).first()
+        idle = idle + 1 if (n, open_ + shut) == before else 0
+        # the end: all taken, as few as can be, or nothing gained
+        if not n or closed + open_ + shut == least or idle == IDLE:
+            done.append(placed)
             break
-        groups = -(-groups // fan)
-        now = placed.filter("open").select((F.floor(F.col("grp") / fan)).cast("long").alias("grp"), *[c.split()[0] for c in PIECE.split(", ")])
-        tag += 1
+        done.append(placed.filter("not open"))
+        now, closed, before, tag = placed.filter("open"), closed + shut, (n, open_), tag + 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.selectExpr("doc_id", "piece", "start", "cast(length as long) length", "ids_crc32", "sequence_id", "cast(offset as long) offset")
+    discard(table)
+    return out.selectExpr("doc_id", "piece", "start", "cast(length as long) length", "ids_crc32", "sequence_id", "cast(offset as long) offset", "used", "bound")
 
 
 def packed(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0, size: int = 2048) -> DataFrame:
