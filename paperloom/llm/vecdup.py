@@ -1,23 +1,26 @@
 """Embedding near-dedup by a pivot-permutation index.
 
-Reference points (pivots) are vectors of a bounded sample, no two of them close. Each vector is described by the ordered list of its nearest
-pivots and is entered in their inverted lists. Two vectors are candidates if their descriptions share a pivot; all
-pairs of a list are verified by cosine in double precision, block by block. A pair counts in the list of the pivot that
-comes first in the order of pivot numbers among those that they share, so once. Equal directions are one class, entered
-once with a weight. A list longer than a block is dealt as pairs of blocks. A task gives counts of links and a forest
-of its links, never all pairs.
-
-Pivots grow with the square root of the number of vectors, so that lists and the work of a vector grow alike; at most
-MAX_PIVOTS are sent to the workers, a proven bound. The more pivots, the less do the nearest of two linked vectors
+Reference points (pivots) are vectors of a bounded sample, no two of them close; each length of vectors has its own.
+Each vector is described by the ordered list of its nearest pivots and is entered in their inverted lists. Two vectors
+are candidates if their descriptions share a pivot; all pairs of a list are verified by cosine in double precision, block
+by block. A pair counts in the list of the pivot that comes first in the order of pivot numbers among those that they
+share, so once. Equal vectors are one class, entered once with a weight. A list longer than a block is dealt as pairs of
+blocks. A task gives counts of links and a forest of its links, never all pairs.
+
+Pivots grow with the square root of the number of vectors of a length, so that lists and the work of a vector grow
+alike, up to MAX_PIVOTS, and all of them to PIVOT_BYTES (but one for each length): a proven bound of what is sent to the
+workers; the driver sees SAMPLE times as many vectors. The more pivots, the less do the nearest of two linked vectors
 overlap, so descriptions grow with the logarithm of their number: recall stays level.
 
 Nulls and edge cases: a null or zero vector, or one with a null or a component that isn't finite, links with nothing
-and is its own component; vectors of another length than the most common one likewise; repeated vec_ids are one node
-but each row is a row; a null vec_id is never a representative; an empty table gives no rows; other columns are ignored.
+and is its own component; vectors of different lengths don't link; every row is a vector of its own, also where vec_ids
+repeat; a row with a null vec_id links like others and counts in its partners' n_links, but its component is named by
+the others (null, and kept, where none has an id); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -26,13 +29,16 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from paperloom.llm.common import prepare, written
+from paperloom.llm.common import discard, prepare, release, written
 from paperloom.llm.components import components, forest
 
 #: Vectors of a block.
 BLOCK = 1024
-MAX_PIVOTS = 16_384
+MAX_PIVOTS, PIVOT_BYTES = 16_384, 16 << 20
+#: Vectors that pivots are chosen from, for each pivot; vectors of a length that are all chosen from.
+SAMPLE, FEW = 4, 64
 
 
 def nearest_pivots(n_pivots: int) -> int:
@@ -41,76 +47,105 @@ def nearest_pivots(n_pivots: int) -> int:
     return max(8, math.ceil(5 + math.log2(n_pivots) / 2))
 
 
-def _rows(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Usable rows and their unit vectors, in double precision."""
-    data = vectors.to_pylist()
-    good = [i for i, v in enumerate(data) if v is not None and len(v) and None not in v]
-    if not good:
-        return np.zeros(0, np.int64), np.zeros((0, 0))
-    x = np.array([data[i] for i in good], np.float64)
-    with np.errstate(over="ignore", invalid="ignore"):
-        x = x / np.abs(x).max(axis=1, keepdims=True).clip(1e-300)  # so that squares neither vanish nor overflow
-        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-        ok = np.isfinite(x).all(axis=1) & (norm[:, 0] > 0)
-        return np.array(good)[ok], (x / np.where(norm > 0, norm, 1))[ok]
+def _units(kind: str):
+    """Each row with its vector's digest and bytes (in the input's own precision); nulls where it can't be compared."""
 
-
-def _units(dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
-            vectors = b.column("vector")
-            fits = pa.array([v is not None and len(v) == dim for v in vectors.to_pylist()])
-            b = b.filter(fits)
-            at, x = _rows(b.column("vector"))
-            ids = b.column("id").take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([r.tobytes() for r in x], pa.binary())], ["id", "unit"])
+            column = b.column("vector")
+            off, null = column.offsets.to_numpy(), column.is_null().to_numpy(zero_copy_only=False)
+            x = np.asarray(column.values.to_numpy(zero_copy_only=False), kind)  # a null component becomes a NaN
+            odd, some = (np.concatenate([[0], np.cumsum(m)]) for m in (~np.isfinite(x), x != 0))
+            good = ~null & (odd[off[1:]] == odd[off[:-1]]) & (some[off[1:]] > some[off[:-1]])
+            data, size = x.tobytes(), x.itemsize
+            raw = [data[lo * size : hi * size] if ok else None for lo, hi, ok in zip(off[:-1].tolist(), off[1:].tolist(), good.tolist())]
+            digest = [None if r is None else hashlib.blake2b(r, digest_size=16).digest() for r in raw]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), pa.array(digest, pa.binary()), pa.array(raw, pa.binary())], ["row", "id", "digest", "raw"])
 
     return run
 
 
-def _spread(sample: np.ndarray, most: int, apart: float = 0.8) -> np.ndarray:
-    """Up to most vectors of the sample of which no two are close: a large group of near copies would otherwise bring
-    many pivots whose order means nothing."""
-    kept: list[int] = []
-    free = np.ones(len(sample), bool)
-    for i in range(len(sample)):
-        if free[i] and len(kept) < most:
-            kept.append(i)
-            free &= sample @ sample[i] < apart
-    return sample[kept]
+def unit_vectors(raw: list[bytes], kind: str) -> np.ndarray:
+    """Vectors of one length at unit length, in double precision."""
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # so that squares neither vanish nor overflow
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _describe(pivots: np.ndarray, nearest: int):
+def spread(sample: np.ndarray, most: int, apart: float = 0.8) -> np.ndarray:
+    """Up to most vectors of the sample of which no two are close: a large group of near copies would otherwise bring
+    many pivots whose order means nothing. Worked off in blocks."""
+    kept = np.zeros((0, sample.shape[1]))
+    for lo in range(0, len(sample), 256):
+        block = sample[lo : lo + 256]
+        block = block[(block @ kept.T < apart).all(axis=1)]
+        near, chosen = block @ block.T >= apart, []
+        for i in range(len(block)):
+            if not near[i, chosen].any():
+                chosen.append(i)
+        kept = np.concatenate([kept, block[chosen]])[:most]
+        if len(kept) == most:
+            break
+    return kept
+
+
+def pivots_of(classes: DataFrame, kind: str) -> dict[int, tuple[int, np.ndarray]]:
+    """By length of vectors, the number of its first pivot and its pivots. classes: dim, raw."""
+    sizes = dict(map(tuple, classes.groupBy("dim").count().collect()))
+    want = {d: min(n, MAX_PIVOTS, max(32, 2 * math.isqrt(n))) for d, n in sizes.items()}
+    room = min(1.0, PIVOT_BYTES / max(1, sum(8 * d * p for d, p in want.items())))
+    want = {d: max(1, int(p * room)) for d, p in want.items()}
+    if not want:
+        return {}
+    shares = classes.sparkSession.createDataFrame([(d, min(1.0, (FEW + 1.25 * SAMPLE * p) / sizes[d])) for d, p in want.items()], "dim int, share double")
+    key = F.pmod(F.xxhash64("raw"), F.lit(1 << 30))
+    seen: dict[int, list] = {d: [] for d in want}
+    for d, h, raw in classes.join(F.broadcast(shares), "dim").withColumn("h", key).filter(F.col("h") < F.col("share") * (1 << 30)).select("dim", "h", "raw").collect():
+        seen[d].append((h, bytes(raw)))
+    out, first = {}, 0
+    for d in sorted(want):
+        sample = unit_vectors([raw for _, raw in sorted(seen[d])[: SAMPLE * want[d]]], kind)
+        out[d] = first, spread(sample, want[d])
+        first += len(out[d][1])
+    return out
+
+
+def _describe(pivots: dict[int, tuple[int, np.ndarray]], kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = np.frombuffer(b"".join(b.column("unit").to_pylist()), np.float64).reshape(b.num_rows, -1)
-            near = x @ pivots.T
-            k = min(nearest, len(pivots))
-            top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, axis=1), axis=1, kind="stable"), axis=1)
-            lists = pa.array(top.astype(np.int32).tolist(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("weight"), b.column("unit"), lists], ["rep", "weight", "unit", "pivots"])
+            raw, size = b.column("raw").to_pylist(), np.dtype(kind).itemsize
+            dims = np.array([len(r) // size for r in raw])
+            lists: list = [None] * len(raw)
+            for d in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == d)
+                first, points = pivots[d]
+                near = unit_vectors([raw[i] for i in at], kind) @ points.T
+                k = min(nearest_pivots(len(points)), len(points))
+                top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+                top = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, axis=1), axis=1, kind="stable"), axis=1)
+                for i, ps in zip(at.tolist(), (top + first).tolist()):
+                    lists[i] = ps
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("weight"), b.column("raw"), pa.array(lists, pa.list_(pa.int32()))], ["rep", "weight", "raw", "pivots"])
 
     return run
 
 
-def _matrix(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    units = rows.column("unit").to_pylist()
-    x = np.frombuffer(b"".join(units), np.float64).reshape(len(units), -1 if units else 0)
+def _matrix(rows: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    raw = rows.column("raw").to_pylist()
+    x = unit_vectors(raw, kind) if raw else np.zeros((0, 0))
     described = rows.column("pivots").combine_chunks()
     near = described.values.to_numpy().reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, 1), np.int32)
     return rows.column("rep").to_numpy(), rows.column("weight").to_numpy(), x, near
 
 
-def _links(threshold: float):
+def _links(threshold: float, kind: str):
     """One pair of blocks of one pivot's list: per class its number of linked vectors here, and a forest of links."""
 
     def run(rows: pa.Table) -> pa.Table:
         pivot, x_block, y_block = (rows.column(c)[0].as_py() for c in ("pivot", "x", "y"))
-        left = _matrix(rows.filter(pa.compute.equal(rows.column("mine"), x_block)))
-        right = left if x_block == y_block else _matrix(rows.filter(pa.compute.equal(rows.column("mine"), y_block)))
+        left = _matrix(rows.filter(pa.compute.equal(rows.column("mine"), x_block)), kind)
+        right = left if x_block == y_block else _matrix(rows.filter(pa.compute.equal(rows.column("mine"), y_block)), kind)
         degree: dict[int, int] = {}
         pairs: list[tuple[int, int]] = []
         for lo in range(0, len(left[0]) if len(right[0]) else 0, BLOCK):
@@ -143,33 +178,36 @@ def _links(threshold: float):
 def grouped(table: DataFrame, threshold: float = 0.9, block: int = BLOCK) -> DataFrame:
     """table: vec_id, embedding. Returns vec_id, n_links, component_id, kept, one row a row of table."""
     spark = prepare(table.sparkSession)
-    rows = table.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
-    common = rows.filter("vector is not null and id is not null").groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    dim = common["d"] if common else 0
-    units = written(rows.filter("id is not null").mapInArrow(_units(dim), "id long, unit binary"), "units")
-    classes = written(units.groupBy("unit").agg(F.min("id").alias("rep"), F.count("*").alias("weight")), "classes")
-    n = classes.count()
-    n_pivots = min(MAX_PIVOTS, max(32, 2 * math.isqrt(n)))
-    sample = classes.orderBy(F.xxhash64("unit"), "unit").limit(4 * n_pivots).select("unit").collect()
-    if n:
-        pivots = _spread(np.frombuffer(b"".join(bytes(r[0]) for r in sample), np.float64).reshape(len(sample), -1), n_pivots)
-        described = written(classes.mapInArrow(_describe(pivots, nearest_pivots(len(pivots))), "rep long, weight long, unit binary, pivots array<int>"), "described")
+    element = getattr(table.schema["embedding"].dataType, "elementType", None)
+    kind, cast = ("<f4", "array<float>") if isinstance(element, T.FloatType) else ("<f8", "array<double>")
+    rows = table.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast(cast).alias("vector"))
+    units = written(rows.mapInArrow(_units(kind), "row long, id long, digest binary, raw binary"), "units")
+    count = units.count()
+    dim = (F.octet_length("raw") / np.dtype(kind).itemsize).cast("int")
+    classes = units.filter("digest is not null").groupBy("digest").agg(F.min("row").alias("rep"), F.min("id").alias("least"), F.count("*").alias("weight"), F.first("raw").alias("raw"))
+    classes = written(classes.withColumn("dim", dim), "classes", rows=count)
+    pivots = pivots_of(classes, kind)
+    if pivots:
+        described = classes.select("rep", "weight", "raw").mapInArrow(_describe(pivots, kind), "rep long, weight long, raw binary, pivots array<int>")
+        described = written(described, "described", rows=count)
         posted = described.withColumn("pivot", F.explode("pivots"))
         sizes = posted.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
         dealt = posted.join(F.broadcast(sizes), "pivot").withColumn("mine", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other")}).select("pivot", "x", "y", "mine", "rep", "weight", "unit", "pivots")
+        dealt = dealt.withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other")}).select("pivot", "x", "y", "mine", "rep", "weight", "raw", "pivots")
         # a vector's degree counts pairs by their first shared pivot, each in one list
-        found = written(dealt.groupBy("pivot", "x", "y").applyInArrow(_links(threshold), "rep long, n long, root long"), "links")
+        found = written(dealt.groupBy("pivot", "x", "y").applyInArrow(_links(threshold, kind), "rep long, n long, root long"), "links", rows=count, dealt=True)
         degree = found.groupBy("rep").agg(F.sum("n").alias("n"))
         roots = components(found.select("rep", "root"))
+        discard(described)
     else:
         degree = spark.createDataFrame([], "rep long, n long")
         roots = spark.createDataFrame([], "node long, root long")
-    per_class = classes.join(degree, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    per_class = per_class.select("unit", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    # hot units: the join is one that adaptive execution can split
-    per_id = units.join(per_class, "unit").groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    out = rows.select(F.col("id").alias("vec_id")).join(per_id.withColumnRenamed("id", "vec_id"), "vec_id", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    per_class = classes.select("digest", "rep", "least", "weight").join(degree, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    per_class = per_class.select("digest", "least", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root"))
+    # coalesce makes the partitioning unknown, so that a large component's join can be split
+    names = per_class.groupBy("root").agg(F.min("least").alias("component_id")).coalesce(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    per_class = per_class.join(names, "root").select("digest", "n_links", "component_id")
+    out = units.select("id", "digest").join(per_class, "digest", "left")
+    component = F.coalesce("component_id", "id")
+    return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

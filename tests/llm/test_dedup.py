@@ -255,10 +255,31 @@ def test_vectors(spark, block):
 def test_vector_edge_rows(spark):
     schema = "vec_id long, embedding array<float>"
     got = vecdup.grouped(spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0]), (3, [2.0, 0.0])], schema)).collect()
-    assert sorted((r.vec_id or 0, r.component_id or 0) for r in got) == [(0, 0), (1, 1), (1, 1), (3, 1)]
+    assert sorted((r.vec_id or 0, r.component_id or 0, r.n_links, r.kept) for r in got) == [(0, 1, 3, False), (1, 1, 3, True), (1, 1, 3, True), (3, 1, 3, False)]
+    got = vecdup.grouped(spark.createDataFrame([(None, [1.0, 0.0]), (None, [1.0, 0.01]), (None, None), (4, [0.0, 1.0])], schema)).collect()
+    assert sorted((r.vec_id or 0, r.component_id or 0, r.n_links, r.kept) for r in got) == [(0, 0, 0, True), (0, 0, 1, True), (0, 0, 1, True), (4, 4, 0, True)]
     assert vecdup.grouped(spark.createDataFrame([], schema)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vectors_of_several_lengths(spark, kind):
+    """Vectors link within their length, whichever is the most common; rows without an id link too."""
+    rng = np.random.default_rng(3)
+    rows = [(None if i % 7 == 3 else i, (rng.normal(size=d) + np.arange(d) * (i % 2)).astype("f4").tolist()) for i, d in enumerate(rng.choice([2, 3, 8, 40], 400, p=[0.2, 0.5, 0.2, 0.1]))]
+    rows += [(1000, [1.0, 0.0]), (1001, [1.0, 0.01]), (1002, [5.0]), (1003, [7.0]), (1004, [-1.0]), (1005, [])]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], f"k long, vec_id long, embedding array<{kind}>")
+    x = [np.array(v, np.float64) for _, v in rows]
+    link = np.array([[i != j and len(a) == len(b) and len(a) > 0 and float(a @ b) >= 0.9 * float(np.linalg.norm(a) * np.linalg.norm(b)) for j, b in enumerate(x)] for i, a in enumerate(x)])
+    root = grouped(list(range(len(rows))), list(zip(*np.nonzero(link))))
+    least = collections.defaultdict(list)
+    for i, (vec_id, _) in enumerate(rows):
+        if vec_id is not None:
+            least[root[i]].append(vec_id)
+    want = [(vec_id, int(link[i].sum()), min(least[root[i]], default=None)) for i, (vec_id, _) in enumerate(rows)]
+    got = [(r.vec_id, r.n_links, r.component_id) for r in vecdup.grouped(df).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def linked_pairs(n, dim=64, cosine=0.9):
     """n pairs of unit vectors of this cosine, or a little more, without other structure."""
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -284,14 +305,14 @@ def test_recall_with_the_pivots_of_large_tables(n_pivots):
     pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
     unit = pa.array([v.tobytes() for v in np.stack([a, b], 1).reshape(-1, 64)], pa.binary())
     ids = pa.array(range(4000), pa.int64())
-    batch = pa.RecordBatch.from_arrays([ids, pa.array([1] * 4000, pa.int64()), unit], ["rep", "weight", "unit"])
-    described = pa.Table.from_batches(vecdup._describe(pivots, vecdup.nearest_pivots(n_pivots))([batch]))
+    batch = pa.RecordBatch.from_arrays([ids, pa.array([1] * 4000, pa.int64()), unit], ["rep", "weight", "raw"])
+    described = pa.Table.from_batches(vecdup._describe({64: (0, pivots)}, "<f8")([batch]))
     lists = np.array(described.column("pivots").to_pylist())
     found = collections.Counter()
     for p in np.unique(lists):
         rows = described.filter(pa.array((lists == p).any(axis=1)))
         for name, value in (("mine", 0), ("x", 0), ("y", 0), ("pivot", int(p))):
             rows = rows.append_column(name, pa.array([value] * rows.num_rows, pa.int32()))
-        out = vecdup._links(0.9)(rows)
+        out = vecdup._links(0.9, "<f8")(rows)
         found.update(dict(zip(out.column("rep").to_pylist(), out.column("n").to_pylist())))
     assert set(found.values()) == {1} and len(found) / 4000 > 0.995
