@@ -2,18 +2,21 @@
 
 Bytes are embedded, filters of several widths slide over windows of fixed length, each filter's largest response in a
 window is kept, and a softmax over these gives the window's language. The network is trained in numpy by Adam on a
-bounded sample of labelled texts (PER_LANG texts a language at most, fewer where languages are so many that the whole
-sample would exceed TEXTS; WINDOWS windows of each; every value of lang is learned): only where a window's
+bounded sample of labelled texts (PER_LANG different texts a language at most, those with the least hashes of doc_id and
+text; fewer where languages are so many that the whole sample would exceed TEXTS, but LEAST_TEXTS at least; WINDOWS
+windows of each; every value of lang is learned, and none without a text): only where a window's
 largest responses lie does a gradient flow, so a step costs little more than a forward pass. A text is read whole, in
 windows side by side; its language is that of the mean log probability over its windows.
 
 Nulls and edge cases: a null text or one without letters is `und` with score 0; a null lang or doc_id isn't learned
 from; an empty table, or one without any label, gives `und` for all; repeated rows each give a row; long texts are
-worked off in batches of windows; other columns are ignored.
+worked off in batches of windows; other columns are ignored, and where they are to be kept, ones called lang_pred or
+score are replaced.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,13 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.common import prepare, strings, utf8
+from paperloom.llm.common import prepare, release, strings, utf8, without
 
 WINDOW = 256
 NONE = "und"
 WIDTHS, FILTERS, EMBED = (2, 3, 4, 5), 8, 6
 #: The sample's bound: texts a language, windows a text, texts; but LEAST_TEXTS a language however many there are.
-PER_LANG, WINDOWS, TEXTS, LEAST_TEXTS = 2500, 3, 500_000, 20
+PER_LANG, WINDOWS, TEXTS, LEAST_TEXTS = 2500, 3, 100_000, 20
 #: Bits of a trigram's hash; the share of held-out windows that may be odd, and how much further off a text has to be.
 TRIGRAM_BITS, FEWEST, SLACK = 18, 0.01, 5.0
 #: Steps that training takes at least, however few windows there are.
@@ -70,42 +73,53 @@ def _mask() -> np.ndarray:
     return np.concatenate([np.repeat((np.arange(widest * EMBED) < w * EMBED)[:, None], FILTERS, axis=1) for w in WIDTHS], axis=1).astype(np.float32)
 
 
+def gradients(net: Net, w: np.ndarray, y: np.ndarray, weigh: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """The weighted mean cross entropy of windows w with languages y, and what it changes by with each of the network's
+    arrays, in their order."""
+    widest, one = max(WIDTHS), np.arange(len(y))
+    patches, r = net.responses(w)
+    best = r.argmax(axis=1)  # windows x filters
+    top = np.take_along_axis(r, best[:, None, :], axis=1)[:, 0] + net.bias
+    pooled = np.maximum(top, 0)
+    z = pooled @ net.weights + net.offset
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    loss = float((-np.log(np.maximum(p[one, y], 1e-30)) * weigh[y]).mean())
+    p[one, y] -= 1
+    p *= weigh[y][:, None] / len(y)
+    back = (p @ net.weights.T) * (top > 0)
+    picked = patches.reshape(len(w), -1, widest * EMBED)[one[:, None], best]  # windows x filters x patch
+    g_filters = np.einsum("wf,wfk->kf", back, picked) * _mask()
+    g_patch = back[:, :, None] * net.filters.T[None]  # windows x filters x patch
+    g_embed = np.zeros_like(net.embed)
+    byte = w[one[:, None, None], best[:, :, None] + np.arange(widest)]
+    np.add.at(g_embed, byte.reshape(-1), g_patch.reshape(-1, EMBED))
+    return loss, [g_embed, g_filters, back.sum(0), pooled.T @ p, p.sum(0)]
+
+
+def started(langs: list[str], rng: np.random.Generator) -> Net:
+    mask, f32 = _mask(), np.float32
+    n = mask.shape[1]
+    return Net(langs, rng.normal(0, 0.5, (256, EMBED)).astype(f32), (rng.normal(0, 0.3, mask.shape) * mask).astype(f32), np.zeros(n, f32), rng.normal(0, 0.1, (n, len(langs))).astype(f32), np.zeros(len(langs), f32))
+
+
 def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], epochs: int = 6, batch: int = 64, rate: float = 4e-3, seed: int = 7) -> Net:
     """windows: n x WINDOW bytes; labels: places in langs. Languages weigh the same however many windows they have."""
-    rng = np.random.default_rng(seed)
-    mask, f32 = _mask(), np.float32
-    n_filters = mask.shape[1]
-    net = Net(langs, rng.normal(0, 0.5, (256, EMBED)).astype(f32), (rng.normal(0, 0.3, mask.shape) * mask).astype(f32), np.zeros(n_filters, f32), rng.normal(0, 0.1, (n_filters, len(langs))).astype(f32), np.zeros(len(langs), f32))
+    rng, f32 = np.random.default_rng(seed), np.float32
+    net = started(langs, rng)
     params = [net.embed, net.filters, net.bias, net.weights, net.offset]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     share = np.bincount(labels, minlength=len(langs)).clip(1)
     weigh = (len(labels) / len(langs) / share).astype(f32)
-    t, widest = 0, max(WIDTHS)
+    t = 0
     epochs = max(epochs, -(-LEAST_STEPS * batch // max(1, len(labels))))
     for epoch in range(epochs):
         order = rng.permutation(len(labels))
         for lo in range(0, len(order), batch):
             at = order[lo : lo + batch]
-            w, y = windows[at], labels[at]
-            patches, r = net.responses(w)
-            best = r.argmax(axis=1)  # windows x filters
-            top = np.take_along_axis(r, best[:, None, :], axis=1)[:, 0] + net.bias
-            pooled = np.maximum(top, 0)
-            z = pooled @ net.weights + net.offset
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(y)), y] -= 1
-            p *= weigh[y][:, None] / len(y)
-            back = (p @ net.weights.T) * (top > 0)
-            picked = patches.reshape(len(w), -1, widest * EMBED)[np.arange(len(w))[:, None], best]  # windows x filters x patch
-            g_filters = np.einsum("wf,wfk->kf", back, picked) * mask
-            g_patch = back[:, :, None] * net.filters.T[None]  # windows x filters x patch
-            g_embed = np.zeros_like(net.embed)
-            byte = w[np.arange(len(w))[:, None, None], best[:, :, None] + np.arange(widest)]
-            np.add.at(g_embed, byte.reshape(-1), g_patch.reshape(-1, EMBED))
             t += 1
             step = rate * (1 - 0.9 * (epoch * len(order) + lo) / (epochs * len(order)))
-            for i, g in enumerate((g_embed, g_filters, back.sum(0), pooled.T @ p, p.sum(0))):
+            for i, g in enumerate(gradients(net, windows[at], labels[at], weigh)[1]):
                 m[i] = 0.9 * m[i] + 0.1 * g
                 v[i] = 0.999 * v[i] + 0.001 * g * g
                 params[i] -= (step * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)).astype(f32)
@@ -144,16 +158,18 @@ def predict(net: Net, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _sample(windows_a_text: int):
+    """Per row: lang, key, and its windows' bytes one after the other."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
-            buf, off = utf8(b.column("text"))
-            langs, out = b.column("lang").to_pylist(), []
-            for i, lang in enumerate(langs):
+            (buf, off), out = utf8(b.column("text")), []
+            for i in range(b.num_rows):
                 w = cut(buf[off[i] : off[i + 1]])
                 # windows spread over the text; the first one starts at a byte that the text decides
-                for k in np.unique((np.arange(windows_a_text) + zlib.crc32(w[0].tobytes()) / 2**32) * len(w) // windows_a_text).astype(int):
-                    out.append((lang, w[min(k, len(w) - 1)].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary())], ["lang", "bytes"])
+                at = np.unique((np.arange(windows_a_text) + zlib.crc32(w[0].tobytes()) / 2**32) * len(w) // windows_a_text).astype(int)
+                out.append(w[np.minimum(at, len(w) - 1)].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("key"), pa.array(out, pa.binary())], ["lang", "key", "bytes"])
 
     return run
 
@@ -190,29 +206,30 @@ def _trigrams(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - TRIGRAM_BITS), ok[:-2] & ok[1:-1] & ok[2:]
 
 
-def familiar(docs: DataFrame, per_lang: int = PER_LANG) -> Familiar | None:
-    """Learns trigrams from the texts that fitted() learns from, each language counting the same. Held-out texts tell
+@dataclass
+class Sample:
+    """Windows, the place of each one's language, and the languages."""
+
+    windows: np.ndarray
+    labels: np.ndarray
+    langs: list[str]
+
+
+def familiar(learned: Sample | None, tested: Sample | None) -> Familiar | None:
+    """Learns trigrams from the windows that fit() learns from, each language counting the same. Held-out windows tell
     how likely is enough: their median less SLACK times its distance to their FEWEST quantile."""
-    prepare(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    docs = docs.filter("doc_id is not null and lang is not null and text is not null")
-    learned = _picked(docs.filter(~held_out()), per_lang, WINDOWS)
     if learned is None:
         return None
     p = np.zeros(1 << TRIGRAM_BITS)
-    langs, rows = learned[1].column("lang").to_pylist(), _bytes(learned[1])
-    starts = [i for i in range(len(langs)) if not i or langs[i] != langs[i - 1]]
-    for lo, hi in zip(starts, [*starts[1:], len(langs)]):
-        here = np.zeros(len(p))
-        for at in range(lo, hi, 4096):
-            code, whole = _trigrams(np.pad(rows[at : min(at + 4096, hi)], ((0, 0), (0, 1))).reshape(-1))
+    for k in range(len(learned.langs)):
+        rows, here = learned.windows[learned.labels == k], np.zeros(len(p))
+        for at in range(0, len(rows), 4096):
+            code, whole = _trigrams(np.pad(rows[at : at + 4096], ((0, 0), (0, 1))).reshape(-1))
             here += np.bincount(code[whole], minlength=len(p))
-        p += here / max(1.0, here.sum()) / len(starts)
+        p += here / max(1.0, here.sum()) / len(learned.langs)
     got = Familiar(np.log(0.99 * p + 0.01 / len(p)).astype(np.float32), -np.inf)
-    tested = _picked(docs.filter(held_out()), per_lang, WINDOWS)
     if tested is not None:
-        x = _bytes(tested[1])
-        scores = got.scores(x.reshape(-1), np.arange(len(x) + 1, dtype=np.int64) * WINDOW)
+        scores = got.scores(tested.windows.reshape(-1), np.arange(len(tested.windows) + 1, dtype=np.int64) * WINDOW)
         scores = scores[scores < 0]
         if len(scores):
             middle = float(np.median(scores))
@@ -220,31 +237,39 @@ def familiar(docs: DataFrame, per_lang: int = PER_LANG) -> Familiar | None:
     return got
 
 
-def _bytes(sample: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(sample.column("bytes").to_pylist()), np.uint8).reshape(sample.num_rows, WINDOW)
-
+def sampled(labelled: DataFrame, per_lang: int = PER_LANG, windows: int = WINDOWS) -> Sample | None:
+    """labelled: doc_id, text, lang. A bounded sample of the rows that have a text and a language; None without any.
 
-def _picked(labelled: DataFrame, per_lang: int, windows: int) -> tuple[list[str], pa.Table] | None:
-    """The languages, the most frequent first, and windows of a sample of their texts."""
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    A text's key hashes doc_id and text. Each language's number of different keys is estimated, and rows are read whose
+    keys lie below a share that leaves somewhat more than per_lang of them; all, where there are no more. Repeated rows
+    become one before they reach the driver, which sorts by key and cuts off exactly at per_lang."""
+    spark = prepare(labelled.sparkSession)
+    rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = rows.filter("doc_id is not null and lang is not null and text is not null").withColumn("key", F.xxhash64("doc_id", "text"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("n")).collect()
     if not counts:
         return None
-    langs = [r[0] for r in counts]
-    per_lang = min(per_lang, max(LEAST_TEXTS, TEXTS // len(langs)))
-    shares = labelled.sparkSession.createDataFrame([(lang, min(1.0, per_lang / n)) for lang, n in counts], "lang string, share double")
-    picked = labelled.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
-    return langs, picked.select("lang", "text").mapInArrow(_sample(windows), "lang string, bytes binary").orderBy("lang", "bytes").toArrow()
-
-
-def fit(labelled: DataFrame, per_lang: int = PER_LANG, windows: int = WINDOWS) -> Net | None:
-    """labelled: doc_id, text, lang, all not null. Learns every language, from about per_lang texts of each or an even
-    share of TEXTS, those with the least hashes of doc_id."""
-    sample = _picked(labelled, per_lang, windows)
-    if sample is None:
-        return None
-    langs, got = sample
-    place = {x: i for i, x in enumerate(langs)}
-    return train(_bytes(got), np.array([place[v] for v in got.column("lang").to_pylist()]), langs)
+    per_lang = min(per_lang, max(LEAST_TEXTS, TEXTS // len(counts)))
+    more = 1.15 * per_lang + 5 * math.sqrt(per_lang) + 16
+    shares = spark.createDataFrame([(lang, min(1.0, more / max(1, n))) for lang, n in counts], "lang string, share double")
+    picked = rows.join(F.broadcast(shares), "lang").filter(F.pmod("key", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    picked = picked.select("lang", "key", "text").mapInArrow(_sample(windows), "lang string, key long, bytes binary")
+    got = picked.groupBy("lang", "key").agg(F.min("bytes").alias("bytes")).toArrow()
+    # below a share keys go by their value modulo 2**30, so that is their order
+    key = got.column("key").to_numpy()
+    texts = sorted(zip(got.column("lang").to_pylist(), (key % (1 << 30)).tolist(), key.tolist(), got.column("bytes").to_pylist()))
+    langs, labels, parts, taken = sorted({t[0] for t in texts}), [], [], 0
+    place = {lang: i for i, lang in enumerate(langs)}
+    for i, (lang, _, _, some) in enumerate(texts):
+        taken = taken + 1 if i and texts[i - 1][0] == lang else 1
+        if taken <= per_lang:
+            parts.append(some)
+            labels += [place[lang]] * (len(some) // WINDOW)
+    return Sample(np.frombuffer(b"".join(parts), np.uint8).reshape(-1, WINDOW), np.array(labels), langs)
+
+
+def fit(sample: Sample | None) -> Net | None:
+    return None if sample is None else train(sample.windows, sample.labels, sample.langs)
 
 
 def held_out() -> Column:
@@ -253,15 +278,20 @@ def held_out() -> Column:
 
 def fitted(docs: DataFrame, per_lang: int = PER_LANG) -> Net | None:
     """Learns from the rows of docs (doc_id, text, lang) that have all three and aren't held out."""
-    prepare(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    return fit(docs.filter("doc_id is not null and lang is not null and text is not null").filter(~held_out()), per_lang)
+    return fit(sampled(docs.filter(~held_out()), per_lang))
+
+
+def fitted_with_familiar(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[Net | None, Familiar | None]:
+    """The network and the trigrams, from one sample of the rows that aren't held out and one of those that are."""
+    learned = sampled(docs.filter(~held_out()), per_lang)
+    return fit(learned), familiar(learned, sampled(docs.filter(held_out()), per_lang))
 
 
 def annotated(docs: DataFrame, net: Net | None, known: Familiar | None = None) -> DataFrame:
-    """docs with lang_pred and score; with known, a text that isn't likely enough there is `und` with score 0 too.
-    docs: any columns with text, but not these two."""
+    """docs (any columns with text) with lang_pred and score, in the place of columns that were called so; with known, a
+    text that isn't likely enough there is `und` with score 0 too."""
     prepare(docs.sparkSession)
+    docs = without(docs, "lang_pred", "score")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.mapInArrow(_predict(net, known), schema)
 
@@ -275,6 +305,7 @@ def identified(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
 
 def _predict(net: Net | None, likely: Familiar | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             texts = strings(b.column("text"))
             known = np.array([net is not None and any(map(str.isalpha, t)) for t in texts], bool)

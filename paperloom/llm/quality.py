@@ -2,15 +2,16 @@
 
 A text becomes a few statistics of its characters and words. Cosines of random projections of the standardised
 statistics approximate a Gaussian kernel. Each partition sums its part of the normal equations, the parts are added in
-two levels, and the driver solves one small system. Raw scores are counted in a fixed number of bins, with their
-labels, and a monotone step fit over the bins, joined by lines, gives the score: how likely label 1 is.
+two levels, and the driver solves small systems. Rows are in two halves by their doc_id; raw scores of either half under
+the other half's weights are counted in a fixed number of bins, with their labels, and a monotone step fit over the bins,
+joined by lines, gives the score: how likely label 1 is. Scores then come from the weights of both halves together.
 
 Labels are learned from all labelled rows that aren't held out; nothing is sampled.
 
 Nulls and edge cases: a null text counts as empty and is scored by its statistics (all zero); a null doc_id is never
 held out and has no label; labels other than 0 and 1 are left out; without labels of both kinds every score is the
-labels' mean, or 0.5 without any; repeated rows each give a row; an empty table gives no rows; other columns are
-ignored.
+labels' mean, or 0.5 without any; repeated rows each give a row; a very long text is measured in parts; an empty table
+gives no rows; other columns are ignored, and where they are to be kept, ones called score or predicted are replaced.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.common import prepare, utf8, written
+from paperloom.llm.common import discard, prepare, release, spare, utf8, without, written
 from paperloom.llm.shingles import words
 
 NAMES = ("chars", "letters", "upper", "digits", "spaces", "stops", "bangs", "symbols", "wide", "word_length", "distinct", "top", "again", "pairs")
@@ -82,10 +83,20 @@ def statistics(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.column_stack([np.log1p(chars), letters / some, upper / lettered, digits / some, spaces / some, stops / some, bangs / some, symbols / some, wide / lettered, np.log1p(letters / w), distinct / w, top / w, again / w, pairs])
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        x = statistics(*utf8(b.column("text")))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), *(pa.array(c) for c in np.ascontiguousarray(x.T))], ["doc_id", "held_out", *NAMES])
+_STATISTICS = T.StructType([T.StructField(n, T.DoubleType()) for n in NAMES])
+
+
+def _measure(keep: list[str], name: str):
+    """The columns to keep, and the texts' statistics as a struct."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for b in batches:
+            x = statistics(*utf8(b.column("text")))
+            struct = pa.StructArray.from_arrays([pa.array(c) for c in np.ascontiguousarray(x.T)], list(NAMES))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), struct], [*keep, name])
+
+    return run
 
 
 class Model:
@@ -126,98 +137,109 @@ def _matrix(b: pa.RecordBatch) -> np.ndarray:
 
 
 def _normal(model: Model):
+    """Both halves' sums for the normal equations."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((FEATURES + 1, FEATURES + 2))
+        total = np.zeros((2, FEATURES + 1, FEATURES + 2))
         for b in batches:
-            f = model.features(_matrix(b))
-            total += f.T @ np.column_stack([f, b.column("y").to_numpy()])
+            f, half, y = model.features(_matrix(b)), b.column("half").to_numpy(), b.column("y").to_numpy()
+            for k in (0, 1):
+                total[k] += f[half == k].T @ np.column_stack([f, y])[half == k]
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
 
     return run
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((FEATURES + 1) * (FEATURES + 2))
+    total = np.zeros(2 * (FEATURES + 1) * (FEATURES + 2))
     for b in batches:
         for part in b.column("part").to_pylist():
             total += np.frombuffer(part)
     yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
 
 
-def _raw(model: Model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bins = ((model.raw(_matrix(b)) - LOW) / (HIGH - LOW) * BINS).astype(np.int32).clip(0, BINS - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(bins), b.column("y")], ["bin", "y"])
+def solved(sums: np.ndarray) -> np.ndarray:
+    """Ridge weights; the constant, which is the last feature, is hardly held back. Its sum of squares counts the rows."""
+    n = max(sums[-1, -2], 1.0)
+    ridge = np.eye(FEATURES + 1) * RIDGE * n
+    ridge[-1, -1] = 1e-9 * n
+    return np.linalg.solve(sums[:, :-1] + ridge, sums[:, -1])
 
-    return run
 
+def _raw(model: Model, weights: list[np.ndarray]):
+    """Bins of raw scores: a row's half is scored by the weights at the half's place."""
 
-def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = model.score(_matrix(b))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            f, half = model.features(_matrix(b)), b.column("half").to_numpy()
+            raw = np.clip(np.where(half == 0, f @ weights[0], f @ weights[1]), LOW, HIGH)
+            bins = ((raw - LOW) / (HIGH - LOW) * BINS).astype(np.int32).clip(0, BINS - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(bins), b.column("y")], ["bin", "y"])
 
     return run
 
 
-def _annotate(model: Model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = model.score(statistics(*utf8(b.column("text"))))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], [*b.schema.names, "score", "predicted"])
+def _scorer(model: Model):
+    @F.arrow_udf(T.DoubleType())
+    def score(statistics_: pa.Array) -> pa.Array:
+        return pa.array(model.score(np.column_stack([statistics_.field(n).to_numpy() for n in NAMES])) if len(statistics_) else [], pa.float64())
 
-    return run
+    return score
 
 
 def fit(measured: DataFrame, labels: DataFrame) -> Model:
     """measured: doc_id, held_out, NAMES; labels: doc_id, quality."""
     spark = measured.sparkSession
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).filter("doc_id is not null and y in (0, 1)")
-    train = written(measured.filter("not held_out").join(marks, "doc_id").select("y", *NAMES), "train")
-    sums = train.agg(F.count("*"), F.avg("y"), *(f(n) for n in NAMES for f in (F.avg, F.stddev_pop))).first()
-    n, mean_y = sums[0], sums[1]
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half")
+    train = written(measured.filter("not held_out").join(marks, "doc_id").select("y", half, *NAMES), "train")
+    sums = train.agg(F.count("*"), F.avg("y"), F.sum("half"), *(f(n) for n in NAMES for f in (F.avg, F.stddev_pop))).first()
+    n, mean_y, second = sums[0], sums[1], sums[2]
     if not n or mean_y in (0.0, 1.0):
         model = Model(np.zeros(len(NAMES)), np.ones(len(NAMES)))
         model.steps = (np.zeros(1), np.full(1, mean_y if n else 0.5))
         return model
-    scale = np.array(sums[3::2], float)
-    model = Model(np.array(sums[2::2], float), np.where(scale > 1e-9, scale, 1.0))
+    scale = np.array(sums[4::2], float)
+    model = Model(np.array(sums[3::2], float), np.where(scale > 1e-9, scale, 1.0))
     parts = train.mapInArrow(_normal(model), "part binary")
     width = max(1, int(int(spark.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
     total = parts.repartition(width).mapInArrow(_add, "part binary").repartition(1).mapInArrow(_add, "part binary").first()
-    a = np.frombuffer(bytes(total[0])).reshape(FEATURES + 1, FEATURES + 2)
-    ridge = np.eye(FEATURES + 1) * RIDGE * n
-    ridge[-1, -1] = 1e-9 * n
-    model.weights = np.linalg.solve(a[:, :-1] + ridge, a[:, -1])
-    rows = np.array(train.mapInArrow(_raw(model), "bin int, y double").groupBy("bin").agg(F.avg("y"), F.count("*")).orderBy("bin").collect(), float)
+    a = np.frombuffer(bytes(total[0])).reshape(2, FEATURES + 1, FEATURES + 2)
+    model.weights = solved(a[0] + a[1])
+    crossed = [solved(a[1]), solved(a[0])] if 0 < second < n else [model.weights] * 2
+    rows = np.array(train.mapInArrow(_raw(model, crossed), "bin int, y double").groupBy("bin").agg(F.avg("y"), F.count("*")).orderBy("bin").collect(), float)
     model.steps = isotonic(LOW + (rows[:, 0] + 0.5) * (HIGH - LOW) / BINS, rows[:, 1], rows[:, 2])
+    discard(train)
     return model
 
 
-def _measured(docs: DataFrame) -> DataFrame:
-    prepare(docs.sparkSession)
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, held_out boolean, " + ", ".join(f"{n} double" for n in NAMES)
-    return texts.mapInArrow(_measure, schema)
+def held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def _with_scores(measured: DataFrame, name: str, labels: DataFrame) -> DataFrame:
+    """measured (doc_id and others, with statistics called name; written) with score and predicted. Only the statistics
+    go to Python, other columns stay where they are."""
+    model = fit(measured.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), f"{name}.*"), labels)
+    return measured.withColumn("score", _scorer(model)(F.col(name))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs: doc_id, text. Per row: doc_id, held_out, score, predicted. Texts are read once: their statistics are
     written and serve both training and scoring."""
-    measured = written(_measured(docs), "statistics")
-    return measured.mapInArrow(_score(fit(measured, labels)), "doc_id long, held_out boolean, score double, predicted int")
-
-
-def fitted(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model that docs (doc_id, text) and their labels give."""
-    return fit(written(_measured(docs), "statistics"), labels)
+    prepare(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
+    schema = T.StructType([*texts.schema.fields[:2], T.StructField("statistics", _STATISTICS)])
+    measured = written(texts.mapInArrow(_measure(["doc_id", "held_out"], "statistics"), schema), "statistics")
+    return _with_scores(measured, "statistics", labels).select("doc_id", "held_out", "score", "predicted")
 
 
-def annotated(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score and predicted, without a shuffle. docs: any columns with text, but not these two."""
+def annotated(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs (doc_id, text and any other columns) with score and predicted, in the place of columns that were called so.
+    Rows are written once with their statistics, so that texts are measured once and not shuffled."""
     prepare(docs.sparkSession)
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.mapInArrow(_annotate(model), schema)
+    docs = without(docs, "score", "predicted")
+    (name,) = spare(docs, "statistics")
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, _STATISTICS)])
+    measured = written(docs.mapInArrow(_measure(docs.columns, name), schema), "measured")
+    return _with_scores(measured, name, labels).drop(name)

@@ -35,6 +35,57 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.identified(df.withColumn("lang", df.lang.substr(9, 1)).filter("lang <> ''")).collect()} == set()
 
 
+def test_network_by_hand():
+    """The network's output against sums written out place by place, and its gradients against small differences."""
+    rng = np.random.default_rng(5)
+    net = langid.started(["p", "q", "r"], rng)
+    for name in ("embed", "filters", "bias", "weights", "offset"):
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    net.bias += rng.normal(0, 0.2, net.bias.shape)
+    w, y, weigh = rng.integers(0, 256, (4, langid.WINDOW), dtype=np.uint8), np.array([0, 1, 2, 1]), np.array([0.5, 1.0, 2.0])
+    want = np.zeros((4, 3))
+    for i in range(4):
+        pooled = []
+        for f in range(len(net.bias)):
+            width = langid.WIDTHS[f // langid.FILTERS]
+            kernel = net.filters[:, f].reshape(-1, langid.EMBED)
+            places = langid.WINDOW - max(langid.WIDTHS) + 1
+            best = max(sum(float(net.embed[w[i, at + k]] @ kernel[k]) for k in range(width)) for at in range(places))
+            pooled.append(max(0.0, best + net.bias[f]))
+        z = np.array(pooled) @ net.weights + net.offset
+        want[i] = z - np.log(np.exp(z).sum())
+    assert np.allclose(net.log_probs(w), want)
+    loss, grads = langid.gradients(net, w, y, weigh)
+    assert np.isclose(loss, (-want[np.arange(4), y] * weigh[y]).mean())
+    for name, g in zip(("embed", "filters", "bias", "weights", "offset"), grads):
+        x = getattr(net, name)
+        flat = np.flatnonzero(np.abs(g) > 1e-4)
+        for at in rng.choice(flat, min(12, len(flat)), replace=False):
+            kept, h = x.flat[at], 1e-6
+            x.flat[at] = kept + h
+            up = langid.gradients(net, w, y, weigh)[0]
+            x.flat[at] = kept - h
+            down = langid.gradients(net, w, y, weigh)[0]
+            x.flat[at] = kept
+            assert np.isclose((up - down) / (2 * h), g.flat[at], rtol=1e-3, atol=1e-6)
+
+
+def test_sample_is_bounded_and_never_empty(spark):
+    rng = random.Random(9)
+    same = [(7, "ein und derselbe Text", "bb")] * 3000
+    many = [(i, sentence(rng, "aa", 30), "aa") for i in range(900)]
+    few = [(5000, sentence(rng, "cc", 500), "cc")]
+    df = spark.createDataFrame(same + many + few, "doc_id long, text string, lang string")
+    got = langid.sampled(df, per_lang=50)
+    texts = {lang: int((got.labels == k).sum()) for k, lang in enumerate(got.langs)}
+    assert got.langs == ["aa", "bb", "cc"] and texts["bb"] == 1 and 50 <= texts["aa"] <= 50 * langid.WINDOWS and 1 <= texts["cc"] <= langid.WINDOWS
+    again = langid.sampled(df.repartition(13), per_lang=50)
+    assert (again.windows == got.windows).all() and (again.labels == got.labels).all()
+    assert langid.sampled(df.limit(0)) is None and langid.sampled(df.selectExpr("doc_id", "cast(null as string) text", "lang")) is None
+    out = langid.annotated(df.withColumn("score", df.lang), langid.fit(got))
+    assert out.columns == ["doc_id", "text", "lang", "lang_pred", "score"] and {r.lang_pred for r in out.filter("lang = 'aa'").collect()} == {"aa"}
+
+
 def test_windows_join_up():
     net = langid.train(np.random.default_rng(0).integers(0, 255, (64, langid.WINDOW), dtype=np.uint8), np.arange(64) % 2, ["p", "q"], epochs=1)
     texts = ["a" * n for n in (0, 1, 255, 256, 257, 200_000)] + ["é" * 300]
@@ -61,6 +112,57 @@ def test_isotonic():
     assert (np.diff(y) > 0).all() and np.isclose(y[0], 0.025) and np.isclose(y[-1], 0.85) and (np.diff(x) > 0).all()
 
 
+def test_isotonic_by_brute_force():
+    """The mean of least squares among all non-decreasing step functions: max over starts of min over ends of means."""
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        n = int(rng.integers(1, 12))
+        y, w = rng.normal(size=n), rng.integers(1, 5, n).astype(float)
+        x, steps = quality.isotonic(np.arange(float(n)), y, w)
+        mean = lambda a, b: float((y[a : b + 1] * w[a : b + 1]).sum() / w[a : b + 1].sum())
+        want = [max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+        assert np.allclose(np.unique(np.round(want, 9)), np.round(steps, 9)) and (np.diff(x) > 0).all()
+
+
+def test_fit_by_hand(spark):
+    """Weights against one ridge system over all rows, steps against scores across halves, features against the kernel."""
+    rng = np.random.default_rng(8)
+    n = 300
+    x = rng.normal(size=(n, len(quality.NAMES)))
+    y = (x[:, 0] + 0.3 * rng.normal(size=n) > 0).astype(int)
+    measured = spark.createDataFrame([(i, i % 5 == 0, *map(float, r)) for i, r in enumerate(x)], "doc_id long, held_out boolean, " + ", ".join(f"{c} double" for c in quality.NAMES))
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, quality int")
+    model = quality.fit(measured.repartition(7), labels)
+    rows = np.array([i for i in range(n) if i % 5])
+    z = (x - x[rows].mean(0)) / x[rows].std(0)
+    f = model.features(x)
+    assert np.allclose(model.mean, x[rows].mean(0)) and np.allclose(model.scale, x[rows].std(0))
+    hold = np.diag([*[quality.RIDGE * len(rows)] * quality.FEATURES, 1e-9 * len(rows)])
+    want = np.linalg.solve(f[rows].T @ f[rows] + hold, f[rows].T @ y[rows])
+    assert np.allclose(model.weights, want, atol=1e-6)
+    kernel = np.exp(-((z[:40, None] - z[None, :40]) ** 2).sum(-1) / (2 * quality.KERNEL_WIDTH**2))
+    assert np.abs(f[:40, :-1] @ f[:40, :-1].T - kernel).mean() < 0.08
+    half = np.array([r[0] for r in spark.range(n).selectExpr("pmod(xxhash64(id), 2) h").collect()])
+    raw = np.zeros(n)
+    for k in (0, 1):
+        other = rows[half[rows] != k]
+        hold = np.diag([*[quality.RIDGE * len(other)] * quality.FEATURES, 1e-9 * len(other)])
+        raw[half == k] = f[half == k] @ np.linalg.solve(f[other].T @ f[other] + hold, f[other].T @ y[other])
+    bins = ((np.clip(raw, quality.LOW, quality.HIGH) - quality.LOW) / (quality.HIGH - quality.LOW) * quality.BINS).astype(int).clip(0, quality.BINS - 1)
+    at = np.unique(bins[rows])
+    steps = quality.isotonic(quality.LOW + (at + 0.5) * (quality.HIGH - quality.LOW) / quality.BINS, np.array([y[rows][bins[rows] == b].mean() for b in at]), np.array([(bins[rows] == b).sum() for b in at], float))
+    assert np.allclose(model.steps[0], steps[0], atol=1e-6) and np.allclose(model.steps[1], steps[1], atol=1e-6)
+
+
+def test_quality_keeps_other_columns(spark):
+    docs = spark.createDataFrame([(i, "a word or two " * (i % 9), "old", "x", i) for i in range(60)] + [(None, None, "old", "x", 1), (60, "w " * 300_000, "old", "x", 1)], "doc_id long, text string, Score string, statistics string, held_out int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    got = quality.annotated(docs, labels)
+    assert got.columns == ["doc_id", "text", "statistics", "held_out", "score", "predicted"]
+    want = {(r.doc_id, r.score, r.predicted) for r in quality.scored(docs, labels).collect()}
+    assert {(r.doc_id, r.score, r.predicted) for r in got.collect()} == want and {r.statistics for r in got.collect()} == {"x"}
+
+
 def test_quality(spark):
     rng = random.Random(2)
     good = lambda: sentence(rng, "aa", rng.randrange(20, 200))
