@@ -2,10 +2,10 @@
 
 A payload is stored as the samples of an 8-bit grey PNG, WIDTH to a row. Each task writes its images as members of one
 zip archive in a folder that all executors share. The data source `paperloom_archive` lists the folder, reads of each
-archive only the end record and plans partitions as byte ranges of its member area; a task reads the archive's
-directory, takes the members whose header lies in its range, and yields them in Arrow batches of bounded size. A member
-that can't be read is tried again on its own, from its offset, through a newly opened file; one that still fails comes
-as a row with its error.
+archive only the end record and plans partitions as byte ranges of its member area; a task opens the archive once, reads
+its directory, and streams the members whose header lies in its range: one read of neighbouring members an Arrow batch
+of bounded size. A member that such a read doesn't bring whole is tried again on its own, from its offset, through a
+newly opened file; one that still fails comes as a row with its error.
 
 Nulls and edge cases: a null text counts as empty and becomes one row of spaces; null doc_ids stay null; repeated rows
 are members of their own; a partition without rows writes nothing, an empty table gives no rows; a very long text is one
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from paperloom.llm.common import filesystem, new_path, prepare, publish
+from paperloom.llm.common import filesystem, new_path, prepare, publish, release
 
 WIDTH = 192
 #: Bytes of a read partition and of an Arrow batch; tries of a member.
@@ -97,6 +97,7 @@ def write_archives(docs: DataFrame, path: str) -> int:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        release()
         fs, root = filesystem(path)
         context = TaskContext.get()
         name = f"{root}/archive-{context.partitionId():06d}"
@@ -139,27 +140,50 @@ def member_area(f, size: int) -> int:
     return offset
 
 
+def member_data(block: bytes, at: int, info: zipfile.ZipInfo) -> bytes:
+    """A stored member's bytes in a block of the archive, its header at a place there; its check sum is tested."""
+    head = block[at : at + 30]
+    if len(head) < 30 or head[:4] != b"PK\x03\x04":
+        raise ValueError("no member here")
+    name, extra = struct.unpack("<HH", head[26:30])
+    at += 30 + name + extra
+    data = block[at : at + info.file_size]
+    if len(data) != info.file_size or zlib.crc32(data) != info.CRC:
+        raise ValueError("the check sum differs")
+    return data
+
+
+#: Bytes of a member's header beside its name and data, at most: what zip writers add.
+_SLACK = 30 + 64
+
+
 def read_member(open_file, info: zipfile.ZipInfo, tries: int = TRIES) -> bytes:
-    """A stored member's bytes from its offset; each try opens the file anew and tests the check sum."""
+    """A stored member's bytes from its offset; each try opens the file anew."""
     for left in reversed(range(tries)):
         try:
             with open_file() as f:
                 f.seek(info.header_offset)
-                head = f.read(30)
-                if head[:4] != b"PK\x03\x04":
-                    raise ValueError("no member here")
-                name, extra = struct.unpack("<HH", head[26:30])
-                f.seek(info.header_offset + 30 + name + extra)
-                data = f.read(info.file_size)
-            if len(data) != info.file_size or zlib.crc32(data) != info.CRC:
-                raise ValueError("the check sum differs")
-            return data
+                return member_data(f.read(_SLACK + len(info.filename.encode()) + info.file_size), 0, info)
         except (OSError, ValueError):
             if not left:
                 raise
     raise AssertionError
 
 
+def neighbours(members: list[zipfile.ZipInfo], most: int) -> Iterator[list[zipfile.ZipInfo]]:
+    """Members in the order of their places, in runs of about most bytes; a larger one is a run of its own."""
+    run: list[zipfile.ZipInfo] = []
+    size = 0
+    for info in sorted(members, key=lambda i: i.header_offset):
+        if run and size + info.file_size > most:
+            yield run
+            run, size = [], 0
+        run.append(info)
+        size += info.file_size
+    if run:
+        yield run
+
+
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.range_bytes = options["path"], int(options.get("rangeBytes", RANGE_BYTES))
@@ -180,23 +204,30 @@ class ArchiveReader(DataSourceReader):
         if not partition.archive:
             return
         fs, _ = filesystem(self.path)
-        with fs.open_input_file(partition.archive) as f, zipfile.ZipFile(f) as z:
-            mine = [i for i in z.infolist() if partition.lo <= i.header_offset < partition.hi]
-        rows: list[tuple] = []
-        size = 0
-        for info in mine:
-            _, doc_id, n = info.filename.removesuffix(".png").split("_")
+        with fs.open_input_file(partition.archive) as f:
+            with zipfile.ZipFile(f) as z:  # reads the directory; leaves the file open
+                mine = [i for i in z.infolist() if partition.lo <= i.header_offset < partition.hi]
+            for run in neighbours(mine, BATCH_BYTES):
+                first, last = run[0].header_offset, run[-1]
+                try:
+                    f.seek(first)
+                    block = f.read(last.header_offset - first + _SLACK + len(last.filename.encode()) + last.file_size)
+                except OSError:
+                    block = b""
+                yield self._batch([self._row(partition.archive, info, block, info.header_offset - first, fs) for info in run])
+
+    @staticmethod
+    def _row(archive: str, info: zipfile.ZipInfo, block: bytes, at: int, fs) -> tuple:
+        _, doc_id, n = info.filename.removesuffix(".png").split("_")
+        data = error = None
+        try:
             try:
-                data, error = read_member(lambda: fs.open_input_file(partition.archive), info), None
-            except (OSError, ValueError) as e:
-                data, error = None, str(e)
-            rows.append((int(doc_id) if doc_id else None, int(n), partition.archive, info.header_offset, data, error))
-            size += info.file_size
-            if size >= BATCH_BYTES:
-                yield self._batch(rows)
-                rows, size = [], 0
-        if rows:
-            yield self._batch(rows)
+                data = member_data(block, at, info)
+            except ValueError:
+                data = read_member(lambda: fs.open_input_file(archive), info)
+        except (OSError, ValueError) as e:
+            error = str(e)
+        return int(doc_id) if doc_id else None, int(n), archive, info.header_offset, data, error
 
     @staticmethod
     def _batch(rows: list[tuple]) -> pa.RecordBatch:

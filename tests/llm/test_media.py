@@ -37,6 +37,29 @@ def test_ranges_split_archives(spark, documents):
     assert all(media.samples(bytes(r.media)).tobytes() == media.payload(rows[r.doc_id][1].encode()) for r in got)
 
 
+def test_a_range_is_opened_once(spark, documents, monkeypatch):
+    """All members of a range come through one open file, in few reads; only what fails is opened again."""
+    path = new_path(spark, "media")
+    media.write_archives(documents([(i, f"text {i} " * 50) for i in range(60)]).coalesce(1), path)
+    fs, _ = media.filesystem(path)
+    opened = []
+
+    class Counted:
+        def open_input_file(self, name):
+            opened.append(name)
+            return fs.open_input_file(name)
+
+        def __getattr__(self, name):
+            return getattr(fs, name)
+
+    reader = media.ArchiveReader({"path": path})
+    (whole,) = reader.partitions()
+    monkeypatch.setattr(media, "filesystem", lambda uri: (Counted(), uri))
+    assert [r for b in reader.read(whole) for r in b.column("doc_id").to_pylist()] == list(range(60)) and len(opened) == 1
+    monkeypatch.setattr(media, "BATCH_BYTES", 500)
+    assert sum(b.num_rows for b in reader.read(whole)) == 60 and len(opened) == 2
+
+
 def test_members_are_tried_alone(spark, documents):
     path = new_path(spark, "media")
     media.write_archives(documents([(i, f"text {i}" * 9) for i in range(5)]).coalesce(1), path)
