@@ -4,8 +4,13 @@ A file holds, in ascending doc_id order: a header, blocks of bit-packed ids (eac
 offsets, the documents' ids, null marks and starts, and a fixed trailer that says where these lie. A reader gets any
 range of ids from the blocks that hold it.
 
+Tasks write one range of documents each, sized by documents and by stored bytes. Documents of one doc_id (or of none)
+come in the order of their texts' hashes and may be spread over ranges; rows that repeat both are the same wherever they
+lie. Where a file's ids begin in all ids is summed up in Spark, in two levels.
+
 Nulls and edge cases: a null text counts as empty (its document then holds the end id alone); null doc_ids come first
-and stay null; repeated rows each get a place; an empty table gives no file and no row; other columns are ignored.
+and stay null; repeated rows each get a place; a very long text is held whole by its task; an empty table gives no file
+and no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,15 +23,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from paperloom.llm import wordids
-from paperloom.llm.common import filesystem, new_path, prepare, publish, strings
+from paperloom.llm.common import filesystem, new_path, prepare, publish, strings, written
 
 MAGIC = b"PLBITS01"
 BLOCK_IDS = 1 << 16
 TRAILER = struct.Struct("<QQQQII8s")  # ids, documents, offset of the block table, offset of the documents, block, bits
-#: Documents of a file, about.
-FILE_DOCS = 8192
+#: Documents of a file and bytes that they take where they are stored, about; files whose ids are summed up in one row.
+FILE_DOCS, FILE_BYTES, FILES_A_BLOCK = 8192, 16 << 20, 1024
 
 
 def bits_for(vocab: int) -> int:
@@ -136,14 +142,20 @@ class Reader:
         return self.slice(int(self.starts[i]), int(self.starts[i + 1]))
 
 
-def write_ids(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, path: str, file_docs: int = FILE_DOCS) -> list[tuple[str, int]]:
+def stored_bytes(df: DataFrame) -> int:
+    """What the optimizer knows of df's size; 0 where it knows nothing."""
+    n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return n if n < 1 << 60 else 0
+
+
+def write_ids(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, path: str, file_docs: int = FILE_DOCS) -> DataFrame:
     """Encode documents (doc_id, text) and write files under path in ascending doc_id order. Each task encodes and
-    writes one range of doc_ids; the only shuffle moves the texts there. Returns the files in order with the number of
-    ids before each: one entry a file. A task that runs again writes the same file, which takes its name when whole."""
+    writes one range of documents; the only shuffle moves the texts there. Returns the files (path) with the number of
+    ids before each (before). A task that runs again writes the same file, which takes its name when whole."""
     spark = prepare(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     count = docs.count()
-    if not count:
-        return []
+    ranges = max(1, min(count, max(-(-count // file_docs), -(-stored_bytes(docs) // FILE_BYTES))))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -166,17 +178,24 @@ def write_ids(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, path:
             publish(fs, f"{name}.{context.taskAttemptId()}.tmp", f"{name}.bin")
             yield pa.RecordBatch.from_pydict({"part": [context.partitionId()], "n": [w.ids]}, pa.schema([("part", pa.int32()), ("n", pa.int64())]))
 
-    parts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(max(1, -(-count // file_docs)), F.col("doc_id").asc_nulls_first())
-    done = parts.sortWithinPartitions(F.col("doc_id").asc_nulls_first()).mapInArrow(write, "part int, n long").collect()
-    files, before = [], 0
-    for part, n in sorted(map(tuple, done)):
-        files.append((f"{path}/ids-{part:06d}.bin", before))
-        before += n
-    return files
+    order = [F.col("doc_id").asc_nulls_first(), "text_hash", "spot"]
+    keyed = docs.withColumns({"text_hash": F.xxhash64("text"), "spot": F.monotonically_increasing_id()})
+    parts = keyed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(write, "part int, n long")
+    return with_starts(written(parts, "files", rows=ranges, dealt=True), path)
+
+
+def with_starts(parts: DataFrame, path: str) -> DataFrame:
+    """parts: part, n. Each file's path and the number of ids before it, by blocks of files and within these."""
+    parts = parts.withColumn("block", F.floor(F.col("part") / FILES_A_BLOCK))
+    all_before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row for FILES_A_BLOCK files
+    blocks = parts.groupBy("block").agg(F.sum("n").alias("total")).select("block", F.coalesce(F.sum("total").over(all_before), F.lit(0)).alias("start"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("block").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    name = F.format_string(path.replace("%", "%%") + "/ids-%06d.bin", "part")
+    return parts.withColumn("within", before).join(blocks, "block").select(name.alias("path"), (F.col("start") + F.col("within")).alias("before"))
 
 
-def read_digests(spark: SparkSession, files: list[tuple[str, int]]) -> DataFrame:
-    """One row a document from the files: doc_id, start, n_tokens, ids_crc32, and the width in bits."""
+def read_digests(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """One row a document from the files (path, before): doc_id, start, n_tokens, ids_crc32, and the width in bits."""
     prepare(spark)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,8 +208,7 @@ def read_digests(spark: SparkSession, files: list[tuple[str, int]]) -> DataFrame
                     crc = [zlib.crc32(r.document(i).astype("<u4").tobytes()) for i in range(len(n))]
                     yield pa.RecordBatch.from_arrays([pa.array(r.doc_ids, pa.int64(), mask=r.null), pa.array(r.starts[:-1] + before, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array([r.bits] * len(n), pa.int32())], ["doc_id", "start", "n_tokens", "ids_crc32", "bits"])
 
-    table = spark.createDataFrame(files, "path string, before long").repartition(max(1, len(files)))
-    return table.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, bits int")
+    return files.repartition(max(1, files.count())).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, bits int")
 
 
 def token_files(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 2) -> DataFrame:

@@ -168,10 +168,28 @@ def test_files_of_several_ranges(documents, hub):
     docs = documents([(i * 7 % 100, f"text {i}" * i) for i in range(100)]).repartition(5)
     files = tokenfile.write_ids(docs, JSON, P.PATTERN, 2, tokenfile.new_path(docs.sparkSession, "ids"), file_docs=15)
     got = tokenfile.read_digests(docs.sparkSession, files).orderBy("start").collect()
-    assert len(files) > 3 and [r.doc_id for r in got] == list(range(100))
+    assert files.count() > 3 and [r.doc_id for r in got] == list(range(100))
     assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
 
 
+def test_order_of_equal_ids(documents):
+    """Documents of one doc_id or of none lie in the same order however they are dealt, in several files."""
+    texts = [(7 if i % 3 else None, f"text {i % 40}") for i in range(150)]
+    docs, seen = documents(texts), []
+    for parts in (1, 6):
+        files = tokenfile.write_ids(docs.repartition(parts), JSON, P.PATTERN, 2, tokenfile.new_path(docs.sparkSession, "ids"), file_docs=20)
+        assert files.count() > 4
+        seen.append([tuple(r) for r in tokenfile.read_digests(docs.sparkSession, files).orderBy("start").collect()])
+    assert seen[0] == seen[1] and len(seen[0]) == 150 and [r[0] for r in seen[0]] == [None] * 50 + [7] * 100
+
+
+def test_starts_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(tokenfile, "FILES_A_BLOCK", 4)
+    counts = [(p, p * 3 % 7) for p in range(30) if p % 5]
+    got = {r.path: r.before for r in tokenfile.with_starts(spark.createDataFrame(counts, "part int, n long"), "/a%b").collect()}
+    assert got == {f"/a%b/ids-{p:06d}.bin": sum(n for q, n in counts if q < p) for p, _ in counts}
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=60))
 def test_bound_holds(lengths):
