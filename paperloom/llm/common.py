@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from paperloom.shared import discard, new_path, shared_dir, written
 
-__all__ = ["discard", "filesystem", "held", "new_path", "prepare", "publish", "release", "segments", "shared_dir", "spare", "strings", "utf8", "without", "written"]
+__all__ = ["discard", "filesystem", "held", "new_path", "prepare", "publish", "release", "segments", "shared_dir", "spare", "strings", "undotted", "utf8", "without", "written"]
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Rows and bytes of an Arrow batch: a worker holds one batch of texts, so these bound its memory.
@@ -85,6 +85,13 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
 
 
+def undotted(df: DataFrame) -> DataFrame:
+    """df, its names without dots, which mapInArrow can't read; their order stays, so that toDF gives them back."""
+    if not any("." in c for c in df.columns):
+        return df
+    return df.toDF(*spare(df.select(), *[c.replace(".", "_") for c in df.columns]))
+
+
 def filesystem(uri: str):
     """A pyarrow file system and the path within it, for file:, hdfs:, s3: and the like."""
     from pyarrow import fs

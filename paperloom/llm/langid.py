@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.common import prepare, release, strings, utf8, without
+from paperloom.llm.common import prepare, release, strings, undotted, utf8, without
 
 WINDOW = 256
 NONE = "und"
@@ -292,8 +292,9 @@ def annotated(docs: DataFrame, net: Net | None, known: Familiar | None = None) -
     text that isn't likely enough there is `und` with score 0 too."""
     prepare(docs.sparkSession)
     docs = without(docs, "lang_pred", "score")
+    names, docs = docs.columns, undotted(docs)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(_predict(net, known), schema)
+    return docs.mapInArrow(_predict(net, known), schema).toDF(*names, "lang_pred", "score")
 
 
 def identified(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:

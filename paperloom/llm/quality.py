@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.common import discard, prepare, release, spare, utf8, without, written
+from paperloom.llm.common import discard, prepare, release, spare, undotted, utf8, without, written
 from paperloom.llm.shingles import words
 
 NAMES = ("chars", "letters", "upper", "digits", "spaces", "stops", "bangs", "symbols", "wide", "word_length", "distinct", "top", "again", "pairs")
@@ -239,7 +239,8 @@ def annotated(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Rows are written once with their statistics, so that texts are measured once and not shuffled."""
     prepare(docs.sparkSession)
     docs = without(docs, "score", "predicted")
+    names, docs = docs.columns, undotted(docs)
     (name,) = spare(docs, "statistics")
     schema = T.StructType([*docs.schema.fields, T.StructField(name, _STATISTICS)])
     measured = written(docs.mapInArrow(_measure(docs.columns, name), schema), "measured")
-    return _with_scores(measured, name, labels).drop(name)
+    return _with_scores(measured, name, labels).drop(name).toDF(*names, "score", "predicted")

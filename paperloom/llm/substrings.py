@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import discard, prepare, release, spare, utf8, written
+from paperloom.llm.common import discard, prepare, release, spare, undotted, utf8, written
 from paperloom.llm.shingles import mix
 from paperloom.llm.suffixes import repeated
 
@@ -339,5 +339,6 @@ def stripped(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text and any other columns, whatever their names) with what is left of the texts. A character that
     loses some of its bytes goes. A null text stays null."""
     prepare(docs.sparkSession)
+    names, docs = docs.columns, undotted(docs)
     out, runs, copied = _with_runs(docs)
-    return out.mapInArrow(_strip(docs.columns, runs, copied), docs.schema)
+    return out.mapInArrow(_strip(docs.columns, runs, copied), docs.schema).toDF(*names)

@@ -316,3 +316,52 @@ def test_recall_with_the_pivots_of_large_tables(n_pivots):
         out = vecdup._links(0.9, "<f8")(rows)
         found.update(dict(zip(out.column("rep").to_pylist(), out.column("n").to_pylist())))
     assert set(found.values()) == {1} and len(found) / 4000 > 0.995
+
+
+def test_long_texts_are_compared_whole(spark):
+    rng = random.Random(21)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(150_000)]
+    near, far = list(words), words[:75_000] + [f"v{i}" for i in range(75_000)]
+    for i in range(0, len(near), 40):
+        near[i] = "changed"
+    rows = [(5, " ".join(words)), (3, " ".join(near)), (4, " ".join(far))]
+    got = {r.doc_id: r for r in neardup.grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i: shingle_set(t) for i, t in rows}
+    assert {i: r.n_shingles for i, r in got.items()} == {i: len(x) for i, x in want.items()}
+    assert 100 * len(want[3] & want[5]) >= 75 * len(want[3] | want[5]) and 100 * len(want[4] & want[5]) < 75 * len(want[4] | want[5])
+    assert {i: r.component_id for i, r in got.items()} == {3: 3, 4: 4, 5: 3}
+
+
+def test_stripped_keeps_any_columns(spark):
+    rng = random.Random(22)
+    text = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    shared = text(300)
+    texts = ["x" + shared + "y" * 5, text(250) + shared, text(400), None, "é" * 150, "q" + "é" * 150]
+    schema = "id string, same int, runs string, COPIED int, doc_id long, text string, row string, bucket string, `a.b` string"
+    df = spark.createDataFrame([("i", 1, "r", 2, None if i == 1 else i, t, "w", "b", "ab") for i, t in enumerate(texts)], schema)
+    got = substrings.stripped(df)
+    assert got.schema == df.schema
+    left = {r.doc_id: r.text for r in got.collect()}
+    assert left[0] == "x" + "y" * 5 and left[None] == texts[1][: -len(shared)] and left[2] == texts[2] and left[3] is None
+    assert left[4] == "" and left[5] == "q"
+
+
+def test_hot_window_bucket_is_sorted(spark, monkeypatch):
+    """Very many different strings around one passage: buckets split down to windows, none of which has over 256."""
+    monkeypatch.setattr(substrings, "LARGE", 20)
+    seen = []
+    kept = substrings._found
+    monkeypatch.setattr(substrings, "_found", lambda rows, docs, splits=substrings.SPLITS: seen.append((len(splits), max(r[1] for r in rows.groupBy("bucket").count().collect()))) or kept(rows, docs, splits))
+    rng = random.Random(23)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(196))
+    texts = [(i, "".join(rng.choice("abc") for _ in range(3)) + passage + "".join(rng.choice("abc") for _ in range(5))) for i in range(400)]
+    got = {r.doc_id: r.n_removed for r in substrings.deduplicated(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    count = collections.Counter(w for _, t in texts for w in {(t[i : i + 200], i) for i in range(len(t) - 199)})
+    total = collections.Counter()
+    for (w, _), n in count.items():
+        total[w] += n
+    for i, t in texts:
+        hit = [k for k in range(len(t) - 199) if total[t[k : k + 200]] > 1]
+        assert got[i] == len({x for k in hit for x in range(k, k + 200)})
+    most = dict(seen)
+    assert set(most) == {0, 1, 2} and most[2] > 20 and most[1] > 20 and most[0] <= 256

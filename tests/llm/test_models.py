@@ -155,12 +155,12 @@ def test_fit_by_hand(spark):
 
 
 def test_quality_keeps_other_columns(spark):
-    docs = spark.createDataFrame([(i, "a word or two " * (i % 9), "old", "x", i) for i in range(60)] + [(None, None, "old", "x", 1), (60, "w " * 300_000, "old", "x", 1)], "doc_id long, text string, Score string, statistics string, held_out int")
+    docs = spark.createDataFrame([(i, "a word or two " * (i % 9), "old", "x", i) for i in range(60)] + [(None, None, "old", "x", 1), (60, "w " * 300_000, "old", "x", 1)], "doc_id long, text string, Score string, `a.statistics` string, held_out int")
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
     got = quality.annotated(docs, labels)
-    assert got.columns == ["doc_id", "text", "statistics", "held_out", "score", "predicted"]
+    assert got.columns == ["doc_id", "text", "a.statistics", "held_out", "score", "predicted"]
     want = {(r.doc_id, r.score, r.predicted) for r in quality.scored(docs, labels).collect()}
-    assert {(r.doc_id, r.score, r.predicted) for r in got.collect()} == want and {r.statistics for r in got.collect()} == {"x"}
+    assert {(r.doc_id, r.score, r.predicted) for r in got.collect()} == want and {r["a.statistics"] for r in got.collect()} == {"x"}
 
 
 def test_quality(spark):
