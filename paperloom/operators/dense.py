@@ -28,16 +28,24 @@ def _unit(rows: list) -> np.ndarray:
     return x / np.where(n > 0, n, 1)
 
 
+def _usable(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the vectors of this length without a null, and these vectors, from the batch's own buffer."""
+    off, null = vectors.offsets.to_numpy(), vectors.is_null().to_numpy(zero_copy_only=False)
+    missing = np.concatenate([[0], np.cumsum(vectors.values.is_null().to_numpy(zero_copy_only=False))])
+    good = np.flatnonzero(~null & (np.diff(off) == dim) & (missing[off[1:]] == missing[off[:-1]]))
+    x = vectors.values.to_numpy(zero_copy_only=False)
+    return good, x[off[good][:, None] + np.arange(dim)].astype(np.float64)
+
+
 def _best(ids: list[int], queries: np.ndarray, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = np.full((len(ids), 0), -np.inf)
         chunk = np.zeros((len(ids), 0), np.int64)
         for b in batches:
-            vectors = b.column("embedding").to_pylist()
-            good = [i for i, v in enumerate(vectors) if v is not None and len(v) == queries.shape[1] and None not in v]
-            if not good:
+            good, x = _usable(b.column("embedding"), queries.shape[1])
+            if not len(good):
                 continue
-            new = np.round(queries @ _unit([vectors[i] for i in good]).T, 9)
+            new = np.round(queries @ _unit(x).T, 9)
             at = b.column("chunk_id").to_numpy()[good]
             score, chunk = np.hstack([score, new]), np.hstack([chunk, np.tile(at, (len(ids), 1))])
             if score.shape[1] > n:

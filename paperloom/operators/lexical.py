@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paperloom.functions.text import words
+from paperloom.shared import written
 
 #: The usual parameters of the Okapi variant: saturation, length weight, floor for terms in over half of the chunks.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -16,7 +17,7 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 @dataclass
 class LexicalIndex:
-    """posting: term, chunk_id, tf, len. terms: term, df, idf. corpus: one row n, avgdl."""
+    """posting: term, chunk_id, tf, len. terms: term, df, idf. corpus: one row n, words, avgdl."""
 
     posting: DataFrame
     terms: DataFrame
@@ -28,12 +29,20 @@ def terms_of(text: Column | str) -> Column:
 
 
 def build(chunks: DataFrame, epsilon: float = EPSILON) -> LexicalIndex:
-    """chunks: chunk_id, text. The one large shuffle counts (chunk, term), pre-aggregated on the map side."""
+    """chunks: chunk_id, text. The one large shuffle counts (chunk, term), pre-aggregated on the map side. Postings are
+    written once, as counts, statistics and every search read them."""
     tokens = chunks.select("chunk_id", terms_of("text").alias("t"))
     lengths = tokens.select("chunk_id", F.size("t").alias("len"))
     posting = tokens.select("chunk_id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").cast("int").alias("tf"), F.first("len").alias("len"))
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    raw = posting.groupBy("term").agg(F.count("*").alias("df")).withColumn("n", corpus.select("n").scalar())
+    posting = written(posting, "posting")
+    corpus = written(lengths.agg(F.count("*").alias("n"), F.sum("len").alias("words")), "corpus", rows=1)
+    return indexed(posting, written(posting.groupBy("term").agg(F.count("*").alias("df")), "terms"), corpus, epsilon)
+
+
+def indexed(posting: DataFrame, counts: DataFrame, corpus: DataFrame, epsilon: float = EPSILON) -> LexicalIndex:
+    """The index of postings, counts (term, df) and corpus (n, words), which add up over parts of a collection."""
+    corpus = corpus.select("n", "words", (F.col("words") / F.col("n")).alias("avgdl"))
+    raw = counts.withColumn("n", corpus.select("n").scalar())
     raw = raw.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw_idf"))
     mean = raw.agg(F.avg("raw_idf").alias("mean_idf"))
     floored = raw.withColumn("mean_idf", mean.scalar())
@@ -52,8 +61,9 @@ def scores(index: LexicalIndex, queries: DataFrame, k1: float = K1, b: float = B
 
 
 def ranked(scored: DataFrame, n: int, score: str = "score", least: float | None = None) -> DataFrame:
-    """The n best of each query, ranks from 0; equal scores in chunk_id order. least: kept only from this score on."""
-    order = Window.partitionBy("query_id").orderBy(F.desc(score), "chunk_id")
+    """The n best of each query, ranks from 0; equal scores in chunk_id order. Scores count as equal at nine digits, as
+    the last ones depend on the order in which terms are added up. least: kept only from this score on."""
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round(score, 9)), "chunk_id")
     out = scored.withColumn("rank0", F.row_number().over(order) - 1).filter(F.col("rank0") < n)
     return out if least is None else out.filter(F.col(score) >= least)
 

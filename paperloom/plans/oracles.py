@@ -153,7 +153,9 @@ def oracle_sql() -> dict[str, str]:
         "q_embed_batches": f"""WITH {CHUNKS}, placed AS (SELECT *, CAST((row_number() OVER (PARTITION BY filename ORDER BY page_num, chunk_seq) - 1) // 16 AS INTEGER) AS batch, substr(text, 1, 15000) AS e FROM chunks),
           sums AS (SELECT filename, batch, count(*) AS n_chunks, sum(len({words("e")})) * CAST(1.3 AS DOUBLE) AS te, bool_or(length(text) > 15000) AS cut FROM placed GROUP BY ALL)
           SELECT filename, batch, n_chunks, round(te, 4) AS token_estimate, CASE WHEN NOT cut AND te / 10000000 * 60 > 0.1 THEN round(te / 10000000 * 60, 6) ELSE 0.0 END::DOUBLE AS pause_seconds FROM sums""",
-        "q_bm25_stats": f"WITH {WHOLE}, {lex} SELECT term, df, round(idf, 6) AS idf FROM idf",
+        "q_bm25_stats": f"""WITH posting AS (SELECT DISTINCT doc_id, unnest({words("lower(text)")}) AS term FROM documents), counts AS MATERIALIZED (SELECT term, count(*) AS df FROM posting GROUP BY term),
+          raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM counts, (SELECT count(*) AS n FROM documents))
+          SELECT term, df, round(CASE WHEN r < 0 THEN 0.25 * mean ELSE r END, 6) AS idf FROM raw, (SELECT avg(r) AS mean FROM raw)""",
         "q_bm25_topk": f"WITH {CHUNKS}, {bm25('numbered')}, {top('lex', 'scored', 10, 'score > 0')} SELECT query_id, rank0, chunk_id, round(score, 6) AS score FROM lex",
         "q_dense_topk": f"WITH {VEC}, {DENSE_BY_ID}, {top('dense', 'near', 12, 'score >= 0.25')} SELECT query_id, rank0, chunk_id, round(score, 6) AS score FROM dense",
         "q_hyde_blend": f"""WITH {VEC}, pairs AS (SELECT a.vec_id AS chunk_id, a.e AS q, b.e AS h, list_transform(list_zip(a.e, b.e), lambda z: 0.7::DOUBLE * z[1] + 0.3::DOUBLE * z[2]) AS m FROM vec a JOIN vec b ON b.vec_id = a.vec_id + 1),
@@ -179,7 +181,7 @@ def oracle_sql() -> dict[str, str]:
         "q_context": f"""WITH {CHUNKS}, {bm25("numbered")}, {top("lex", "scored", 10, "score > 0")}, {WINDOWS}
           SELECT query_id, false AS has_conflicts, md5('RELEVANT DOCUMENTS:' || chr(10) || repeat('=', 50) || chr(10) || string_agg(chr(10) || 'Source: ' || source || chr(10) || 'Content: ' || win || chr(10), chr(10) ORDER BY rank0)) AS context_md5 FROM shown GROUP BY query_id""",
         "q_sources": f"WITH {CHUNKS}, {bm25('numbered')}, {top('lex', 'scored', 10, 'score > 0')} SELECT DISTINCT query_id, filename || ' — Page ' || page_num AS source_label FROM lex JOIN numbered USING (chunk_id)",
-        "q_section_boundary": f"""SELECT conv_id, turn, {_boundary("text")} AS plain, {_boundary("' 3.1 ' || upper(substr(text, 1, 12))")} AS numbered, {_boundary("'Table 3' || upper(substr(text, 1, 12))")} AS mixed, {_boundary("'APPENDIX A ' || upper(substr(text, 1, 12))")} AS appendix FROM conversations""",
+        "q_section_boundary": f"""SELECT conv_id, turn, {_boundary("text")} AS plain, {_boundary("' 3.1 ' || upper(text)")} AS numbered, {_boundary("'Table 3' || upper(text)")} AS mixed, {_boundary("'APPENDIX A ' || upper(text)")} AS appendix FROM conversations""",
         "q_classify_query": f"""SELECT conv_id, turn, {_kind("text")} AS plain, {_kind("' What is the ' || text")} AS asked, {_kind("'the maximum temperature ' || text")} AS inner_words, {_kind("'Minimum Pressure ' || text")} AS extreme FROM conversations""",
         "q_answer_cleanup": f"SELECT doc_id, md5({clean}) AS clean_md5, CAST(length({clean}) AS INTEGER) AS n_chars FROM documents",
         "q_followup": f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role IN ('user', 'assistant'))
@@ -222,7 +224,7 @@ def oracle_sql() -> dict[str, str]:
           w AS (SELECT *, list_sum(list_transform(range(1, 5), lambda c: list_max(list_transform(g, lambda q: length(q[c]))))) + 13 AS wide, len(rows) AS n FROM g)
           SELECT filename, page_num, CAST(length(page_text) + CASE WHEN page_num % 2 = 0 THEN 1 + (2 * n + 3) * (wide + 1) - 1 ELSE 0 END AS INTEGER) AS n_chars, {heading("page_text")} AS heading FROM w""",
         "q_embed_list": f"SELECT item_id AS query_id, {_kind('text')} AS complexity, CAST(1 AS INTEGER) AS n_texts, md5(text) AS texts_md5 FROM benchmark",
-        "q_rerank_head": f"WITH {WHOLE}, {lex}, {top('lex', 'scored', 15, 'score > 0')} SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank0) - 1 AS INTEGER) AS rank0, chunk_id, true AS unscored FROM lex WHERE rank0 % 2 = 1) WHERE rank0 < 5",
+        "q_rerank_head": f"WITH {WHOLE}, {lex}, {top('lex', 'scored', 15, 'score > 0')} SELECT query_id, rank0, chunk_id, true AS unscored FROM lex WHERE rank0 < 10",
         "q_history_messages": f"WITH {SAID} SELECT conv_id, CAST(count(*) + 1 AS INTEGER) AS n_messages, md5('system=rules' || chr(10) || string_agg(role || '=' || text, chr(10) ORDER BY turn)) AS messages_md5 FROM said WHERE back <= 6 GROUP BY conv_id",
         "q_store_roundtrip": f"WITH {CHUNKS} SELECT chunk_id, filename, page_num, chunk_seq, CAST(coalesce(len(embedding), 0) AS INTEGER) AS dim FROM numbered LEFT JOIN embeddings ON vec_id = chunk_id",
         "q_stream_ingest": f"WITH {CHUNKS} SELECT * FROM chunks",

@@ -12,7 +12,7 @@ from paperloom.functions import text as T
 from paperloom.functions import vectors as V
 from paperloom.operators import chat, chunking, dense, fusion, ingest, lexical, postprocess, tables
 from paperloom.plans.frames import chunks, part_tables, pipe_pages, questions, table, vectors, whole_documents
-from paperloom.shared import new_path
+from paperloom.shared import new_path, written
 from paperloom.sources.providers import expanded, reranked
 from paperloom.sources.store import Store
 from paperloom.streaming.ingest import ingest_stream
@@ -25,7 +25,9 @@ def q_chunk_text(s: SparkSession, d: str) -> DataFrame:
 
 
 def q_chunk_ids(s: SparkSession, d: str) -> DataFrame:
-    return chunks(s, d).select("chunk_id", "filename", "page_num", "chunk_seq")
+    # numbering moves and writes rows, so only what the numbers are for
+    rows = chunking.text_chunks(chunking.pages_from_documents(table(s, d, "documents"))).select("filename", "page_num", "chunk_seq")
+    return chunking.numbered(rows).select("chunk_id", "filename", "page_num", "chunk_seq")
 
 
 def q_section_heading(s: SparkSession, d: str) -> DataFrame:
@@ -112,7 +114,8 @@ def q_conflicts(s: SparkSession, d: str) -> DataFrame:
 
 def _chunk_hits(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c = chunks(s, d)
-    top = lexical.bm25_topk(lexical.build(c), questions(s, d), 10)
+    # a few hits a question, which windows, sources and conflicts all read
+    top = written(lexical.bm25_topk(lexical.build(c), questions(s, d), 10), "hits")
     return top.join(c, "chunk_id").select("query_id", "rank0", "chunk_id", "filename", F.col("page_num").cast("string").alias("page"), "source", "chunk_type", "text"), c
 
 
@@ -134,7 +137,7 @@ def q_sources(s: SparkSession, d: str) -> DataFrame:
 
 def q_section_boundary(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "conversations")
-    up = F.upper(F.substring("text", 1, 12))
+    up = F.upper("text")
     return t.select("conv_id", "turn", T.is_section_boundary("text").alias("plain"), T.is_section_boundary(F.concat(F.lit(" 3.1 "), up)).alias("numbered"), T.is_section_boundary(F.concat(F.lit("Table 3"), up)).alias("mixed"), T.is_section_boundary(F.concat(F.lit("APPENDIX A "), up)).alias("appendix"))
 
 
@@ -265,8 +268,8 @@ def q_embed_list(s: SparkSession, d: str) -> DataFrame:
 
 def q_rerank_head(s: SparkSession, d: str) -> DataFrame:
     """Without a reranker, the first ten; numbered anew."""
-    top = lexical.bm25_topk(lexical.build(whole_documents(s, d)), questions(s, d), 15).filter("rank0 % 2 = 1")
-    return reranked(top.select("query_id", "rank0", "chunk_id"), None, 5).select("query_id", "rank0", "chunk_id", F.col("rerank_score").isNull().alias("unscored"))
+    top = lexical.bm25_topk(lexical.build(whole_documents(s, d)), questions(s, d), 15)
+    return reranked(top.select("query_id", "rank0", "chunk_id"), None).select("query_id", "rank0", "chunk_id", F.col("rerank_score").isNull().alias("unscored"))
 
 
 def q_history_messages(s: SparkSession, d: str) -> DataFrame:
