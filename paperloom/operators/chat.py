@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,6 +26,21 @@ def last_messages(messages: DataFrame, n_turns: int = TURNS) -> DataFrame:
     return recent.select("conv_id", place.alias("place"), "role", "text")
 
 
+def message_lists(messages: DataFrame, n_turns: int = TURNS) -> DataFrame:
+    """conv_id, said: the last messages of each conversation as an array of (role, content), oldest first."""
+    rows = last_messages(messages, n_turns).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("place", "role", F.col("text").alias("content")))).alias("m"))
+    return rows.select("conv_id", F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("said"))
+
+
+def prompt(system: Column, said: Column, asked: Column) -> Column:
+    """What a model gets: a system message, what was said before (null: nothing), the question."""
+
+    def message(role: str, content: Column) -> Column:
+        return F.array(F.struct(F.lit(role).alias("role"), content.alias("content")))
+
+    return F.concat(message("system", system), F.coalesce(said, F.array().cast("array<struct<role:string,content:string>>")), message("user", asked))
+
+
 def summaries(messages: DataFrame, n_turns: int = TURNS, most: int = SUMMARY_CHARS) -> DataFrame:
     """conv_id, summary: the last messages, newest first, cut."""
     recent = stored(messages).filter(F.col("back") <= 2 * n_turns)

@@ -39,9 +39,9 @@ def text_chunks(pages: DataFrame, size: int = CHUNK_WORDS, overlap: int = OVERLA
     return rows.select("filename", "page_num", "chunk_seq", source_label().alias("source"), F.lit("text").alias("chunk_type"), text.alias("text"))
 
 
-def numbered(chunks: DataFrame, *order: str) -> DataFrame:
-    """chunk_id in the order of the columns given; by default file, page, place."""
-    return with_row_numbers(chunks, list(order) or ["filename", "page_num", "chunk_seq"], "chunk_id")
+def numbered(chunks: DataFrame, *order: str, start: int = 0) -> DataFrame:
+    """chunk_id from start, in the order of the columns given; by default file, page, place."""
+    return with_row_numbers(chunks, list(order) or ["filename", "page_num", "chunk_seq"], "chunk_id", start)
 
 
 def embed_texts(chunks: DataFrame, most: int = EMBED_CHARS) -> DataFrame:

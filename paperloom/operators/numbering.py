@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from paperloom.shared import written
 
 
-def with_row_numbers(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Numbers from 0 in the given order, which should be total. Rows are range-partitioned, sorted in their partition
+def with_row_numbers(df: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
+    """Numbers from start in the given order, which should be total. Rows are range-partitioned, sorted in their partition
     and written with their place; a number is a place plus the rows of the partitions before: one count a partition,
     which is all that the driver sees and sends out. A frequent first key is spread by the others."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
     placed = written(placed, "numbered").withColumns({"__part": F.shiftright("__at", 33), "__at": F.col("__at").bitwiseAND((1 << 33) - 1)})
-    before, total = [], 0
+    before, total = [], start
     for part, count in placed.groupBy("__part").count().orderBy("__part").collect():
         before.append((part, total))
         total += count

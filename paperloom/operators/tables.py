@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paperloom.functions.text import col, lines, strip, table_notes, table_title
+from paperloom.operators.chunking import text_chunks
 
 LEAST_QUALITY = 0.4
 #: A header with this share of labels is taken as complete; data rows that vote; votes that a column needs.
@@ -164,3 +165,25 @@ def pages_with_grids(pages: DataFrame, tables: DataFrame) -> DataFrame:
     added = tables.groupBy("filename", "page_num").agg(F.array_sort(F.collect_list(F.struct("table_idx", grid("cells").alias("g")))).alias("grids"))
     out = pages.join(added, ["filename", "page_num"], "left")
     return out.withColumn("text", F.concat_ws("\n", "text", F.transform("grids", lambda g: g["g"]))).drop("grids")
+
+
+def poor_pages(pages: DataFrame, tables: DataFrame, least: float = LEAST_QUALITY) -> DataFrame:
+    """filename, page_num of the pages for which the next tier of extractors is worth a try: those without a table, and
+    those with one that isn't good enough."""
+    scored = tables.select("filename", "page_num", (quality(collapsed("cells")) < least).alias("poor"))
+    worst = scored.groupBy("filename", "page_num").agg(F.max("poor").alias("poor"))
+    out = pages.select("filename", "page_num").join(worst, ["filename", "page_num"], "left")
+    return out.filter(F.coalesce("poor", F.lit(True))).select("filename", "page_num")
+
+
+def page_chunks(pages: DataFrame, tables: DataFrame) -> DataFrame:
+    """All chunks of pages (filename, page_num, text) with their accepted tables (filename, page_num, table_idx, cells):
+    filename, page_num, kind (0: of a table, 1: of the text), table_idx, chunk_seq, source, chunk_type, text. A table
+    without a caption carries the last one of its file; the text's chunks hold the tables as grids."""
+    texts = text_chunks(pages_with_grids(pages.select("filename", "page_num", "text"), tables))
+    placed = tables.select("filename", "page_num", "table_idx", "cells").join(pages.select("filename", "page_num", F.col("text").alias("page_text")), ["filename", "page_num"])
+    titled = carried_titles(placed)
+    carried = (F.col("title") != "") & (table_title("page_text", F.col("table_idx")) == "")
+    of_tables = table_chunks(titled.withColumn("page_text", F.when(carried, F.concat_ws("\n", "title", "page_text")).otherwise(F.col("page_text"))))
+    of_tables = of_tables.select("filename", "page_num", F.lit(0).alias("kind"), "table_idx", F.col("seq").alias("chunk_seq"), "source", "chunk_type", "text")
+    return of_tables.unionByName(texts.select("filename", "page_num", F.lit(1).alias("kind"), F.lit(0).alias("table_idx"), "chunk_seq", "source", "chunk_type", "text"))

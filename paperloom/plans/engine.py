@@ -8,15 +8,18 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import clean_answer, query_complexity
+from paperloom.functions.text import clean_answer, has_followup_signal, query_complexity
 from paperloom.functions.vectors import blended, normalised
-from paperloom.operators import chat, chunking, dense, fusion, lexical, postprocess
+from paperloom.operators import chat, chunking, dense, fusion, ingest, lexical, postprocess, tables
+from paperloom.shared import written
 from paperloom.sources import providers
+from paperloom.sources.pages import raw_tables
 from paperloom.sources.store import Store
 
 #: Hits of the question and of each other wording, weights of their lists, hits that are merged and shown.
 PRIMARY, VARIANT, PRIMARY_WEIGHT, VARIANT_WEIGHT, MERGED, SHOWN = 20, 8, 3.0, 0.5, 15, 10
 NO_HITS = "No document matches this question. Try other words."
+NO_ANSWER = "The model gave no answer. Ask again or in other words."
 
 
 def hybrid_search(chunks: DataFrame, vectors: DataFrame | None, index: lexical.LexicalIndex | None, queries: DataFrame, n: int) -> DataFrame:
@@ -31,97 +34,175 @@ def hybrid_search(chunks: DataFrame, vectors: DataFrame | None, index: lexical.L
     return hits.join(chunks.select("chunk_id", "filename", F.col("page_num").cast("string").alias("page"), "source", "chunk_type", "text"), "chunk_id")
 
 
+#: What a store keeps of a chunk, in the order that numbers it.
+ORDER = ("filename", "page_num", "kind", "table_idx", "chunk_seq")
+CHUNK = (*ORDER, "source", "chunk_type", "text")
+
+
+def with_vectors(rows: DataFrame, vectors: DataFrame, column: str, name: str) -> DataFrame:
+    """rows with the vector (vectors: text, embedding) of a column's text; null without one."""
+    return rows.join(vectors.select(F.col("text").alias(column), F.col("embedding").alias(name)), column, "left")
+
+
+def question_vectors(asked: DataFrame, vectors: DataFrame) -> DataFrame:
+    """asked: query_id, query_text, expanded, hyde. query_id, query_text (as expanded) and embedding: the expanded
+    question's vector, else the question's own, blended with the hypothetical passage's where there is one."""
+    rows = with_vectors(with_vectors(with_vectors(asked, vectors, "query_text", "q"), vectors, "expanded", "e"), vectors, "hyde", "h")
+    best = F.coalesce("e", "q").cast("array<double>")
+    return rows.select("query_id", F.col("expanded").alias("query_text"), F.when(F.col("h").isNotNull(), blended(best, F.col("h"))).otherwise(best).alias("embedding"))
+
+
 @dataclass
 class Engine:
+    """embed, complete, rerank: providers. tries, per_second: how often a call is made before it counts as failed, and
+    calls a second of each provider in all."""
+
     spark: SparkSession
     path: str
     embed: providers.Embed | None = None
     complete: providers.Complete | None = None
     rerank: providers.Rerank | None = None
     lexical: bool = True
+    tries: int = 3
+    delay: float = 1.0
+    per_second: float | None = None
 
     @property
     def store(self) -> Store:
         return Store(self.spark, self.path)
 
-    def ingest(self, pages: DataFrame, vectors: DataFrame | None = None, dim: int = 0) -> dict:
-        """pages: filename, page_num, text. vectors: text, embedding, where they are at hand. Files that the store has
-        are left out; the rest is chunked, embedded, indexed and saved as a new version with what was there."""
+    def _service(self, call, share: int = 1):
+        return None if call is None else providers.Service(call, self.tries, self.delay, self.per_second, share)
+
+    def chunks(self, pages: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
+        """Chunks (CHUNK) of pages: filename, page_num, text and, where an extractor found some, tables. fallback: the
+        tables of the next tier (filename, page_num, table_idx, cells, extractor) for pages that poor_pages names."""
+        pages = chunking.limited_pages(pages)
+        if "tables" not in pages.columns:
+            pages = pages.withColumn("tables", F.array().cast("array<array<array<string>>>"))
+        raw = raw_tables(pages).drop("page_text").withColumn("extractor", F.lit("page"))
+        return tables.page_chunks(pages, tables.accepted(raw, fallback))
+
+    def ingest(self, pages: DataFrame, vectors: DataFrame | None = None, dim: int = 0, fallback: DataFrame | None = None) -> dict:
+        """pages: filename, page_num, text and, if there are any, tables. vectors: text, embedding, where they are at
+        hand. Files that the store has are left out; the rest is chunked, embedded and indexed, and added to what is
+        there: chunks, vectors and postings are written for new files only, counts of terms are added up."""
+        self.resume()
         old = self.store.load() if self.store.exists() else {}
-        if "chunk" in old:
-            pages = pages.join(old["chunk"].select("filename").distinct(), "filename", "left_anti")
-        chunks = chunking.embed_texts(chunking.text_chunks(chunking.limited_pages(pages)))
+        done = old["chunk"].select("filename").distinct() if old else None
+        if done is not None:
+            pages = pages.join(done, "filename", "left_anti")
+            fallback = fallback.join(done, "filename", "left_anti") if fallback is not None else None
+        start = old["chunk"].count() if old else 0
+        chunks = chunking.embed_texts(chunking.numbered(self.chunks(pages, fallback), *ORDER, start=start))
         texts = chunks.select(F.col("embed_text").alias("text")).distinct()
         if vectors is None:
-            vectors = providers.embedded(texts, self.embed) if self.embed else texts.withColumn("embedding", F.lit(None).cast("array<float>"))
-        chunks = chunks.join(vectors.select(F.col("text").alias("embed_text"), "embedding"), "embed_text", "left").drop("embed_text")
-        keep = ["filename", "page_num", "chunk_seq", "source", "chunk_type", "text", "embedding"]
-        if "chunk" in old:
-            before = old["chunk"].join(old["vector"], "chunk_id", "left").select(*keep)
-            chunks = before.unionByName(chunks.select(*keep))
-        numbered = chunking.numbered(chunks.select(*keep))
-        built = lexical.build(numbered)
-        vector = numbered.filter("embedding is not null").select("chunk_id", normalised("embedding").alias("embedding"))
-        return self.store.save({"chunk": numbered.drop("embedding"), "vector": vector, "posting": built.posting, "terms": built.terms, "corpus": built.corpus}, dim)
-
-    def _search(self, tables: dict[str, DataFrame], queries: DataFrame, n: int) -> DataFrame:
-        index = lexical.LexicalIndex(tables["posting"], tables["terms"], tables["corpus"]) if self.lexical else None
-        return hybrid_search(tables["chunk"], tables["vector"], index, queries, n)
+            share = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            vectors = providers.embedded(texts, self._service(self.embed, share)) if self.embed else texts.withColumn("embedding", F.lit(None).cast("array<float>"))
+        found = with_vectors(chunks.select("chunk_id", "embed_text"), vectors, "embed_text", "embedding")
+        index = dense.add_vectors(self.spark.createDataFrame([], "chunk_id long, embedding array<double>"), found, dim) if dim else found.filter("embedding is not null").select("chunk_id", normalised("embedding").alias("embedding"))
+        chunks = chunks.select("chunk_id", *CHUNK)
+        built = lexical.build(chunks)
+        counts, corpus = built.terms.select("term", "df"), built.corpus.select("n", "words")
+        if old:
+            counts = counts.unionByName(old["terms"].select("term", "df")).groupBy("term").agg(F.sum("df").alias("df"))
+            corpus = corpus.unionByName(old["corpus"].select("n", "words")).agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+        whole = lexical.indexed(built.posting, counts, corpus)
+        saved = self.store.save({"chunk": chunks, "vector": index, "posting": built.posting, "terms": whole.terms, "corpus": whole.corpus}, dim, append=("chunk", "vector", "posting"))
+        self.store.clear_progress()
+        return saved
+
+    def resume(self) -> str:
+        """What an ingest that broke off left, put right from its progress notes: a store with more vectors than were
+        noted is cut to those, one with fewer is cleared. Without notes nothing is done."""
+        notes = self.store.load_progress()
+        if not notes or not self.store.exists():
+            return "nothing"
+        got = self.store.load()
+        what, n = ingest.resume_decision(got["vector"].count(), notes["total_vectors_at_save"])
+        if what == "discard":
+            self.store.clear()
+        elif what == "truncate":
+            chunks = ingest.truncated(got["chunk"], n)
+            built = lexical.build(chunks)
+            dim = self.store.manifest()["embedding_dim"]
+            self.store.save({"chunk": chunks, "vector": ingest.truncated(got["vector"], n), "posting": built.posting, "terms": built.terms, "corpus": built.corpus}, dim)
+        return what
+
+    def skipped(self, pages: DataFrame) -> DataFrame:
+        """What read_pages left out, by reason."""
+        return ingest.skip_report(pages.select("filename", "page_num", F.col("status").alias("reason")))
+
+    def _search(self, stored: dict[str, DataFrame], queries: DataFrame, n: int) -> DataFrame:
+        index = lexical.LexicalIndex(stored["posting"], stored["terms"], stored["corpus"]) if self.lexical else None
+        return hybrid_search(stored["chunk"], stored["vector"], index, queries, n)
 
     def search(self, questions: DataFrame, history: DataFrame | None = None) -> dict[str, DataFrame]:
         """questions: query_id, query_text and, for histories, conv_id. Gives `questions` (with complexity, expanded,
         variants), `hits`, `conflicts`, `contexts` and `sources`."""
-        tables = self.store.load()
+        stored = self.store.load()
         asked = questions.withColumn("complexity", query_complexity("query_text"))
         if history is not None and "conv_id" in questions.columns:
             asked = asked.join(chat.summaries(history), "conv_id", "left")
         else:
             asked = asked.withColumn("summary", F.lit(None).cast("string"))
-        asked = providers.expanded(asked, self.complete)
+        asked = providers.expanded(asked, self._service(self.complete))
         wanted = F.filter(F.concat(F.array("query_text", "expanded", "hyde"), "variants"), lambda t: t != "")
         texts = asked.select(F.explode(wanted).alias("text")).distinct()
-        embedded = providers.embedded(texts, self.embed, partitions=1) if self.embed else texts.withColumn("embedding", F.lit(None).cast("array<float>"))
-
-        def vector_of(column: str, name: str) -> DataFrame:
-            return embedded.select(F.col("text").alias(column), F.col("embedding").alias(name))
-
-        first = asked.join(vector_of("query_text", "q"), "query_text", "left").join(vector_of("expanded", "e"), "expanded", "left").join(vector_of("hyde", "h"), "hyde", "left")
-        best = F.coalesce("e", "q").cast("array<double>")
-        first = first.select("query_id", F.col("expanded").alias("query_text"), F.when(F.col("h").isNotNull(), blended(best, F.col("h"))).otherwise(best).alias("embedding"))
-        lists = [self._search(tables, first, PRIMARY).withColumns({"list_seq": F.lit(0), "weight": F.lit(PRIMARY_WEIGHT)})]
+        embedded = providers.embedded(texts, self._service(self.embed), partitions=1) if self.embed else texts.withColumn("embedding", F.lit(None).cast("array<float>"))
+        first = question_vectors(asked, embedded)
+        lists = [self._search(stored, first, PRIMARY).withColumns({"list_seq": F.lit(0), "weight": F.lit(PRIMARY_WEIGHT)})]
         if self.complete is not None:
-            other = asked.select("query_id", F.posexplode("variants").alias("seq", "query_text")).join(vector_of("query_text", "embedding"), "query_text", "left")
+            other = asked.select("query_id", F.posexplode("variants").alias("seq", "query_text"))
+            other = with_vectors(other, embedded, "query_text", "embedding")
             for k in range(2):
-                lists.append(self._search(tables, other.filter(F.col("seq") == k), VARIANT).withColumns({"list_seq": F.lit(k + 1), "weight": F.lit(VARIANT_WEIGHT)}))
+                lists.append(self._search(stored, other.filter(F.col("seq") == k), VARIANT).withColumns({"list_seq": F.lit(k + 1), "weight": F.lit(VARIANT_WEIGHT)}))
             hits = fusion.weighted(reduce(DataFrame.unionByName, lists), MERGED).drop("fusion_key", "list_seq")
         else:
             hits = lists[0].drop("list_seq", "weight")
         hits = postprocess.dedup_text(hits).join(questions.select("query_id", "query_text"), "query_id")
-        hits = providers.reranked(hits, self.rerank, SHOWN)
+        hits = written(providers.reranked(hits, self._service(self.rerank), SHOWN), "hits")  # a few a question; all below read them
         found = postprocess.conflicts(hits)
-        windows = postprocess.sentence_windows(hits, tables["chunk"])
+        windows = postprocess.sentence_windows(hits, stored["chunk"])
         return {"questions": asked, "hits": windows, "conflicts": found, "contexts": postprocess.contexts(windows, found), "sources": postprocess.source_labels(hits)}
 
-    def answer(self, questions: DataFrame, history: DataFrame | None = None) -> DataFrame:
-        """query_id, response, expanded_query. Without a model the response is the context that it would get."""
+    def prompts(self, questions: DataFrame, history: DataFrame | None = None) -> DataFrame:
+        """query_id, expanded_query, context, messages: what the model gets for each question. With a history (conv_id,
+        turn, role, text) and questions with conv_id, the last turns and a note on a follow-up go with it."""
         found = self.search(questions, history)
         rows = found["questions"].join(found["contexts"], "query_id", "left")
-        rows = rows.select("query_id", "query_text", F.when(F.col("expanded") != F.col("query_text"), F.col("expanded")).alias("expanded_query"), "context", "has_conflicts")
-        complete = self.complete
+        if history is not None and "conv_id" in questions.columns:
+            rows = rows.join(chat.message_lists(history), "conv_id", "left")
+        else:
+            rows = rows.withColumn("said", F.lit(None).cast("array<struct<role:string,content:string>>"))
+        other = F.when(F.col("expanded") != F.col("query_text"), F.col("expanded"))
+        follows = (F.size(F.coalesce("said", F.array())) > 0) & has_followup_signal("query_text")
+        system = F.concat_ws(
+            " ",
+            F.lit("Answer from the documents below only and cite their sources."),
+            F.when(follows, F.lit("The question follows up on what was said before: take that into account.")),
+            F.concat(F.lit("The question was taken as: "), other),
+            F.when(F.col("has_conflicts"), F.lit("The documents hold conflicting values: name them.")),
+        )
+        asked = F.concat("context", F.lit("\n\n"), "query_text")
+        return rows.select("query_id", other.alias("expanded_query"), "context", chat.prompt(system, F.col("said"), asked).alias("messages"))
+
+    def answer(self, questions: DataFrame, history: DataFrame | None = None) -> DataFrame:
+        """query_id, response, expanded_query. Without a model the response is the context that it would get; a question
+        without a hit, and one for which the model says nothing, get a fixed text."""
+        rows = self.prompts(questions, history)
+        complete = self._service(self.complete)
         if complete is None:
             return rows.select("query_id", F.coalesce("context", F.lit(NO_HITS)).alias("response"), "expanded_query")
 
         def run(batches):
             for b in batches:
-                out = []
-                for q, e, c, warn in zip(b["query_text"], b["expanded_query"], b["context"], b["has_conflicts"]):
-                    notes = [f"The question was taken as: {e}"] * bool(e) + ["The documents hold conflicting values: name them."] * bool(warn)
-                    system = " ".join(["Answer from the documents below only and cite their sources.", *notes])
-                    out.append(complete([{"role": "system", "content": system}, {"role": "user", "content": f"{c}\n\n{q}"}], 0.2, 2500) if c else NO_HITS)
+                out = [complete([{"role": m["role"], "content": m["content"]} for m in ms], 0.2, 2500) if c else NO_HITS for ms, c in zip(b["messages"], b["context"])]
                 yield b.assign(response=out)[["query_id", "response", "expanded_query"]]
 
         said = rows.coalesce(1).mapInPandas(run, "query_id long, response string, expanded_query string")
-        return said.withColumn("response", clean_answer("response"))
+        clean = clean_answer("response")
+        return said.withColumn("response", F.when(F.coalesce(clean, F.lit("")) == "", F.lit(NO_ANSWER)).otherwise(clean))
 
     def verify(self) -> dict:
         return self.store.verify()

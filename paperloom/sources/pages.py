@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import allowed_file, strip
+from paperloom.operators.tables import markdown_tables
 
 PAGE = "filename string, page_num int, text string, status string, tables array<array<array<string>>>"
 Extractor = Callable[[str, bytes], Iterable[dict]]
@@ -59,6 +60,57 @@ def read_pages(spark: SparkSession, path: str, extract: Extractor = plain_text,
     return files.select("path", "content").mapInPandas(run, PAGE)
 
 
+#: Finds tables on one page of a file: (path, content, page number) to tables as lists of rows, or to text that holds
+#: them as lines between pipes.
+TableFinder = Callable[[str, bytes, int], list | str]
+#: Least accuracy, in percent, of a table of the second tier.
+ACCURACY = 60
+
+
+def camelot_tables(path: str, content: bytes, page_num: int) -> list:
+    """With camelot, where it is installed: ruled tables, else tables told by white space; none where it isn't."""
+    import importlib.util
+    import tempfile
+
+    if importlib.util.find_spec("camelot") is None:
+        return []
+    import camelot
+
+    with tempfile.NamedTemporaryFile(suffix=".pdf") as f:  # lives as long as the call
+        f.write(content)
+        f.flush()
+        for flavor in ("lattice", "stream"):
+            found = [t.df.values.tolist() for t in camelot.read_pdf(f.name, pages=str(page_num), flavor=flavor) if t.accuracy >= ACCURACY and len(t.df) >= 2]
+            if found:
+                return found
+    return []
+
+
+def found_tables(spark: SparkSession, path: str, wanted: DataFrame, find: TableFinder, extractor: str, pattern: str = "*") -> DataFrame:
+    """The tables that a finder sees on the wanted pages (filename, page_num) of the files under path: filename,
+    page_num, table_idx, cells, extractor. Only files with a wanted page are read by Python; a page that fails has none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, content, numbers in zip(b["path"], b["content"], b["numbers"]):
+                rows = []
+                for n in numbers:
+                    try:
+                        got = find(name, bytes(content), int(n))
+                    except Exception:
+                        got = []
+                    text = got if isinstance(got, str) else None
+                    rows.append((name.rsplit("/", 1)[-1], int(n), text, None if text is not None else [[[None if c is None else str(c) for c in r] for r in t] for t in got]))
+                yield pd.DataFrame(rows, columns=["filename", "page_num", "text", "tables"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    pages = wanted.groupBy("filename").agg(F.array_sort(F.collect_set(F.col("page_num").cast("int"))).alias("numbers"))
+    named = files.select("path", "content", F.element_at(F.split("path", "/"), -1).alias("filename"))
+    found = named.join(pages, "filename").select("path", "content", "numbers").mapInPandas(run, "filename string, page_num int, text string, tables array<array<array<string>>>")
+    tables = F.when(F.col("text").isNotNull(), markdown_tables("text")).otherwise(F.col("tables"))
+    return found.select("filename", "page_num", F.posexplode(tables).alias("table_idx", "cells")).withColumn("extractor", F.lit(extractor))
+
+
 def uploads(files: DataFrame, name: str = "filename") -> DataFrame:
     """The files that may be taken in."""
     return files.filter(allowed_file(name))

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-Embed = Callable[[list[str]], list[list[float] | None]]
+#: Vectors in the order of the texts, or answers that say the place of each: {"index": i, "embedding": [...]}.
+Embed = Callable[[list[str]], list]
 Complete = Callable[[list[dict], float, int], str]
 Rerank = Callable[[list[tuple[str, str]]], list[float]]
 
@@ -49,6 +50,37 @@ def rate_limited(call: Callable, per_second: float) -> Callable:
     return run
 
 
+class Service:
+    """A provider's callable with retries and a limit of calls a second. Workers make the limit's lock for themselves;
+    share is the number of tasks that call at once, among which the limit is divided."""
+
+    def __init__(self, call: Callable, tries: int = 3, delay: float = 1.0, per_second: float | None = None, share: int = 1):
+        self.args, self.run = (call, tries, delay, per_second, share), None
+
+    def __call__(self, *args):
+        if self.run is None:
+            call, tries, delay, per_second, share = self.args
+            limited = rate_limited(call, per_second / share) if per_second else call
+            self.run = retried(limited, tries, delay)
+        return self.run(*args)
+
+    def __reduce__(self):
+        return Service, self.args
+
+    def shared(self, share: int) -> Service:
+        return Service(*self.args[:-1], share)
+
+
+def placed(answer: list, n: int) -> list:
+    """The vectors of n texts: answers with an index go to that place, others to their own; null where none came."""
+    out: list = [None] * n
+    for k, item in enumerate(answer):
+        at, vector = (item.get("index", k), item.get("embedding")) if isinstance(item, dict) else (k, item)
+        if 0 <= at < n:
+            out[at] = vector
+    return out
+
+
 def embedded(texts: DataFrame, embed: Embed, batch: int = 16, partitions: int | None = None) -> DataFrame:
     """texts: text (distinct), with embedding; null where the service fails. A batch that fails fails alone."""
     source = texts if partitions is None else texts.repartition(partitions)
@@ -59,7 +91,7 @@ def embedded(texts: DataFrame, embed: Embed, batch: int = 16, partitions: int |
             for lo in range(0, len(b), batch):
                 some = b["text"].iloc[lo : lo + batch].tolist()
                 try:
-                    got = embed(some)
+                    got = placed(embed(some), len(some))
                 except Exception:
                     got = [None] * len(some)
                 out += got

@@ -1,4 +1,4 @@
-"""The stored index: versioned Parquet folders and a manifest that names the current one."""
+"""The stored index: Parquet folders, and a manifest that names those of the current version."""
 
 from __future__ import annotations
 
@@ -6,18 +6,20 @@ import json
 import time
 import uuid
 import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION, SIMILARITY = 2, "cosine"
+#: Bytes that go through the driver at once when a store is packed or unpacked.
+BLOCK = 4 << 20
 TABLES = ("chunk", "vector", "posting", "terms", "corpus")
 
 
 class Store:
-    """Tables under path/<version>/; `manifest` is a one-row JSON table that is replaced last, so a reader sees a whole
-    version or the one before. Paths may be in any store that Spark reads."""
+    """Tables under path/<folder>/<table>; a version is a row of the JSON table `manifest`, which is written last and
+    lists the folders of each table, so a reader sees a whole version or the one before, and an append writes new rows
+    only. Paths may be in any store that Spark reads."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -35,19 +37,30 @@ class Store:
         rows = self.spark.read.json(f"{self.path}/manifest").orderBy(F.desc("written")).limit(1).collect()
         return rows[0].asDict() if rows else {}
 
-    def save(self, tables: dict[str, DataFrame], dim: int) -> dict:
-        """Write tables and then the manifest."""
+    def save(self, tables: dict[str, DataFrame], dim: int, append: tuple[str, ...] = ()) -> dict:
+        """Write tables and then the manifest. Those in append are added to what the current version has of them; others
+        take its place."""
         unknown = set(tables) - set(TABLES)
         if unknown:
             raise ValueError(f"no such tables: {sorted(unknown)}")
         folder = f"v-{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
+        old = self.folders() if append and self.exists() else {}
+        folders = {}
         for name, df in tables.items():
             df.write.parquet(f"{self.path}/{folder}/{name}")
-        count = self.spark.read.parquet(f"{self.path}/{folder}/chunk").count() if "chunk" in tables else 0
-        row = {"version": VERSION, "similarity": SIMILARITY, "embedding_dim": dim, "chunk_count": count, "folder": folder, "tables": sorted(tables), "written": time.time()}
+            folders[name] = [*(old.get(name, []) if name in append else []), folder]
+        count = self._read("chunk", folders["chunk"]).count() if "chunk" in folders else 0
+        row = {"version": VERSION, "similarity": SIMILARITY, "embedding_dim": dim, "chunk_count": count, "folders": json.dumps(folders), "written": time.time()}
         self.spark.createDataFrame([(json.dumps(row),)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/manifest")
         return row
 
+    def folders(self) -> dict[str, list[str]]:
+        """The folders of the current version's tables."""
+        return json.loads(self.manifest()["folders"])
+
+    def _read(self, table: str, folders: list[str]) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.path}/{f}/{table}" for f in folders])
+
     def load(self) -> dict[str, DataFrame]:
         """The current tables. Fails on an older version or another similarity."""
         m = self.manifest()
@@ -55,7 +68,12 @@ class Store:
             raise FileNotFoundError(f"no manifest in {self.path}")
         if m["version"] < VERSION or m["similarity"] != SIMILARITY:
             raise ValueError(f"a store of version {m['version']}, similarity {m['similarity']}")
-        return {t: self.spark.read.parquet(f"{self.path}/{m['folder']}/{t}") for t in m["tables"]}
+        return {t: self._read(t, folders) for t, folders in json.loads(m["folders"]).items()}
+
+    def clear(self) -> None:
+        """Forget all versions; their folders go with the manifest."""
+        fs, p = self._fs(self.path)
+        fs.delete(p, True)
 
     def verify(self) -> dict:
         """Counts of vectors and chunks, and whether they and the manifest agree."""
@@ -65,24 +83,44 @@ class Store:
         return {"total_vectors": vectors, "total_documents": chunks, "index_healthy": ok, "warning": None if ok else "counts differ: build the index again"}
 
     def export(self, target: str) -> str:
-        """The current version as a zip file, for a store in a local folder."""
-        root, m = Path(self.path.removeprefix("file://")), self.manifest()
+        """The current version as a zip file. The store may be in any file system that Spark reads; its files pass
+        through the driver one block at a time."""
+        current = {"manifest", *(f for folders in self.folders().values() for f in folders)}
+        fs, root = self._fs(self.path)
+        top = fs.resolvePath(root).toUri().getPath().rstrip("/")
+        found = fs.listFiles(root, True)
+        names = {}
+        while found.hasNext():
+            p = found.next().getPath()
+            name = p.toUri().getPath()[len(top) + 1 :]
+            if name.split("/")[0] in current and not name.endswith((".tmp", ".crc")):
+                names[name] = p
         with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-            for p in sorted(root.rglob("*")):
-                if p.is_file() and not p.name.endswith((".tmp", ".crc")) and p.relative_to(root).parts[0] in ("manifest", m["folder"]):
-                    z.write(p, p.relative_to(root))
+            for name in sorted(names):
+                source = fs.open(names[name])
+                with z.open(name, "w", force_zip64=True) as out:
+                    while block := bytes(source.readNBytes(BLOCK)):
+                        out.write(block)
+                source.close()
         return target
 
     @classmethod
     def from_zip(cls, spark: SparkSession, archive: str, path: str) -> Store:
         """Unpack an exported store. Only Parquet and JSON are read afterwards; names that lead outside are refused."""
-        root = Path(path.removeprefix("file://")).resolve()
+        store = cls(spark, path)
         with zipfile.ZipFile(archive) as z:
-            for name in z.namelist():
-                if not (root / name).resolve().is_relative_to(root):
-                    raise ValueError(f"unsafe name in archive: {name}")
-            z.extractall(root)
-        return cls(spark, path)
+            for info in z.infolist():
+                if info.filename.startswith("/") or ".." in info.filename.split("/"):
+                    raise ValueError(f"unsafe name in archive: {info.filename}")
+            for info in z.infolist():
+                if not info.is_dir():
+                    fs, p = store._fs(f"{store.path}/{info.filename}")
+                    out = fs.create(p, True)
+                    with z.open(info) as source:
+                        while block := source.read(BLOCK):
+                            out.write(block)
+                    out.close()
+        return store
 
     def save_progress(self, completed_files: list[str], current_file: str | None, completed_chunks: int, total_vectors: int) -> None:
         row = {"completed_files": completed_files, "current_file": current_file, "completed_chunks_in_file": completed_chunks, "total_vectors_at_save": total_vectors, "saved_at": time.time()}

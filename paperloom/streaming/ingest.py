@@ -26,12 +26,13 @@ def ingest_stream(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         chunks = text_chunks(pages(batch) if pages else batch)
-        try:
-            there = batch.sparkSession.read.parquet(target).select("filename", "page_num", "chunk_seq")
+        session = batch.sparkSession
+        place = session._jvm.org.apache.hadoop.fs.Path(target)
+        if place.getFileSystem(session._jsc.hadoopConfiguration()).exists(place):
+            # only what is there of the batch's files can be there twice
+            there = session.read.parquet(target).select("filename", "page_num", "chunk_seq")
+            there = there.join(chunks.select("filename").distinct(), "filename", "left_semi")
             chunks = chunks.join(there, ["filename", "page_num", "chunk_seq"], "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
         (embed(chunks) if embed else chunks).write.mode("append").parquet(target)
 
     writer = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

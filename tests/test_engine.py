@@ -1,7 +1,8 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
-from paperloom.plans.engine import Engine
+from paperloom.operators import lexical, tables
+from paperloom.plans.engine import NO_ANSWER, Engine
 from paperloom.sources import pages, providers
 from paperloom.sources.store import Store
 from paperloom.streaming.ingest import ingest_stream
@@ -96,3 +97,95 @@ def test_sessions_expire(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.user_id, r.n_events) for r in got] == [(1, 2)]
+
+
+def test_tables_reach_the_index(spark, tmp_path):
+    """A page's tables become chunks and grids, carry titles, and poor ones are replaced by the next tier's."""
+    grid = [["Part", "Size", "Mass"], ["valve", "10 mm", "2 kg"], ["pipe", "20 mm", "3 kg"], ["flange", "30 mm", "4 kg"]]
+    poor = [["Only", "", ""], ["", "", "x"]]
+    rows = [("a.pdf", 1, "Table 1 Fittings of the plant\nSome prose here", [grid]), ("a.pdf", 2, "More prose without a caption", [grid[:1] + grid[2:]]), ("b.pdf", 1, "plain page", []), ("b.pdf", 2, "page with a poor table", [poor])]
+    p = spark.createDataFrame(rows, "filename string, page_num int, text string, tables array<array<array<string>>>")
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.pdf").write_text("unused")
+    (src / "b.pdf").write_text("file")
+    wanted = tables.poor_pages(p, pages.raw_tables(p))
+    assert sorted(tuple(r) for r in wanted.collect()) == [("b.pdf", 1), ("b.pdf", 2)]
+    pipes = "| Key | Value | Unit |\n|---|---|---|\n| head | 7 | bar |"
+    tier = pages.found_tables(spark, str(src), wanted, lambda path, content, n: pipes if n == 2 else [], "ocr")
+    assert [(r.filename, r.page_num, r.table_idx, r.extractor) for r in tier.collect()] == [("b.pdf", 2, 0, "ocr")]
+    assert pages.camelot_tables("x", b"", 1) == []
+    engine = Engine(spark, str(tmp_path / "store"), embed=by_letters)
+    engine.ingest(p, dim=8, fallback=tier)
+    got = engine.store.load()["chunk"].orderBy("chunk_id").collect()
+    assert [r.chunk_id for r in got] == list(range(len(got)))
+    kinds = [(r.filename, r.page_num, r.chunk_type) for r in got]
+    assert kinds[:6] == [("a.pdf", 1, "table-full"), *[("a.pdf", 1, "table-row")] * 4, ("a.pdf", 1, "text")]
+    second = [r.text for r in got if (r.filename, r.page_num, r.chunk_type) == ("a.pdf", 2, "table-full")]
+    assert second[0].startswith("Table 1 Fittings of the plant (continued)\nComplete table")
+    assert any("| valve | 10 mm | 2 kg |" in r.text for r in got if r.chunk_type == "text")
+    assert [r.text for r in got if r.filename == "b.pdf" and r.chunk_type == "table-row"] == ["Table columns: Key | Value | Unit\nRow 1: Key: head | Value: 7 | Unit: bar"]
+    hits = engine.search(spark.createDataFrame([(1, "flange mass")], "query_id long, query_text string"))["hits"]
+    assert "flange" in hits.filter("rank0 = 0").first().text
+
+
+def test_the_model_gets_the_last_turns(spark, tmp_path):
+    seen = str(tmp_path / "seen")
+
+    def model(messages, temperature, most):
+        if len(messages) > 1:
+            open(seen, "a").write("\n".join(f"{m['role']}: {m['content']}" for m in messages) + "\n")
+            return "## "
+        return ""
+
+    engine = Engine(spark, str(tmp_path / "store"), embed=by_letters, complete=model, tries=2, delay=0.001)
+    engine.ingest(spark.createDataFrame([("f", 1, "bad cab face")], "filename string, page_num int, text string"), dim=8)
+    history = spark.createDataFrame([(5, i, ("user", "assistant")[i % 2], f"turn {i}") for i in range(9)] + [(6, 0, "system", "x")], "conv_id long, turn long, role string, text string")
+    q = spark.createDataFrame([(1, "and the face", 5), (2, "the cab", 6)], "query_id long, query_text string, conv_id long")
+    got = {r.query_id: r.response for r in engine.answer(q, history).collect()}
+    assert set(got.values()) == {NO_ANSWER}
+    m = {r.query_id: [(x["role"], x["content"]) for x in r.messages] for r in engine.prompts(q, history).collect()}
+    assert [x for x in m[1][1:-1]] == [(("user", "assistant")[i % 2], f"turn {i}") for i in range(3, 9)]
+    assert "follows up" in m[1][0][1] and "follows up" not in m[2][0][1] and len(m[2]) == 2
+    assert m[1][-1][0] == "user" and m[1][-1][1].endswith("and the face") and "bad cab face" in m[1][-1][1]
+    assert "turn 8" in open(seen).read()
+
+
+def test_answers_are_placed_by_index(spark):
+    embed = lambda texts: [{"index": i, "embedding": [float(i)]} for i in reversed(range(len(texts)))][:-1]
+    got = sorted((r.text, r.embedding) for r in providers.embedded(spark.createDataFrame([(f"t{i}",) for i in range(4)], "text string").coalesce(1), embed, batch=4).collect())
+    assert got == [("t0", None), ("t1", [1.0]), ("t2", [2.0]), ("t3", [3.0])]
+
+
+def test_services_try_again(spark, tmp_path):
+    mark = tmp_path / "tries"
+
+    def flaky(texts):
+        with open(mark, "a") as f:
+            f.write("x")
+        if len(mark.read_text()) < 3:
+            raise OSError
+        return [[1.0]] * len(texts)
+
+    service = providers.Service(flaky, tries=3, delay=0.001, per_second=1000.0, share=2)
+    got = providers.embedded(spark.createDataFrame([("a",)], "text string").coalesce(1), service).first()
+    assert got.embedding == [1.0] and mark.read_text() == "xxx"
+
+
+def test_ingest_goes_on_after_a_break(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "store"), embed=by_letters)
+    page = lambda f: spark.createDataFrame([(f, 1, f"face {f}")], "filename string, page_num int, text string")
+    for f in ("a", "b", "c"):
+        engine.ingest(page(f), dim=8)
+    first = engine.store.folders()
+    assert [len(first[t]) for t in ("chunk", "vector", "posting", "terms")] == [3, 3, 3, 1]
+    assert {r.term: r.df for r in engine.store.load()["terms"].collect()} == {"face": 3, "a": 1, "b": 1, "c": 1}
+    fresh = lexical.build(engine.store.load()["chunk"])
+    key = lambda t: sorted((r.term, r.df, round(r.idf, 9)) for r in t.collect())
+    assert key(fresh.terms) == key(engine.store.load()["terms"])
+    engine.store.save_progress(["a"], "b", 0, 1)
+    assert engine.resume() == "truncate" and engine.store.manifest()["chunk_count"] == 1
+    engine.ingest(page("b"), dim=8)
+    assert engine.verify()["index_healthy"] and engine.store.load_progress() == {} and engine.resume() == "nothing"
+    engine.store.save_progress(["a"], "b", 0, 9)
+    assert engine.resume() == "discard" and not engine.store.exists()
