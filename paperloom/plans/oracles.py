@@ -227,5 +227,28 @@ def oracle_sql() -> dict[str, str]:
         "q_rerank_head": f"WITH {WHOLE}, {lex}, {top('lex', 'scored', 15, 'score > 0')} SELECT query_id, rank0, chunk_id, true AS unscored FROM lex WHERE rank0 < 10",
         "q_history_messages": f"WITH {SAID} SELECT conv_id, CAST(count(*) + 1 AS INTEGER) AS n_messages, md5('system=rules' || chr(10) || string_agg(role || '=' || text, chr(10) ORDER BY turn)) AS messages_md5 FROM said WHERE back <= 6 GROUP BY conv_id",
         "q_store_roundtrip": f"WITH {CHUNKS} SELECT chunk_id, filename, page_num, chunk_seq, CAST(coalesce(len(embedding), 0) AS INTEGER) AS dim FROM numbered LEFT JOIN embeddings ON vec_id = chunk_id",
+        "q_page_limit": "SELECT source AS filename, doc_id * 2 AS page_num, CAST(length(substr(text, 1, 500000)) AS INTEGER) AS n_chars FROM documents WHERE doc_id * 2 <= 1000",
+        "q_resume_truncate": """SELECT vec_id AS chunk_id, CASE WHEN v = b THEN 'resume' ELSE 'truncate' END AS action FROM embeddings, (SELECT (SELECT count(*) FROM embeddings) AS v, (SELECT count(*) FROM benchmark) AS b) WHERE v >= b AND b > 0 AND vec_id < b""",
+        "q_add_vectors": f"WITH {VEC} SELECT vec_id AS chunk_id, round(u[1], 6) AS first, round(sqrt(list_dot_product(u, u)), 6) AS length FROM unit WHERE vec_id % 3 <> 0 AND len(u) = 64",
+        "q_wordings": f"""WITH a AS (SELECT item_id AS query_id, text, {_kind("text")} AS kind, {strip("substr(text, 1, 40)")} AS cut FROM benchmark),
+          e AS (SELECT query_id, kind, CASE WHEN length(cut) > 10 THEN cut ELSE text END AS expanded FROM a),
+          h AS (SELECT *, {strip("substr(expanded, 1, 40)")} AS again FROM e),
+          v AS (SELECT *, list_filter(list_transform(regexp_split_to_array(again, '\\r\\n|\\n|\\r'), lambda l: {strip("l")}), lambda l: length(l) > 10)[1:2] AS vs FROM h)
+          SELECT query_id, expanded, CASE WHEN kind = 'complex' AND length(again) > 20 THEN again ELSE '' END AS hyde, CAST(CASE WHEN kind = 'complex' THEN len(vs) ELSE 0 END AS INTEGER) AS n_variants, CASE WHEN kind = 'complex' THEN array_to_string(vs, '|') ELSE '' END AS variants FROM v""",
+        "q_query_vectors": f"""WITH {VEC}, t AS (SELECT text, min(item_id) AS id FROM benchmark GROUP BY text), tv AS (SELECT text, e FROM t JOIN vec ON vec_id = id),
+          a AS (SELECT b.item_id AS query_id, b.text AS text, coalesce(n.text, b.text) AS expanded, coalesce(h.text, '') AS hyde FROM benchmark b LEFT JOIN benchmark n ON n.item_id = b.item_id + 1 LEFT JOIN benchmark h ON h.item_id = b.item_id + 2),
+          j AS (SELECT query_id, expanded, coalesce(e.e, q.e) AS b, h.e AS h FROM a LEFT JOIN tv q ON q.text = a.text LEFT JOIN tv e ON e.text = a.expanded LEFT JOIN tv h ON h.text = a.hyde),
+          m AS (SELECT *, list_transform(list_zip(b, coalesce(h, b)), lambda z: 0.7::DOUBLE * z[1] + 0.3::DOUBLE * z[2]) AS m FROM j)
+          SELECT query_id, md5(expanded) AS text_md5, round(CASE WHEN h IS NULL THEN b[1] ELSE m[1] / sqrt(list_dot_product(m, m)) END, 6) AS first, round(CASE WHEN h IS NULL THEN b[64] ELSE m[64] / sqrt(list_dot_product(m, m)) END, 6) AS last FROM m""",
+        "q_rerank_scored": f"""WITH {WHOLE}, {lex}, {top("lex", "scored", 15, "score > 0")}, r AS (SELECT query_id, chunk_id, CAST(length(text) AS DOUBLE) AS rerank_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY length(text) DESC, l.rank0) - 1 AS INTEGER) AS rank0 FROM lex l JOIN whole USING (chunk_id))
+          SELECT query_id, rank0, chunk_id, rerank_score FROM r WHERE rank0 < 10""",
+        "q_chat_export": f"WITH {SAID} SELECT conv_id, conv_id AS session_id, CAST(count(*) AS INTEGER) AS n_messages, true AS dated, md5(string_agg(role || '=' || text, chr(10) ORDER BY turn)) AS text_md5 FROM said WHERE back <= 20 GROUP BY conv_id",
+        "q_page_chunks": f"""WITH {ROWS}, c AS (SELECT filename, page_num, 0 AS kind, table_idx, 0 AS chunk_seq, filename || ' - Page ' || page_num || ' - Table ' || (table_idx + 1) || ' (full)' AS source, 'table-full' AS chunk_type FROM texts WHERE len(hs) > 0
+            UNION ALL SELECT filename, page_num, 0, table_idx, 2 * k, label || ', Row ' || k, 'table-row' FROM base WHERE len(hs) > 0
+            UNION ALL SELECT filename, page_num, 0, table_idx, 2 * k + 1, label || ', Rows ' || greatest(k - 2, 1) || '-' || k, 'table-row' FROM base WHERE k % 3 = 0 AND len(hs) > 0
+            UNION ALL SELECT filename, page_num, 1, 0, 0, filename || ' - Page ' || page_num, 'text' FROM texts)
+          SELECT row_number() OVER (ORDER BY filename, page_num, kind, table_idx, chunk_seq) - 1 AS chunk_id, filename, page_num, kind, CAST(table_idx AS INTEGER) AS table_idx, CAST(chunk_seq AS INTEGER) AS chunk_seq, source, chunk_type FROM c""",
+        "q_poor_pages": f"""WITH {COLLAPSED}, f AS (SELECT filename, page_num, len(list_filter(head, lambda h: h <> '')) AS h, flatten(body) AS c FROM merged)
+          SELECT filename, page_num FROM f WHERE page_num % 3 = 0 OR CASE WHEN h < 2 THEN 0.1 ELSE round(0.7 * (len(list_filter(c, lambda x: x <> '')) / greatest(len(c), 1))::DOUBLE + 0.3 * least(h / 3, 1.0)::DOUBLE, 3) END < 0.4""",
         "q_stream_ingest": f"WITH {CHUNKS} SELECT * FROM chunks",
     }

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from paperloom.functions import text as T
 from paperloom.functions import vectors as V
 from paperloom.operators import chat, chunking, dense, fusion, ingest, lexical, postprocess, tables
+from paperloom.plans.engine import question_vectors
 from paperloom.plans.frames import chunks, part_tables, pipe_pages, questions, table, vectors, whole_documents
 from paperloom.shared import new_path, written
 from paperloom.sources.providers import expanded, reranked
@@ -273,10 +274,9 @@ def q_rerank_head(s: SparkSession, d: str) -> DataFrame:
 
 
 def q_history_messages(s: SparkSession, d: str) -> DataFrame:
-    """The messages that a model gets: a system message, the last turns, the question."""
-    last = chat.last_messages(table(s, d, "conversations"))
-    said = last.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("place", "role", F.col("text").alias("content")))).alias("m"))
-    whole = F.concat(F.array(F.struct(F.lit("system").alias("role"), F.lit("rules").alias("content"))), F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))))
+    """The messages that a model gets before the question: a system message and the last turns."""
+    said = chat.message_lists(table(s, d, "conversations"))
+    whole = F.slice(chat.prompt(F.lit("rules"), F.col("said"), F.lit("")), 1, F.size("said") + 1)
     return said.select("conv_id", F.size(whole).alias("n_messages"), F.md5(F.array_join(F.transform(whole, lambda x: F.concat(x["role"], F.lit("="), x["content"])), "\n")).alias("messages_md5"))
 
 
@@ -297,6 +297,82 @@ def q_stream_ingest(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(out)
 
 
+def q_page_limit(s: SparkSession, d: str) -> DataFrame:
+    """The first pages of each file, each with the first characters of its text; every second number is a page here."""
+    pages = chunking.pages_from_documents(table(s, d, "documents")).withColumn("page_num", F.col("page_num") * 2)
+    return chunking.limited_pages(pages).select("filename", "page_num", F.length("text").alias("n_chars"))
+
+
+def q_resume_truncate(s: SparkSession, d: str) -> DataFrame:
+    """An index with more vectors than its progress notes say (here: as many as there are benchmark items)."""
+    index = vectors(s, d)
+    action, n = ingest.resume_decision(index.count(), table(s, d, "benchmark").count())
+    return (ingest.truncated(index, n) if action != "discard" else index.limit(0)).select("chunk_id", F.lit(action).alias("action"))
+
+
+def q_add_vectors(s: SparkSession, d: str) -> DataFrame:
+    """Vectors added to an empty index: at unit length, those of another length left out."""
+    v = vectors(s, d)
+    odd = v.withColumn("embedding", F.slice("embedding", 1, F.when(F.col("chunk_id") % 3 == 0, F.size("embedding") - 1).otherwise(F.size("embedding"))))
+    got = dense.add_vectors(s.createDataFrame([], "chunk_id long, embedding array<double>"), odd, 64)
+    return got.select("chunk_id", F.round(F.get("embedding", F.lit(0)), 6).alias("first"), F.round(V.norm("embedding"), 6).alias("length"))
+
+
+def _model(messages: list[dict], temperature: float, most: int) -> str:
+    """Stands in for a language model: repeats the first characters of what it is asked about."""
+    return messages[-1]["content"].split(": ", 1)[1][:40]
+
+
+def q_wordings(s: SparkSession, d: str) -> DataFrame:
+    """Rewritten question, passage and other wordings, by a model that repeats; too short an answer doesn't count."""
+    asked = questions(s, d).select("query_id", "query_text").withColumns({"complexity": T.query_complexity("query_text"), "summary": F.lit("")})
+    e = expanded(asked, _model)
+    return e.select("query_id", "expanded", "hyde", F.size("variants").alias("n_variants"), F.array_join("variants", "|").alias("variants"))
+
+
+def q_query_vectors(s: SparkSession, d: str) -> DataFrame:
+    """Vectors of questions: the rewritten one's (here the next item's text, where there is one) or the question's own,
+    blended with the passage's (here the text after that one). Texts find their vectors by a join."""
+    b = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    after = lambda k, name: b.select((F.col("query_id") - k).alias("query_id"), F.col("query_text").alias(name))
+    asked = b.join(after(1, "next"), "query_id", "left").join(after(2, "hyde"), "query_id", "left").withColumns({"expanded": F.coalesce("next", "query_text"), "hyde": F.coalesce("hyde", F.lit(""))})
+    first = b.groupBy("query_text").agg(F.min("query_id").alias("chunk_id")).join(vectors(s, d), "chunk_id").select(F.col("query_text").alias("text"), "embedding")
+    got = question_vectors(asked, first)
+    return got.select("query_id", F.md5("query_text").alias("text_md5"), F.round(F.get("embedding", F.lit(0)), 6).alias("first"), F.round(F.get("embedding", F.lit(63)), 6).alias("last"))
+
+
+def _length_score(pairs: list[tuple[str, str]]) -> list[float]:
+    return [float(len(text)) for _, text in pairs]
+
+
+def q_rerank_scored(s: SparkSession, d: str) -> DataFrame:
+    """The ten best of fifteen hits by a reranker, here one that prefers long texts."""
+    q, w = questions(s, d), whole_documents(s, d)
+    top = lexical.bm25_topk(lexical.build(w), q, 15).join(w.select("chunk_id", "text"), "chunk_id").join(q.select("query_id", "query_text"), "query_id")
+    return reranked(top.select("query_id", "rank0", "chunk_id", "query_text", "text"), _length_score).select("query_id", "rank0", "chunk_id", "rerank_score")
+
+
+def q_chat_export(s: SparkSession, d: str) -> DataFrame:
+    """Conversations as JSON, read back."""
+    rows = chat.exported(table(s, d, "conversations")).select("conv_id", F.from_json("json", "session_id long, timestamp string, conversation array<struct<role:string,content:string>>").alias("j"))
+    text = F.array_join(F.transform("j.conversation", lambda m: F.concat(m["role"], F.lit("="), m["content"])), "\n")
+    return rows.select("conv_id", F.col("j.session_id").alias("session_id"), F.size("j.conversation").alias("n_messages"), F.col("j.timestamp").isNotNull().alias("dated"), F.md5(text).alias("text_md5"))
+
+
+def q_page_chunks(s: SparkSession, d: str) -> DataFrame:
+    """All chunks of pages with tables, numbered: a page's tables first, then its text with the tables as grids."""
+    t = part_tables(s, d)
+    plain = F.transform("cells", lambda r: F.transform(r, lambda c: F.coalesce(F.replace(c, F.lit("\n"), F.lit(" ")), F.lit(""))))
+    rows = tables.page_chunks(t.select("filename", "page_num", F.col("page_text").alias("text")), t.select("filename", "page_num", "table_idx", plain.alias("cells")))
+    return chunking.numbered(rows.drop("text"), "filename", "page_num", "kind", "table_idx", "chunk_seq")
+
+
+def q_poor_pages(s: SparkSession, d: str) -> DataFrame:
+    """Pages for the next tier of extractors: without a table (here every third page), or with one that isn't good."""
+    t = part_tables(s, d)
+    return tables.poor_pages(t, t.filter("page_num % 3 <> 0"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("q_")}
 
