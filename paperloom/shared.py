@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 #: runs one and writes no check sums. A JVM that starts a process is briefly counted twice by tools that add up the
 #: memory of a process tree. Other file systems don't read these options.
 PLAIN_LOCAL_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
-#: Rows of a task that a small result isn't spread beyond.
-TASK_ROWS = 20_000
+#: Rows of a task that a small result isn't spread beyond; bytes of a row group, which writers hold in memory.
+TASK_ROWS, ROW_GROUP = 8_000, 16 << 20
+#: Paths of all tables that were written, the latest last.
+MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,7 +49,8 @@ def written(df: DataFrame, name: str, compression: str = "snappy", rows: int | N
     if rows is not None:
         files = tasks_for(spark, rows)
         df = df.repartition(files) if dealt else df.coalesce(files)
-    df.write.options(**PLAIN_LOCAL_FILES).parquet(path, compression=compression)
+    MADE.append(path)
+    df.write.options(**PLAIN_LOCAL_FILES).option("parquet.block.size", ROW_GROUP).parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
@@ -58,7 +61,10 @@ def discard(*tables: DataFrame) -> None:
     for table in tables:
         path = getattr(table, "written_path", None)
         if path:
-            spark = table.sparkSession
-            with contextlib.suppress(Exception):
-                place = spark._jvm.org.apache.hadoop.fs.Path(path)
-                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            delete(table.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
