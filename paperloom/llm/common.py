@@ -19,7 +19,7 @@ __all__ = ["discard", "filesystem", "held", "new_path", "prepare", "publish", "r
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Rows and bytes of an Arrow batch: a worker holds one batch of texts, so these bound its memory.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -45,24 +45,20 @@ def held(key: tuple, make: Callable[[], Any]) -> Any:
     """A worker's model or tokenizer, made once. A worker holds one at a time: where stages follow one another in the
     same worker, the one of the stage before goes, and its memory goes back to the system."""
     if key not in _HELD:
-        _HELD.clear()
-        trim()
+        release()
         _HELD[key] = make()
     return _HELD[key]
 
 
 def release() -> None:
-    """For tasks without a model: drop the one of a stage before."""
-    if _HELD:
-        _HELD.clear()
-        trim()
-
-
-def trim() -> None:
-    """Give freed memory back to the system, where the C library can."""
+    """For the begin of tasks without a model: drop the one of a stage before, and give back to the system what this
+    worker's tasks freed, where the C library can."""
     import ctypes
 
-    gc.collect()
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 

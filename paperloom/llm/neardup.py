@@ -110,6 +110,7 @@ def similar(inter: int, a: int, b: int, percent: int) -> bool:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for b in batches:
         sets = shingle_sets(*utf8(b.column("text")))
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "elements"])
@@ -178,6 +179,7 @@ def _across(percent: int):
     """Rows come by pair of blocks; one is in memory at a time, and a bounded number of links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         rows: list[tuple] = []
         last, found = None, []
         for b in batches:

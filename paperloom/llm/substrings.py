@@ -106,6 +106,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The stretches of a text that are in one of its buckets, with their bytes."""
     names = ["id", "same", "bucket", "digest", "first", "gram", "text"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
+    release()
     for b in batches:
         ids, same, buckets = (b.column(c) for c in ("id", "same", "buckets"))
         out: list[tuple] = []
@@ -180,6 +181,7 @@ _RUNS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, digest, weight, text) come by bucket; whole buckets are put in a block until it is full, and
     sorted. Gives the runs of repeated windows of each text."""
+    release()
     rows: list[tuple] = []
     size = 0
     for b in batches:
@@ -283,6 +285,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _strip(columns: list[str], runs: str, copied: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             all_, null = b.column(copied).to_pylist(), b.column("text").is_null().to_pylist()
             left = [None if null[i] else _left(text, lo, hi, all_[i])[0].decode("utf-8", "ignore") for (i, text), (lo, hi) in zip(_texts(b), _windows_of(b.column(runs)))]
