@@ -22,7 +22,7 @@ from paperloom.llm.pieces import finder
 class WordIds:
     """Little-endian unsigned 32-bit ids of texts. limit: words kept in the cache, which bounds its memory."""
 
-    def __init__(self, path: str, pattern: str, limit: int = 250_000):
+    def __init__(self, path: str, pattern: str, limit: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
