@@ -2,9 +2,9 @@
 
 A text becomes a few statistics of its characters and words. Cosines of random projections of the standardised
 statistics approximate a Gaussian kernel. Each partition sums its part of the normal equations, the parts are added in
-two levels, and the driver solves small systems. Rows are in two halves by their doc_id; raw scores of either half under
-the other half's weights are counted in a fixed number of bins, with their labels, and a monotone step fit over the bins,
-joined by lines, gives the score: how likely label 1 is. Scores then come from the weights of both halves together.
+two levels, and the driver solves small systems. Rows are in FOLDS folds by their doc_id; raw scores of each fold under
+the weights of the others are counted in a fixed number of bins, with their labels, and a monotone step fit over the
+bins, joined by lines between its levels, gives the score: how likely label 1 is. Scores then come from the weights of all folds together.
 
 Labels are learned from all labelled rows that aren't held out; nothing is sampled.
 
@@ -30,6 +30,7 @@ from paperloom.llm.shingles import words
 NAMES = ("chars", "letters", "upper", "digits", "spaces", "stops", "bangs", "symbols", "wide", "word_length", "distinct", "top", "again", "pairs")
 #: Random features, the kernel's width in standard deviations, ridge, bins of raw scores, limits of raw scores.
 FEATURES, KERNEL_WIDTH, RIDGE, BINS, LOW, HIGH = 256, 3.0, 1e-4, 2048, -0.5, 1.5
+FOLDS = 5
 THRESHOLD = 0.3
 
 
@@ -121,37 +122,49 @@ class Model:
         return np.clip(np.interp(self.raw(x), *self.steps), 0, 1)
 
 
-def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: places and non-decreasing means, in the order of x."""
+def pooled(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[list[float]]:
+    """Pool adjacent violators, in the order of x: blocks of sum of x, sum of y, weight, first and last x."""
     blocks: list[list[float]] = []
     for a, b, w in zip(x.tolist(), y.tolist(), weight.tolist()):
-        blocks.append([a * w, b * w, w])
+        blocks.append([a * w, b * w, w, a, a])
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
             last = blocks.pop()
-            blocks[-1] = [p + q for p, q in zip(blocks[-1], last)]
+            blocks[-1] = [*(p + q for p, q in zip(blocks[-1][:3], last[:3])), blocks[-1][3], last[4]]
+    return blocks
+
+
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The blocks' mean places and non-decreasing means."""
+    blocks = pooled(x, y, weight)
     return np.array([b[0] / b[2] for b in blocks]), np.array([b[1] / b[2] for b in blocks])
 
 
+def knots(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The monotone fit as a line that is level over each block and rises between them."""
+    ends = [(place, b[1] / b[2]) for b in pooled(x, y, weight) for place in sorted({b[3], b[4]})]
+    return np.array([p for p, _ in ends]), np.array([v for _, v in ends])
+
+
 def _matrix(b: pa.RecordBatch) -> np.ndarray:
     return np.column_stack([b.column(n).to_numpy() for n in NAMES]) if b.num_rows else np.zeros((0, len(NAMES)))
 
 
 def _normal(model: Model):
-    """Both halves' sums for the normal equations."""
+    """Each fold's sums for the normal equations."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, FEATURES + 1, FEATURES + 2))
+        total = np.zeros((FOLDS, FEATURES + 1, FEATURES + 2))
         for b in batches:
-            f, half, y = model.features(_matrix(b)), b.column("half").to_numpy(), b.column("y").to_numpy()
-            for k in (0, 1):
-                total[k] += f[half == k].T @ np.column_stack([f, y])[half == k]
+            f, fold, y = model.features(_matrix(b)), b.column("fold").to_numpy(), b.column("y").to_numpy()
+            for k in range(FOLDS):
+                total[k] += f[fold == k].T @ np.column_stack([f, y])[fold == k]
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
 
     return run
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(2 * (FEATURES + 1) * (FEATURES + 2))
+    total = np.zeros(FOLDS * (FEATURES + 1) * (FEATURES + 2))
     for b in batches:
         for part in b.column("part").to_pylist():
             total += np.frombuffer(part)
@@ -167,12 +180,12 @@ def solved(sums: np.ndarray) -> np.ndarray:
 
 
 def _raw(model: Model, weights: list[np.ndarray]):
-    """Bins of raw scores: a row's half is scored by the weights at the half's place."""
+    """Bins of raw scores: a row is scored by the weights at its fold's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f, half = model.features(_matrix(b)), b.column("half").to_numpy()
-            raw = np.clip(np.where(half == 0, f @ weights[0], f @ weights[1]), LOW, HIGH)
+            f, fold = model.features(_matrix(b)), b.column("fold").to_numpy()
+            raw = np.clip((f @ np.column_stack(weights))[np.arange(len(f)), fold], LOW, HIGH)
             bins = ((raw - LOW) / (HIGH - LOW) * BINS).astype(np.int32).clip(0, BINS - 1)
             yield pa.RecordBatch.from_arrays([pa.array(bins), b.column("y")], ["bin", "y"])
 
@@ -191,24 +204,25 @@ def fit(measured: DataFrame, labels: DataFrame) -> Model:
     """measured: doc_id, held_out, NAMES; labels: doc_id, quality."""
     spark = measured.sparkSession
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).filter("doc_id is not null and y in (0, 1)")
-    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half")
-    train = written(measured.filter("not held_out").join(marks, "doc_id").select("y", half, *NAMES), "train")
-    sums = train.agg(F.count("*"), F.avg("y"), F.sum("half"), *(f(n) for n in NAMES for f in (F.avg, F.stddev_pop))).first()
-    n, mean_y, second = sums[0], sums[1], sums[2]
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
+    train = written(measured.filter("not held_out").join(marks, "doc_id").select("y", fold, *NAMES), "train")
+    sums = train.agg(F.count("*"), F.avg("y"), *(f(n) for n in NAMES for f in (F.avg, F.stddev_pop))).first()
+    n, mean_y = sums[0], sums[1]
     if not n or mean_y in (0.0, 1.0):
         model = Model(np.zeros(len(NAMES)), np.ones(len(NAMES)))
         model.steps = (np.zeros(1), np.full(1, mean_y if n else 0.5))
         return model
-    scale = np.array(sums[4::2], float)
-    model = Model(np.array(sums[3::2], float), np.where(scale > 1e-9, scale, 1.0))
+    scale = np.array(sums[3::2], float)
+    model = Model(np.array(sums[2::2], float), np.where(scale > 1e-9, scale, 1.0))
     parts = train.mapInArrow(_normal(model), "part binary")
     width = max(1, int(int(spark.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
     total = parts.repartition(width).mapInArrow(_add, "part binary").repartition(1).mapInArrow(_add, "part binary").first()
-    a = np.frombuffer(bytes(total[0])).reshape(2, FEATURES + 1, FEATURES + 2)
-    model.weights = solved(a[0] + a[1])
-    crossed = [solved(a[1]), solved(a[0])] if 0 < second < n else [model.weights] * 2
+    a = np.frombuffer(bytes(total[0])).reshape(FOLDS, FEATURES + 1, FEATURES + 2)
+    model.weights = solved(a.sum(axis=0))
+    # a fold that holds all rows has no others: it is scored by its own weights
+    crossed = [solved(a.sum(axis=0) - a[k]) if a[k, -1, -2] < n else model.weights for k in range(FOLDS)]
     rows = np.array(train.mapInArrow(_raw(model, crossed), "bin int, y double").groupBy("bin").agg(F.avg("y"), F.count("*")).orderBy("bin").collect(), float)
-    model.steps = isotonic(LOW + (rows[:, 0] + 0.5) * (HIGH - LOW) / BINS, rows[:, 1], rows[:, 2])
+    model.steps = knots(LOW + (rows[:, 0] + 0.5) * (HIGH - LOW) / BINS, rows[:, 1], rows[:, 2])
     discard(train)
     return model
 

@@ -122,10 +122,11 @@ def test_isotonic_by_brute_force():
         mean = lambda a, b: float((y[a : b + 1] * w[a : b + 1]).sum() / w[a : b + 1].sum())
         want = [max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
         assert np.allclose(np.unique(np.round(want, 9)), np.round(steps, 9)) and (np.diff(x) > 0).all()
+        assert np.allclose(np.interp(np.arange(float(n)), *quality.knots(np.arange(float(n)), y, w)), want)
 
 
 def test_fit_by_hand(spark):
-    """Weights against one ridge system over all rows, steps against scores across halves, features against the kernel."""
+    """Weights against one ridge system over all rows, steps against scores across folds, features against the kernel."""
     rng = np.random.default_rng(8)
     n = 300
     x = rng.normal(size=(n, len(quality.NAMES)))
@@ -142,15 +143,15 @@ def test_fit_by_hand(spark):
     assert np.allclose(model.weights, want, atol=1e-6)
     kernel = np.exp(-((z[:40, None] - z[None, :40]) ** 2).sum(-1) / (2 * quality.KERNEL_WIDTH**2))
     assert np.abs(f[:40, :-1] @ f[:40, :-1].T - kernel).mean() < 0.08
-    half = np.array([r[0] for r in spark.range(n).selectExpr("pmod(xxhash64(id), 2) h").collect()])
+    fold = np.array([r[0] for r in spark.range(n).selectExpr(f"pmod(xxhash64(id), {quality.FOLDS}) h").collect()])
     raw = np.zeros(n)
-    for k in (0, 1):
-        other = rows[half[rows] != k]
+    for k in range(quality.FOLDS):
+        other = rows[fold[rows] != k]
         hold = np.diag([*[quality.RIDGE * len(other)] * quality.FEATURES, 1e-9 * len(other)])
-        raw[half == k] = f[half == k] @ np.linalg.solve(f[other].T @ f[other] + hold, f[other].T @ y[other])
+        raw[fold == k] = f[fold == k] @ np.linalg.solve(f[other].T @ f[other] + hold, f[other].T @ y[other])
     bins = ((np.clip(raw, quality.LOW, quality.HIGH) - quality.LOW) / (quality.HIGH - quality.LOW) * quality.BINS).astype(int).clip(0, quality.BINS - 1)
     at = np.unique(bins[rows])
-    steps = quality.isotonic(quality.LOW + (at + 0.5) * (quality.HIGH - quality.LOW) / quality.BINS, np.array([y[rows][bins[rows] == b].mean() for b in at]), np.array([(bins[rows] == b).sum() for b in at], float))
+    steps = quality.knots(quality.LOW + (at + 0.5) * (quality.HIGH - quality.LOW) / quality.BINS, np.array([y[rows][bins[rows] == b].mean() for b in at]), np.array([(bins[rows] == b).sum() for b in at], float))
     assert np.allclose(model.steps[0], steps[0], atol=1e-6) and np.allclose(model.steps[1], steps[1], atol=1e-6)
 
 
