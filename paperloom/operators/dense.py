@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from paperloom.functions.vectors import normalised
 from paperloom.operators.lexical import ranked
 
-#: Least cosine of a hit; queries that go to the workers at once (a bound on what is sent: this many vectors).
-FLOOR, QUERY_BLOCK = 0.25, 2048
+#: Least cosine of a hit; queries that go to the workers at once (a bound on what is sent: this many vectors); vectors
+#: that meet a block of queries in one task where there are more queries than that; vectors of one product.
+FLOOR, QUERY_BLOCK, VECTOR_BLOCK, PRODUCT = 0.25, 2048, 16384, 2048
+SCORES = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())])
 
 
 def add_vectors(index: DataFrame, new: DataFrame, dim: int) -> DataFrame:
@@ -57,18 +59,38 @@ def _best(ids: list[int], queries: np.ndarray, n: int):
     return run
 
 
-def dense_scores(vectors: DataFrame, queries: DataFrame, n: int, block: int = QUERY_BLOCK) -> DataFrame:
-    """Per query at least its n best: query_id, chunk_id, score. queries: query_id, embedding; a stated set, which goes
-    to the workers in blocks of bounded size."""
-    count = queries.count()
-    blocks = max(1, -(-count // block))
-    out = None
-    for k in range(blocks):
-        rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).filter("embedding is not null").select("query_id", "embedding").collect()
-        if rows:
-            best = vectors.select("chunk_id", "embedding").mapInArrow(_best([r[0] for r in rows], _unit([r[1] for r in rows]), n), "query_id long, chunk_id long, score double")
-            out = best if out is None else out.unionAll(best)
-    return out if out is not None else vectors.sparkSession.createDataFrame([], "query_id long, chunk_id long, score double")
+def _cell(n: int):
+    def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        # a pair of blocks may lack one of both sides
+        if not vectors.num_rows or not queries.num_rows:
+            return SCORES.empty_table()
+        best = _best(queries.column("query_id").to_pylist(), _unit(queries.column("embedding").to_pylist()), n)
+        rows = vectors.select(["chunk_id", "embedding"]).combine_chunks()
+        return pa.Table.from_batches(best(iter(rows.to_batches(max_chunksize=PRODUCT))), SCORES)
+
+    return run
+
+
+def _grid(vectors: DataFrame, queries: DataFrame, n: int, block: int, vector_block: int) -> DataFrame:
+    """Blocks of vectors against blocks of queries, each pair of blocks in a group of bounded size."""
+    q, v = (max(1, -(-rows.count() // size)) for rows, size in ((queries, block), (vectors, vector_block)))
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    left = vectors.select("chunk_id", "embedding", F.pmod(F.xxhash64("chunk_id", "embedding"), F.lit(v)).alias("v"), every(q).alias("q"))
+    right = queries.select("query_id", "embedding", every(v).alias("v"), F.pmod(F.xxhash64("query_id", "embedding"), F.lit(q)).alias("q"))
+    return left.groupBy("v", "q").cogroup(right.groupBy("v", "q")).applyInArrow(_cell(n), "query_id long, chunk_id long, score double")
+
+
+def dense_scores(vectors: DataFrame, queries: DataFrame, n: int, block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
+    """Per query at least its n best: query_id, chunk_id, score. queries: query_id, embedding; a stated set. Up to a
+    block of them goes to the workers as it is; more meet the vectors in a shuffle, block by block, so that neither the
+    plan nor the driver grows with them."""
+    vectors, asked = vectors.select("chunk_id", "embedding"), queries.filter("embedding is not null").select("query_id", "embedding")
+    rows = asked.limit(block + 1).collect()
+    if len(rows) > block:
+        return _grid(vectors, asked, n, block, vector_block)
+    if not rows:
+        return vectors.sparkSession.createDataFrame([], "query_id long, chunk_id long, score double")
+    return vectors.mapInArrow(_best([r[0] for r in rows], _unit([r[1] for r in rows]), n), "query_id long, chunk_id long, score double")
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, n: int, floor: float = FLOOR) -> DataFrame:

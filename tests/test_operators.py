@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -56,6 +57,22 @@ def test_dense_floor_and_ties(spark):
     assert dense.add_vectors(v.limit(0), v, 2).count() == 4
 
 
+@pytest.mark.parametrize("block, vector_block", [(2048, 16384), (7, 16384), (7, 10), (1, 1000)])
+def test_dense_blocks(spark, block, vector_block):
+    """Queries that don't fit a block meet the vectors in a shuffle, with the same best ones."""
+    x = np.random.default_rng(3).normal(size=(90, 8))
+    x[40:45] = x[3]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    v = spark.createDataFrame([*rows, (90, None), (91, [1.0])], "chunk_id long, embedding array<double>").repartition(5)
+    q = spark.createDataFrame([*rows[:25], (99, None)], "query_id long, embedding array<double>")
+    best = dense.ranked(dense.dense_scores(v, q, 6, block, vector_block), 6)
+    u = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    s = np.round(u @ u.T, 9)
+    wanted = [(i, k, int(c)) for i in range(25) for k, c in enumerate(np.lexsort((np.arange(90), -s[i]))[:6])]
+    assert sorted((r.query_id, r.rank0, r.chunk_id) for r in best.collect()) == wanted
+
+
+
 def test_hybrid(spark):
     schema = "query_id long, rank0 int, chunk_id long, score double"
     d = spark.createDataFrame([(0, i, i + 1, 0.9) for i in range(3)], schema)
