@@ -36,5 +36,50 @@ SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(list_sum(hi) - list_sum(lo),
 FROM t LEFT JOIN spans USING (doc_id)"""
 
 
+
+
+def _clusters(rounds: int = 3) -> str:
+    nearest = """SELECT id, any_value(vec_id) AS vec_id, any_value(x) AS x, min({'distance': d, 'cluster': k}) AS m
+  FROM (SELECT id, vec_id, x, k, list_sum(list_transform(range(1, 65), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::BIGINT AS d FROM v CROSS JOIN c%d) GROUP BY id"""
+    moved = """SELECT k, coalesce(new, c) AS c FROM c%d LEFT JOIN
+  (SELECT k, list(CAST((s - ((s %% n) + n) %% n) / n AS BIGINT) ORDER BY i) AS new FROM
+    (SELECT m.cluster AS k, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM (SELECT m, x, unnest(range(1, 65)) AS i FROM a%d) GROUP BY ALL) GROUP BY k) USING (k)"""
+    steps = "".join(f"a{r} AS ({nearest % r}),\nc{r + 1} AS ({moved % (r, r)}),\n" for r in range(rounds))
+    return f"""
+WITH v AS (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda y: CAST(floor(64 * CAST(y AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: isfinite(y))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY h, x) - 1 AS k, x AS c FROM (SELECT sha256('1:' || vec_id) AS h, x FROM v ORDER BY h, x LIMIT 16)),
+{steps}a{rounds} AS ({nearest % rounds}),
+s AS (SELECT m.cluster AS k, sum(m.distance)::BIGINT AS cluster_inertia FROM a{rounds} GROUP BY m.cluster)
+SELECT vec_id, m.cluster::INTEGER AS cluster, m.distance AS distance, cluster_inertia, (SELECT sum(cluster_inertia)::BIGINT FROM s) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN s ON s.k = m.cluster JOIN c{rounds} c ON c.k = m.cluster"""
+
+
+def _word_list(text: str) -> str:
+    low = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"list_filter(regexp_split_to_array({low}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+
+#: Exact windows by joins of whole phrases; proximity from each window's rarest word, the first of them in the window.
+LEAKS = rf"""
+WITH d AS (SELECT doc_id, {_word_list("text")} AS w FROM documents),
+b AS (SELECT item_id, {_word_list("text")} AS w FROM benchmark),
+win AS (SELECT row_number() OVER () AS win, * FROM (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: w[i:i + 9])) AS u FROM b WHERE len(w) > 0)),
+grams AS (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT len(u) AS k FROM win))),
+hit AS (SELECT doc_id, i, k, item_id FROM grams JOIN (SELECT item_id, len(u) AS k, array_to_string(u, ' ') AS g FROM win) USING (k, g)),
+covered AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, i + unnest(range(k)) AS pos FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hit) GROUP BY doc_id),
+tok AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+n AS (SELECT word, count(*) AS n FROM tok GROUP BY word),
+each AS (SELECT win, item_id, len(u) AS k, unnest(u) AS word, generate_subscripts(u, 1) AS off FROM win),
+rarest AS (SELECT win, arg_min(word, (n, off)) AS word, arg_min(off, (n, off)) AS off, count(n) = any_value(k) AS known FROM each LEFT JOIN n USING (word) GROUP BY win),
+start AS (SELECT doc_id, win, pos - off AS st FROM rarest JOIN tok USING (word) WHERE known),
+near AS (SELECT s.doc_id, e.item_id FROM start s JOIN each e USING (win) JOIN tok t ON t.doc_id = s.doc_id AND t.word = e.word AND t.pos BETWEEN st + e.off - 2 AND st + e.off + 2
+  GROUP BY s.doc_id, s.win, s.st, e.item_id HAVING count(DISTINCT e.off) = any_value(e.k)),
+beside AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM near GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN beside USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash": NEAR, "op5_pivot_index": VECTORS, "op9_suffix_dedup": REPEATS}
+    return {"op2_minhash": NEAR, "op5_pivot_index": VECTORS, "op9_suffix_dedup": REPEATS, "op12_centroids": _clusters(), "op13_decontamination": LEAKS}

@@ -38,9 +38,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def _hash_words(part: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash_words(part: np.ndarray, breaks: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and hash of each word; a word also ends at breaks (places in part)."""
-    word = ~_SPACE[part]
+    word = ~gaps[part]
     starts = word.copy()
     starts[1:] &= ~word[:-1]
     ends = word.copy()
@@ -56,8 +56,8 @@ def _hash_words(part: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.nd
     return at, mix((sums[to] - sums[at]) * inverse[at] + (to - at).astype(np.uint64) * _U(0xA0761D6478BD642F))
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, in order, and each text's first place in them."""
+def words(buf: np.ndarray, off: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, in order, and each text's first place in them. gaps: which bytes end words."""
     at, hashes, lo = [], [], 0
     while lo < len(buf):
         hi = min(len(buf), lo + SPAN)
@@ -68,13 +68,13 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             else:
                 step = SPAN
                 while hi < len(buf):
-                    space = np.flatnonzero(_SPACE[buf[hi : hi + step]])
+                    space = np.flatnonzero(gaps[buf[hi : hi + step]])
                     if len(space):
                         hi += int(space[0])
                         break
                     hi += step
                 hi = min(hi, len(buf), int(off[np.searchsorted(off, lo, "right")]))
-        a, h = _hash_words(buf[lo:hi], off[(off > lo) & (off < hi)] - lo)
+        a, h = _hash_words(buf[lo:hi], off[(off > lo) & (off < hi)] - lo, gaps)
         at.append(a + lo)
         hashes.append(h)
         lo = hi
