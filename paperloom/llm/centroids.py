@@ -43,7 +43,7 @@ def kept(vectors: DataFrame, dim: int = DIM) -> DataFrame:
 def starts(vectors: DataFrame, k: int) -> np.ndarray:
     """The k vectors with the least sha256 of `1:<vec_id>`, in that order."""
     rows = vectors.withColumn("hash", F.sha2(F.concat_ws(":", F.lit("1"), F.col("vec_id").cast("string")), 256)).orderBy("hash", "x").limit(k).collect()
-    return np.array([r["x"] for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r["x"] for r in rows], np.int64)
 
 
 def nearest(x: np.ndarray, centroids: np.ndarray, order: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, int]:

@@ -67,8 +67,10 @@ def _parts(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _block(hashes: np.ndarray, where: np.ndarray, vocabulary: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Terms, how often each occurs, and the places of all, term by term."""
     if vocabulary is not None:
-        at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1) if len(vocabulary) else np.zeros(0, np.int64)
-        known = vocabulary[at] == hashes if len(vocabulary) else np.zeros(len(hashes), bool)
+        if not len(vocabulary):
+            return vocabulary, vocabulary, vocabulary
+        at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+        known = vocabulary[at] == hashes
         number, where = at[known].astype(np.int32), where[known]
         order = np.argsort(number, kind="stable")
         held = np.bincount(number, minlength=len(vocabulary))
@@ -113,7 +115,7 @@ def index(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     spark = prepare(docs.sparkSession)
     vocabulary = None
     if terms is not None:
-        some = terms.distinct().limit(VOCABULARY + 1).toArrow().column(0).to_numpy()
+        some = terms.distinct().limit(VOCABULARY + 1).toArrow().column(0).to_numpy().astype(np.int64)
         vocabulary = np.sort(some) if len(some) <= VOCABULARY else None
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return written(rows.mapInArrow(_indexed(vocabulary), BLOCK), "positions", "zstd")
