@@ -49,6 +49,15 @@ def embed_texts(chunks: DataFrame, most: int = EMBED_CHARS) -> DataFrame:
     return chunks.withColumn("embed_text", F.substring("text", 1, most))
 
 
+def batch_rows(chunks: DataFrame, text: str, size: int = BATCH) -> DataFrame:
+    """chunks: chunk_id (consecutive within a file), filename and the text column. Batches of up to size consecutive chunks
+    of a file as rows: filename, batch, ids, texts, in the order of chunk_ids. A group is one batch, never a file."""
+    first = chunks.groupBy("filename").agg(F.min("chunk_id").alias("first_id"))
+    dealt = chunks.select("filename", "chunk_id", F.col(text).alias("text")).join(first, "filename").withColumn("batch", F.floor((F.col("chunk_id") - F.col("first_id")) / size))
+    rows = dealt.groupBy("filename", "batch").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))).alias("rows"))
+    return rows.select("filename", "batch", F.col("rows.chunk_id").alias("ids"), F.col("rows.text").alias("texts"))
+
+
 def embed_batches(chunks: DataFrame, size: int = BATCH) -> DataFrame:
     """Batches of consecutive chunks (with chunk_id) within a file: filename, batch, n_chunks, token_estimate,
     pause_seconds. A chunk's place in its file is its number less the file's first, so no file is sorted in one task."""

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperloom.functions.text import clean_answer, has_followup_signal, query_complexity
 from paperloom.functions.vectors import blended, normalised
 from paperloom.operators import chat, chunking, dense, fusion, ingest, lexical, postprocess, tables
 from paperloom.shared import written
 from paperloom.sources import providers
+from paperloom.sources.batchlog import BatchLog
+from paperloom.sources.commits import create_if_absent
 from paperloom.sources.pages import raw_tables
 from paperloom.sources.store import Store
 
+#: Chunks of a batch of an ingest: what a break costs at most.
+INGEST_BATCH = 100_000
 #: Hits of the question and of each other wording, weights of their lists, hits that are merged and shown.
 PRIMARY, VARIANT, PRIMARY_WEIGHT, VARIANT_WEIGHT, MERGED, SHOWN = 20, 8, 3.0, 0.5, 15, 10
 NO_HITS = "No document matches this question. Try other words."
@@ -37,6 +43,9 @@ def hybrid_search(chunks: DataFrame, vectors: DataFrame | None, index: lexical.L
 #: What a store keeps of a chunk, in the order that numbers it.
 ORDER = ("filename", "page_num", "kind", "table_idx", "chunk_seq")
 CHUNK = (*ORDER, "source", "chunk_type", "text")
+_KINDS = {"page_num": T.LongType(), "kind": T.IntegerType(), "table_idx": T.IntegerType(), "chunk_seq": T.IntegerType()}
+CHUNK_SCHEMA = T.StructType([T.StructField("chunk_id", T.LongType()), *[T.StructField(c, _KINDS.get(c, T.StringType())) for c in CHUNK]])
+VECTOR_SCHEMA = T.StructType([T.StructField("chunk_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.DoubleType()))])
 
 
 def with_vectors(rows: DataFrame, vectors: DataFrame, column: str, name: str) -> DataFrame:
@@ -52,10 +61,26 @@ def question_vectors(asked: DataFrame, vectors: DataFrame) -> DataFrame:
     return rows.select("query_id", F.col("expanded").alias("query_text"), F.when(F.col("h").isNotNull(), blended(best, F.col("h"))).otherwise(best).alias("embedding"))
 
 
+def question_texts() -> Column:
+    """What is embedded of a question, in one call: itself, as expanded, the passage, two other wordings; null where there is
+    no such text or it is the question itself."""
+    hyde = F.when(F.col("hyde") != "", F.col("hyde"))
+    return F.array(F.col("query_text"), F.when(F.col("expanded") != F.col("query_text"), F.col("expanded")), hyde, F.get("variants", F.lit(0)), F.get("variants", F.lit(1)))
+
+
+def first_vector() -> Column:
+    """Of vectors in the order of question_texts: the expanded question's, else the question's own, blended with the
+    passage's where there is one."""
+    at = lambda i: F.get("vectors", F.lit(i))
+    best = F.coalesce(at(1), at(0)).cast("array<double>")
+    return F.when(at(2).isNotNull(), blended(best, at(2))).otherwise(best)
+
+
 @dataclass
 class Engine:
     """embed, complete, rerank: providers. tries, per_second: how often a call is made before it counts as failed, and
-    calls a second of each provider in all."""
+    calls a second of each provider in all. batch: chunks of a batch of an ingest. keep_answers: whether a model's answers are
+    kept with the store, so that a prompt that was answered is never sent again."""
 
     spark: SparkSession
     path: str
@@ -66,13 +91,21 @@ class Engine:
     tries: int = 3
     delay: float = 1.0
     per_second: float | None = None
+    batch: int = INGEST_BATCH
+    keep_answers: bool = False
 
     @property
     def store(self) -> Store:
         return Store(self.spark, self.path)
 
-    def _service(self, call, share: int = 1):
-        return None if call is None else providers.Service(call, self.tries, self.delay, self.per_second, share)
+    def _service(self, call):
+        lanes = providers.lanes_for(self.spark.sparkContext.defaultParallelism, self.per_second)
+        return None if call is None else providers.Service(call, self.tries, self.delay, self.per_second, lanes)
+
+    def _answers(self) -> providers.Answers | None:
+        if self.complete is None:
+            return None
+        return providers.Answers(self.spark, self._service(self.complete), f"{self.store.path}/answers" if self.keep_answers else None)
 
     def chunks(self, pages: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
         """Chunks (CHUNK) of pages: filename, page_num, text and, where an extractor found some, tables. fallback: the
@@ -83,40 +116,102 @@ class Engine:
         raw = raw_tables(pages).drop("page_text").withColumn("extractor", F.lit("page"))
         return tables.page_chunks(pages, tables.accepted(raw, fallback))
 
-    def ingest(self, pages: DataFrame, vectors: DataFrame | None = None, dim: int = 0, fallback: DataFrame | None = None) -> dict:
+    def ingest(self, pages: DataFrame, vectors: DataFrame | None = None, dim: int = 0, fallback: DataFrame | None = None, fresh: bool = False) -> dict:
         """pages: filename, page_num, text and, if there are any, tables. vectors: text, embedding, where they are at
-        hand. Files that the store has are left out; the rest is chunked, embedded and indexed, and added to what is
-        there: chunks, vectors and postings are written for new files only, counts of terms are added up."""
+        hand. An ingest that broke off is finished first. Files that the store has are left out; the rest is chunked once, then
+        embedded batch by batch, each noted when it is done, then indexed, and added to what is there: chunks, vectors and
+        postings are written for new files only, counts of terms are added up. fresh: begin with an empty version."""
+        if fresh:
+            self.store.reset()
         self.resume()
+        self.finish(vectors, fresh)
         old = self.store.load() if self.store.exists() else {}
-        done = old["chunk"].select("filename").distinct() if old else None
-        if done is not None:
+        if "chunk" in old:
+            done = old["chunk"].select("filename").distinct()
             pages = pages.join(done, "filename", "left_anti")
             fallback = fallback.join(done, "filename", "left_anti") if fallback is not None else None
-        start = old["chunk"].count() if old else 0
-        chunks = chunking.embed_texts(chunking.numbered(self.chunks(pages, fallback), *ORDER, start=start))
-        texts = chunks.select(F.col("embed_text").alias("text")).distinct()
-        if vectors is None:
-            share = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            vectors = providers.embedded(texts, self._service(self.embed, share)) if self.embed else texts.withColumn("embedding", F.lit(None).cast("array<float>"))
-        found = with_vectors(chunks.select("chunk_id", "embed_text"), vectors, "embed_text", "embedding")
-        index = dense.add_vectors(self.spark.createDataFrame([], "chunk_id long, embedding array<double>"), found, dim) if dim else found.filter("embedding is not null").select("chunk_id", normalised("embedding").alias("embedding"))
-        chunks = chunks.select("chunk_id", *CHUNK)
-        built = lexical.build(chunks)
-        counts, corpus = built.terms.select("term", "df"), built.corpus.select("n", "words")
-        if old:
-            counts = counts.unionByName(old["terms"].select("term", "df")).groupBy("term").agg(F.sum("df").alias("df"))
-            corpus = corpus.unionByName(old["corpus"].select("n", "words")).agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
-        whole = lexical.indexed(built.posting, counts, corpus)
-        saved = self.store.save({"chunk": chunks, "vector": index, "posting": built.posting, "terms": whole.terms, "corpus": whole.corpus}, dim, append=("chunk", "vector", "posting"))
+        saved = self._finished(self.staged(pages, fallback, dim), vectors)
         self.store.clear_progress()
         return saved
 
+    def staged(self, pages: DataFrame, fallback: DataFrame | None = None, dim: int = 0) -> BatchLog:
+        """The pages' chunks, numbered from 0 and written by batch where the store will have them; the log says so."""
+        folder = self.store.new_folder()
+        chunks = chunking.numbered(self.chunks(pages, fallback), *ORDER)
+        chunks = chunks.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CHUNK_SCHEMA.fields])
+        chunks.withColumn("batch", F.floor(F.col("chunk_id") / self.batch)).write.partitionBy("batch").parquet(self.store.folder("chunk", folder))
+        n = self._staged_chunks(folder).count()
+        log = BatchLog(self.spark, self.store.path, folder)
+        log.begin(n, self.batch, dim)
+        return log
+
+    def _staged_chunks(self, folder: str, batch: int | None = None) -> DataFrame:
+        path = self.store.folder("chunk", folder) + ("" if batch is None else f"/batch={batch}")
+        return self.spark.read.schema(CHUNK_SCHEMA).option("recursiveFileLookup", "true").parquet(path)
+
+    def finish(self, vectors: DataFrame | None = None, forget: bool = False) -> list[str]:
+        """Go on with ingests that broke off after their chunks were staged: only batches without an entry in the log are
+        embedded. forget: leave them; they are never part of a version then. Gives the folders that were finished."""
+        old = {f for n in self.store.versions() for fs in json.loads(self.store.manifest(n)["folders"]).values() for f in fs}
+        out = []
+        for folder in BatchLog.folders(self.spark, self.store.path):
+            if folder not in old and not self.store.exists(f"ingest/{folder}/left.json"):
+                if forget:
+                    create_if_absent(self.spark, f"{self.store.path}/ingest/{folder}/left.json", "{}")
+                else:
+                    self._finished(BatchLog(self.spark, self.store.path, folder), vectors)
+                    out.append(folder)
+        return out
+
+    def embed_batch(self, log: BatchLog, batch: int, vectors: DataFrame | None = None) -> dict:
+        """Write one batch's vectors to its own folder (what a broken attempt left there goes) and give its entry in the log."""
+        plan = log.plan()
+        rows = chunking.embed_texts(self._staged_chunks(log.folder, batch))
+        if vectors is not None:
+            found = with_vectors(rows.select("chunk_id", "embed_text"), vectors, "embed_text", "embedding")
+        elif self.embed is not None:
+            calls = providers.embedded_batches(chunking.batch_rows(rows, "embed_text"), self._service(self.embed))
+            found = calls.select(F.explode(F.arrays_zip("ids", "vectors")).alias("z")).select(F.col("z.ids").alias("chunk_id"), F.col("z.vectors").alias("embedding"))
+        else:
+            found = rows.select("chunk_id", F.lit(None).cast("array<float>").alias("embedding"))
+        none = self.spark.createDataFrame([], VECTOR_SCHEMA)
+        good = dense.add_vectors(none, found, plan["dim"]) if plan["dim"] else found.filter("embedding is not null").select("chunk_id", normalised("embedding").alias("embedding"))
+        path = f"{self.store.folder('vector', log.folder)}/batch={batch}"
+        good.write.mode("overwrite").parquet(path)
+        first = batch * plan["size"]
+        last = min(first + plan["size"], plan["n_chunks"]) - 1
+        files = rows.groupBy("filename").agg(F.count("*").alias("n"), F.max("chunk_id").alias("last"))
+        at, n_files = files.agg(F.max_by(F.struct("filename", "last"), "last"), F.count("*")).first()
+        # the batch's last file ends here if no later chunk is of it; how far it has come counts from its first chunk
+        later = self._staged_chunks(log.folder).filter((F.col("filename") == at[0]) & (F.col("chunk_id") <= last + 1)).agg(F.count_if(F.col("chunk_id") <= last), F.max("chunk_id")).first()
+        ended = later[1] == last
+        n = self.spark.read.schema(VECTOR_SCHEMA).parquet(path).count()
+        return {"batch": batch, "first_chunk": first, "last_chunk": last, "n_chunks": last - first + 1, "n_vectors": n, "n_skipped": last - first + 1 - n, "n_files_ended": n_files - (not ended), "current_file": at[0], "chunks_in_current": later[0]}
+
+    def _finished(self, log: BatchLog, vectors: DataFrame | None) -> dict:
+        for batch in log.pending():
+            log.commit(self.embed_batch(log, batch, vectors))
+        built = lexical.build(self._staged_chunks(log.folder))
+        built.posting.write.mode("overwrite").parquet(self.store.folder("posting", log.folder))
+        if not log.plan()["n_chunks"]:
+            self.spark.createDataFrame([], VECTOR_SCHEMA).write.mode("overwrite").parquet(self.store.folder("vector", log.folder))
+
+        def terms(old: dict[str, DataFrame]) -> dict[str, DataFrame]:
+            counts, corpus = built.terms.select("term", "df"), built.corpus.select("n", "words")
+            if "terms" in old:
+                counts = counts.unionByName(old["terms"].select("term", "df")).groupBy("term").agg(F.sum("df").alias("df"))
+                corpus = corpus.unionByName(old["corpus"].select("n", "words")).agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+            whole = lexical.indexed(built.posting, counts, corpus)
+            return {"terms": whole.terms, "corpus": whole.corpus}
+
+        schemas = {"chunk": CHUNK_SCHEMA, "vector": VECTOR_SCHEMA, "posting": built.posting.schema}
+        return self.store.commit(log.folder, schemas, log.plan()["dim"], tuple(schemas), terms)
+
     def resume(self) -> str:
         """What an ingest that broke off left, put right from its progress notes: a store with more vectors than were
         noted is cut to those, one with fewer is cleared. Without notes nothing is done."""
         notes = self.store.load_progress()
-        if not notes or not self.store.exists():
+        if not notes or not self.store.exists() or not self.store.folders():
             return "nothing"
         got = self.store.load()
         what, n = ingest.resume_decision(got["vector"].count(), notes["total_vectors_at_save"])
@@ -146,17 +241,17 @@ class Engine:
             asked = asked.join(chat.summaries(history), "conv_id", "left")
         else:
             asked = asked.withColumn("summary", F.lit(None).cast("string"))
-        asked = providers.expanded(asked, self._service(self.complete))
-        wanted = F.filter(F.concat(F.array("query_text", "expanded", "hyde"), "variants"), lambda t: t != "")
-        texts = asked.select(F.explode(wanted).alias("text")).distinct()
-        embedded = providers.embedded(texts, self._service(self.embed), partitions=1) if self.embed else texts.withColumn("embedding", F.lit(None).cast("array<float>"))
-        first = question_vectors(asked, embedded)
+        # written: what a model or an embedder says is asked for once, whatever reads it
+        asked = providers.expanded(asked, self._service(self.complete), self._answers())
+        texts = asked.withColumn("texts", question_texts())
+        embedded = providers.embedded_batches(texts, self._service(self.embed)) if self.embed else texts.withColumn("vectors", F.lit(None).cast("array<array<float>>"))
+        asked = written(embedded.drop("texts"), "asked", rows=1)
+        first = asked.select("query_id", F.col("expanded").alias("query_text"), first_vector().alias("embedding"))
         lists = [self._search(stored, first, PRIMARY).withColumns({"list_seq": F.lit(0), "weight": F.lit(PRIMARY_WEIGHT)})]
         if self.complete is not None:
-            other = asked.select("query_id", F.posexplode("variants").alias("seq", "query_text"))
-            other = with_vectors(other, embedded, "query_text", "embedding")
             for k in range(2):
-                lists.append(self._search(stored, other.filter(F.col("seq") == k), VARIANT).withColumns({"list_seq": F.lit(k + 1), "weight": F.lit(VARIANT_WEIGHT)}))
+                other = asked.filter(F.size("variants") > k).select("query_id", F.get("variants", F.lit(k)).alias("query_text"), F.get("vectors", F.lit(3 + k)).alias("embedding"))
+                lists.append(self._search(stored, other, VARIANT).withColumns({"list_seq": F.lit(k + 1), "weight": F.lit(VARIANT_WEIGHT)}))
             hits = fusion.weighted(reduce(DataFrame.unionByName, lists), MERGED).drop("fusion_key", "list_seq")
         else:
             hits = lists[0].drop("list_seq", "weight")
@@ -164,7 +259,7 @@ class Engine:
         hits = written(providers.reranked(hits, self._service(self.rerank), SHOWN), "hits")  # a few a question; all below read them
         found = postprocess.conflicts(hits)
         windows = postprocess.sentence_windows(hits, stored["chunk"])
-        return {"questions": asked, "hits": windows, "conflicts": found, "contexts": postprocess.contexts(windows, found), "sources": postprocess.source_labels(hits)}
+        return {"questions": asked.drop("vectors"), "hits": windows, "conflicts": found, "contexts": postprocess.contexts(windows, found), "sources": postprocess.source_labels(hits)}
 
     def prompts(self, questions: DataFrame, history: DataFrame | None = None) -> DataFrame:
         """query_id, expanded_query, context, messages: what the model gets for each question. With a history (conv_id,
@@ -191,18 +286,14 @@ class Engine:
         """query_id, response, expanded_query. Without a model the response is the context that it would get; a question
         without a hit, and one for which the model says nothing, get a fixed text."""
         rows = self.prompts(questions, history)
-        complete = self._service(self.complete)
-        if complete is None:
+        if self.complete is None:
             return rows.select("query_id", F.coalesce("context", F.lit(NO_HITS)).alias("response"), "expanded_query")
-
-        def run(batches):
-            for b in batches:
-                out = [complete([{"role": m["role"], "content": m["content"]} for m in ms], 0.2, 2500) if c else NO_HITS for ms, c in zip(b["messages"], b["context"])]
-                yield b.assign(response=out)[["query_id", "response", "expanded_query"]]
-
-        said = rows.coalesce(1).mapInPandas(run, "query_id long, response string, expanded_query string")
-        clean = clean_answer("response")
-        return said.withColumn("response", F.when(F.coalesce(clean, F.lit("")) == "", F.lit(NO_ANSWER)).otherwise(clean))
+        asked = rows.withColumns({"messages": F.when(F.col("context").isNotNull(), F.col("messages")), "temperature": F.lit(0.2), "most": F.lit(2500)})
+        asked = written(asked, "prompts", rows=1)  # a context is made once, not for the call and for its answer
+        said = self._answers().answered(asked, "said")
+        clean = clean_answer("said")
+        response = F.when(F.col("context").isNull(), F.lit(NO_HITS)).when(F.coalesce(clean, F.lit("")) == "", F.lit(NO_ANSWER)).otherwise(clean)
+        return said.select("query_id", response.alias("response"), "expanded_query")
 
     def verify(self) -> dict:
         return self.store.verify()
