@@ -173,10 +173,11 @@ def oracle_sql() -> dict[str, str]:
         "q_dedup_semantic": f"""WITH RECURSIVE {VEC}, {DENSE_BY_ID}, {top("dense", "near", 20, "true")},
           hits AS (SELECT query_id, l.rank0, {{'rank0': l.rank0, 'chunk_id': l.chunk_id, 'e': e}} AS h FROM dense l JOIN vec ON vec_id = chunk_id),
           {fold("hits", "", "list_dot_product(p.e, ($h).e) / (sqrt(list_dot_product(p.e, p.e)) * sqrt(list_dot_product(($h).e, ($h).e)) + 1e-10) > 0.3", 20)}""",
-        "q_conflicts": """WITH h AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) - 1 AS INTEGER) AS rank0 FROM part) WHERE rank0 < 15)
-          SELECT p_brand AS query_id, 'Wall Thickness_mm' AS conflict_key, CAST(count(*) AS INTEGER) AS n_values, min(rank0) AS first_rank,
+        "q_conflicts": """WITH p AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) - 1 AS place FROM part),
+          h AS (SELECT *, p_brand || '/' || (place // 15) AS query_id, CAST(place % 15 AS INTEGER) AS rank0 FROM p)
+          SELECT query_id, 'Wall Thickness_mm' AS conflict_key, CAST(count(*) AS INTEGER) AS n_values, min(rank0) AS first_rank,
             'CONFLICT in Wall Thickness mm: ' || string_agg(CAST(CAST(p_size AS DOUBLE) AS VARCHAR) || ' mm (' || p_name || ' ' || p_partkey || ')', ', ' ORDER BY rank0) AS message
-          FROM h GROUP BY p_brand HAVING count(DISTINCT p_size) > 1""",
+          FROM h GROUP BY query_id HAVING count(DISTINCT p_size) > 1""",
         "q_sentence_window": f"WITH {CHUNKS}, {bm25('numbered')}, {top('lex', 'scored', 10, 'score > 0')}, {WINDOWS} SELECT query_id, rank0, chunk_id, CAST(length(win) AS INTEGER) AS n_chars, md5(win) AS window_md5 FROM shown",
         "q_context": f"""WITH {CHUNKS}, {bm25("numbered")}, {top("lex", "scored", 10, "score > 0")}, {WINDOWS}
           SELECT query_id, false AS has_conflicts, md5('RELEVANT DOCUMENTS:' || chr(10) || repeat('=', 50) || chr(10) || string_agg(chr(10) || 'Source: ' || source || chr(10) || 'Content: ' || win || chr(10), chr(10) ORDER BY rank0)) AS context_md5 FROM shown GROUP BY query_id""",
@@ -226,7 +227,7 @@ def oracle_sql() -> dict[str, str]:
         "q_embed_list": f"SELECT item_id AS query_id, {_kind('text')} AS complexity, CAST(1 AS INTEGER) AS n_texts, md5(text) AS texts_md5 FROM benchmark",
         "q_rerank_head": f"WITH {WHOLE}, {lex}, {top('lex', 'scored', 15, 'score > 0')} SELECT query_id, rank0, chunk_id, true AS unscored FROM lex WHERE rank0 < 10",
         "q_history_messages": f"WITH {SAID} SELECT conv_id, CAST(count(*) + 1 AS INTEGER) AS n_messages, md5('system=rules' || chr(10) || string_agg(role || '=' || text, chr(10) ORDER BY turn)) AS messages_md5 FROM said WHERE back <= 6 GROUP BY conv_id",
-        "q_store_roundtrip": f"WITH {CHUNKS} SELECT chunk_id, filename, page_num, chunk_seq, CAST(coalesce(len(embedding), 0) AS INTEGER) AS dim FROM numbered LEFT JOIN embeddings ON vec_id = chunk_id",
+        "q_store_roundtrip": f"WITH {CHUNKS} SELECT chunk_id, filename, page_num, chunk_seq, md5(text) AS text_md5, CAST(coalesce(len(embedding), 0) AS INTEGER) AS dim FROM numbered LEFT JOIN embeddings ON vec_id = chunk_id",
         "q_page_limit": "SELECT source AS filename, doc_id * 2 AS page_num, CAST(length(substr(text, 1, 500000)) AS INTEGER) AS n_chars FROM documents WHERE doc_id * 2 <= 1000",
         "q_resume_truncate": """SELECT vec_id AS chunk_id, CASE WHEN v = b THEN 'resume' ELSE 'truncate' END AS action FROM embeddings, (SELECT (SELECT count(*) FROM embeddings) AS v, (SELECT count(*) FROM benchmark) AS b) WHERE v >= b AND b > 0 AND vec_id < b""",
         "q_add_vectors": f"WITH {VEC} SELECT vec_id AS chunk_id, round(u[1], 6) AS first, round(sqrt(list_dot_product(u, u)), 6) AS length FROM unit WHERE vec_id % 3 <> 0 AND len(u) = 64",
@@ -250,5 +251,14 @@ def oracle_sql() -> dict[str, str]:
           SELECT row_number() OVER (ORDER BY filename, page_num, kind, table_idx, chunk_seq) - 1 AS chunk_id, filename, page_num, kind, CAST(table_idx AS INTEGER) AS table_idx, CAST(chunk_seq AS INTEGER) AS chunk_seq, source, chunk_type FROM c""",
         "q_poor_pages": f"""WITH {COLLAPSED}, f AS (SELECT filename, page_num, len(list_filter(head, lambda h: h <> '')) AS h, flatten(body) AS c FROM merged)
           SELECT filename, page_num FROM f WHERE page_num % 3 = 0 OR CASE WHEN h < 2 THEN 0.1 ELSE round(0.7 * (len(list_filter(c, lambda x: x <> '')) / greatest(len(c), 1))::DOUBLE + 0.3 * least(h / 3, 1.0)::DOUBLE, 3) END < 0.4""",
+        "q_batch_answers": f"""WITH {CHUNKS}, p AS (SELECT *, length(substr(text, 1, 15000)) AS n, row_number() OVER (PARTITION BY filename ORDER BY chunk_id) - 1 AS k FROM numbered),
+          b AS (SELECT *, k // 16 AS batch, k % 16 AS place, bool_or(n % 97 = 0) OVER (PARTITION BY filename, k // 16) OR n % 7 = 0 AS failed FROM p)
+          SELECT filename, CAST(batch AS INTEGER) AS batch, CAST(place AS INTEGER) AS place, chunk_id, failed, CAST(CASE WHEN failed THEN -1 ELSE n END AS INTEGER) AS n_chars, CAST(CASE WHEN failed THEN -1 ELSE place END AS INTEGER) AS at FROM b""",
+        "q_ingest_log": f"""WITH {CHUNKS.replace("source AS filename, doc_id AS page_num", "source || '/' || doc_id AS filename, 1::BIGINT AS page_num")},
+          f AS (SELECT *, chunk_id // 700 AS batch, length(substr(text, 1, 15000)) % 7 = 0 AS skipped, max(chunk_id) OVER (PARTITION BY filename) AS f_last, min(chunk_id) OVER (PARTITION BY filename) AS f_first FROM numbered)
+          SELECT batch, min(chunk_id) AS first_chunk, max(chunk_id) AS last_chunk, count(*) AS n_chunks, count(*) FILTER (NOT skipped) AS n_vectors, count(*) FILTER (skipped) AS n_skipped, count(*) FILTER (chunk_id = f_last) AS n_files_ended,
+            arg_max(filename, chunk_id) AS current_file, max(chunk_id) - arg_max(f_first, chunk_id) + 1 AS chunks_in_current FROM f GROUP BY batch""",
+        "q_store_appends": """SELECT item_id AS chunk_id, md5(text) AS text_md5, v AS version FROM benchmark, (SELECT unnest([1, 2])::INTEGER AS v)
+          UNION ALL SELECT doc_id + (SELECT max(item_id) + 1 FROM benchmark), md5(text), 2 FROM documents""",
         "q_stream_ingest": f"WITH {CHUNKS} SELECT * FROM chunks",
     }

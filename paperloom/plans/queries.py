@@ -11,10 +11,10 @@ from pyspark.sql.window import Window
 from paperloom.functions import text as T
 from paperloom.functions import vectors as V
 from paperloom.operators import chat, chunking, dense, fusion, ingest, lexical, postprocess, tables
-from paperloom.plans.engine import question_vectors
+from paperloom.plans.engine import Engine, question_vectors
 from paperloom.plans.frames import chunks, part_tables, pipe_pages, questions, table, vectors, whole_documents
 from paperloom.shared import new_path, written
-from paperloom.sources.providers import expanded, reranked
+from paperloom.sources.providers import embedded_batches, expanded, reranked
 from paperloom.sources.store import Store
 from paperloom.streaming.ingest import ingest_stream
 
@@ -106,10 +106,10 @@ def q_dedup_semantic(s: SparkSession, d: str) -> DataFrame:
 
 
 def q_conflicts(s: SparkSession, d: str) -> DataFrame:
-    """The fifteen dearest parts of each brand as hits of a query."""
+    """Each run of fifteen parts of a brand, by price, as hits of a query."""
     order = Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")
-    p = table(s, d, "part").withColumn("rank0", F.row_number().over(order) - 1).filter("rank0 < 15")
-    hits = p.select(F.col("p_brand").alias("query_id"), "rank0", F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("source"), F.concat(F.lit("Wall Thickness is "), F.col("p_size").cast("string"), F.lit(" mm")).alias("text"))
+    p = table(s, d, "part").withColumn("place", F.row_number().over(order) - 1)
+    hits = p.select(F.concat("p_brand", F.lit("/"), F.floor(F.col("place") / 15).cast("string")).alias("query_id"), (F.col("place") % 15).cast("int").alias("rank0"), F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("source"), F.concat(F.lit("Wall Thickness is "), F.col("p_size").cast("string"), F.lit(" mm")).alias("text"))
     return postprocess.conflicts(hits)
 
 
@@ -285,7 +285,7 @@ def q_store_roundtrip(s: SparkSession, d: str) -> DataFrame:
     store = Store(s, new_path(s, "store"))
     store.save({"chunk": chunks(s, d), "vector": vectors(s, d)}, 64)
     got = store.load()
-    return got["chunk"].join(got["vector"].select("chunk_id", F.size("embedding").alias("dim")), "chunk_id", "left").select("chunk_id", "filename", "page_num", "chunk_seq", F.coalesce("dim", F.lit(0)).alias("dim"))
+    return got["chunk"].join(got["vector"].select("chunk_id", F.size("embedding").alias("dim")), "chunk_id", "left").select("chunk_id", "filename", "page_num", "chunk_seq", F.md5("text").alias("text_md5"), F.coalesce("dim", F.lit(0)).alias("dim"))
 
 
 def q_stream_ingest(s: SparkSession, d: str) -> DataFrame:
@@ -297,6 +297,47 @@ def q_stream_ingest(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(out)
 
 
+def _leaving_out(texts: list[str]) -> list:
+    """Stands in for an embedder: lengths and places; a text whose length is divisible by seven gets no answer."""
+    return [{"index": i, "embedding": [float(len(t)), float(i)]} for i, t in reversed(list(enumerate(texts))) if len(t) % 7]
+
+
+def _failing(texts: list[str]) -> list:
+    """The same, but a call with a text whose length is divisible by 97 fails."""
+    if any(len(t) % 97 == 0 for t in texts):
+        raise OSError("planted")
+    return _leaving_out(texts)
+
+
+def q_batch_answers(s: SparkSession, d: str) -> DataFrame:
+    """Vectors of chunks by batches of sixteen: some calls fail whole, some answers lack places; the rest find theirs."""
+    rows = chunking.batch_rows(chunking.embed_texts(chunks(s, d)), "embed_text")
+    got = embedded_batches(rows, _failing).select("filename", "batch", F.posexplode(F.arrays_zip("ids", "vectors")).alias("place", "z"))
+    vector = F.col("z.vectors")
+    return got.select("filename", F.col("batch").cast("int").alias("batch"), "place", F.col("z.ids").alias("chunk_id"), vector.isNull().alias("failed"), F.coalesce(F.get(vector, F.lit(0)), F.lit(-1.0)).cast("int").alias("n_chars"), F.coalesce(F.get(vector, F.lit(1)), F.lit(-1.0)).cast("int").alias("at"))
+
+
+def q_ingest_log(s: SparkSession, d: str) -> DataFrame:
+    """The log of an ingest, each document a file, that breaks off after two batches and goes on from there."""
+    pages = table(s, d, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("filename"), F.lit(1).alias("page_num"), "text")
+    engine = Engine(s, new_path(s, "ingested"), embed=_leaving_out, batch=700)
+    log = engine.staged(pages)
+    for batch in log.pending()[:2]:
+        log.commit(engine.embed_batch(log, batch))
+    engine.finish()
+    return log.rows().drop("written")
+
+
+def q_store_appends(s: SparkSession, d: str) -> DataFrame:
+    """A store of benchmark items to which documents are added: numbers go on, the version before stays as it was."""
+    store = Store(s, new_path(s, "store"))
+    rows = lambda name, key: table(s, d, name).select(F.col(key).alias("chunk_id"), "text")
+    store.save({"chunk": rows("benchmark", "item_id")}, 0)
+    store.save({"chunk": rows("documents", "doc_id")}, 0, append=("chunk",))
+    of = lambda number: store.load(number)["chunk"].select("chunk_id", F.md5("text").alias("text_md5"), F.lit(number).alias("version"))
+    return of(1).unionByName(of(2))
+
+
 def q_page_limit(s: SparkSession, d: str) -> DataFrame:
     """The first pages of each file, each with the first characters of its text; every second number is a page here."""
     pages = chunking.pages_from_documents(table(s, d, "documents")).withColumn("page_num", F.col("page_num") * 2)
