@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import section_heading, words
-from paperloom.operators.numbering import with_row_numbers
+from paperloom.operators.numbering import with_row_numbers, with_starts
 
 #: Words of a chunk, words that neighbours share, characters that are embedded, chunks of a batch, characters of a page.
 CHUNK_WORDS, OVERLAP, EMBED_CHARS, BATCH, PAGE_CHARS, MAX_PAGES = 400, 80, 15_000, 16, 500_000, 1_000
@@ -30,13 +30,29 @@ def source_label(filename: str = "filename", page: str = "page_num") -> Column:
 def text_chunks(pages: DataFrame, size: int = CHUNK_WORDS, overlap: int = OVERLAP) -> DataFrame:
     """pages: filename, page_num, text. One row a window of words: filename, page_num, chunk_seq, source, chunk_type,
     text. The last window of a page is the one that reaches its end. A page is one row, so nothing is shuffled."""
+    return _windows(pages, size, overlap)
+
+
+def _windows(pages: DataFrame, size: int, overlap: int, *more: str) -> DataFrame:
     step = size - overlap
-    split = pages.select("filename", "page_num", words("text").alias("words"), section_heading("text").alias("heading")).filter(F.size("words") > 0)
+    split = pages.select("filename", "page_num", *more, words("text").alias("words"), section_heading("text").alias("heading")).filter(F.size("words") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - overlap - 1), F.lit(step))
-    rows = split.select("filename", "page_num", "words", "heading", F.posexplode(starts).alias("chunk_seq", "start"))
+    rows = split.select("filename", "page_num", *more, "words", "heading", F.posexplode(starts).alias("chunk_seq", "start"))
     body = F.array_join(F.slice("words", F.col("start") + 1, size), " ")
     text = F.when(F.col("heading") != "", F.concat(F.lit("Section: "), "heading", F.lit("\n"), body)).otherwise(body)
-    return rows.select("filename", "page_num", "chunk_seq", source_label().alias("source"), F.lit("text").alias("chunk_type"), text.alias("text"))
+    return rows.select("filename", "page_num", "chunk_seq", source_label().alias("source"), F.lit("text").alias("chunk_type"), text.alias("text"), *more)
+
+
+def numbered_text_chunks(pages: DataFrame, size: int = CHUNK_WORDS, overlap: int = OVERLAP, start: int = 0) -> DataFrame:
+    """text_chunks with chunk_id in the order of file, page and place, from how many chunks each page has: no text is moved
+    or sorted for it. Where pages repeat (filename, page_num), chunks are sorted as they are."""
+    n_words = F.size(words("text"))
+    n = F.when(n_words > 0, F.floor(F.greatest(F.lit(0), n_words - overlap - 1) / (size - overlap)) + 1).otherwise(0)
+    placed = with_starts(pages, ["filename", "page_num"], F.coalesce(n, F.lit(0)), "first_id", start)
+    if placed is None:
+        return numbered(text_chunks(pages, size, overlap), start=start)
+    rows = _windows(placed, size, overlap, "first_id")
+    return rows.select((F.col("first_id") + F.col("chunk_seq")).alias("chunk_id"), *[c for c in rows.columns if c != "first_id"])
 
 
 def numbered(chunks: DataFrame, *order: str, start: int = 0) -> DataFrame:

@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of documents, numbered."""
-    return chunking.numbered(chunking.text_chunks(chunking.pages_from_documents(table(spark, sf_dir, "documents"))))
+    return chunking.numbered_text_chunks(chunking.pages_from_documents(table(spark, sf_dir, "documents")))
 
 
 def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
