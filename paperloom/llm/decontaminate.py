@@ -149,6 +149,8 @@ def rarest_first(asked: DataFrame, indexed: DataFrame) -> DataFrame:
     """asked: item_id, terms. The windows all of whose terms the corpus has, with offsets: their terms in order of how
     often they occur in it, and equally frequent ones as in the window."""
     counts = indexed.select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.counts").alias("n"))
+    # written, so that both sides of the join are plain shuffles, of which a frequent term's can be split
+    counts = written(counts, "term-counts", rows=VOCABULARY)
     each = asked.withColumn("window", F.monotonically_increasing_id()).select("window", "item_id", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
     lists = each.join(counts, "term").groupBy("window").agg(F.first("item_id").alias("item_id"), F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("t"))
     return lists.filter(F.size("t") == F.col("size")).select("item_id", F.col("t.term").alias("terms"), F.col("t.offset").alias("offsets"))
