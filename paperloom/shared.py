@@ -3,19 +3,31 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Hadoop's checked local file system runs a chmod for each file, for its check sum file and once more; the plain one
-#: runs one and writes no check sums. A JVM that starts a process is briefly counted twice by tools that add up the
-#: memory of a process tree. Other file systems don't read these options.
-PLAIN_LOCAL_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 #: Rows of a task that a small result isn't spread beyond; bytes of a row group, which writers hold in memory.
 TASK_ROWS, ROW_GROUP = 8_000, 16 << 20
-#: Paths of all tables that were written, the latest last.
-MADE: list[str] = []
+#: Where the paths of written tables are gathered, if a caller in this thread does.
+_GATHERED: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("gathered", default=None)
+
+
+@contextlib.contextmanager
+def gathered() -> Iterator[list[str]]:
+    """The paths of the tables that this thread writes meanwhile, so that whoever knows when nothing reads them any more can
+    delete them. Tables of other threads, and of other callers, aren't among them; an outer gathering gets them too."""
+    outer, mine = _GATHERED.get(), []
+    token = _GATHERED.set(mine)
+    try:
+        yield mine
+    finally:
+        _GATHERED.reset(token)
+        if outer is not None:
+            outer.extend(mine)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,8 +61,9 @@ def written(df: DataFrame, name: str, compression: str = "snappy", rows: int | N
     if rows is not None:
         files = tasks_for(spark, rows)
         df = df.repartition(files) if dealt else df.coalesce(files)
-    MADE.append(path)
-    df.write.options(**PLAIN_LOCAL_FILES).option("parquet.block.size", ROW_GROUP).parquet(path, compression=compression)
+    if (made := _GATHERED.get()) is not None:
+        made.append(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
