@@ -10,7 +10,8 @@ all members in different components are checked on their full sets within a task
 no link that banding finds is lost, and pairs are never listed.
 
 Nulls and edge cases: null or empty texts have empty sets and link with nothing; rows with the same doc_id are one
-node; a null doc_id never represents others; an empty table gives no rows; other columns are ignored.
+node; a row with a null doc_id links like others, also as the only link between two, but a component is named by the
+doc_ids in it (null, and kept, where none has one); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -99,8 +100,7 @@ def signatures(docs: DataFrame, places: int = PLACES, bands: int = BANDS) -> Dat
             size = np.array([len(s) for s in sets], np.int64)
             flat = pa.array(keys[size > 0].ravel(), pa.int64())
             offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(size > 0, bands, 0))]), pa.int32())
-            digest = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), digest, pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "n", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), _digests(sets), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "n", "digest", "keys"])
 
     return docs.mapInArrow(run, "doc_id long, n long, digest binary, keys array<long>")
 
@@ -116,6 +116,17 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "elements"])
 
 
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
+    for b in batches:
+        sets = shingle_sets(*utf8(b.column("text")))
+        yield pa.RecordBatch.from_arrays([_digests(sets), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "elements"])
+
+
+def _digests(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,9 +228,13 @@ def grouped(docs: DataFrame, percent: int = 75) -> DataFrame:
     spark = prepare(docs.sparkSession)
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     sigs = written(signatures(docs), "signatures")
-    count = sigs.count()  # of file footers; bounds what follows
-    classes = sigs.filter("n > 0 and doc_id is not null").groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys"))
-    classes = written(classes, "classes", rows=count)
+    count, with_id, highest = sigs.agg(F.count("*"), F.count("doc_id"), F.coalesce(F.max("doc_id"), F.lit(0))).first()  # of file footers; bounds what follows
+    highest = max(highest, 0)
+    if with_id < count and highest >= 1 << 62:
+        raise ValueError("doc_ids leave no room to number rows without one")
+    classes = sigs.filter("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys"))
+    # classes without any doc_id are numbered beyond all doc_ids, so that one never is the least of a component with some
+    classes = written(classes.withColumn("rep", F.coalesce("rep", F.lit(highest + 1) + F.monotonically_increasing_id())), "classes", rows=count)
     rows = classes.select(F.explode("keys").alias("key"), F.col("rep").alias("id"), "n")
     # written, so that both sides of the join are plain shuffles, of which a hot bucket's can be split
     hubs = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("top"), F.count("*").alias("size")).filter("hub.id <> top")
@@ -227,7 +242,12 @@ def grouped(docs: DataFrame, percent: int = 75) -> DataFrame:
     members = written(rows.join(hubs, "key").select("key", "size", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "members", rows=count)
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
     texts = texts.join(members.select("id").distinct(), "id").withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"])
-    sets = written(texts.select("id", "text").mapInArrow(_sets, "id long, elements binary"), "sets", rows=count)
+    elements = texts.select("id", "text").mapInArrow(_sets, "id long, elements binary")
+    if with_id < count:  # one text of each class without a doc_id is found by its digest
+        unnamed = docs.filter("doc_id is null").select("text").mapInArrow(_digested, "digest binary, elements binary").groupBy("digest").agg(F.first("elements").alias("elements"))
+        unnamed = unnamed.join(classes.filter(F.col("rep") > highest).select("digest", F.col("rep").alias("id")), "digest").join(members.select("id").distinct(), "id")
+        elements = elements.unionByName(unnamed.select("id", "elements"))
+    sets = written(elements, "sets", rows=count)
     fits = f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"
     star = members.filter("id <> hub").filter(fits).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     links = written(verified(star, sets, percent), "links", rows=count, dealt=True)
@@ -247,4 +267,5 @@ def grouped(docs: DataFrame, percent: int = 75) -> DataFrame:
     out = named.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     out = out.join(again.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
     component = F.coalesce("top", "root")
+    component = F.when(component <= highest, component)  # beyond: a component without any doc_id
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

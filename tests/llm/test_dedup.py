@@ -365,3 +365,35 @@ def test_hot_window_bucket_is_sorted(spark, monkeypatch):
         assert got[i] == len({x for k in hit for x in range(k, k + 200)})
     most = dict(seen)
     assert set(most) == {0, 1, 2} and most[2] > 20 and most[1] > 20 and most[0] <= 256
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rows_without_id_link(spark, documents, seed):
+    """A null doc_id links like any other row, also as the only bridge between two; it names no component."""
+    rng = random.Random(seed)
+    vocab = [f"n{i}" for i in range(4000)]
+    rows, k = [], 0
+    for _ in range(25):
+        base = [rng.choice(vocab) for _ in range(90)]
+        chain = [list(base)]
+        for step in range(4):  # each is similar to the one before, and the ends are not
+            t = list(chain[-1])
+            for i in rng.sample(range(90), 2):
+                t[i] = rng.choice(vocab)
+            chain.append(t)
+        for t in chain:
+            for _ in range(rng.choice([1, 1, 2])):
+                k += 1
+                rows.append((None if rng.random() < 0.5 else k, " ".join(t)))
+    rows += [(None, rows[0][1]), (None, None), (None, ""), (k + 1, None), (None, "one two"), (None, "one two"), (k + 2, "three four")]
+    sets = [shingle_set(t) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    root = grouped(range(len(rows)), links)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        if doc is not None:
+            least[root[i]] = min(doc, least.get(root[i], doc))
+    want = sorted(((doc, len(sets[i]), c := least.get(root[i]), doc == c) for i, (doc, _) in enumerate(rows)), key=repr)
+    bridged = {least[root[i]] for i in range(len(rows)) if root[i] in least} < {doc for doc, _ in rows if doc is not None}
+    got = sorted(map(tuple, neardup.grouped(documents(rows).repartition(5)).select("doc_id", "n_shingles", "component_id", "kept").collect()), key=repr)
+    assert bridged and got == want
