@@ -232,8 +232,7 @@ def held_out() -> Column:
 
 
 def _with_scores(measured: DataFrame, name: str, labels: DataFrame) -> DataFrame:
-    """measured (doc_id and others, with statistics called name; written) with score and predicted. Only the statistics
-    go to Python, other columns stay where they are."""
+    """measured (doc_id, held_out and statistics called name; written) with score and predicted."""
     model = fit(measured.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), f"{name}.*"), labels)
     return measured.withColumn("score", _scorer(model)(F.col(name))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
@@ -250,11 +249,16 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def annotated(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs (doc_id, text and any other columns) with score and predicted, in the place of columns that were called so.
-    Rows are written once with their statistics, so that texts are measured once and not shuffled."""
+    Texts are measured for training, of which only the statistics are written, and again where they are scored: so they are
+    neither shuffled nor written, and the result reads docs alone."""
     prepare(docs.sparkSession)
     docs = without(docs, "score", "predicted")
     names, docs = docs.columns, undotted(docs)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text")).filter("not held_out")
+    schema = T.StructType([*texts.schema.fields[:2], T.StructField("statistics", _STATISTICS)])
+    measured = written(texts.mapInArrow(_measure(["doc_id", "held_out"], "statistics"), schema), "statistics")
+    model = fit(measured.select("doc_id", "held_out", "statistics.*"), labels)
+    discard(measured)
     (name,) = spare(docs, "statistics")
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, _STATISTICS)])
-    measured = written(docs.mapInArrow(_measure(docs.columns, name), schema), "measured")
-    return _with_scores(measured, name, labels).drop(name).toDF(*names, "score", "predicted")
+    rows = docs.mapInArrow(_measure(docs.columns, name), T.StructType([*docs.schema.fields, T.StructField(name, _STATISTICS)]))
+    return rows.withColumn("score", _scorer(model)(F.col(name))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")).drop(name).toDF(*names, "score", "predicted")
