@@ -1,4 +1,4 @@
-"""BM25: postings and statistics as tables, scoring as joins."""
+"""BM25: postings by term and statistics as tables, scoring as joins, exact search that skips blocks of chunks."""
 
 from __future__ import annotations
 
@@ -13,61 +13,156 @@ from paperloom.shared import written
 
 #: The usual parameters of the Okapi variant: saturation, length weight, floor for terms in over half of the chunks.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Consecutive chunks of a block; terms of a question that are looked up first, to learn what its best hits come to.
+BLOCK, FIRST = 64, 4
+#: Postings of all questions' terms up to which they are simply all scored, in one pass; beyond, searches skip what can't win.
+FULL = 100_000_000
+#: Scores that are closer than this aren't told apart when chunks are skipped: sums depend on the order of adding.
+SLACK = 1e-6
 
 
 @dataclass
 class LexicalIndex:
-    """posting: term, chunk_id, tf, len. terms: term, df, idf. corpus: one row n, words, avgdl."""
+    """posting: term, block, chunk_id, tf, len, in order of term, block and chunk within its files. terms: term, df, idf. corpus: one
+    row n, words, avgdl. blocks: term, block, top, avgdl, n: the most that a term can weigh in a block's chunks (see block_tops);
+    a block is named by its first chunk. Without blocks, searches read all postings of their terms."""
 
     posting: DataFrame
     terms: DataFrame
     corpus: DataFrame
+    blocks: DataFrame | None = None
 
 
 def terms_of(text: Column | str) -> Column:
     return words(F.lower(F.col(text) if isinstance(text, str) else text))
 
 
-def build(chunks: DataFrame, epsilon: float = EPSILON) -> LexicalIndex:
-    """chunks: chunk_id, text. The one large shuffle counts (chunk, term), pre-aggregated on the map side. Postings are
-    written once, as counts, statistics and every search read them."""
-    tokens = chunks.select("chunk_id", terms_of("text").alias("t"))
-    lengths = tokens.select("chunk_id", F.size("t").alias("len"))
-    posting = tokens.select("chunk_id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").cast("int").alias("tf"), F.first("len").alias("len"))
-    posting = written(posting, "posting")
-    corpus = written(lengths.agg(F.count("*").alias("n"), F.sum("len").alias("words")), "corpus", rows=1)
-    return indexed(posting, written(posting.groupBy("term").agg(F.count("*").alias("df")), "terms"), corpus, epsilon)
+def postings(chunks: DataFrame, block: int = BLOCK) -> DataFrame:
+    """chunks: chunk_id, text. term, block, chunk_id, tf, len. A text is one row, so its terms are counted where it is: its
+    words in order, where runs of equal ones begin, and how long they are; each a column of its own, as what a lambda refers
+    to would else be made anew for each word."""
+    rows = chunks.select("chunk_id", F.array_sort(terms_of("text")).alias("t")).filter(F.size("t") > 0)
+    begins = F.filter(F.transform("t", lambda w, i: F.when((i == 0) | (w != F.get("t", i - 1)), i)), lambda i: i.isNotNull())
+    rows = rows.select("chunk_id", "t", begins.alias("at"))
+    runs = F.transform("at", lambda i, k: F.struct(F.get("t", i).alias("term"), (F.coalesce(F.get("at", k + 1), F.size("t")) - i).alias("tf")))
+    rows = rows.select("chunk_id", F.size("t").alias("len"), F.explode(runs).alias("p"))
+    return rows.select("p.term", (F.col("chunk_id") - F.pmod("chunk_id", F.lit(block))).alias("block"), "chunk_id", F.col("p.tf").alias("tf"), "len")
 
 
-def indexed(posting: DataFrame, counts: DataFrame, corpus: DataFrame, epsilon: float = EPSILON) -> LexicalIndex:
+def build(chunks: DataFrame, epsilon: float = EPSILON, block: int = BLOCK) -> LexicalIndex:
+    """chunks: chunk_id, text. The one large shuffle brings postings of a term and block together, so that a frequent term
+    is spread by its blocks; they are written once, sorted, and all statistics and searches read them."""
+    posting = written(postings(chunks, block).repartition("term", "block").sortWithinPartitions("term", "block", "chunk_id"), "posting")
+    corpus = posting.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words")).withColumn("n", F.lit(chunks.count()))
+    corpus = written(corpus.select("n", "words"), "corpus", rows=1)
+    counts = written(posting.groupBy("term").agg(F.count("*").alias("df")), "terms")
+    return indexed(posting, counts, corpus, epsilon, written(block_tops(posting, corpus), "blocks"))
+
+
+def block_tops(posting: DataFrame, corpus: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """term, block, top, avgdl, n. top is the highest tf / (k1 * (1 - b + b * len / avgdl)) of a block's postings; a posting scores
+    (k1 + 1) * x / (x + 1) of this x. With another avgdl later on, x grows with it at most."""
+    length = corpus.select((F.col("words") / F.greatest("n", F.lit(1))).alias("avgdl"))
+    rows = posting.withColumn("avgdl", length.scalar())
+    x = F.col("tf") / (k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
+    return rows.groupBy("term", "block").agg(F.max(x).alias("top"), F.max("avgdl").alias("avgdl"), F.count("*").alias("n"))
+
+
+def indexed(posting: DataFrame, counts: DataFrame, corpus: DataFrame, epsilon: float = EPSILON, blocks: DataFrame | None = None) -> LexicalIndex:
     """The index of postings, counts (term, df) and corpus (n, words), which add up over parts of a collection."""
-    corpus = corpus.select("n", "words", (F.col("words") / F.col("n")).alias("avgdl"))
+    corpus = corpus.select("n", "words", F.try_divide("words", "n").alias("avgdl"))
     raw = counts.withColumn("n", corpus.select("n").scalar())
     raw = raw.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw_idf"))
     mean = raw.agg(F.avg("raw_idf").alias("mean_idf"))
     floored = raw.withColumn("mean_idf", mean.scalar())
     terms = floored.select("term", "df", F.when(F.col("raw_idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"))
-    return LexicalIndex(posting, terms, corpus)
+    return LexicalIndex(posting, terms, corpus, blocks)
+
+
+def _saturated(tf: str, length: str, k1: float, b: float) -> Column:
+    return F.col(tf) * (k1 + 1) / (F.col(tf) + k1 * (1 - b + b * F.col(length) / F.col("avgdl")))
+
+
+def _weights(index: LexicalIndex, queries: DataFrame) -> DataFrame:
+    """query_id, term, weight (idf, as often as the query repeats the term), df."""
+    asked = queries.select("query_id", F.explode(terms_of("query_text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    return asked.join(index.terms.select("term", "df", "idf"), "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"), "df")
 
 
 def scores(index: LexicalIndex, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """queries: query_id, query_text. One row a query and chunk with a common term: query_id, chunk_id, score. A term
     counts as often as the query repeats it. Only terms of the queries reach the join with the postings."""
-    asked = queries.select("query_id", F.explode(terms_of("query_text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    weighed = asked.join(index.terms.select("term", "idf"), "term")
-    hits = index.posting.join(weighed, "term").withColumn("avgdl", index.corpus.select("avgdl").scalar())
-    saturated = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    return hits.groupBy("query_id", "chunk_id").agg(F.sum(F.col("times") * F.col("idf") * saturated).alias("score"))
+    hits = index.posting.join(_weights(index, queries), "term").withColumn("avgdl", index.corpus.select("avgdl").scalar())
+    return hits.groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * _saturated("tf", "len", k1, b)).alias("score"))
+
+
+def best(rows: DataFrame, n: int, *order: Column | str) -> DataFrame:
+    """The first n rows of each query in the order, with place from 1. The limit is on the row number itself, so that each task
+    passes on n rows a query at most, and a query's rows needn't meet in one task."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("place") <= n)
 
 
 def ranked(scored: DataFrame, n: int, score: str = "score", least: float | None = None) -> DataFrame:
     """The n best of each query, ranks from 0; equal scores in chunk_id order. Scores count as equal at nine digits, as
     the last ones depend on the order in which terms are added up. least: kept only from this score on."""
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round(score, 9)), "chunk_id")
-    out = scored.withColumn("rank0", F.row_number().over(order) - 1).filter(F.col("rank0") < n)
+    out = best(scored, n, F.desc(F.round(score, 9)), "chunk_id").withColumn("rank0", F.col("place") - 1).drop("place")
     return out if least is None else out.filter(F.col(score) >= least)
 
 
-def bm25_topk(index: LexicalIndex, queries: DataFrame, n: int) -> DataFrame:
-    """The n best chunks of a query that score above zero: query_id, rank0, chunk_id, score."""
-    return ranked(scores(index, queries), n).filter("score > 0").select("query_id", "rank0", "chunk_id", "score")
+@dataclass
+class Search:
+    """A pruned search: scored (query_id, chunk_id, score) holds the n best of each query and some more; asked (query_id, term,
+    block, n) are all blocks of the queries' terms, read those that were looked into for candidates."""
+
+    scored: DataFrame
+    asked: DataFrame
+    read: DataFrame
+
+
+def searched(index: LexicalIndex, queries: DataFrame, n: int, first: int = FIRST) -> Search:
+    """Each query's weightiest terms are looked up first; the n chunks that they favour are scored in full, and the n best
+    reach what the least of those scores. The query's lightest terms, as long as they can't come to that together, bring no
+    candidate: those come from the blocks of the other terms, and only from blocks whose highest weights, with all light
+    terms, can reach it. A candidate whose heavy terms fall too far short is dropped, the others' light terms are added.
+    Nothing that could be among the n best is left out."""
+    avgdl = index.corpus.select("avgdl").scalar()
+    of_query = Window.partitionBy("query_id")
+    blocks = index.blocks.withColumnsRenamed({"avgdl": "then"}).withColumn("x", F.col("top") * F.greatest(avgdl / F.col("then"), F.lit(1.0)))
+    most = F.greatest(F.col("weight") * (K1 + 1) * F.col("x") / (F.col("x") + 1), F.lit(0.0))
+    weights = written(_weights(index, queries), "weights", rows=1)
+    asked = blocks.join(weights, "term").select("query_id", "term", "block", "n", most.alias("most"))
+    limits = weights.join(asked.groupBy("query_id", "term").agg(F.max("most").alias("most")), ["query_id", "term"])
+    limits = written(limits, "limits", rows=1)  # a row a query and term
+    score = (F.col("weight") * _saturated("tf", "len", K1, B)).alias("score")
+
+    def looked_up(terms: DataFrame, on: list[str]) -> DataFrame:
+        hits = index.posting.join(terms, on).withColumn("avgdl", avgdl)
+        return hits.select("query_id", "chunk_id", "block", score).groupBy("query_id", "chunk_id", "block").agg(F.sum("score").alias("score"))
+
+    def of_chunks(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+        return looked_up(chunks.select("query_id", "chunk_id", "block").join(terms.select("query_id", "term", "weight"), "query_id"), ["term", "block", "chunk_id"])
+
+    favoured = best(looked_up(best(limits, first, F.desc("most"), "term").select("query_id", "term", "weight"), ["term"]), n, F.desc("score"), "chunk_id")
+    reached = of_chunks(written(favoured, "favoured", rows=1), limits).groupBy("query_id").agg(F.when(F.count("*") == n, F.min("score") - SLACK).alias("reached"))
+    light = F.sum("most").over(of_query.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0))
+    split = limits.join(reached, "query_id", "left").withColumn("light", F.coalesce(light < F.col("reached"), F.lit(False)))
+    split = split.withColumn("rest", F.coalesce(F.sum(F.when(F.col("light"), F.col("most"))).over(of_query), F.lit(0.0)))
+    split = written(split, "split", rows=1)
+    heavy = split.filter("not light").select("query_id", "term", "weight", "reached", "rest")
+    parts = blocks.join(heavy, "term").select("query_id", "term", "block", "n", "weight", "reached", "rest", most.alias("most"))
+    fits = parts.groupBy("query_id", "block").agg((F.sum("most") + F.max("rest")).alias("bound"), F.max("reached").alias("reached"))
+    fits = fits.filter(F.col("reached").isNull() | (F.col("bound") >= F.col("reached"))).select("query_id", "block")
+    read = parts.join(fits, ["query_id", "block"])
+    found = looked_up(read.select("query_id", "term", "block", "weight"), ["term", "block"])
+    found = found.join(split.groupBy("query_id").agg(F.max("reached").alias("reached"), F.max("rest").alias("rest")), "query_id")
+    found = written(found.filter(F.col("reached").isNull() | (F.col("score") + F.col("rest") >= F.col("reached"))), "candidates")
+    added = of_chunks(found, split.filter("light")).withColumnRenamed("score", "more")
+    scored = found.join(added, ["query_id", "chunk_id", "block"], "left").select("query_id", "chunk_id", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+    return Search(scored, asked.select("query_id", "term", "block", "n"), read.select("query_id", "term", "block", "n"))
+
+
+def bm25_topk(index: LexicalIndex, queries: DataFrame, n: int, full: int | None = None) -> DataFrame:
+    """The n best chunks of a query that score above zero: query_id, rank0, chunk_id, score. The same whether all postings of
+    the queries' terms are scored, as where they are at most `full` (FULL) or the index has no blocks, or a pruned search is."""
+    few = index.blocks is None or (_weights(index, queries).agg(F.sum("df")).first()[0] or 0) <= (FULL if full is None else full)
+    return ranked(scores(index, queries) if few else searched(index, queries, n).scored, n).filter("score > 0").select("query_id", "rank0", "chunk_id", "score")

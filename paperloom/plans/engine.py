@@ -192,7 +192,8 @@ class Engine:
         for batch in log.pending():
             log.commit(self.embed_batch(log, batch, vectors))
         built = lexical.build(self._staged_chunks(log.folder))
-        built.posting.write.mode("overwrite").parquet(self.store.folder("posting", log.folder))
+        for name, df in (("posting", built.posting), ("block", built.blocks)):
+            df.write.mode("overwrite").parquet(self.store.folder(name, log.folder))
         if not log.plan()["n_chunks"]:
             self.spark.createDataFrame([], VECTOR_SCHEMA).write.mode("overwrite").parquet(self.store.folder("vector", log.folder))
 
@@ -204,7 +205,7 @@ class Engine:
             whole = lexical.indexed(built.posting, counts, corpus)
             return {"terms": whole.terms, "corpus": whole.corpus}
 
-        schemas = {"chunk": CHUNK_SCHEMA, "vector": VECTOR_SCHEMA, "posting": built.posting.schema}
+        schemas = {"chunk": CHUNK_SCHEMA, "vector": VECTOR_SCHEMA, "posting": built.posting.schema, "block": built.blocks.schema}
         return self.store.commit(log.folder, schemas, log.plan()["dim"], tuple(schemas), terms)
 
     def resume(self) -> str:
@@ -221,7 +222,7 @@ class Engine:
             chunks = ingest.truncated(got["chunk"], n)
             built = lexical.build(chunks)
             dim = self.store.manifest()["embedding_dim"]
-            self.store.save({"chunk": chunks, "vector": ingest.truncated(got["vector"], n), "posting": built.posting, "terms": built.terms, "corpus": built.corpus}, dim)
+            self.store.save({"chunk": chunks, "vector": ingest.truncated(got["vector"], n), "posting": built.posting, "block": built.blocks, "terms": built.terms, "corpus": built.corpus}, dim)
         return what
 
     def skipped(self, pages: DataFrame) -> DataFrame:
@@ -229,7 +230,7 @@ class Engine:
         return ingest.skip_report(pages.select("filename", "page_num", F.col("status").alias("reason")))
 
     def _search(self, stored: dict[str, DataFrame], queries: DataFrame, n: int) -> DataFrame:
-        index = lexical.LexicalIndex(stored["posting"], stored["terms"], stored["corpus"]) if self.lexical else None
+        index = lexical.LexicalIndex(stored["posting"], stored["terms"], stored["corpus"], stored.get("block")) if self.lexical else None
         return hybrid_search(stored["chunk"], stored["vector"], index, queries, n)
 
     def search(self, questions: DataFrame, history: DataFrame | None = None) -> dict[str, DataFrame]:

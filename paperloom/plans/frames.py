@@ -12,14 +12,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than there are cores, so a small one, dealt over all of them; others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of documents, numbered."""
-    return chunking.numbered_text_chunks(chunking.pages_from_documents(table(spark, sf_dir, "documents")))
+    return chunking.numbered_text_chunks(chunking.pages_from_documents(spread(table(spark, sf_dir, "documents"))))
 
 
 def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as one chunk whose number is its id."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return d.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("filename"), F.col("doc_id").alias("page_num"), F.concat("source", F.lit(" - Page "), F.col("doc_id").cast("string")).alias("source"), F.lit("text").alias("chunk_type"), "text")
 
 

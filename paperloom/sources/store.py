@@ -17,7 +17,9 @@ from paperloom.sources.commits import create_if_absent, names, place, read_text
 VERSION, SIMILARITY = 2, "cosine"
 #: Bytes that go through the driver at once when a store is packed or unpacked.
 BLOCK = 4 << 20
-TABLES = ("chunk", "vector", "posting", "terms", "corpus")
+TABLES = ("chunk", "vector", "posting", "block", "terms", "corpus")
+#: Columns that count chunks, which a commit moves on.
+PLACES = ("chunk_id", "block")
 #: Times that a commit begins anew because another writer was first.
 TRIES = 200
 
@@ -124,11 +126,12 @@ class Store:
     def _read(self, table: str, folders: list[str], schema: T.StructType, offsets: dict[str, int] | None = None) -> DataFrame:
         df = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*[self.folder(table, f) for f in folders])
         moved = {f: o for f, o in (offsets or {}).items() if o and f in folders}
-        if "chunk_id" in schema.names and moved:
+        counts = [c for c in PLACES if c in schema.names]
+        if counts and moved:
             # a row a commit, as many as the manifest lists
             added = self.spark.createDataFrame(list(moved.items()), "append string, added long")
             df = df.withColumn("append", F.regexp_extract("_metadata.file_path", "/append=([^/]+)/", 1)).join(F.broadcast(added), "append", "left")
-            df = df.withColumn("chunk_id", F.col("chunk_id") + F.coalesce("added", F.lit(0)))
+            df = df.withColumns({c: F.col(c) + F.coalesce("added", F.lit(0)) for c in counts})
         return df.select(*schema.names)
 
     def _tables(self, folders: dict, offsets: dict, schemas: dict) -> dict[str, DataFrame]:
