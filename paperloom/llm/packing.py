@@ -234,6 +234,12 @@ def bound_of(pieces_: DataFrame, size: int) -> int:
     return counted_bound(count, size)
 
 
+def dealt(pieces_: DataFrame, tag: int, groups: int) -> DataFrame:
+    """Written pieces with a group each, another one at each tag. A piece's place in the table is part of what decides, so
+    that rows which repeat each other in all columns are spread like others."""
+    return pieces_.withColumn("grp", F.pmod(F.xxhash64(F.lit(tag), "doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
+
+
 def pack(pieces_: DataFrame, size: int, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Pack pieces (PIECE) into sequences of size: the pieces with sequence_id, offset, and the sequences that the group
     in which theirs was closed used and needed at least (used, bound; certified where they are equal)."""
@@ -243,8 +249,7 @@ def pack(pieces_: DataFrame, size: int, group_pieces: int = GROUP_PIECES) -> Dat
     now, done, closed, tag, before, idle = table, [], 0, 0, None, 0
     while True:
         groups = max(1, -(-n // (group_pieces << idle)))
-        dealt = now.withColumn("grp", F.pmod(F.xxhash64(F.lit(tag), "doc_id", "piece", "start", "ids_crc32"), F.lit(groups)).cast("long")).select("grp", *columns)
-        placed = dealt.groupBy("grp").applyInArrow(_packer(size, tag, groups == 1), PLACED)
+        placed = dealt(now, tag, groups).select("grp", *columns).groupBy("grp").applyInArrow(_packer(size, tag, groups == 1), PLACED)
         placed = written(placed, f"packed{tag}", rows=n)
         first = F.col("offset") == 0
         n, open_, shut = placed.agg(F.count_if("open"), F.count_if(F.col("open") & first), F.count_if(~F.col("open") & first)).first()

@@ -295,3 +295,11 @@ def test_packing(documents, spark, hub):
         assert all(p.length == 2048 for p in parts[1:])
         for p in parts:
             assert p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes())
+
+
+def test_equal_pieces_are_spread(spark, tmp_path):
+    """Rows that repeat each other in all columns don't meet in a few groups."""
+    one = "7L doc_id, 0 piece, 0L start, 900 length, 5L ids_crc32"
+    spark.range(0, 20_000, 1, 4).selectExpr(*one.split(", ")).write.parquet(str(tmp_path / "p"))
+    sizes = [r["count"] for r in packing.dealt(spark.read.parquet(str(tmp_path / "p")), 3, 20).groupBy("grp").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 1300
