@@ -157,7 +157,9 @@ def oracle_sql() -> dict[str, str]:
           raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM counts, (SELECT count(*) AS n FROM documents))
           SELECT term, df, round(CASE WHEN r < 0 THEN 0.25 * mean ELSE r END, 6) AS idf FROM raw, (SELECT avg(r) AS mean FROM raw)""",
         "q_bm25_topk": f"WITH {CHUNKS}, {bm25('numbered')}, {top('lex', 'scored', 10, 'score > 0')} SELECT query_id, rank0, chunk_id, round(score, 6) AS score FROM lex",
+        "q_bm25_pruned": f"WITH {CHUNKS}, {bm25('numbered')}, {top('lex', 'scored', 10, 'score > 0')} SELECT query_id, rank0, chunk_id, round(score, 6) AS score FROM lex",
         "q_dense_topk": f"WITH {VEC}, {DENSE_BY_ID}, {top('dense', 'near', 12, 'score >= 0.25')} SELECT query_id, rank0, chunk_id, round(score, 6) AS score FROM dense",
+        "q_dense_index": f"WITH {VEC}, {DENSE_BY_ID}, {top('dense', 'near', 12, 'score >= 0.25')} SELECT query_id, rank0, chunk_id, round(score, 6) AS score FROM dense",
         "q_hyde_blend": f"""WITH {VEC}, pairs AS (SELECT a.vec_id AS chunk_id, a.e AS q, b.e AS h, list_transform(list_zip(a.e, b.e), lambda z: 0.7::DOUBLE * z[1] + 0.3::DOUBLE * z[2]) AS m FROM vec a JOIN vec b ON b.vec_id = a.vec_id + 1),
           n AS (SELECT *, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS b FROM pairs)
           SELECT chunk_id, round(b[1], 6) AS first, round(sqrt(list_dot_product(b, b)), 6) AS length, round(list_dot_product(b, q) / (sqrt(list_dot_product(q, q)) + 1e-10), 6) AS to_query, round(list_dot_product(b, h) / (sqrt(list_dot_product(h, h)) + 1e-10), 6) AS to_passage FROM n""",

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from paperloom.functions import text as T
 from paperloom.functions import vectors as V
-from paperloom.operators import chat, chunking, dense, fusion, ingest, lexical, postprocess, tables
+from paperloom.operators import chat, chunking, dense, denseindex, fusion, ingest, lexical, postprocess, tables
 from paperloom.plans.engine import Engine, question_vectors
 from paperloom.plans.frames import chunks, part_tables, pipe_pages, questions, table, vectors, whole_documents
 from paperloom.shared import new_path, written
@@ -65,6 +65,17 @@ def q_dense_topk(s: SparkSession, d: str) -> DataFrame:
     return dense.dense_topk(vectors(s, d), _vector_queries(s, d), 12).select("query_id", "rank0", "chunk_id", F.round("score", 6).alias("score"))
 
 
+def q_dense_index(s: SparkSession, d: str) -> DataFrame:
+    """The same hits from the index of groups and angles, which multiplies only what can be among them."""
+    return denseindex.topk(denseindex.build(vectors(s, d), 64), _vector_queries(s, d), 12).select("query_id", "rank0", "chunk_id", F.round("score", 6).alias("score"))
+
+
+def q_bm25_pruned(s: SparkSession, d: str) -> DataFrame:
+    """The hits of q_bm25_topk by the search that skips blocks and chunks that can't win."""
+    top = lexical.bm25_topk(lexical.build(chunks(s, d)), questions(s, d), 10, full=0)
+    return top.select("query_id", "rank0", "chunk_id", F.round("score", 6).alias("score"))
+
+
 def q_hyde_blend(s: SparkSession, d: str) -> DataFrame:
     v = vectors(s, d)
     pairs = v.join(v.select((F.col("chunk_id") - 1).alias("chunk_id"), F.col("embedding").alias("h")), "chunk_id")
