@@ -253,6 +253,9 @@ def oracle_sql() -> dict[str, str]:
           SELECT row_number() OVER (ORDER BY filename, page_num, kind, table_idx, chunk_seq) - 1 AS chunk_id, filename, page_num, kind, CAST(table_idx AS INTEGER) AS table_idx, CAST(chunk_seq AS INTEGER) AS chunk_seq, source, chunk_type FROM c""",
         "q_poor_pages": f"""WITH {COLLAPSED}, f AS (SELECT filename, page_num, len(list_filter(head, lambda h: h <> '')) AS h, flatten(body) AS c FROM merged)
           SELECT filename, page_num FROM f WHERE page_num % 3 = 0 OR CASE WHEN h < 2 THEN 0.1 ELSE round(0.7 * (len(list_filter(c, lambda x: x <> '')) / greatest(len(c), 1))::DOUBLE + 0.3 * least(h / 3, 1.0)::DOUBLE, 3) END < 0.4""",
+        "q_page_ranges": r"SELECT md5(text) AS text_md5, CAST(length(text) AS INTEGER) AS n_chars FROM documents WHERE regexp_matches(text, '\S')",
+        "q_sessions": """SELECT user_id, count(*) AS n_events, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen,
+          CASE WHEN (SELECT max(ts) FROM events) - max(ts) > INTERVAL 24 HOURS THEN 'expired' ELSE 'live' END AS state FROM events GROUP BY user_id""",
         "q_batch_answers": f"""WITH {CHUNKS}, p AS (SELECT *, length(substr(text, 1, 15000)) AS n, row_number() OVER (PARTITION BY filename ORDER BY chunk_id) - 1 AS k FROM numbered),
           b AS (SELECT *, k // 16 AS batch, k % 16 AS place, bool_or(n % 97 = 0) OVER (PARTITION BY filename, k // 16) OR n % 7 = 0 AS failed FROM p)
           SELECT filename, CAST(batch AS INTEGER) AS batch, CAST(place AS INTEGER) AS place, chunk_id, failed, CAST(CASE WHEN failed THEN -1 ELSE n END AS INTEGER) AS n_chars, CAST(CASE WHEN failed THEN -1 ELSE place END AS INTEGER) AS at FROM b""",

@@ -14,9 +14,11 @@ from paperloom.operators import chat, chunking, dense, denseindex, fusion, inges
 from paperloom.plans.engine import Engine, question_vectors
 from paperloom.plans.frames import chunks, part_tables, pipe_pages, questions, table, vectors, whole_documents
 from paperloom.shared import new_path, written
+from paperloom.sources.pages import read_text_pages
 from paperloom.sources.providers import embedded_batches, expanded, reranked
 from paperloom.sources.store import Store
 from paperloom.streaming.ingest import ingest_stream
+from paperloom.streaming.sessions import all_sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -355,6 +357,21 @@ def q_page_limit(s: SparkSession, d: str) -> DataFrame:
     return chunking.limited_pages(pages).select("filename", "page_num", F.length("text").alias("n_chars"))
 
 
+def q_page_ranges(s: SparkSession, d: str) -> DataFrame:
+    """Documents as pages of text files, read back by ranges of bytes."""
+    path = new_path(s, "page-files")
+    table(s, d, "documents").select(F.coalesce("text", F.lit("")).alias("value")).write.option("lineSep", "\f").text(path)
+    got = read_text_pages(s, path, "part-*", most_pages=1 << 30, most_chars=1 << 30).filter("status is null")
+    return got.select(F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"))
+
+
+def q_sessions(s: SparkSession, d: str) -> DataFrame:
+    """Events as a stream: sessions that expired, and those that the state store holds when it ends."""
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    events = s.readStream.schema(schema).parquet(f"{d}/event[s].parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return all_sessions(events).select("user_id", "n_events", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss").alias("last_seen"), "state")
+
+
 def q_resume_truncate(s: SparkSession, d: str) -> DataFrame:
     """An index with more vectors than its progress notes say (here: as many as there are benchmark items)."""
     index = vectors(s, d)

@@ -10,11 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from paperloom.functions.text import allowed_file, strip
 from paperloom.operators.tables import markdown_tables
+from paperloom.shared import written
 
 PAGE = "filename string, page_num int, text string, status string, tables array<array<array<string>>>"
 Extractor = Callable[[str, bytes], Iterable[dict]]
@@ -60,6 +63,41 @@ def read_pages(spark: SparkSession, path: str, extract: Extractor = plain_text,
     return files.select("path", "content").mapInPandas(run, PAGE)
 
 
+def _numbered_in_split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A place from 0 within each split; a task reads the rows of its splits one after the other."""
+    last, n = None, 0
+    for b in batches:
+        places = []
+        for split in zip(b.column("path").to_pylist(), b.column("split").to_pylist()):
+            last, n = split, (n + 1 if split == last else 0)
+            places.append(n)
+        yield b.append_column("place", pa.array(places, pa.int64()))
+
+
+def read_text_pages(spark: SparkSession, path: str, pattern: str = "*", most_pages: int = 1000, most_chars: int = 500_000) -> DataFrame:
+    """What read_pages gives with plain_text, for files of any size: Spark's text reader splits them by ranges of bytes, so
+    that many tasks read one file, wherever it is stored. The pages of each split are counted first; a page's number is its
+    place in its split and the pages of the splits before. A file that ends with a form feed has an empty page behind it,
+    as has one without a byte. Bytes that aren't UTF-8 are replaced page by page; a byte order mark is dropped."""
+    options = {"pathGlobFilter": pattern, "recursiveFileLookup": "true"}
+    raw = spark.read.options(**options).option("lineSep", "\f").text(path)
+    raw = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), "value")
+    # a row a split and a row a file
+    splits = written(raw.groupBy("path", "split").agg(F.count("*").alias("n"), F.sum(F.octet_length("value") + 1).alias("bytes")), "splits", rows=1)
+    files = spark.read.format("binaryFile").options(**options).load(path).select(F.col("_metadata.file_path").alias("path"), "length")
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    starts = splits.select("path", "split", F.coalesce(before, F.lit(0)).alias("before"))
+    schema = "path string, split long, value string, place long"
+    pages = raw.select("path", "split", F.make_valid_utf8("value").alias("value")).mapInArrow(_numbered_in_split, schema).join(starts, ["path", "split"])
+    read = splits.groupBy("path").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    ends = files.join(read, "path", "left")
+    ends = ends.filter(F.col("n").isNull() | (F.col("bytes") <= F.col("length"))).select("path", F.lit("").alias("value"), (F.coalesce("n", F.lit(0)) + 1).alias("page_num"))
+    every = pages.select("path", "value", (F.col("place") + F.col("before") + 1).alias("page_num")).unionByName(ends).filter(F.col("page_num") <= most_pages)
+    blank = F.trim(F.translate("value", "\t\n\x0b\r\x1c\x1d\x1e\x1f\x85\xa0", " ")) == ""
+    text = F.when(blank, F.lit("")).otherwise(F.substring("value", 1, most_chars))
+    return every.select(F.url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B"))).alias("filename"), F.col("page_num").cast("int").alias("page_num"), text.alias("text"), F.when(blank, F.lit("empty")).alias("status"), F.array().cast("array<array<array<string>>>").alias("tables"))
+
+
 #: Finds tables on one page of a file: (path, content, page number) to tables as lists of rows, or to text that holds
 #: them as lines between pipes.
 TableFinder = Callable[[str, bytes, int], list | str]
