@@ -56,7 +56,7 @@ class Sessions(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.session = handle, handle.getValueState("session", SESSION)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         n, first, last = self.session.get() if self.session.exists() else (0, None, None)
         if last is not None:
             self.handle.deleteTimer(last + self.idle + 1)
@@ -69,7 +69,7 @@ class Sessions(StatefulProcessor):
         self.handle.registerTimer(last + self.idle + 1)
         yield pd.DataFrame()
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         n, _, last = self.session.get()
         self.session.clear()
         yield pd.DataFrame({"user_id": [key[0]], "n_events": [n], "last_seen": [pd.Timestamp(last, unit="ms")]})

@@ -189,3 +189,26 @@ def test_ingest_goes_on_after_a_break(spark, tmp_path):
     assert engine.verify()["index_healthy"] and engine.store.load_progress() == {} and engine.resume() == "nothing"
     engine.store.save_progress(["a"], "b", 0, 9)
     assert engine.resume() == "discard" and not engine.store.exists()
+
+
+def test_sessions_in_a_state_store(spark, tmp_path):
+    """A stream that runs twice: what expires, what is live beside it, and a session that begins again."""
+    from paperloom.streaming.sessions import live_sessions, session_stream
+
+    src, out, ck = (str(tmp_path / n) for n in ("events", "out", "ck"))
+    schema = "user_id long, ts timestamp"
+
+    def run(rows):
+        spark.createDataFrame(pd.DataFrame({"user_id": [r[0] for r in rows], "ts": pd.to_datetime([r[1] for r in rows])}), schema).coalesce(1).write.mode("append").parquet(src)
+        session_stream(spark.readStream.schema(schema).parquet(src), out, ck).awaitTermination()
+        expired = spark.read.schema("user_id long, n_events long, last_seen timestamp").option("recursiveFileLookup", "true").parquet(out)
+        key = lambda df: sorted((r.user_id, r.n_events, str(r.last_seen)) for r in df.collect())
+        return key(expired), key(live_sessions(spark, ck))
+
+    assert run([(1, "2024-01-01 00:00:00"), (2, "2024-01-01 10:00:00"), (1, "2024-01-01 05:00:00")]) == ([], [(1, 2, "2024-01-01 05:00:00"), (2, 1, "2024-01-01 10:00:00")])
+    # exactly 24 hours after user 1's last event: still there; a second later it isn't
+    assert run([(3, "2024-01-02 05:00:00")])[0] == []
+    expired, live = run([(3, "2024-01-02 05:00:01"), (2, "2024-01-02 06:00:00")])
+    assert expired == [(1, 2, "2024-01-01 05:00:00")] and live == [(2, 2, "2024-01-02 06:00:00"), (3, 2, "2024-01-02 05:00:01")]
+    expired, live = run([(1, "2024-01-05 00:00:00")])
+    assert expired == [(1, 2, "2024-01-01 05:00:00"), (2, 2, "2024-01-02 06:00:00"), (3, 2, "2024-01-02 05:00:01")] and live == [(1, 1, "2024-01-05 00:00:00")]
