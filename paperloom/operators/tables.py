@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paperloom.functions.text import col, lines, strip, table_notes, table_title
+from paperloom.functions.text import bound, col, lines, strip, table_notes, table_title
 from paperloom.operators.chunking import text_chunks
 
 LEAST_QUALITY = 0.4
@@ -42,33 +42,42 @@ def collapsed(cells: Column | str) -> Column:
     """Columns that a wide header merged, as logical columns. With a mostly complete header, or none, only white space
     is tidied. Else the columns that at least two of the first data rows fill stay, as many as there are labels, each
     under the nearest label (the left one of two); if no column does, the labels' own columns stay."""
-    c = col(cells)
-    plain = F.transform(c, lambda r: F.transform(r, lambda x: F.coalesce(x, F.lit(""))))
-    tidy = F.transform(c, lambda r: F.transform(r, lambda x: F.coalesce(strip(F.replace(x, F.lit("\n"), F.lit(" "))), F.lit(""))))
-    header = F.get(c, F.lit(0))
-    labels = F.filter(F.sequence(F.lit(0), F.greatest(F.size(header) - 1, F.lit(0))), lambda i: _filled(F.get(header, i)))
-    voters = F.slice(c, 2, VOTERS)
-    width = F.array_max(F.transform(voters, lambda r: F.size(r)))
-    voted = F.filter(F.sequence(F.lit(0), F.greatest(width - 1, F.lit(0))), lambda i: F.size(F.filter(voters, lambda r: _filled(F.get(r, i)))) >= VOTES)
-    chosen = F.when(F.size(voted) > 0, F.slice(voted, 1, F.size(labels))).otherwise(labels)
+    def voted(c: Column, a: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.array_max(F.transform(a["voters"], lambda r: F.size(r))) - 1, F.lit(0)))
+        some = F.filter(places, lambda i: F.size(F.filter(a["voters"], lambda r: _filled(F.get(r, i)))) >= VOTES)
+        return bound(some, lambda v: F.when(F.size(v) > 0, F.slice(v, 1, F.size(a["labels"]))).otherwise(a["labels"]))
+
+    def merged(c: Column, a: Column, chosen: Column) -> Column:
+        def label(i: Column) -> Column:
+            nearest = F.get(F.array_sort(F.transform(a["labels"], lambda h: F.struct(F.abs(h - i).alias("d"), h.alias("h")))), F.lit(0))["h"]
+            return strip(F.get(a["header"], nearest))
+
+        rows = F.transform(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(1))), lambda r: F.transform(chosen, lambda i: F.coalesce(strip(F.replace(F.get(r, i), F.lit("\n"), F.lit(" "))), F.lit(""))))
+        return F.concat(F.array(F.transform(chosen, label)), rows)
 
-    def label(i: Column) -> Column:
-        nearest = F.get(F.array_sort(F.transform(labels, lambda h: F.struct(F.abs(h - i).alias("d"), h.alias("h")))), F.lit(0))["h"]
-        return strip(F.get(header, nearest))
+    def of(c: Column) -> Column:
+        plain = F.transform(c, lambda r: F.transform(r, lambda x: F.coalesce(x, F.lit(""))))
+        tidy = F.transform(c, lambda r: F.transform(r, lambda x: F.coalesce(strip(F.replace(x, F.lit("\n"), F.lit(" "))), F.lit(""))))
+        header = F.get(c, F.lit(0))
+        labels = F.filter(F.sequence(F.lit(0), F.greatest(F.size(header) - 1, F.lit(0))), lambda i: _filled(F.get(header, i)))
+        parts = F.struct(header.alias("header"), labels.alias("labels"), F.slice(c, 2, VOTERS).alias("voters"))
+        complete = lambda a: (F.size(a["labels"]) == 0) | (F.size(a["labels"]) / F.greatest(F.size(a["header"]), F.lit(1)) >= FULL_HEADER)
+        wide = bound(parts, lambda a: F.when(complete(a), tidy).otherwise(bound(voted(c, a), lambda chosen: merged(c, a, chosen))))
+        return F.when(F.size(c) < 2, plain).otherwise(wide)
 
-    rows = F.transform(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(1))), lambda r: F.transform(chosen, lambda i: F.coalesce(strip(F.replace(F.get(r, i), F.lit("\n"), F.lit(" "))), F.lit(""))))
-    merged = F.concat(F.array(F.transform(chosen, label)), rows)
-    complete = (F.size(labels) == 0) | (F.size(labels) / F.greatest(F.size(header), F.lit(1)) >= FULL_HEADER)
-    return F.when(F.size(c) < 2, plain).when(complete, tidy).otherwise(merged)
+    return bound(col(cells), of)
 
 
 def quality(cells: Column | str) -> Column:
     """0 to 1: how much of the data is filled, and whether there are three columns."""
-    c = col(cells)
-    headers = F.size(F.filter(F.get(c, F.lit(0)), _filled))
-    data = F.flatten(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(1))))
-    fill = F.size(F.filter(data, _filled)) / F.greatest(F.size(data), F.lit(1))
-    return F.when(F.size(c) < 2, 0.0).when(headers < 2, 0.1).otherwise(F.round(0.7 * fill + 0.3 * F.least(headers / 3, F.lit(1.0)), 3))
+
+    def of(c: Column) -> Column:
+        headers = F.size(F.filter(F.get(c, F.lit(0)), _filled))
+        data = F.flatten(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(1))))
+        fill = F.size(F.filter(data, _filled)) / F.greatest(F.size(data), F.lit(1))
+        return F.when(F.size(c) < 2, 0.0).when(headers < 2, 0.1).otherwise(F.round(0.7 * fill + 0.3 * F.least(headers / 3, F.lit(1.0)), 3))
+
+    return bound(col(cells), of)
 
 
 def accepted(tables: DataFrame, fallback: DataFrame | None = None, least: float = LEAST_QUALITY) -> DataFrame:
