@@ -307,7 +307,7 @@ def q_stream_ingest(s: SparkSession, d: str) -> DataFrame:
     out, state = new_path(s, "streamed"), new_path(s, "stream-state")
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     ingest_stream(s, f"{d}/document[s].parquet", out, state, schema=schema, pages=chunking.pages_from_documents).awaitTermination()
-    return s.read.parquet(out)
+    return s.read.parquet(out).drop("stream", "batch")
 
 
 def _leaving_out(texts: list[str]) -> list:

@@ -82,6 +82,7 @@ def test_stream_ingest_resumes(spark, tmp_path):
     ingest_stream(spark, src, out, ck).awaitTermination()
     ingest_stream(spark, src, out, str(tmp_path / "other")).awaitTermination()  # replayed from the start
     assert sorted(r.page_num for r in spark.read.parquet(out).collect()) == [1, 2]
+    assert [(r.batch, r.page_num) for r in spark.read.parquet(out).orderBy("batch").collect()] == [(0, 1), (1, 2)]  # as the first stream wrote them
 
 
 def test_sessions_expire(spark, tmp_path):
