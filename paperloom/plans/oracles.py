@@ -223,9 +223,11 @@ def oracle_sql() -> dict[str, str]:
           SELECT filename, page_num, table_idx, 'first' AS extractor, q1 AS quality FROM g WHERE had AND q1 >= 0.4
           UNION ALL SELECT filename, page_num, table_idx, 'second', q2 FROM g WHERE had AND q1 < 0.4 AND q2 >= 0.4
           UNION ALL SELECT filename, page_num, table_idx, 'second', -1.0 FROM g WHERE NOT had""",
-        "q_pages_with_grids": f"""WITH {ROWS}, g AS (SELECT *, list_prepend(list_transform(header, lambda h: coalesce(h, '')), list_transform(rows, lambda q: list_transform(q, lambda c: coalesce(replace(c, chr(10), ' '), '')))) AS g FROM texts),
-          w AS (SELECT *, list_sum(list_transform(range(1, 5), lambda c: list_max(list_transform(g, lambda q: length(q[c]))))) + 13 AS wide, len(rows) AS n FROM g)
-          SELECT filename, page_num, CAST(length(page_text) + CASE WHEN page_num % 2 = 0 THEN 1 + (2 * n + 3) * (wide + 1) - 1 ELSE 0 END AS INTEGER) AS n_chars, {heading("page_text")} AS heading FROM w""",
+        "q_pages_with_grids": f"""WITH {ROWS}, lined AS (SELECT *, list_prepend(list_transform(header, lambda h: coalesce(h, '')), list_transform(rows, lambda q: list_transform(q, lambda c: coalesce(replace(c, chr(10), ' '), '')))) AS g FROM texts),
+          wide AS (SELECT *, list_transform(range(1, 5), lambda c: list_max(list_transform(g, lambda q: length(q[c])))) AS ws FROM lined),
+          drawn AS (SELECT *, '+' || array_to_string(list_transform(ws, lambda w: repeat('-', w + 2)), '+') || '+' AS rule, list_transform(g, lambda q: '| ' || array_to_string(list_transform(range(1, 5), lambda c: rpad(q[c], ws[c]::INTEGER, ' ')), ' | ') || ' |') AS ls FROM wide),
+          shown AS (SELECT filename, page_num, page_text, page_text || CASE WHEN table_idx = 0 THEN chr(10) || rule || chr(10) || ls[1] || chr(10) || replace(rule, '-', '=') || chr(10) || array_to_string(list_transform(ls[2:], lambda x: x || chr(10) || rule), chr(10)) ELSE '' END AS t FROM drawn)
+          SELECT filename, page_num, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS text_md5, {heading("page_text")} AS heading FROM shown""",
         "q_embed_list": f"SELECT item_id AS query_id, {_kind('text')} AS complexity, CAST(1 AS INTEGER) AS n_texts, md5(text) AS texts_md5 FROM benchmark",
         "q_rerank_head": f"WITH {WHOLE}, {lex}, {top('lex', 'scored', 15, 'score > 0')} SELECT query_id, rank0, chunk_id, true AS unscored FROM lex WHERE rank0 < 10",
         "q_history_messages": f"WITH {SAID} SELECT conv_id, CAST(count(*) + 1 AS INTEGER) AS n_messages, md5('system=rules' || chr(10) || string_agg(role || '=' || text, chr(10) ORDER BY turn)) AS messages_md5 FROM said WHERE back <= 6 GROUP BY conv_id",

@@ -257,19 +257,20 @@ def q_allowed_files(s: SparkSession, d: str) -> DataFrame:
 def q_table_accept(s: SparkSession, d: str) -> DataFrame:
     """Tables that are good enough; pages with a worse one take the fallback's (here: the tables as they would be with
     a plain header), pages without any table take the fallback's unscored."""
-    t = part_tables(s, d).select("filename", "page_num", "table_idx", "cells", F.lit("first").alias("extractor"))
+    t = part_tables(s, d).withColumn("extractor", F.lit("first"))
+    has_caption = F.contains("page_text", F.lit("  Table "))
     header = F.array(F.lit("Key"), F.lit("Name"), F.lit("Brand"), F.lit("Size"))
     plain = F.concat(F.array(header), F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(1))))
     other = t.withColumn("cells", plain).withColumn("extractor", F.lit("second"))
-    return tables.accepted(t.filter("page_num % 3 <> 0"), other).select("filename", "page_num", "table_idx", "extractor", F.coalesce("quality", F.lit(-1.0)).alias("quality"))
+    return tables.accepted(t.filter(~has_caption).drop("page_text"), other.drop("page_text")).select("filename", "page_num", "table_idx", "extractor", F.coalesce("quality", F.lit(-1.0)).alias("quality"))
 
 
 def q_pages_with_grids(s: SparkSession, d: str) -> DataFrame:
     t = part_tables(s, d)
     cells = F.transform("cells", lambda r: F.transform(r, lambda c: F.coalesce(F.replace(c, F.lit("\n"), F.lit(" ")), F.lit(""))))
     pages = t.select("filename", "page_num", F.col("page_text").alias("text"))
-    out = tables.pages_with_grids(pages, t.filter("page_num % 2 = 0").withColumn("cells", cells))
-    return out.select("filename", "page_num", F.length("text").alias("n_chars"), T.section_heading("text").alias("heading"))
+    out = tables.pages_with_grids(pages, t.filter("table_idx = 0").withColumn("cells", cells))
+    return out.select("filename", "page_num", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"), T.section_heading("text").alias("heading"))
 
 
 def q_embed_list(s: SparkSession, d: str) -> DataFrame:
@@ -437,9 +438,9 @@ def q_page_chunks(s: SparkSession, d: str) -> DataFrame:
 
 
 def q_poor_pages(s: SparkSession, d: str) -> DataFrame:
-    """Pages for the next tier of extractors: without a table (here every third page), or with one that isn't good."""
+    """Pages for the next tier of extractors: without a table (here those with a caption), or with one that isn't good."""
     t = part_tables(s, d)
-    return tables.poor_pages(t, t.filter("page_num % 3 <> 0"))
+    return tables.poor_pages(t, t.filter(~F.contains("page_text", F.lit("  Table "))))
 
 
 def queries() -> dict[str, Query]:
