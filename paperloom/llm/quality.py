@@ -247,6 +247,19 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return _with_scores(measured, "statistics", labels).select("doc_id", "held_out", "score", "predicted")
 
 
+def _measured_and_scored(model: Model, names: list[str], name: str):
+    """Statistics and score in one worker: two Python steps of a plan would be two workers a task, which stay."""
+    measure = _measure(names, name)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in measure(batches):
+            found = b.column(len(names))
+            score = model.score(np.column_stack([found.field(n).to_numpy() for n in NAMES])) if b.num_rows else []
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(score, pa.float64())], [*names, "score"])
+
+    return run
+
+
 def annotated(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs (doc_id, text and any other columns) with score and predicted, in the place of columns that were called so.
     Texts are measured for training, of which only the statistics are written, and again where they are scored: so they are
@@ -260,5 +273,5 @@ def annotated(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(measured.select("doc_id", "held_out", "statistics.*"), labels)
     discard(measured)
     (name,) = spare(docs, "statistics")
-    rows = docs.mapInArrow(_measure(docs.columns, name), T.StructType([*docs.schema.fields, T.StructField(name, _STATISTICS)]))
-    return rows.withColumn("score", _scorer(model)(F.col(name))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")).drop(name).toDF(*names, "score", "predicted")
+    rows = docs.mapInArrow(_measured_and_scored(model, docs.columns, name), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")).toDF(*names, "score", "predicted")
