@@ -258,6 +258,7 @@ def oracle_sql() -> dict[str, str]:
         "q_page_ranges": r"SELECT md5(text) AS text_md5, CAST(length(text) AS INTEGER) AS n_chars FROM documents WHERE regexp_matches(text, '\S')",
         "q_sessions": """SELECT user_id, count(*) AS n_events, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen,
           CASE WHEN (SELECT max(ts) FROM events) - max(ts) > INTERVAL 24 HOURS THEN 'expired' ELSE 'live' END AS state FROM events GROUP BY user_id""",
+        "q_uploads": r"""SELECT regexp_extract(url, '//([^/]*)', 1) AS session_id, trim(regexp_replace(regexp_replace(trim(url || ' ' || page_id || '.pdf'), '[\s/]+', '_', 'g'), '[^A-Za-z0-9_.-]', '', 'g'), '._') AS filename, md5('again ' || html) AS content_md5 FROM pages""",
         "q_batch_answers": f"""WITH {CHUNKS}, p AS (SELECT *, length(substr(text, 1, 15000)) AS n, row_number() OVER (PARTITION BY filename ORDER BY chunk_id) - 1 AS k FROM numbered),
           b AS (SELECT *, k // 16 AS batch, k % 16 AS place, bool_or(n % 97 = 0) OVER (PARTITION BY filename, k // 16) OR n % 7 = 0 AS failed FROM p)
           SELECT filename, CAST(batch AS INTEGER) AS batch, CAST(place AS INTEGER) AS place, chunk_id, failed, CAST(CASE WHEN failed THEN -1 ELSE n END AS INTEGER) AS n_chars, CAST(CASE WHEN failed THEN -1 ELSE place END AS INTEGER) AS at FROM b""",

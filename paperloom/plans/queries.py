@@ -14,6 +14,7 @@ from paperloom.operators import chat, chunking, dense, denseindex, fusion, inges
 from paperloom.plans.engine import Engine, question_vectors
 from paperloom.plans.frames import chunks, part_tables, pipe_pages, questions, table, vectors, whole_documents
 from paperloom.shared import new_path, written
+from paperloom.sources.landing import land, landed
 from paperloom.sources.pages import read_text_pages
 from paperloom.sources.providers import embedded_batches, expanded, reranked
 from paperloom.sources.store import Store
@@ -373,6 +374,15 @@ def q_sessions(s: SparkSession, d: str) -> DataFrame:
     return all_sessions(events).select("user_id", "n_events", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss").alias("last_seen"), "state")
 
 
+def q_uploads(s: SparkSession, d: str) -> DataFrame:
+    """Pages as uploads of the sessions that their hosts are; each is uploaded twice, the second time with another text."""
+    target = new_path(s, "landing")
+    p = table(s, d, "pages").select(F.regexp_extract("url", "//([^/]*)", 1).alias("session_id"), F.concat("url", F.lit(" "), F.col("page_id").cast("string"), F.lit(".pdf")).alias("filename"), F.col("html").alias("content"))
+    for rows in (p, p.withColumn("content", F.concat(F.lit("again "), "content"))):
+        land(rows.withColumn("content", F.col("content").cast("binary")), target)
+    return landed(s, target).select("session_id", "filename", F.md5("content").alias("content_md5"))
+
+
 def q_resume_truncate(s: SparkSession, d: str) -> DataFrame:
     """An index with more vectors than its progress notes say (here: as many as there are benchmark items)."""
     index = vectors(s, d)

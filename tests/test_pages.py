@@ -28,3 +28,17 @@ def test_ranges_give_whole_files_pages(spark, tmp_path):
         assert rows(pages.read_text_pages(spark, str(src), "large*", 40, 9)) == rows(pages.read_pages(spark, str(src), pattern="large*", most_pages=40, most_chars=9))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_uploads_land_by_session(spark, tmp_path):
+    from paperloom.sources.landing import land, landed, safe_name
+
+    names = {"../../etc/a b.pdf": "etc_a_b.pdf", "Übersicht ß 語.PDF": "Ubersicht_.PDF", "..": "", None: "", "c:\\x\\y.zip": "c_x_y.zip", "._.pdf": "pdf"}
+    assert {n: safe_name(n) for n in names} == names
+    schema = "session_id long, filename string, content binary"
+    target = str(tmp_path / "landing")
+    land(spark.createDataFrame([(1, "a.pdf", b"one"), (2, "a.pdf", b"two"), (1, "b.txt", b"no"), (1, None, b"no"), (1, "/ .pdf", b"no"), (None, "n.zip", b"none")], schema), target)
+    land(spark.createDataFrame([(1, "a.pdf", b"newer"), (1, " c.pdf", b"c")], schema), target)
+    rows = lambda df: sorted(((r.session_id, r.filename, bytes(r.content)) for r in df.collect()), key=repr)
+    assert rows(landed(spark, target)) == sorted([("1", "a.pdf", b"newer"), ("1", "c.pdf", b"c"), ("2", "a.pdf", b"two"), (None, "n.zip", b"none")], key=repr)
+    assert rows(landed(spark, target, "2")) == [("2", "a.pdf", b"two")]
