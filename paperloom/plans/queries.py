@@ -53,8 +53,13 @@ def q_bm25_stats(s: SparkSession, d: str) -> DataFrame:
     return lexical.build(whole_documents(s, d)).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+def _kept_chunks(s: SparkSession, d: str) -> DataFrame:
+    """Chunks for queries that read them several times: cut and numbered once, as a store has them."""
+    return written(chunks(s, d), "chunks")
+
+
 def q_bm25_topk(s: SparkSession, d: str) -> DataFrame:
-    c = chunks(s, d)
+    c = _kept_chunks(s, d)
     top = lexical.bm25_topk(lexical.build(c), questions(s, d), 10)
     return top.select("query_id", "rank0", "chunk_id", F.round("score", 6).alias("score"))
 
@@ -75,7 +80,7 @@ def q_dense_index(s: SparkSession, d: str) -> DataFrame:
 
 def q_bm25_pruned(s: SparkSession, d: str) -> DataFrame:
     """The hits of q_bm25_topk by the search that skips blocks and chunks that can't win."""
-    top = lexical.bm25_topk(lexical.build(chunks(s, d)), questions(s, d), 10, full=0)
+    top = lexical.bm25_topk(lexical.build(_kept_chunks(s, d)), questions(s, d), 10, full=0)
     return top.select("query_id", "rank0", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -128,7 +133,7 @@ def q_conflicts(s: SparkSession, d: str) -> DataFrame:
 
 
 def _chunk_hits(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    c = chunks(s, d)
+    c = _kept_chunks(s, d)
     # a few hits a question, which windows, sources and conflicts all read
     top = written(lexical.bm25_topk(lexical.build(c), questions(s, d), 10), "hits")
     return top.join(c, "chunk_id").select("query_id", "rank0", "chunk_id", "filename", F.col("page_num").cast("string").alias("page"), "source", "chunk_type", "text"), c
