@@ -3,22 +3,29 @@
 Byte-level BPE never merges across the matches of its word pattern, so the ids of a text are the ids of its matches
 one after the other. Each distinct match is given to the library once per cache; texts are put together from there.
 
-Special tokens written out in a text are read as text: "<|endoftext|>" in a document is seven pieces, never the one id
-that ends documents in the files. That is the library's encoding with add_special_tokens=False and
-encode_special_tokens=True; as loaded from the file (encode_special_tokens=False) the library would give the one id.
-On texts without such a literal both are the same.
+Added tokens that a text spells out, such as "<|endoftext|>", get their one id, as in the library's encoding with the file
+as loaded and add_special_tokens=False: a text is cut at them first, and what lies between is cut into words by itself.
+Texts with a token that also asks for its surroundings (whole words only, or white space taken in) go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
+from collections.abc import Iterable
 from itertools import compress
 
 from paperloom.llm.common import held, segments
 from paperloom.llm.pieces import finder
 
 
+def _any(tokens: Iterable[str]) -> re.Pattern | None:
+    """Finds the first of the tokens, the longest where several begin."""
+    found = sorted(filter(None, tokens), key=len, reverse=True)
+    return re.compile(f"({'|'.join(map(re.escape, found))})") if found else None
+
+
 class WordIds:
     """Little-endian unsigned 32-bit ids of texts. limit: words kept in the cache, which bounds its memory."""
 
@@ -26,10 +33,15 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.tok.no_truncation()
-        self.tok.no_padding()
+        self.tok, self.loaded = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = True  # words are no special tokens, whatever they look like together
+        for tok in (self.tok, self.loaded):
+            tok.no_truncation()
+            tok.no_padding()
+        added = self.loaded.get_added_tokens_decoder().items()
+        plain = {t.content: array("I", [i]).tobytes() for i, t in added if not (t.single_word or t.lstrip or t.rstrip)}
+        self.added, self.cut = plain, _any(plain)
+        self.odd = _any(t.content for _, t in added if t.content not in plain)
         self.find = finder(pattern)
         self.cache: dict[str, bytes] = {}
         self.limit = limit
@@ -38,6 +50,14 @@ class WordIds:
             self.heads[i] = token[0] == "\u0120"  # how byte-level vocabularies write a space
 
     def __call__(self, text: str) -> bytes:
+        if self.odd and self.odd.search(text):
+            return array("I", self.loaded.encode(text, add_special_tokens=False).ids).tobytes()
+        if not self.cut or not self.cut.search(text):
+            return self._words(text)
+        # the pattern's group puts the tokens at odd places
+        return b"".join([self.added[x] if i % 2 else self._words(x) for i, x in enumerate(self.cut.split(text)) if x])
+
+    def _words(self, text: str) -> bytes:
         return b"".join([self._part(x) for x in segments(text)])
 
     def _part(self, text: str) -> bytes:

@@ -11,7 +11,7 @@ import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer, models, pre_tokenizers
+from tokenizers import AddedToken, Tokenizer, models, pre_tokenizers
 
 from paperloom.llm import bytepair, packing, pieces, tokenfile, tokens, wordids
 
@@ -36,9 +36,7 @@ def tik():
 
 @pytest.fixture(scope="module")
 def hub():
-    t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(JSON)
 
 
 @settings(max_examples=300, deadline=None)
@@ -108,17 +106,21 @@ def test_word_ids(hub, text):
     assert np.frombuffer(wordids.load(JSON, P.PATTERN)(text), np.uint32).tolist() == hub.encode(text, add_special_tokens=False).ids
 
 
-def test_word_ids_and_the_library_as_loaded():
-    """The same ids on texts without a special token's literal; with one, it is read as text, as the README states."""
-    loaded, ids = Tokenizer.from_file(JSON), lambda t: np.frombuffer(wordids.load(JSON, P.PATTERN)(t), np.uint32).tolist()
-    special = [t.content for t in loaded.get_added_tokens_decoder().values()]
-    assert special == ["<|endoftext|>"]
-    for text in [*EDGE, "x <|endoftext| > y", "<|ENDOFTEXT|>", "<| endoftext |>"]:
-        if special[0] not in text:
-            assert ids(text) == loaded.encode(text, add_special_tokens=False).ids, text
-    text = "x <|endoftext|> y"
-    assert loaded.encode(text, add_special_tokens=False).ids == [87, 220, 50256, 331]
-    assert ids(text) == [87, 1279, 91, 437, 1659, 5239, 91, 29, 331]
+def test_spelled_out_tokens(hub, tmp_path):
+    """A token's literal is its one id, wherever it stands, also in texts that are cut into segments."""
+    ids = lambda t, path=JSON: np.frombuffer(wordids.load(path, P.PATTERN)(t), np.uint32).tolist()
+    assert [t.content for t in hub.get_added_tokens_decoder().values()] == ["<|endoftext|>"]
+    assert ids("x <|endoftext|> y") == [87, 220, 50256, 331]
+    end = "<|endoftext|>"
+    texts = [*EDGE, f"{end}{end} \n{end}", f"a{end}b", f"it{end}'s  {end}  x", "x <|endoftext| > y", "<|ENDOFTEXT|>", f"<|endof{end}text|>", f"<|endoftext{end}"]
+    texts.append((f" word  {end}\n" + "abc " * 50_000) * 8)
+    for text in texts:
+        assert ids(text) == hub.encode(text, add_special_tokens=False).ids, text[:80]
+    more = Tokenizer.from_file(JSON)
+    more.add_special_tokens([AddedToken("<|end", special=True), AddedToken("<w>", single_word=True, special=True), AddedToken("<l>", lstrip=True, special=True)])
+    more.save(str(tmp_path / "more.json"))
+    for text in (f"a <|end b {end}", "a<w>b <w> c", f"x  <l> y{end}", "<|end<|end"):
+        assert ids(text, str(tmp_path / "more.json")) == more.encode(text, add_special_tokens=False).ids, text
 
 
 @pytest.mark.parametrize("bits", [1, 5, 8, 13, 16, 17, 31, 32])
