@@ -1,9 +1,8 @@
 """Media columns: archives of images written by tasks, and a Spark data source that streams their members back.
 
 A payload is stored as the samples of an 8-bit grey PNG, WIDTH to a row. Each task writes its images as members of one
-zip archive in a folder that all executors share. The data source `paperloom_archive` lists the folder, reads of each
-archive only the end record and plans partitions as byte ranges of its member area; a task opens the archive once, reads
-its directory, and streams the members whose header lies in its range: one read of neighbouring members an Arrow batch
+zip archive in a folder that all executors share. The data source `paperloom_archive` lists the folder, opens nothing, and
+plans partitions as byte ranges of each archive's size; a task opens the archive once, reads its directory, and streams the members whose header lies in its range: one read of neighbouring members an Arrow batch
 of bounded size. A member that such a read doesn't bring whole is tried again on its own, from its offset, through a
 newly opened file; one that still fails comes as a row with its error.
 
@@ -126,20 +125,6 @@ class _Range(InputPartition):
         self.archive, self.lo, self.hi = archive, lo, hi
 
 
-def member_area(f, size: int) -> int:
-    """Where an archive's directory begins, from its end record (or the 64-bit one before it)."""
-    f.seek(max(0, size - 65_557))
-    tail = f.read()
-    at = tail.rfind(b"PK\x05\x06")
-    if at < 0:
-        raise ValueError("no end record")
-    (offset,) = struct.unpack("<I", tail[at + 16 : at + 20])
-    if offset == 0xFFFFFFFF:
-        at = tail.rfind(b"PK\x06\x06")
-        (offset,) = struct.unpack("<Q", tail[at + 48 : at + 56])
-    return offset
-
-
 def member_data(block: bytes, at: int, info: zipfile.ZipInfo) -> bytes:
     """A stored member's bytes in a block of the archive, its header at a place there; its check sum is tested."""
     head = block[at : at + 30]
@@ -195,9 +180,8 @@ class ArchiveReader(DataSourceReader):
         out: list[InputPartition] = []
         for info in sorted(fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)), key=lambda i: i.path):
             if info.is_file and info.path.endswith(".zip"):
-                with fs.open_input_file(info.path) as f:
-                    end = member_area(f, info.size)
-                out += [_Range(info.path, lo, min(end, lo + self.range_bytes)) for lo in range(0, end, self.range_bytes)]
+                # the directory at the end has no members: a last range may be without any
+                out += [_Range(info.path, lo, min(info.size, lo + self.range_bytes)) for lo in range(0, info.size, self.range_bytes)]
         return out or [_Range("", 0, 0)]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:

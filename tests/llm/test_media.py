@@ -52,9 +52,19 @@ def test_a_range_is_opened_once(spark, documents, monkeypatch):
         def __getattr__(self, name):
             return getattr(fs, name)
 
+    reader = media.ArchiveReader({"path": path, "rangeBytes": "2000"})
+    (_, root) = media.filesystem(path)
+
+    class Listed(Counted):
+        def get_file_info(self, selector):
+            return fs.get_file_info(selector)
+
+    monkeypatch.setattr(media, "filesystem", lambda uri: (Listed(), root))
+    assert len(reader.partitions()) > 4 and not opened  # planning lists, and opens nothing
+    assert sorted(r for p in reader.partitions() for b in reader.read(p) for r in b.column("doc_id").to_pylist()) == list(range(60))
+    opened.clear()
     reader = media.ArchiveReader({"path": path})
     (whole,) = reader.partitions()
-    monkeypatch.setattr(media, "filesystem", lambda uri: (Counted(), uri))
     assert [r for b in reader.read(whole) for r in b.column("doc_id").to_pylist()] == list(range(60)) and len(opened) == 1
     monkeypatch.setattr(media, "BATCH_BYTES", 500)
     assert sum(b.num_rows for b in reader.read(whole)) == 60 and len(opened) == 2
