@@ -1,16 +1,18 @@
 """Embedding near-dedup by a pivot-permutation index.
 
 Reference points (pivots) are vectors of a bounded sample, no two of them close; each length of vectors has its own.
-Each vector is described by the ordered list of its nearest pivots and is entered in their inverted lists. Two vectors
-are candidates if their descriptions share a pivot; all pairs of a list are verified by cosine in double precision, block
-by block. A pair counts in the list of the pivot that comes first in the order of pivot numbers among those that they
-share, so once. Equal vectors are one class, entered once with a weight. A list longer than a block is dealt as pairs of
-blocks. A task gives counts of links and a forest of its links, never all pairs.
+Each vector is described by the ordered list of its nearest pivots and is entered in inverted lists. In a list, pivots
+that vectors share are counted, block by block; those with enough in common are candidates, and only candidates are
+verified by cosine in double precision. A pair counts in the list of the pivot that comes first in the order of pivot
+numbers among those that they share, so once; and if they have to share t of k, that one is among the first k - t + 1
+of each, so a vector is entered in those lists alone. Equal vectors are one class, entered once with a weight. A list
+longer than a block is dealt as pairs of blocks. A task gives counts of links and a forest of its links, never all pairs.
 
 Pivots grow with the square root of the number of vectors of a length, so that lists and the work of a vector grow
 alike, up to MAX_PIVOTS, and all of them to PIVOT_BYTES (but one for each length): a proven bound of what is sent to the
 workers; the driver sees SAMPLE times as many vectors. The more pivots, the less do the nearest of two linked vectors
-overlap, so descriptions grow with the logarithm of their number: recall stays level.
+overlap, so descriptions grow with the logarithm of their number, and the count that makes a candidate falls from four to
+two: recall stays level.
 
 Nulls and edge cases: a null or zero vector, or one with a null or a component that isn't finite, links with nothing
 and is its own component; vectors of different lengths don't link; every row is a vector of its own, also where vec_ids
@@ -41,10 +43,12 @@ MAX_PIVOTS, PIVOT_BYTES = 16_384, 16 << 20
 SAMPLE, FEW = 4, 64
 
 
-def nearest_pivots(n_pivots: int) -> int:
-    """Nearest pivots that describe a vector: 8 of 64, and one more each time that pivots are four times as many. The
-    tests hold the recall of links of cosine 0.9 above 0.995 with this, with 200 pivots and with MAX_PIVOTS."""
-    return max(8, math.ceil(5 + math.log2(n_pivots) / 2))
+def nearest_pivots(n_pivots: int) -> tuple[int, int]:
+    """How many nearest pivots describe a vector (11 of 64, and one more each time that pivots are four times as many), and
+    how many of them candidates share. The tests hold the recall of links of cosine 0.9 above 0.995 with this, with 200
+    pivots and with MAX_PIVOTS."""
+    k = min(n_pivots, math.ceil(8 + math.log2(n_pivots) / 2))
+    return k, min(k, max(2, min(4, 8 - round(math.log2(n_pivots) / 2))))
 
 
 def _units(kind: str):
@@ -117,16 +121,22 @@ def _describe(pivots: dict[int, tuple[int, np.ndarray]], kind: str):
             raw, size = b.column("raw").to_pylist(), np.dtype(kind).itemsize
             dims = np.array([len(r) // size for r in raw])
             lists: list = [None] * len(raw)
+            heads: list = [None] * len(raw)
+            least = np.zeros(len(raw), np.int32)
             for d in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == d)
                 first, points = pivots[d]
                 near = unit_vectors([raw[i] for i in at], kind) @ points.T
-                k = min(nearest_pivots(len(points)), len(points))
+                k, t = nearest_pivots(len(points))
                 top = np.argpartition(-near, k - 1, axis=1)[:, :k]
                 top = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, axis=1), axis=1, kind="stable"), axis=1)
-                for i, ps in zip(at.tolist(), (top + first).tolist()):
-                    lists[i] = ps
-            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("weight"), b.column("raw"), pa.array(lists, pa.list_(pa.int32()))], ["rep", "weight", "raw", "pivots"])
+                entered = np.sort(top, axis=1)[:, : k - t + 1]
+                least[at] = t
+                for i, ps, hs in zip(at.tolist(), (top + first).tolist(), (entered + first).tolist()):
+                    lists[i], heads[i] = ps, hs
+            ints = pa.list_(pa.int32())
+            columns = [b.column("rep"), b.column("weight"), b.column("raw"), pa.array(lists, ints), pa.array(heads, ints), pa.array(least)]
+            yield pa.RecordBatch.from_arrays(columns, ["rep", "weight", "raw", "pivots", "entered", "least"])
 
     return run
 
@@ -139,30 +149,54 @@ def _matrix(rows: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return rows.column("rep").to_numpy(), rows.column("weight").to_numpy(), x, near
 
 
+def shared_pivots(left: np.ndarray, right: np.ndarray, pivot: int) -> np.ndarray:
+    """How many pivots each of left's descriptions shares with each of right's; below zero where one of them comes before
+    pivot (then another list has the pair). Counted through inverted lists of the two blocks: each pivot adds one
+    wherever a member of its left list meets one of its right list."""
+    found = np.intersect1d(left, right)
+    sides = []
+    for near in (left, right):
+        flat, order = near.ravel(), np.argsort(near, axis=None, kind="stable")
+        lo, hi = (np.searchsorted(flat[order], found, side) for side in ("left", "right"))
+        sides.append((order // near.shape[1], lo, hi - lo))
+    (a, a_at, a_n), (b, b_at, b_n) = sides
+    count = np.zeros((len(left), len(right)), np.int32)
+    pairs = a_n * b_n
+    large = pairs > 4096
+    for q in np.flatnonzero(large).tolist():
+        members = np.ix_(a[a_at[q] : a_at[q] + a_n[q]], b[b_at[q] : b_at[q] + b_n[q]])
+        count[members] += 1 if found[q] >= pivot else -1000
+    for some, step in ((~large & (found >= pivot), 1), (~large & (found < pivot), -1000)):
+        q = np.repeat(np.flatnonzero(some), pairs[some])
+        nth = np.arange(len(q)) - np.repeat(np.cumsum(pairs[some]) - pairs[some], pairs[some])
+        code = a[a_at[q] + nth // b_n[q]] * len(right) + b[b_at[q] + nth % b_n[q]]
+        count += step * np.bincount(code, minlength=count.size).reshape(count.shape).astype(np.int32)
+    return count
+
+
 def _links(threshold: float, kind: str):
     """One pair of blocks of one pivot's list: per class its number of linked vectors here, and a forest of links."""
 
     def run(rows: pa.Table) -> pa.Table:
-        pivot, x_block, y_block = (rows.column(c)[0].as_py() for c in ("pivot", "x", "y"))
+        pivot, x_block, y_block, least = (rows.column(c)[0].as_py() for c in ("pivot", "x", "y", "least"))
         left = _matrix(rows.filter(pa.compute.equal(rows.column("mine"), x_block)), kind)
         right = left if x_block == y_block else _matrix(rows.filter(pa.compute.equal(rows.column("mine"), y_block)), kind)
         degree: dict[int, int] = {}
         pairs: list[tuple[int, int]] = []
         for lo in range(0, len(left[0]) if len(right[0]) else 0, BLOCK):
             ids, weights, x, near = (v[lo : lo + BLOCK] for v in left)
-            hit = x @ right[2].T >= threshold - 1e-9  # a product's last digits depend on its shape
+            hit = shared_pivots(near, right[3], pivot) >= least
             if left is right:
                 hit &= np.arange(lo, lo + len(ids))[:, None] < np.arange(len(right[0]))[None, :]
+            if 16 * np.count_nonzero(hit) > hit.size:  # so many that one product of all is less work than theirs
+                hit &= x @ right[2].T >= threshold - 1e-9  # a product's last digits depend on its shape
             i, j = np.nonzero(hit)
-            for at in range(0, len(i), 1 << 16):
-                a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            for at in range(0, len(i), 1 << 14):
+                a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
                 ok = np.einsum("ij,ij->i", x[a], right[2][b]) >= threshold
                 a, b = a[ok], b[ok]
-                earlier = np.zeros(len(a), bool)  # then another list has the pair
-                for column in near.T:
-                    p = column[a]
-                    earlier |= (p < pivot) & (right[3][b] == p[:, None]).any(axis=1)
-                a, b = a[~earlier], b[~earlier]
+                if not len(a):
+                    continue
                 for own, other in ((ids[a], right[1][b]), (right[0][b], weights[a])):
                     who, where = np.unique(own, return_inverse=True)
                     for w, n in zip(who.tolist(), np.bincount(where, other).tolist()):
@@ -188,13 +222,13 @@ def grouped(table: DataFrame, threshold: float = 0.9, block: int = BLOCK) -> Dat
     classes = written(classes.withColumn("dim", dim), "classes", rows=count)
     pivots = pivots_of(classes, kind)
     if pivots:
-        described = classes.select("rep", "weight", "raw").mapInArrow(_describe(pivots, kind), "rep long, weight long, raw binary, pivots array<int>")
+        described = classes.select("rep", "weight", "raw").mapInArrow(_describe(pivots, kind), "rep long, weight long, raw binary, pivots array<int>, entered array<int>, least int")
         described = written(described, "described", rows=count)
-        posted = described.withColumn("pivot", F.explode("pivots"))
+        posted = described.withColumn("pivot", F.explode("entered")).drop("entered")
         sizes = posted.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
         dealt = posted.join(F.broadcast(sizes), "pivot").withColumn("mine", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other")}).select("pivot", "x", "y", "mine", "rep", "weight", "raw", "pivots")
+        dealt = dealt.withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other")}).select("pivot", "x", "y", "mine", "rep", "weight", "raw", "pivots", "least")
         # a vector's degree counts pairs by their first shared pivot, each in one list
         found = written(dealt.groupBy("pivot", "x", "y").applyInArrow(_links(threshold, kind), "rep long, n long, root long"), "links", rows=count, dealt=True)
         degree = found.groupBy("rep").agg(F.sum("n").alias("n"))

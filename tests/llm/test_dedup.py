@@ -318,6 +318,20 @@ def test_recall_with_the_pivots_of_large_tables(n_pivots):
     assert set(found.values()) == {1} and len(found) / 4000 > 0.995
 
 
+@pytest.mark.parametrize("hot", [0, 90])
+def test_counts_of_shared_pivots(hot):
+    """Against sets; with hot, so many share a pivot that its pairs are counted apart."""
+    rng = np.random.default_rng(hot)
+    lists = [np.array([rng.permutation(60)[:7] for _ in range(n)], np.int32) for n in (110, 130)]
+    for near in lists:
+        near[:hot, 3] = 60
+    got = vecdup.shared_pivots(*lists, 20)
+    for i, a in enumerate(lists[0].tolist()):
+        for j, b in enumerate(lists[1].tolist()):
+            both = set(a) & set(b)
+            assert got[i, j] == len(both) if not both or min(both) >= 20 else got[i, j] < 0
+
+
 def test_long_texts_are_compared_whole(spark):
     rng = random.Random(21)
     words = [f"w{rng.randrange(10**6)}" for _ in range(150_000)]
