@@ -17,6 +17,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 BLOCK, FIRST = 64, 4
 #: Postings of all questions' terms up to which they are simply all scored, in one pass; beyond, searches skip what can't win.
 FULL = 100_000_000
+#: Rows of questions' terms that go to all tasks; more meet the postings in a shuffle.
+SENT = 500_000
 #: Scores that are closer than this aren't told apart when chunks are skipped: sums depend on the order of adding.
 SLACK = 1e-6
 
@@ -49,14 +51,43 @@ def postings(chunks: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.select("p.term", (F.col("chunk_id") - F.pmod("chunk_id", F.lit(block))).alias("block"), "chunk_id", F.col("p.tf").alias("tf"), "len")
 
 
-def build(chunks: DataFrame, epsilon: float = EPSILON, block: int = BLOCK) -> LexicalIndex:
+def sent(small: DataFrame) -> DataFrame:
+    """A written table about the questions: up to SENT rows go to all tasks, so that postings stay where they are."""
+    return F.broadcast(small) if small.limit(SENT + 1).count() <= SENT else small
+
+
+def term_counts(chunks: DataFrame) -> DataFrame:
+    """term, df of all terms: summed up in each task before anything is shuffled, so no posting is moved or kept for it."""
+    return chunks.select(F.explode(F.array_distinct(terms_of("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def build(chunks: DataFrame, epsilon: float = EPSILON, block: int = BLOCK, asked: DataFrame | None = None) -> LexicalIndex:
     """chunks: chunk_id, text. The one large shuffle brings postings of a term and block together, so that a frequent term
-    is spread by its blocks; they are written once, sorted, and all statistics and searches read them."""
-    posting = written(postings(chunks, block).repartition("term", "block").sortWithinPartitions("term", "block", "chunk_id"), "posting")
-    corpus = posting.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words")).withColumn("n", F.lit(chunks.count()))
+    is spread by its blocks; they are written once, sorted, and all statistics and searches read them.
+
+    asked (query_text): an index for these questions only. Counts and idf are of all terms and chunks as ever, but only
+    postings of the questions' terms are kept, as nothing else is looked up; they are written where they are made."""
+    if asked is None:
+        posting = written(postings(chunks, block).repartition("term", "block").sortWithinPartitions("term", "block", "chunk_id"), "posting")
+        corpus = posting.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words")).withColumn("n", F.lit(chunks.count()))
+        counts = posting.groupBy("term").agg(F.count("*").alias("df"))
+    else:
+        wanted = written(asked.select(F.explode(terms_of("query_text")).alias("term")).distinct(), "wanted", rows=1)
+        posting = written(postings(chunks, block).join(sent(wanted), "term", "left_semi"), "posting")
+        corpus = _sizes(chunks)
+        counts = term_counts(chunks)
     corpus = written(corpus.select("n", "words"), "corpus", rows=1)
-    counts = written(posting.groupBy("term").agg(F.count("*").alias("df")), "terms")
-    return indexed(posting, counts, corpus, epsilon, written(block_tops(posting, corpus), "blocks"))
+    counts = written(counts, "terms")
+    return indexed(posting, counts, corpus, epsilon, block_tops(posting, corpus) if asked is not None else written(block_tops(posting, corpus), "blocks"))
+
+
+def statistics(chunks: DataFrame, epsilon: float = EPSILON) -> DataFrame:
+    """terms (term, df, idf) of an index of these chunks, without its postings."""
+    return indexed(None, written(term_counts(chunks), "terms"), written(_sizes(chunks), "corpus", rows=1), epsilon).terms
+
+
+def _sizes(chunks: DataFrame) -> DataFrame:
+    return chunks.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.greatest(F.size(terms_of("text")), F.lit(0))), F.lit(0)).alias("words"))
 
 
 def block_tops(posting: DataFrame, corpus: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
@@ -68,7 +99,7 @@ def block_tops(posting: DataFrame, corpus: DataFrame, k1: float = K1, b: float =
     return rows.groupBy("term", "block").agg(F.max(x).alias("top"), F.max("avgdl").alias("avgdl"), F.count("*").alias("n"))
 
 
-def indexed(posting: DataFrame, counts: DataFrame, corpus: DataFrame, epsilon: float = EPSILON, blocks: DataFrame | None = None) -> LexicalIndex:
+def indexed(posting: DataFrame | None, counts: DataFrame, corpus: DataFrame, epsilon: float = EPSILON, blocks: DataFrame | None = None) -> LexicalIndex:
     """The index of postings, counts (term, df) and corpus (n, words), which add up over parts of a collection."""
     corpus = corpus.select("n", "words", F.try_divide("words", "n").alias("avgdl"))
     raw = counts.withColumn("n", corpus.select("n").scalar())
@@ -91,8 +122,10 @@ def _weights(index: LexicalIndex, queries: DataFrame) -> DataFrame:
 
 def scores(index: LexicalIndex, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """queries: query_id, query_text. One row a query and chunk with a common term: query_id, chunk_id, score. A term
-    counts as often as the query repeats it. Only terms of the queries reach the join with the postings."""
-    hits = index.posting.join(_weights(index, queries), "term").withColumn("avgdl", index.corpus.select("avgdl").scalar())
+    counts as often as the query repeats it. Postings are dealt by chunk, once; what they come to for each question is added
+    up where they are, so that pairs of questions and chunks are never shuffled."""
+    weights = written(_weights(index, queries), "weights", rows=1)
+    hits = index.posting.repartition("chunk_id").join(sent(weights), "term").withColumn("avgdl", index.corpus.select("avgdl").scalar())
     return hits.groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * _saturated("tf", "len", k1, b)).alias("score"))
 
 
@@ -128,37 +161,39 @@ def searched(index: LexicalIndex, queries: DataFrame, n: int, first: int = FIRST
     avgdl = index.corpus.select("avgdl").scalar()
     of_query = Window.partitionBy("query_id")
     blocks = index.blocks.withColumnsRenamed({"avgdl": "then"}).withColumn("x", F.col("top") * F.greatest(avgdl / F.col("then"), F.lit(1.0)))
+    blocks = written(blocks.drop("then", "top").repartition("block"), "tops")
     most = F.greatest(F.col("weight") * (K1 + 1) * F.col("x") / (F.col("x") + 1), F.lit(0.0))
     weights = written(_weights(index, queries), "weights", rows=1)
-    asked = blocks.join(weights, "term").select("query_id", "term", "block", "n", most.alias("most"))
+    asked = blocks.join(sent(weights), "term").select("query_id", "term", "block", "n", most.alias("most"))
     limits = weights.join(asked.groupBy("query_id", "term").agg(F.max("most").alias("most")), ["query_id", "term"])
     limits = written(limits, "limits", rows=1)  # a row a query and term
     score = (F.col("weight") * _saturated("tf", "len", K1, B)).alias("score")
 
     def looked_up(terms: DataFrame, on: list[str]) -> DataFrame:
-        hits = index.posting.join(terms, on).withColumn("avgdl", avgdl)
+        hits = index.posting.join(sent(terms), on).withColumn("avgdl", avgdl)
         return hits.select("query_id", "chunk_id", "block", score).groupBy("query_id", "chunk_id", "block").agg(F.sum("score").alias("score"))
 
-    def of_chunks(chunks: DataFrame, terms: DataFrame) -> DataFrame:
-        return looked_up(chunks.select("query_id", "chunk_id", "block").join(terms.select("query_id", "term", "weight"), "query_id"), ["term", "block", "chunk_id"])
-
-    favoured = best(looked_up(best(limits, first, F.desc("most"), "term").select("query_id", "term", "weight"), ["term"]), n, F.desc("score"), "chunk_id")
-    reached = of_chunks(written(favoured, "favoured", rows=1), limits).groupBy("query_id").agg(F.when(F.count("*") == n, F.min("score") - SLACK).alias("reached"))
+    firsts = written(best(limits, first, F.desc("most"), "term").select("query_id", "term", "weight"), "firsts", rows=1)
+    favoured = written(best(looked_up(firsts, ["term"]), n, F.desc("score"), "chunk_id").select("query_id", "chunk_id", "block"), "favoured", rows=1)
+    pairs = written(favoured.join(limits.select("query_id", "term", "weight"), "query_id"), "pairs", rows=1)
+    reached = looked_up(pairs, ["term", "block", "chunk_id"]).groupBy("query_id").agg(F.when(F.count("*") == n, F.min("score") - SLACK).alias("reached"))
     light = F.sum("most").over(of_query.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0))
     split = limits.join(reached, "query_id", "left").withColumn("light", F.coalesce(light < F.col("reached"), F.lit(False)))
     split = split.withColumn("rest", F.coalesce(F.sum(F.when(F.col("light"), F.col("most"))).over(of_query), F.lit(0.0)))
     split = written(split, "split", rows=1)
     heavy = split.filter("not light").select("query_id", "term", "weight", "reached", "rest")
-    parts = blocks.join(heavy, "term").select("query_id", "term", "block", "n", "weight", "reached", "rest", most.alias("most"))
-    fits = parts.groupBy("query_id", "block").agg((F.sum("most") + F.max("rest")).alias("bound"), F.max("reached").alias("reached"))
+    parts = blocks.join(sent(heavy), "term").select("query_id", "term", "block", "n", "reached", "rest", most.alias("most"))
+    # by block from here on: which questions a block can still win, and what its chunks come to for those
+    fits = parts.repartition("block").groupBy("query_id", "block").agg((F.sum("most") + F.max("rest")).alias("bound"), F.max("reached").alias("reached"))
     fits = fits.filter(F.col("reached").isNull() | (F.col("bound") >= F.col("reached"))).select("query_id", "block")
+    open_ = written(fits.groupBy("block").agg(F.collect_set("query_id").alias("open")), "open")
+    terms = split.select("query_id", "term", "weight", "light", "reached", "rest")
+    hits = index.posting.repartition("block").join(open_, "block").join(sent(terms), "term").filter(F.array_contains("open", F.col("query_id"))).withColumn("avgdl", avgdl)
+    hits = hits.select("query_id", "chunk_id", "block", "light", "reached", "rest", score)
+    found = hits.groupBy("query_id", "block", "chunk_id").agg(F.sum("score").alias("score"), F.sum(F.when(~F.col("light"), F.col("score"))).alias("heavy"), F.max("reached").alias("reached"), F.max("rest").alias("rest"))
+    found = found.filter(F.col("heavy").isNotNull() & (F.col("reached").isNull() | (F.col("heavy") + F.col("rest") >= F.col("reached"))))
     read = parts.join(fits, ["query_id", "block"])
-    found = looked_up(read.select("query_id", "term", "block", "weight"), ["term", "block"])
-    found = found.join(split.groupBy("query_id").agg(F.max("reached").alias("reached"), F.max("rest").alias("rest")), "query_id")
-    found = written(found.filter(F.col("reached").isNull() | (F.col("score") + F.col("rest") >= F.col("reached"))), "candidates")
-    added = of_chunks(found, split.filter("light")).withColumnRenamed("score", "more")
-    scored = found.join(added, ["query_id", "chunk_id", "block"], "left").select("query_id", "chunk_id", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
-    return Search(scored, asked.select("query_id", "term", "block", "n"), read.select("query_id", "term", "block", "n"))
+    return Search(found.select("query_id", "chunk_id", "score"), asked.select("query_id", "term", "block", "n"), read.select("query_id", "term", "block", "n"))
 
 
 def bm25_topk(index: LexicalIndex, queries: DataFrame, n: int, full: int | None = None) -> DataFrame:

@@ -70,3 +70,18 @@ def test_numbers_from_counts(spark, monkeypatch, sent):
     assert sorted(r.chunk_id for r in twice) == list(range(2 * len(got)))
     plan = chunking.numbered_text_chunks(pages)._jdf.queryExecution().executedPlan().toString()
     assert ("BroadcastHashJoin" in plan) == (sent > 0) or "BroadcastNestedLoopJoin" not in plan
+
+
+def test_index_for_stated_questions(spark):
+    """Only postings of the questions' terms are kept; hits and statistics are those of the whole index, and no pair of a question
+    and a chunk is shuffled for a score."""
+    chunks, asked = corpus(spark, 3)
+    index, whole = lexical.build(chunks, block=16, asked=asked), lexical.build(chunks, block=16)
+    terms = {t for r in asked.collect() for t in r.query_text.lower().split()}
+    assert {r.term for r in index.posting.select("term").distinct().collect()} <= terms and index.posting.count() < whole.posting.count()
+    for full in (None, 0):
+        assert top(lexical.bm25_topk(index, asked, 5, full)) == top(lexical.bm25_topk(whole, asked, 5)) != []
+    idf = [sorted((r.term, r.df, round(r.idf, 9)) for r in t.collect()) for t in (index.terms, whole.terms, lexical.statistics(chunks))]
+    assert idf[0] == idf[1] == idf[2]
+    plan = lexical.scores(index, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(chunk_id" in plan and "hashpartitioning(query_id" not in plan
