@@ -13,13 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.shared import discard, new_path, shared_dir, written
+from paperloom.shared import BATCH_BYTES, BATCH_ROWS, bounded_batches, discard, new_path, shared_dir, written
 
-__all__ = ["discard", "filesystem", "held", "new_path", "prepare", "publish", "release", "segments", "shared_dir", "spare", "strings", "undotted", "utf8", "without", "written"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "discard", "filesystem", "held", "new_path", "prepare", "publish", "release", "segments", "shared_dir", "spare", "strings", "undotted", "utf8", "without", "written"]
 
 ROOT = str(Path(__file__).resolve().parents[2])
-#: Rows and bytes of an Arrow batch: a worker holds one batch of texts, so these bound its memory.
-BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -31,8 +29,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     for key in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "RAYON_NUM_THREADS"):
         env[key] = "1"
     env["TOKENIZERS_PARALLELISM"] = "false"
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    bounded_batches(spark)
     # shuffle files of a finished step go at once: its result is in the shared folder
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark

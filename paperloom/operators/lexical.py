@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -61,14 +62,16 @@ def term_counts(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.explode(F.array_distinct(terms_of("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def build(chunks: DataFrame, epsilon: float = EPSILON, block: int = BLOCK, asked: DataFrame | None = None) -> LexicalIndex:
+def build(chunks: DataFrame, epsilon: float = EPSILON, block: int = BLOCK, asked: DataFrame | None = None, into: Callable[[str], str] | None = None) -> LexicalIndex:
     """chunks: chunk_id, text. The one large shuffle brings postings of a term and block together, so that a frequent term
     is spread by its blocks; they are written once, sorted, and all statistics and searches read them.
 
     asked (query_text): an index for these questions only. Counts and idf are of all terms and chunks as ever, but only
-    postings of the questions' terms are kept, as nothing else is looked up; they are written where they are made."""
+    postings of the questions' terms are kept, as nothing else is looked up; they are written where they are made. into: the paths at which
+    posting and block stay, so that they are written once."""
+    at = lambda name: into(name) if into else None
     if asked is None:
-        posting = written(postings(chunks, block).repartition("term", "block").sortWithinPartitions("term", "block", "chunk_id"), "posting")
+        posting = written(postings(chunks, block).repartition("term", "block").sortWithinPartitions("term", "block", "chunk_id"), "posting", path=at("posting"))
         corpus = posting.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words")).withColumn("n", F.lit(chunks.count()))
         counts = posting.groupBy("term").agg(F.count("*").alias("df"))
     else:
@@ -78,7 +81,7 @@ def build(chunks: DataFrame, epsilon: float = EPSILON, block: int = BLOCK, asked
         counts = term_counts(chunks)
     corpus = written(corpus.select("n", "words"), "corpus", rows=1)
     counts = written(counts, "terms")
-    return indexed(posting, counts, corpus, epsilon, block_tops(posting, corpus) if asked is not None else written(block_tops(posting, corpus), "blocks"))
+    return indexed(posting, counts, corpus, epsilon, block_tops(posting, corpus) if asked is not None else written(block_tops(posting, corpus), "blocks", path=at("block")))
 
 
 def statistics(chunks: DataFrame, epsilon: float = EPSILON) -> DataFrame:

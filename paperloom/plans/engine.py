@@ -16,11 +16,11 @@ from paperloom.operators import chat, chunking, dense, fusion, ingest, lexical,
 from paperloom.shared import written
 from paperloom.sources import providers
 from paperloom.sources.batchlog import BatchLog
-from paperloom.sources.commits import create_if_absent
+from paperloom.sources.commits import create_if_absent, place
 from paperloom.sources.pages import raw_tables
 from paperloom.sources.store import Store
 
-#: Chunks of a batch of an ingest: what a break costs at most.
+#: Chunks of a batch of an ingest, and of several small ones that are embedded by one job: what a break costs at most.
 INGEST_BATCH = 100_000
 #: Hits of the question and of each other wording, weights of their lists, hits that are merged and shown.
 PRIMARY, VARIANT, PRIMARY_WEIGHT, VARIANT_WEIGHT, MERGED, SHOWN = 20, 8, 3.0, 0.5, 15, 10
@@ -145,9 +145,10 @@ class Engine:
         log.begin(n, self.batch, dim)
         return log
 
-    def _staged_chunks(self, folder: str, batch: int | None = None) -> DataFrame:
-        path = self.store.folder("chunk", folder) + ("" if batch is None else f"/batch={batch}")
-        return self.spark.read.schema(CHUNK_SCHEMA).option("recursiveFileLookup", "true").parquet(path)
+    def _staged_chunks(self, folder: str, batches: list[int] | None = None) -> DataFrame:
+        path = self.store.folder("chunk", folder)
+        paths = [path] if batches is None else [f"{path}/batch={k}" for k in batches]
+        return self.spark.read.schema(CHUNK_SCHEMA).option("recursiveFileLookup", "true").parquet(*paths)
 
     def finish(self, vectors: DataFrame | None = None, forget: bool = False) -> list[str]:
         """Go on with ingests that broke off after their chunks were staged: only batches without an entry in the log are
@@ -164,36 +165,59 @@ class Engine:
         return out
 
     def embed_batch(self, log: BatchLog, batch: int, vectors: DataFrame | None = None) -> dict:
-        """Write one batch's vectors to its own folder (what a broken attempt left there goes) and give its entry in the log."""
+        """embed_batches for one batch."""
+        return self.embed_batches(log, [batch], vectors)[0]
+
+    def embed_batches(self, log: BatchLog, batches: list[int], vectors: DataFrame | None = None) -> list[dict]:
+        """Write the batches' vectors, each to its own folder (what a broken attempt left there goes), and give their entries in
+        the log. The number of jobs doesn't grow with the number of batches."""
         plan = log.plan()
-        rows = chunking.embed_texts(self._staged_chunks(log.folder, batch))
+        size, path = plan["size"], self.store.folder("vector", log.folder)
+        batch = F.floor(F.col("chunk_id") / size)
+        rows = chunking.embed_texts(self._staged_chunks(log.folder, batches))
         if vectors is not None:
             found = with_vectors(rows.select("chunk_id", "embed_text"), vectors, "embed_text", "embedding")
         elif self.embed is not None:
-            calls = providers.embedded_batches(chunking.batch_rows(rows, "embed_text"), self._service(self.embed))
+            # a call's texts are of one batch
+            own = rows.select("chunk_id", F.struct(batch.alias("batch"), "filename").alias("filename"), "embed_text")
+            calls = providers.embedded_batches(chunking.batch_rows(own, "embed_text").select("ids", "texts"), self._service(self.embed))
             found = calls.select(F.explode(F.arrays_zip("ids", "vectors")).alias("z")).select(F.col("z.ids").alias("chunk_id"), F.col("z.vectors").alias("embedding"))
         else:
             found = rows.select("chunk_id", F.lit(None).cast("array<float>").alias("embedding"))
         none = self.spark.createDataFrame([], VECTOR_SCHEMA)
         good = dense.add_vectors(none, found, plan["dim"]) if plan["dim"] else found.filter("embedding is not null").select("chunk_id", normalised("embedding").alias("embedding"))
-        path = f"{self.store.folder('vector', log.folder)}/batch={batch}"
-        good.write.mode("overwrite").parquet(path)
-        first = batch * plan["size"]
-        last = min(first + plan["size"], plan["n_chunks"]) - 1
-        files = rows.groupBy("filename").agg(F.count("*").alias("n"), F.max("chunk_id").alias("last"))
-        at, n_files = files.agg(F.max_by(F.struct("filename", "last"), "last"), F.count("*")).first()
-        # the batch's last file ends here if no later chunk is of it; how far it has come counts from its first chunk
-        later = self._staged_chunks(log.folder).filter((F.col("filename") == at[0]) & (F.col("chunk_id") <= last + 1)).agg(F.count_if(F.col("chunk_id") <= last), F.max("chunk_id")).first()
-        ended = later[1] == last
-        n = self.spark.read.schema(VECTOR_SCHEMA).parquet(path).count()
-        return {"batch": batch, "first_chunk": first, "last_chunk": last, "n_chunks": last - first + 1, "n_vectors": n, "n_skipped": last - first + 1 - n, "n_files_ended": n_files - (not ended), "current_file": at[0], "chunks_in_current": later[0]}
+        for k in batches:
+            fs, old = place(self.spark, f"{path}/batch={k}")
+            fs.delete(old, True)
+        if len(batches) == 1:
+            good.write.parquet(f"{path}/batch={batches[0]}")
+        else:
+            good.withColumn("batch", batch).repartition("batch").write.mode("append").partitionBy("batch").parquet(path)
+        there = [p for k in batches if (p := f"{path}/batch={k}") and (at := place(self.spark, p))[0].exists(at[1])]
+        read = self.spark.read.schema(VECTOR_SCHEMA)
+        made = read.parquet(*there) if there else none
+        n_vectors = dict(made.groupBy(batch.alias("batch")).count().collect())
+        # by batch: its files, and the one that it ends in; a file's chunks are consecutive, so its first and last place tell the rest
+        per_file = rows.groupBy(batch.alias("batch"), "filename").agg(F.max("chunk_id").alias("last"))
+        ends = written(per_file.groupBy("batch").agg(F.count("*").alias("files"), F.max_by("filename", "last").alias("file")), "ends", rows=1)
+        of_file = self._staged_chunks(log.folder).select(F.col("filename").alias("f"), "chunk_id").join(F.broadcast(ends), F.col("f").eqNullSafe(F.col("file")))
+        told = of_file.groupBy("batch", "files", "file").agg(F.min("chunk_id").alias("first"), F.max("chunk_id").alias("last")).collect()
+        out = []
+        for r in sorted(told):
+            first = r.batch * size
+            last = min(first + size, plan["n_chunks"]) - 1
+            n, vectors_here = last - first + 1, n_vectors.get(r.batch, 0)
+            out.append({"batch": r.batch, "first_chunk": first, "last_chunk": last, "n_chunks": n, "n_vectors": vectors_here, "n_skipped": n - vectors_here, "n_files_ended": r.files - (r.last > last), "current_file": r.file, "chunks_in_current": last - r.first + 1})
+        return out
 
     def _finished(self, log: BatchLog, vectors: DataFrame | None) -> dict:
-        for batch in log.pending():
-            log.commit(self.embed_batch(log, batch, vectors))
-        built = lexical.build(self._staged_chunks(log.folder))
-        for name, df in (("posting", built.posting), ("block", built.blocks)):
-            df.write.mode("overwrite").parquet(self.store.folder(name, log.folder))
+        while pending := log.pending():
+            # half as many as are done, so that a break costs a part of what it had done, and no more than INGEST_BATCH chunks
+            size = log.plan()["size"]
+            lot = pending[: max(1, min(len(log.done()) // 2, INGEST_BATCH // size))]
+            for entry in self.embed_batches(log, lot, vectors):
+                log.commit(entry)
+        built = lexical.build(self._staged_chunks(log.folder), into=lambda name: self.store.folder(name, log.folder))
         if not log.plan()["n_chunks"]:
             self.spark.createDataFrame([], VECTOR_SCHEMA).write.mode("overwrite").parquet(self.store.folder("vector", log.folder))
 

@@ -228,3 +228,19 @@ def test_a_held_provider_is_made_once_a_worker(spark, tmp_path):
         assert providers.reranked(hits, held, 2).count() == 80
     made = [(tmp_path / p).read_text() for p in os.listdir(tmp_path)]
     assert made and set(made) == {"made\n"}
+
+
+def test_small_batches_share_jobs(spark, tmp_path, monkeypatch):
+    """Their entries and vectors are those of batches that are embedded one by one; jobs are far fewer than batches."""
+    pages = spark.createDataFrame([(f"f{i % 7}", i, "w " * (1 + i % 5)) for i in range(60)], "filename string, page_num long, text string")
+    lots, whole = [], Engine.embed_batches
+    monkeypatch.setattr(Engine, "embed_batches", lambda self, log, batches, vectors=None: lots.append(batches) or whole(self, log, batches, vectors))
+    embed = lambda texts: [None if len(t) % 5 == 0 else [float(len(t)), 1.0] for t in texts]
+    engine = Engine(spark, str(tmp_path / "store"), embed=embed, batch=3)
+    log = engine.staged(pages)
+    engine.finish()
+    assert sum(lots, []) == list(range(20)) and len(lots) <= 9
+    got = [tuple(r) for r in log.rows().drop("written").orderBy("batch").collect()]
+    again = engine.staged(pages)
+    assert got == [tuple(engine.embed_batch(again, k).values()) for k in range(20)]
+    assert sum(r[4] for r in got) == engine.store.load()["vector"].count() > 0
