@@ -1,8 +1,9 @@
 """Language ID by a byte convolutional network.
 
 Bytes are embedded, filters of several widths slide over windows of fixed length, each filter's largest response in a
-window is kept, and a softmax over these gives the window's language. The network is trained in numpy by Adam on a
-bounded sample of labelled texts (PER_LANG different texts a language at most, those with the least hashes of doc_id and
+window is kept, and a softmax over these gives the window's language. The network learns in numpy by Adam from all windows of
+all labelled texts: each task goes over its rows' windows from the same start, and the tasks' networks are averaged, by their
+windows. It starts from one that is trained on a bounded sample of labelled texts (PER_LANG different texts a language at most, those with the least hashes of doc_id and
 text; fewer where languages are so many that the whole sample would exceed TEXTS, but LEAST_TEXTS at least; WINDOWS
 windows of each; every value of lang is learned, and none without a text): only where a window's
 largest responses lie does a gradient flow, so a step costs little more than a forward pass. A text is read whole, in
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.common import prepare, release, strings, undotted, utf8, without
+from paperloom.llm.common import discard, prepare, release, strings, undotted, utf8, without, written
 
 WINDOW = 256
 NONE = "und"
@@ -38,8 +39,10 @@ PER_LANG, WINDOWS, TEXTS, LEAST_TEXTS = 2500, 3, 100_000, 20
 TRIGRAM_BITS, FEWEST, SLACK = 18, 0.01, 5.0
 #: Steps that training takes at least, however few windows there are.
 LEAST_STEPS = 1500
-#: Windows that are worked on at once.
-BATCH = 512
+#: Windows that are worked on at once; the rate at which tasks learn from all windows, and windows of a step there.
+BATCH, RATE, STEP = 512, 1e-3, 64
+#: Languages whose trigrams a task counts before it passes them on; precision of quantiles over all held-out windows.
+HELD_LANGS, PRECISION = 16, 100_000
 
 
 @dataclass
@@ -51,6 +54,9 @@ class Net:
     weights: np.ndarray  # all filters x languages
     offset: np.ndarray
 
+    def arrays(self) -> list[np.ndarray]:
+        return [self.embed, self.filters, self.bias, self.weights, self.offset]
+
     def responses(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Patches (windows x places x widest * EMBED) and the filters' responses."""
         widest = max(WIDTHS)
@@ -103,26 +109,35 @@ def started(langs: list[str], rng: np.random.Generator) -> Net:
     return Net(langs, rng.normal(0, 0.5, (256, EMBED)).astype(f32), (rng.normal(0, 0.3, mask.shape) * mask).astype(f32), np.zeros(n, f32), rng.normal(0, 0.1, (n, len(langs))).astype(f32), np.zeros(len(langs), f32))
 
 
+class Adam:
+    """Moves arrays, in place, along their gradients."""
+
+    def __init__(self, arrays: list[np.ndarray]):
+        self.arrays, self.t = arrays, 0
+        self.m, self.v = [np.zeros_like(x) for x in arrays], [np.zeros_like(x) for x in arrays]
+
+    def step(self, gradients: list[np.ndarray], rate: float) -> None:
+        self.t += 1
+        for x, m, v, g in zip(self.arrays, self.m, self.v, gradients):
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            x -= (rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)).astype(np.float32)
+
+
 def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], epochs: int = 6, batch: int = 64, rate: float = 4e-3, seed: int = 7) -> Net:
     """windows: n x WINDOW bytes; labels: places in langs. Languages weigh the same however many windows they have."""
     rng, f32 = np.random.default_rng(seed), np.float32
     net = started(langs, rng)
-    params = [net.embed, net.filters, net.bias, net.weights, net.offset]
-    m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    adam = Adam(net.arrays())
     share = np.bincount(labels, minlength=len(langs)).clip(1)
     weigh = (len(labels) / len(langs) / share).astype(f32)
-    t = 0
     epochs = max(epochs, -(-LEAST_STEPS * batch // max(1, len(labels))))
     for epoch in range(epochs):
         order = rng.permutation(len(labels))
         for lo in range(0, len(order), batch):
             at = order[lo : lo + batch]
-            t += 1
             step = rate * (1 - 0.9 * (epoch * len(order) + lo) / (epochs * len(order)))
-            for i, g in enumerate(gradients(net, windows[at], labels[at], weigh)[1]):
-                m[i] = 0.9 * m[i] + 0.1 * g
-                v[i] = 0.999 * v[i] + 0.001 * g * g
-                params[i] -= (step * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)).astype(f32)
+            adam.step(gradients(net, windows[at], labels[at], weigh)[1], step)
     return net
 
 
@@ -215,28 +230,130 @@ class Sample:
     langs: list[str]
 
 
-def familiar(learned: Sample | None, tested: Sample | None) -> Familiar | None:
-    """Learns trigrams from the windows that fit() learns from, each language counting the same. Held-out windows tell
-    how likely is enough: their median less SLACK times its distance to their FEWEST quantile."""
-    if learned is None:
-        return None
+def familiar(docs: DataFrame, langs: list[str]) -> Familiar:
+    """Learns the trigrams of all windows that the network learns from, each language counting the same. All held-out windows tell
+    how likely is enough: their median less SLACK times its distance to their FEWEST quantile. Counts are summed up by
+    Spark; a number for each hash and two quantiles reach the driver."""
+    counts = _labelled(docs.filter(~held_out())).select("lang", "text").mapInArrow(_count_trigrams, "lang string, code int, n long")
+    counts = written(counts.groupBy("lang", "code").agg(F.sum("n").alias("n")), "trigrams")
+    shares = counts.join(F.broadcast(counts.groupBy("lang").agg(F.sum("n").alias("all"))), "lang").groupBy("code").agg(F.sum(F.col("n") / F.col("all")).alias("p")).toArrow()
+    discard(counts)
     p = np.zeros(1 << TRIGRAM_BITS)
-    for k in range(len(learned.langs)):
-        rows, here = learned.windows[learned.labels == k], np.zeros(len(p))
-        for at in range(0, len(rows), 4096):
-            code, whole = _trigrams(np.pad(rows[at : at + 4096], ((0, 0), (0, 1))).reshape(-1))
-            here += np.bincount(code[whole], minlength=len(p))
-        p += here / max(1.0, here.sum()) / len(learned.langs)
+    p[shares.column("code").to_numpy()] = shares.column("p").to_numpy() / len(langs)
     got = Familiar(np.log(0.99 * p + 0.01 / len(p)).astype(np.float32), -np.inf)
-    if tested is not None:
-        scores = got.scores(tested.windows.reshape(-1), np.arange(len(tested.windows) + 1, dtype=np.int64) * WINDOW)
-        scores = scores[scores < 0]
-        if len(scores):
-            middle = float(np.median(scores))
-            got.least = middle - SLACK * (middle - float(np.quantile(scores, FEWEST)))
+    scores = _labelled(docs.filter(held_out())).select("text").mapInArrow(_window_scores(got), "score double")
+    low, middle = scores.agg(F.percentile_approx("score", FEWEST, PRECISION), F.percentile_approx("score", 0.5, PRECISION)).first()
+    if middle is not None:
+        got.least = middle - SLACK * (middle - low)
     return got
 
 
+def _windows(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """Each text's place and windows, BATCH at a time."""
+    buf, off = utf8(b.column("text"))
+    for i in range(b.num_rows):
+        for lo in range(int(off[i]), max(int(off[i]) + 1, int(off[i + 1])), BATCH * WINDOW):
+            yield i, cut(buf[lo : min(lo + BATCH * WINDOW, off[i + 1])])
+
+
+def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
+    held: dict[str, np.ndarray] = {}
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        for lang, n in held.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "code", "n"])
+        held.clear()
+
+    for b in batches:
+        langs = b.column("lang").to_pylist()
+        for i, w in _windows(b):
+            if langs[i] not in held and len(held) >= HELD_LANGS:
+                yield from counted()
+            code, whole = _trigrams(np.pad(w, ((0, 0), (0, 1))).reshape(-1))
+            np.add.at(held.setdefault(langs[i], np.zeros(1 << TRIGRAM_BITS, np.int64)), code[whole], 1)
+    yield from counted()
+
+
+def _window_scores(known: Familiar):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for b in batches:
+            for _, w in _windows(b):
+                code, whole = _trigrams(np.pad(w, ((0, 0), (0, 2))).reshape(-1))
+                code, whole = (np.append(x, [0, 0]).reshape(len(w), -1)[:, : WINDOW - 2] for x in (code, whole))
+                n = whole.sum(axis=1)
+                score = (known.log_p[code.astype(np.int64)] * whole).sum(axis=1, dtype=np.float64)[n > 0] / n[n > 0]
+                yield pa.RecordBatch.from_arrays([pa.array(score)], ["score"])
+
+    return run
+
+
+def _labelled(docs: DataFrame) -> DataFrame:
+    """The rows that have a doc_id, a text and a language, with these."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    return rows.filter("doc_id is not null and lang is not null and text is not null")
+
+
+def _learn(net: Net, weigh: np.ndarray):
+    """A task's network after all windows of its rows, in one row: its arrays and how many windows they saw."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        place = {lang: i for i, lang in enumerate(net.langs)}
+        mine = Net(net.langs, *[x.copy() for x in net.arrays()])
+        adam, seen = Adam(mine.arrays()), 0
+        waiting, labels, n = [], [], 0
+
+        def learned() -> int:
+            w, y = np.concatenate(waiting), np.array(labels)
+            order = np.random.default_rng(len(w)).permutation(len(w))  # neighbours are of one text
+            for lo in range(0, len(w), STEP):
+                at = order[lo : lo + STEP]
+                adam.step(gradients(mine, w[at], y[at], weigh)[1], RATE)
+            waiting.clear()
+            labels.clear()
+            return len(w)
+
+        for b in batches:
+            langs = b.column("lang").to_pylist()
+            for i, w in _windows(b):
+                waiting.append(w)
+                labels += [place[langs[i]]] * len(w)
+                n += len(w)
+                if n >= 8 * BATCH:
+                    seen, n = seen + learned(), 0
+        if waiting:
+            seen += learned()
+        if seen:
+            flat = np.concatenate([x.reshape(-1) for x in mine.arrays()]).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([flat.tolist()])], ["seen", "flat"])
+
+    return run
+
+
+def learned_from_all(net: Net | None, docs: DataFrame) -> Net | None:
+    """The network after all windows of docs' labelled rows: tasks learn from theirs side by side, and a task's arrays, some
+    thousands of numbers, are averaged by how many windows they saw. Languages weigh the same, as in train()."""
+    if net is None:
+        return None
+    rows = _labelled(docs).filter(F.col("lang").isin(net.langs) if len(net.langs) <= 1000 else F.lit(True)).select("lang", "text")
+    n_windows = F.sum(F.greatest(F.ceil(F.octet_length("text") / WINDOW), F.lit(1)))
+    n = dict(rows.groupBy("lang").agg(n_windows.alias("n")).collect())
+    share = np.array([n.get(lang, 1) for lang in net.langs], np.float64)
+    weigh = (share.sum() / len(share) / share).astype(np.float32)
+    every = F.posexplode("flat").alias("at", "x")
+    parts = written(rows.mapInArrow(_learn(net, weigh), "seen long, flat array<double>"), "networks", rows=1)
+    mean = parts.select("seen", every).groupBy("at").agg((F.sum(F.col("x") * F.col("seen")) / F.sum("seen")).alias("x")).orderBy("at").toArrow()
+    discard(parts)
+    flat, at, arrays = mean.column("x").to_numpy().astype(np.float32), 0, []
+    for x in net.arrays():
+        arrays.append(flat[at : at + x.size].reshape(x.shape))
+        at += x.size
+    return Net(net.langs, *arrays)
+
+
 def sampled(labelled: DataFrame, per_lang: int = PER_LANG, windows: int = WINDOWS) -> Sample | None:
     """labelled: doc_id, text, lang. A bounded sample of the rows that have a text and a language; None without any.
 
@@ -277,14 +394,15 @@ def held_out() -> Column:
 
 
 def fitted(docs: DataFrame, per_lang: int = PER_LANG) -> Net | None:
-    """Learns from the rows of docs (doc_id, text, lang) that have all three and aren't held out."""
-    return fit(sampled(docs.filter(~held_out()), per_lang))
+    """Learns from all rows of docs (doc_id, text, lang) that have all three and aren't held out; a sample of them is the start."""
+    mine = docs.filter(~held_out())
+    return learned_from_all(fit(sampled(mine, per_lang)), mine)
 
 
 def fitted_with_familiar(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[Net | None, Familiar | None]:
-    """The network and the trigrams, from one sample of the rows that aren't held out and one of those that are."""
-    learned = sampled(docs.filter(~held_out()), per_lang)
-    return fit(learned), familiar(learned, sampled(docs.filter(held_out()), per_lang))
+    """The network and the trigrams, from all rows that aren't held out, and the threshold from all that are."""
+    net = fitted(docs, per_lang)
+    return net, None if net is None else familiar(docs, net.langs)
 
 
 def annotated(docs: DataFrame, net: Net | None, known: Familiar | None = None) -> DataFrame:

@@ -198,3 +198,24 @@ def test_every_language_is_learned(spark):
         if r.held_out and int(rows[r.doc_id][2][1:]) >= 200:
             right[r.doc_id] = r.lang_pred == rows[r.doc_id][2]
     assert len(right) > 40 and np.mean(list(right.values())) > 0.8
+
+
+def test_language_learns_from_all_rows(spark, monkeypatch):
+    """Counts, network and threshold are of all rows, not of the sample that the network starts from."""
+    rows = [(i, f"ab{'cdefgh'[i % 6]} und der weg " * 20, "x") if i % 2 else (i, f"qu{'rstvwz'[i % 6]} with the way " * 20, "y") for i in range(200)]
+    odd = [(1000 + i, "zzz kkk vvv " * 10, "x") for i in range(8)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string").repartition(5)
+    counted = langid._labelled(docs).select("lang", "text").mapInArrow(langid._count_trigrams, "lang string, code int, n long").groupBy("lang").sum("n").collect()
+    got = {r[0]: r[1] for r in counted}
+    want = dict.fromkeys("xy", 0)
+    for _, text, lang in rows + odd:
+        w = langid.cut(np.frombuffer(text.encode(), np.uint8))
+        want[lang] += sum(int(langid._trigrams(x)[1].sum()) for x in np.pad(w, ((0, 0), (0, 1))))
+    assert got == want
+    net, known = langid.fitted_with_familiar(docs, per_lang=4)
+    start = langid.fit(langid.sampled(docs.filter(~langid.held_out()), 4))
+    assert np.isfinite(known.least) and not np.array_equal(net.weights, start.weights)
+    code, _ = langid._trigrams(np.frombuffer(b"zzz", np.uint8))
+    assert known.log_p[code[0]] > np.log(0.01 / (1 << langid.TRIGRAM_BITS)) + 1  # seen, whether or not a sample of four has it
+    right = [r for r in langid.annotated(docs, net, known).collect() if r.lang == r.lang_pred]
+    assert len(right) >= len(rows)  # the odd ones are too few to be likely
