@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.vectors import normalised
 from paperloom.operators.lexical import ranked
+from paperloom.shared import bounded_batches
 
 #: Least cosine of a hit; queries that go to the workers at once (a bound on what is sent: this many vectors); vectors
-#: that meet a block of queries in one task where there are more queries than that; vectors of one product.
-FLOOR, QUERY_BLOCK, VECTOR_BLOCK, PRODUCT = 0.25, 2048, 16384, 2048
+#: that meet a block of queries in one task where there are more queries than that; scores of one product, which a worker
+#: holds at once.
+FLOOR, QUERY_BLOCK, VECTOR_BLOCK, PRODUCT = 0.25, 2048, 16384, 1 << 19
 SCORES = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -40,21 +42,30 @@ def _usable(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _best(ids: list[int], queries: np.ndarray, n: int):
+    """The n best of each query among a task's vectors. PRODUCT scores are made at a time; of those only what reaches a query's
+    n-th best so far is looked at again."""
+    size = max(1, PRODUCT // max(1, len(ids)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = np.full((len(ids), 0), -np.inf)
-        chunk = np.zeros((len(ids), 0), np.int64)
-        for b in batches:
+        least = np.full(len(ids), -np.inf)
+        owner, score, chunk = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        for b in (whole.slice(lo, size) for whole in batches for lo in range(0, whole.num_rows, size)):
             good, x = _usable(b.column("embedding"), queries.shape[1])
             if not len(good):
                 continue
             new = np.round(queries @ _unit(x).T, 9)
-            at = b.column("chunk_id").to_numpy()[good]
-            score, chunk = np.hstack([score, new]), np.hstack([chunk, np.tile(at, (len(ids), 1))])
-            if score.shape[1] > n:
-                keep = np.lexsort((chunk, -score), axis=1)[:, :n]
-                score, chunk = np.take_along_axis(score, keep, 1), np.take_along_axis(chunk, keep, 1)
-        k = score.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), k)), pa.array(chunk.ravel()), pa.array(score.ravel())], ["query_id", "chunk_id", "score"])
+            q, v = np.nonzero(new >= least[:, None])
+            if not len(q):
+                continue
+            owner, score = np.concatenate([owner, q]), np.concatenate([score, new[q, v]])
+            chunk = np.concatenate([chunk, b.column("chunk_id").to_numpy()[good][v]])
+            order = np.lexsort((chunk, -score, owner))
+            owner, score, chunk = owner[order], score[order], chunk[order]
+            place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            last = place == n - 1
+            least[owner[last]] = score[last]
+            owner, score, chunk = owner[place < n], score[place < n], chunk[place < n]
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[owner]), pa.array(chunk), pa.array(score)], ["query_id", "chunk_id", "score"])
 
     return run
 
@@ -66,7 +77,7 @@ def _cell(n: int):
             return SCORES.empty_table()
         best = _best(queries.column("query_id").to_pylist(), _unit(queries.column("embedding").to_pylist()), n)
         rows = vectors.select(["chunk_id", "embedding"]).combine_chunks()
-        return pa.Table.from_batches(best(iter(rows.to_batches(max_chunksize=PRODUCT))), SCORES)
+        return pa.Table.from_batches(best(iter(rows.to_batches())), SCORES)
 
     return run
 
@@ -85,6 +96,7 @@ def dense_scores(vectors: DataFrame, queries: DataFrame, n: int, block: int = QU
     block of them goes to the workers as it is; more meet the vectors in a shuffle, block by block, so that neither the
     plan nor the driver grows with them."""
     vectors, asked = vectors.select("chunk_id", "embedding"), queries.filter("embedding is not null").select("query_id", "embedding")
+    bounded_batches(vectors.sparkSession)
     rows = asked.limit(block + 1).collect()
     if len(rows) > block:
         return _grid(vectors, asked, n, block, vector_block)

@@ -189,3 +189,43 @@ def test_first_ten_without_a_reranker(spark):
     want = {("a", i, f"c{i}") for i in range(10)} | {("b", i, f"d{i}") for i in range(10)} | {("c", 0, "e0")}
     assert {(r.query_id, r.rank0, r.chunk_id) for r in got} == want and len(got) == 21
     assert all(r.rerank_score is None for r in got) and len(reranked(hits).collect()) == 21
+
+
+def test_dense_scores_are_made_in_bounded_parts():
+    """A task's memory doesn't grow with the rows of a batch times the questions; ties go to the lesser chunk."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    x, q = rng.integers(-2, 3, (20_000, 4)).astype(np.float32) + np.float32(0.25), rng.normal(size=(512, 4))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(20_000)), pa.ListArray.from_arrays(np.arange(0, 80_001, 4, dtype=np.int32), x.ravel())], ["chunk_id", "embedding"])
+    tracemalloc.start()
+    (got,) = dense._best(list(range(512)), q, 5)(iter([batch]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 80 << 20
+    s = np.round(q @ dense._unit(x).T, 9)
+    want = np.lexsort((np.broadcast_to(np.arange(20_000), s.shape), -s), axis=1)[:, :5]
+    assert got.column("chunk_id").to_numpy().reshape(512, 5).tolist() == want.tolist()
+
+
+def test_grid_measures_its_columns_once(spark):
+    from pyspark.sql import functions as F
+
+    from paperloom.operators import tables
+
+    assert str(tables.grid(F.col("cells"))).count("array_max") <= 2
+
+
+def test_workers_get_bounded_batches(spark):
+    from paperloom.sources import providers
+
+    keys = [f"spark.sql.execution.arrow.max{k}PerBatch" for k in ("Records", "Bytes")]
+    for k in keys:
+        spark.conf.unset(k)
+    rows = spark.createDataFrame([(["x" * 200_000] * 16,)] * 12, "texts array<string>").coalesce(1)
+    got = providers.embedded_batches(rows, lambda texts: [[float(len(t))] for t in texts])
+    assert int(spark.conf.get(keys[0])) <= 1000 and int(spark.conf.get(keys[1])) <= 4 << 20
+    assert got.filter("size(vectors) = 16 and vectors[15][0] = 200000").count() == 12
