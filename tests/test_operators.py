@@ -229,3 +229,15 @@ def test_workers_get_bounded_batches(spark):
     got = providers.embedded_batches(rows, lambda texts: [[float(len(t))] for t in texts])
     assert int(spark.conf.get(keys[0])) <= 1000 and int(spark.conf.get(keys[1])) <= 4 << 20
     assert got.filter("size(vectors) = 16 and vectors[15][0] = 200000").count() == 12
+
+
+def test_chunks_of_one_file_are_made_in_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from paperloom.operators import tables
+
+    pages = spark.createDataFrame([("f", i, "Table 1 x" if i == 0 else "y") for i in range(40)], "filename string, page_num long, text string")
+    found = pages.select("filename", "page_num", F.lit(0).alias("table_idx"), F.array(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("1"), F.lit("2"))).alias("cells"))
+    rows = tables.page_chunks(pages, found).filter("kind = 0").withColumn("task", F.spark_partition_id()).collect()
+    assert len(rows) == 80 and len({r.task for r in rows}) > 2
+    assert sum("(continued)" in r.text for r in rows) == 78
