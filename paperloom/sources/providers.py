@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.functions.text import lines, strip
-from paperloom.shared import new_path, written
+from paperloom.shared import bounded_batches, new_path, written
 from paperloom.sources.commits import names
 
 #: Vectors in the order of the texts, or answers that say the place of each: {"index": i, "embedding": [...]}.
@@ -179,6 +179,7 @@ def embedded_batches(batches: DataFrame, embed: Embed, name: str = "vectors") ->
             yield b.assign(**{name: out})
 
     schema = T.StructType([*batches.schema.fields, T.StructField(name, T.ArrayType(T.ArrayType(T.FloatType())))])
+    bounded_batches(batches.sparkSession)  # a row holds a batch's texts
     return in_lanes(batches, embed).mapInPandas(run, schema)
 
 
