@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paperloom.functions.text import words
-from paperloom.shared import written
+from paperloom.shared import bounded_batches, written
 
 #: The usual parameters of the Okapi variant: saturation, length weight, floor for terms in over half of the chunks.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -20,6 +23,8 @@ BLOCK, FIRST = 64, 4
 FULL = 100_000_000
 #: Rows of questions' terms that go to all tasks; more meet the postings in a shuffle.
 SENT = 500_000
+#: Weights of questions' terms times chunks that a worker multiplies at once.
+PRODUCT = 1 << 20
 #: Scores that are closer than this aren't told apart when chunks are skipped: sums depend on the order of adding.
 SLACK = 1e-6
 
@@ -86,7 +91,12 @@ def build(chunks: DataFrame, epsilon: float = EPSILON, block: int = BLOCK, asked
 
 def statistics(chunks: DataFrame, epsilon: float = EPSILON) -> DataFrame:
     """terms (term, df, idf) of an index of these chunks, without its postings."""
-    return indexed(None, written(term_counts(chunks), "terms"), written(_sizes(chunks), "corpus", rows=1), epsilon).terms
+    return _counted(chunks, epsilon).terms
+
+
+def _counted(chunks: DataFrame, epsilon: float) -> LexicalIndex:
+    """An index without postings."""
+    return indexed(None, written(term_counts(chunks), "terms"), written(_sizes(chunks), "corpus", rows=1), epsilon)
 
 
 def _sizes(chunks: DataFrame) -> DataFrame:
@@ -120,7 +130,7 @@ def _saturated(tf: str, length: str, k1: float, b: float) -> Column:
 def _weights(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     """query_id, term, weight (idf, as often as the query repeats the term), df."""
     asked = queries.select("query_id", F.explode(terms_of("query_text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    return asked.join(index.terms.select("term", "df", "idf"), "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"), "df")
+    return index.terms.select("term", "df", "idf").join(sent(written(asked, "asked", rows=1)), "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"), "df")
 
 
 def scores(index: LexicalIndex, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
@@ -204,3 +214,61 @@ def bm25_topk(index: LexicalIndex, queries: DataFrame, n: int, full: int | None
     the queries' terms are scored, as where they are at most `full` (FULL) or the index has no blocks, or a pruned search is."""
     few = index.blocks is None or (_weights(index, queries).agg(F.sum("df")).first()[0] or 0) <= (FULL if full is None else full)
     return ranked(scores(index, queries) if few else searched(index, queries, n).scored, n).filter("score > 0").select("query_id", "rank0", "chunk_id", "score")
+
+
+def stated_topk(chunks: DataFrame, queries: DataFrame, n: int, epsilon: float = EPSILON) -> DataFrame:
+    """The rows of bm25_topk for one stated set of questions, in one pass over the texts once idf is known: a chunk's score is
+    made where its text is and each task passes on n chunks a question, so that no posting is written or moved. Questions of over
+    SENT terms together, and chunks that repeat a number, whose scores have to be added up, take an index of the questions' terms."""
+    counted = _counted(chunks, epsilon)
+    weights = written(_weights(counted, queries).select("query_id", "term", "weight"), "weights", rows=1)
+    whole = chunks.groupBy("chunk_id").count().filter("count > 1 or chunk_id is null").isEmpty()
+    if not whole or weights.limit(SENT + 1).count() > SENT:
+        return bm25_topk(build(chunks, epsilon, asked=queries), queries, n)
+    bounded_batches(chunks.sparkSession)
+    rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), terms_of("text").alias("terms"))
+    table, of = weights.toArrow(), weights.schema["query_id"].dataType.simpleString()
+    if not table.num_rows:
+        return chunks.sparkSession.createDataFrame([], f"query_id {of}, rank0 int, chunk_id long, score double")
+    best_ = rows.mapInArrow(_in_place(table, counted.corpus.first().avgdl, n), f"query_id {of}, chunk_id long, score double")
+    return ranked(best_, n).select("query_id", "rank0", "chunk_id", "score")
+
+
+def _in_place(weights: pa.Table, avgdl: float, n: int, k1: float = K1, b: float = B) -> Callable:
+    """The n best of each question among a task's chunks (chunk_id, terms) that score above zero. Of the scores that are made at a
+    time only what reaches a question's n-th best so far is looked at again."""
+    weights = weights.sort_by([("term", "ascending"), ("query_id", "ascending")])
+    asked, known = (weights.column(c).combine_chunks().dictionary_encode("encode") for c in ("query_id", "term"))
+    ids, vocabulary = asked.dictionary, known.dictionary
+    asked, known, weight = asked.indices.to_numpy(), known.indices.to_numpy(), weights.column("weight").to_numpy()
+    begin = np.searchsorted(known, np.arange(len(vocabulary) + 1))  # a term's weights lie together
+    size = max(1, PRODUCT // len(weight))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = np.full(len(ids), -np.inf)
+        owner, score, key, chunk = np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0, np.int64)
+        for batch in (whole.slice(lo, size) for whole in batches for lo in range(0, whole.num_rows, size)):
+            length = pc.fill_null(pc.list_value_length(batch.column("terms")), 0).to_numpy().astype(np.int64)
+            term = pc.index_in(batch.column("terms").flatten(), value_set=vocabulary)
+            row = np.repeat(np.arange(len(length)), length)[term.is_valid().to_numpy(zero_copy_only=False)]
+            posting, tf = np.unique(row * len(vocabulary) + term.drop_null().to_numpy(), return_counts=True)
+            row, term = posting // len(vocabulary), posting % len(vocabulary)
+            x = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / avgdl))
+            times = begin[term + 1] - begin[term]
+            at = np.arange(times.sum()) + np.repeat(begin[term] - (np.cumsum(times) - times), times)
+            pair = np.repeat(row, times) * len(ids) + asked[at]
+            new = np.bincount(pair, weight[at] * np.repeat(x, times), len(length) * len(ids)).reshape(len(length), len(ids))
+            rounded = np.round(new, 9)
+            c, q = np.nonzero((new > 0) & (rounded >= least))
+            if not len(q):
+                continue
+            owner, score, key = np.concatenate([owner, q]), np.concatenate([score, new[c, q]]), np.concatenate([key, rounded[c, q]])
+            chunk = np.concatenate([chunk, batch.column("chunk_id").to_numpy()[c]])
+            order = np.lexsort((chunk, -key, owner))
+            place = np.arange(len(owner)) - np.searchsorted(owner[order], owner[order])
+            last, order = order[place == n - 1], order[place < n]
+            least[owner[last]] = key[last]
+            owner, score, key, chunk = owner[order], score[order], key[order], chunk[order]
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), pa.array(chunk), pa.array(score)], ["query_id", "chunk_id", "score"])
+
+    return run

@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 from paperloom.functions.text import first_sentences, is_section_boundary, words
 from paperloom.functions.vectors import cosine
+from paperloom.operators.lexical import sent
+from paperloom.shared import written
 
 VALUE = r"(?iu)\d+(?:\.\d+)?\s*(?:°C|°F|mm|MPa|psi|bar|inches?|hours?|days?)"
 VALUE_PARTS = r"(?iu)^(\d+(?:\.\d+)?)\s*(.*)$"
@@ -74,8 +76,9 @@ def conflicts(hits: DataFrame) -> DataFrame:
 def sentence_windows(hits: DataFrame, chunks: DataFrame, window: int = 1, most: int = 2000) -> DataFrame:
     """hits (query_id, rank0, source, chunk_type, text, ...) with window_text: for text hits the neighbours of the same
     source join in, up to a section boundary or another type. chunks: chunk_id, source, chunk_type, text. Only chunks
-    of the hits' sources are put in order, each source by itself."""
-    mine = chunks.filter("chunk_type <> 'table-full'").join(hits.select("source").distinct(), "source", "left_semi")
+    of the hits' sources are put in order, each source by itself; no others are shuffled."""
+    sources = written(hits.select("source").distinct(), "sources", rows=1)
+    mine = chunks.filter("chunk_type <> 'table-full'").join(sent(sources), "source", "left_semi")
     order = Window.partitionBy("source").orderBy("chunk_id")
     peers = mine.withColumn("peers", F.count("*").over(Window.partitionBy("source")))
     parts, ok = [F.col("text")], None

@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.operators import chunking, lexical
+from paperloom.operators import chunking, lexical, postprocess
+from paperloom.plans import queries as plans
+from paperloom.shared import gathered
 
 
 def corpus(spark, seed, n=900):
@@ -85,3 +87,48 @@ def test_index_for_stated_questions(spark):
     assert idf[0] == idf[1] == idf[2]
     plan = lexical.scores(index, asked)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(chunk_id" in plan and "hashpartitioning(query_id" not in plan
+
+
+@pytest.mark.parametrize("product", [1 << 20, 1])
+def test_stated_questions_in_one_pass(spark, monkeypatch, product):
+    """The rows of an index, from the texts as they are: no posting is written. Copies tie in chunk order."""
+    chunks, asked = corpus(spark, 4)
+    copies = chunks.unionByName(chunks.select((F.col("chunk_id") + 1000).alias("chunk_id"), "text")).unionByName(spark.createDataFrame([(5000, None), (5001, " ")], "chunk_id long, text string")).repartition(3)
+    monkeypatch.setattr(lexical, "PRODUCT", product)
+    for n in (1, 7):
+        with gathered() as made:
+            got = top(lexical.stated_topk(copies, asked, n))
+        assert got == top(lexical.bm25_topk(lexical.build(copies), asked, n)) != []
+        assert not any("/posting-" in path for path in made)
+    nothing = spark.createDataFrame([(1, "unheard of"), (2, None)], "query_id long, query_text string")
+    assert lexical.stated_topk(chunks, nothing, 3).count() == 0 == lexical.stated_topk(chunks.limit(0), asked, 3).count()
+
+
+@pytest.mark.parametrize("odd", ["repeated", "null", "many"])
+def test_stated_questions_by_an_index(spark, monkeypatch, odd):
+    """Scores of chunks that repeat a number are added up; more weights than are sent meet the postings in a shuffle."""
+    chunks, asked = corpus(spark, 6, 200)
+    if odd == "many":
+        monkeypatch.setattr(lexical, "SENT", 3)
+    else:
+        chunks = chunks.withColumn("chunk_id", F.expr("chunk_id div 2" if odd == "repeated" else "nullif(chunk_id, 7)"))
+    key = lambda rows: sorted((r.query_id, r.rank0, -1 if r.chunk_id is None else r.chunk_id, round(r.score, 8)) for r in rows.collect())
+    assert key(lexical.stated_topk(chunks, asked, 5)) == key(lexical.bm25_topk(lexical.build(chunks), asked, 5)) != []
+
+
+def test_texts_stay_where_they_are(spark):
+    """Hits are few and go to the texts, also where the plan can't tell that they are: nothing but hits is shuffled for a join."""
+    data, queries = "/root/testdata/sf0.001", plans.queries()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("q_dedup_text", "q_multi_query_rrf", "q_rerank_scored"):
+            with gathered() as made:
+                plan = queries[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+            assert not any("/posting-" in path for path in made)
+            assert "rightHint=(strategy=broadcast)" in plan, name
+        hits = spark.createDataFrame([(1, 0, "s", "text", "a")], "query_id long, rank0 int, source string, chunk_type string, text string")
+        rows = spark.createDataFrame([(1, "s", "text", "a"), (2, "t", "text", "b")], "chunk_id long, source string, chunk_type string, text string")
+        out = postprocess.sentence_windows(hits, rows)
+        assert "LeftSemi, BuildRight" in out._jdf.queryExecution().executedPlan().toString().replace("BroadcastHashJoin", "") and [r.window_text for r in out.collect()] == ["a"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
