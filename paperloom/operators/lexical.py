@@ -25,6 +25,9 @@ FULL = 100_000_000
 SENT = 500_000
 #: Weights of questions' terms times chunks that a worker multiplies at once.
 PRODUCT = 1 << 20
+#: Words whose postings a worker makes at once, or one block's; postings of an Arrow batch.
+HELD, SENT_ROWS = 1 << 20, 1 << 16
+POSTING, TOP = "term string, block long, chunk_id long, tf int, len int", "top double, avgdl double, n long"
 #: Scores that are closer than this aren't told apart when chunks are skipped: sums depend on the order of adding.
 SLACK = 1e-6
 
@@ -68,17 +71,23 @@ def term_counts(chunks: DataFrame) -> DataFrame:
 
 
 def build(chunks: DataFrame, epsilon: float = EPSILON, block: int = BLOCK, asked: DataFrame | None = None, into: Callable[[str], str] | None = None) -> LexicalIndex:
-    """chunks: chunk_id, text. The one large shuffle brings postings of a term and block together, so that a frequent term
-    is spread by its blocks; they are written once, sorted, and all statistics and searches read them.
+    """chunks: chunk_id, text. The one shuffle brings the texts of a block together; postings, which are several times as large,
+    are made, sorted and bounded there, and written once. All statistics and searches read them.
 
     asked (query_text): an index for these questions only. Counts and idf are of all terms and chunks as ever, but only
     postings of the questions' terms are kept, as nothing else is looked up; they are written where they are made. into: the paths at which
     posting and block stay, so that they are written once."""
     at = lambda name: into(name) if into else None
     if asked is None:
-        posting = written(postings(chunks, block).repartition("term", "block").sortWithinPartitions("term", "block", "chunk_id"), "posting", path=at("posting"))
+        bounded_batches(chunks.sparkSession)
+        rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "text")
+        rows = rows.repartition(F.col("chunk_id") - F.pmod("chunk_id", F.lit(block))).sortWithinPartitions("chunk_id")
+        made = written(rows.select("chunk_id", terms_of("text").alias("terms")).mapInArrow(_by_block(block), POSTING + ", " + TOP), "posting", path=at("posting"))
+        posting = chunks.sparkSession.read.schema(POSTING).parquet(made.written_path)
+        posting.written_path = made.written_path
+        blocks = written(made.filter("n is not null").select("term", "block", "top", "avgdl", "n"), "blocks", path=at("block"))
         corpus = posting.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words")).withColumn("n", F.lit(chunks.count()))
-        counts = posting.groupBy("term").agg(F.count("*").alias("df"))
+        counts = blocks.groupBy("term").agg(F.sum("n").alias("df"))
     else:
         wanted = written(asked.select(F.explode(terms_of("query_text")).alias("term")).distinct(), "wanted", rows=1)
         posting = written(postings(chunks, block).join(sent(wanted), "term", "left_semi"), "posting")
@@ -86,7 +95,54 @@ def build(chunks: DataFrame, epsilon: float = EPSILON, block: int = BLOCK, asked
         counts = term_counts(chunks)
     corpus = written(corpus.select("n", "words"), "corpus", rows=1)
     counts = written(counts, "terms")
-    return indexed(posting, counts, corpus, epsilon, block_tops(posting, corpus) if asked is not None else written(block_tops(posting, corpus), "blocks", path=at("block")))
+    return indexed(posting, counts, corpus, epsilon, block_tops(posting, corpus) if asked is not None else blocks)
+
+
+def _by_block(block: int, k1: float = K1, b: float = B) -> Callable:
+    """Postings of a task's chunks (chunk_id, terms), which are in order and have whole blocks: some blocks at a time, in order of
+    term, block and chunk. The first of a term and block says what block_tops does of them; avgdl is that of these blocks."""
+
+    def made(ids: pa.Array, terms: pa.Array) -> Iterator[pa.RecordBatch]:
+        rows, length = len(ids), pc.fill_null(pc.list_value_length(terms), 0).to_numpy().astype(np.int64)
+        if not length.sum():
+            return
+        number, null = pc.fill_null(ids, 0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
+        number = number - number % block
+        word = terms.flatten().dictionary_encode()
+        order = pc.sort_indices(word.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        key, tf = np.unique(rank[word.indices.to_numpy()] * rows + np.repeat(np.arange(rows), length), return_counts=True)
+        term, row = key // rows, key % rows
+        new = np.ones(len(key), bool)
+        new[1:] = (np.diff(term) != 0) | (np.diff(number[row]) != 0) | (np.diff(null[row].astype(np.int8)) != 0)
+        begin, avgdl = np.flatnonzero(new), length.sum() / rows
+        top, n = np.zeros(len(key)), np.zeros(len(key), np.int64)
+        top[begin] = np.maximum.reduceat(tf / (k1 * (1 - b + b * length[row] / avgdl)), begin)
+        n[begin] = np.diff(begin, append=len(key))
+        columns = [word.dictionary.take(pa.array(order[term])), pa.array(number[row], mask=null[row]), ids.take(pa.array(row)), pa.array(tf.astype(np.int32)), pa.array(length[row].astype(np.int32))]
+        columns += [pa.array(top, mask=~new), pa.array(np.full(len(key), avgdl), mask=~new), pa.array(n, mask=~new)]
+        whole = pa.RecordBatch.from_arrays(columns, ["term", "block", "chunk_id", "tf", "len", "top", "avgdl", "n"])
+        for lo in range(0, len(key), SENT_ROWS):
+            yield whole.slice(lo, SENT_ROWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, terms, held = [], [], 0
+        for batch in batches:
+            ids.append(batch.column("chunk_id"))
+            terms.append(batch.column("terms"))
+            held += len(terms[-1].flatten())
+            if held >= HELD:
+                i, t = pa.concat_arrays(ids), pa.concat_arrays(terms)
+                number = pc.fill_null(i, -1).to_numpy() // block
+                last = int(np.flatnonzero(number != number[-1])[-1]) + 1 if (number != number[-1]).any() else 0  # its block may go on
+                yield from made(i.slice(0, last), t.slice(0, last))
+                ids, terms = [i.slice(last)], [t.slice(last)]
+                held = len(terms[0].flatten())
+        if ids:
+            yield from made(pa.concat_arrays(ids), pa.concat_arrays(terms))
+
+    return run
 
 
 def statistics(chunks: DataFrame, epsilon: float = EPSILON) -> DataFrame:

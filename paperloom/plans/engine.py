@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from paperloom.functions.text import clean_answer, has_followup_signal, query_complexity
 from paperloom.functions.vectors import blended, normalised
 from paperloom.operators import chat, chunking, dense, fusion, ingest, lexical, postprocess, tables
-from paperloom.shared import written
+from paperloom.shared import delete, discard, gathered, written
 from paperloom.sources import providers
 from paperloom.sources.batchlog import BatchLog
 from paperloom.sources.commits import create_if_absent, place
@@ -22,6 +22,8 @@ from paperloom.sources.store import Store
 
 #: Chunks of a batch of an ingest, and of several small ones that are embedded by one job: what a break costs at most.
 INGEST_BATCH = 100_000
+#: Chunks of one batch that are staged, or embedded, by one task.
+PIECE = 1_024
 #: Hits of the question and of each other wording, weights of their lists, hits that are merged and shown.
 PRIMARY, VARIANT, PRIMARY_WEIGHT, VARIANT_WEIGHT, MERGED, SHOWN = 20, 8, 3.0, 0.5, 15, 10
 NO_HITS = "No document matches this question. Try other words."
@@ -45,6 +47,7 @@ ORDER = ("filename", "page_num", "kind", "table_idx", "chunk_seq")
 CHUNK = (*ORDER, "source", "chunk_type", "text")
 _KINDS = {"page_num": T.LongType(), "kind": T.IntegerType(), "table_idx": T.IntegerType(), "chunk_seq": T.IntegerType()}
 CHUNK_SCHEMA = T.StructType([T.StructField("chunk_id", T.LongType()), *[T.StructField(c, _KINDS.get(c, T.StringType())) for c in CHUNK]])
+ENDS = "batch long, files long, file string, first long, last long"
 VECTOR_SCHEMA = T.StructType([T.StructField("chunk_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.DoubleType()))])
 
 
@@ -76,6 +79,11 @@ def first_vector() -> Column:
     return F.when(at(2).isNotNull(), blended(best, at(2))).otherwise(best)
 
 
+def _of_texts(chunks: DataFrame) -> DataFrame:
+    """Chunks of pages without tables, with the columns of tables.page_chunks."""
+    return chunks.withColumns({"kind": F.lit(1), "table_idx": F.lit(0)})
+
+
 @dataclass
 class Engine:
     """embed, complete, rerank: providers. tries, per_second: how often a call is made before it counts as failed, and
@@ -111,6 +119,8 @@ class Engine:
         """Chunks (CHUNK) of pages: filename, page_num, text and, where an extractor found some, tables. fallback: the
         tables of the next tier (filename, page_num, table_idx, cells, extractor) for pages that poor_pages names."""
         pages = chunking.limited_pages(pages)
+        if fallback is None and "tables" not in pages.columns:
+            return _of_texts(chunking.text_chunks(pages))
         if "tables" not in pages.columns:
             pages = pages.withColumn("tables", F.array().cast("array<array<array<string>>>"))
         raw = raw_tables(pages).drop("page_text").withColumn("extractor", F.lit("page"))
@@ -136,10 +146,19 @@ class Engine:
 
     def staged(self, pages: DataFrame, fallback: DataFrame | None = None, dim: int = 0) -> BatchLog:
         """The pages' chunks, numbered from 0 and written by batch where the store will have them; the log says so."""
-        folder = self.store.new_folder()
-        chunks = chunking.numbered(self.chunks(pages, fallback), *ORDER)
-        chunks = chunks.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CHUNK_SCHEMA.fields])
-        chunks.withColumn("batch", F.floor(F.col("chunk_id") / self.batch)).write.partitionBy("batch").parquet(self.store.folder("chunk", folder))
+        folder, parts = self.store.new_folder(), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        with gathered() as steps:
+            if fallback is None and "tables" not in pages.columns:
+                chunks = _of_texts(chunking.numbered_text_chunks(chunking.limited_pages(pages)))
+            else:
+                chunks = chunking.numbered(self.chunks(pages, fallback), *ORDER)
+            chunks = chunks.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CHUNK_SCHEMA.fields])
+            # numbers have no gaps, so equal spans of them are equal tasks; a small batch is one task's and one file
+            task = F.pmod(F.floor(F.col("chunk_id") / min(self.batch, PIECE)), F.lit(parts)).cast("int")
+            dealt = chunks.withColumn("batch", F.floor(F.col("chunk_id") / self.batch)).repartitionById(parts, task)
+            dealt.sortWithinPartitions("batch", "chunk_id").write.partitionBy("batch").parquet(self.store.folder("chunk", folder))
+        for path in steps:
+            delete(self.spark, path)
         n = self._staged_chunks(folder).count()
         log = BatchLog(self.spark, self.store.path, folder)
         log.begin(n, self.batch, dim)
@@ -178,9 +197,11 @@ class Engine:
         if vectors is not None:
             found = with_vectors(rows.select("chunk_id", "embed_text"), vectors, "embed_text", "embedding")
         elif self.embed is not None:
-            # a call's texts are of one batch
-            own = rows.select("chunk_id", F.struct(batch.alias("batch"), "filename").alias("filename"), "embed_text")
-            calls = providers.embedded_batches(chunking.batch_rows(own, "embed_text").select("ids", "texts"), self._service(self.embed))
+            # a call's texts are of one piece of one batch
+            per = -(-size // PIECE)
+            own = rows.withColumn("piece", (batch * per + F.floor(F.pmod("chunk_id", F.lit(size)) / PIECE)).cast("long"))
+            tasks = min(len(batches) * per, 4 * self.spark.sparkContext.defaultParallelism)
+            calls = providers.embedded_batches(chunking.piece_rows(own, "embed_text", tasks).select("ids", "texts"), self._service(self.embed))
             found = calls.select(F.explode(F.arrays_zip("ids", "vectors")).alias("z")).select(F.col("z.ids").alias("chunk_id"), F.col("z.vectors").alias("embedding"))
         else:
             found = rows.select("chunk_id", F.lit(None).cast("array<float>").alias("embedding"))
@@ -192,31 +213,51 @@ class Engine:
         if len(batches) == 1:
             good.write.parquet(f"{path}/batch={batches[0]}")
         else:
-            good.withColumn("batch", batch).repartition("batch").write.mode("append").partitionBy("batch").parquet(path)
+            good = good.withColumn("batch", batch)
+            together = vectors is None and self.embed is not None and not self.per_second  # a small batch was one task's
+            (good if together else good.repartition("batch")).write.mode("append").partitionBy("batch").parquet(path)
         there = [p for k in batches if (p := f"{path}/batch={k}") and (at := place(self.spark, p))[0].exists(at[1])]
         read = self.spark.read.schema(VECTOR_SCHEMA)
         made = read.parquet(*there) if there else none
         n_vectors = dict(made.groupBy(batch.alias("batch")).count().collect())
-        # by batch: its files, and the one that it ends in; a file's chunks are consecutive, so its first and last place tell the rest
-        per_file = rows.groupBy(batch.alias("batch"), "filename").agg(F.max("chunk_id").alias("last"))
-        ends = written(per_file.groupBy("batch").agg(F.count("*").alias("files"), F.max_by("filename", "last").alias("file")), "ends", rows=1)
-        of_file = self._staged_chunks(log.folder).select(F.col("filename").alias("f"), "chunk_id").join(F.broadcast(ends), F.col("f").eqNullSafe(F.col("file")))
-        told = of_file.groupBy("batch", "files", "file").agg(F.min("chunk_id").alias("first"), F.max("chunk_id").alias("last")).collect()
         out = []
-        for r in sorted(told):
+        for r in self._ends(log).filter(F.col("batch").isin(batches)).orderBy("batch").collect():
             first = r.batch * size
             last = min(first + size, plan["n_chunks"]) - 1
             n, vectors_here = last - first + 1, n_vectors.get(r.batch, 0)
             out.append({"batch": r.batch, "first_chunk": first, "last_chunk": last, "n_chunks": n, "n_vectors": vectors_here, "n_skipped": n - vectors_here, "n_files_ended": r.files - (r.last > last), "current_file": r.file, "chunks_in_current": last - r.first + 1})
         return out
 
+    def _ends(self, log: BatchLog) -> DataFrame:
+        """batch, files (how many it has a part of), file (that it ends in), first and last chunk of that file. A row a batch, made
+        once for all batches of what was staged, so that no batch has to look through the others' chunks."""
+        name, batch = f"append={log.folder}", F.floor(F.col("chunk_id") / log.plan()["size"])
+        if self.store.exists(f"ends/{name}/_SUCCESS"):
+            return self.spark.read.schema(ENDS).parquet(f"{self.store.path}/ends/{name}")
+        parts = self._staged_chunks(log.folder).groupBy(batch.alias("batch"), "filename").agg(F.min("chunk_id").alias("first"), F.max("chunk_id").alias("last"))
+        parts = written(parts, "parts")
+        ends = written(parts.groupBy("batch").agg(F.count("*").alias("files"), F.max_by("filename", "last").alias("file")), "ends", rows=1)
+        files = parts.groupBy(F.col("filename").alias("f")).agg(F.min("first").alias("first"), F.max("last").alias("last"))
+        told = files.join(F.broadcast(ends), F.col("f").eqNullSafe(F.col("file"))).select("batch", "files", "file", "first", "last")
+        out = written(told, "ends", rows=1, path=f"{self.store.path}/ends/{name}")
+        discard(parts, ends)
+        return out
+
     def _finished(self, log: BatchLog, vectors: DataFrame | None) -> dict:
-        while pending := log.pending():
+        pending, done, size = log.pending(), len(log.done()), log.plan()["size"]
+        while pending:
             # half as many as are done, so that a break costs a part of what it had done, and no more than INGEST_BATCH chunks
-            size = log.plan()["size"]
-            lot = pending[: max(1, min(len(log.done()) // 2, INGEST_BATCH // size))]
+            lot = pending[: max(1, min(done // 2, INGEST_BATCH // size))]
             for entry in self.embed_batches(log, lot, vectors):
                 log.commit(entry)
+            pending, done = pending[len(lot) :], done + len(lot)
+        with gathered() as steps:
+            saved = self._indexed(log)
+        for path in steps:
+            delete(self.spark, path)
+        return saved
+
+    def _indexed(self, log: BatchLog) -> dict:
         built = lexical.build(self._staged_chunks(log.folder), into=lambda name: self.store.folder(name, log.folder))
         if not log.plan()["n_chunks"]:
             self.spark.createDataFrame([], VECTOR_SCHEMA).write.mode("overwrite").parquet(self.store.folder("vector", log.folder))

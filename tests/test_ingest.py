@@ -244,3 +244,50 @@ def test_small_batches_share_jobs(spark, tmp_path, monkeypatch):
     again = engine.staged(pages)
     assert got == [tuple(engine.embed_batch(again, k).values()) for k in range(20)]
     assert sum(r[4] for r in got) == engine.store.load()["vector"].count() > 0
+
+
+def test_a_batch_reads_no_other_batch(spark, tmp_path, monkeypatch):
+    """The table of where batches end is made once; after it a lot reads its own staged chunks only, so that an ingest grows with
+    its input. Files over several batches, a null file and files of several pages are told apart as before."""
+    texts = [(f"f{i % 5}", i, "w " * (1 + i % 900)) for i in range(0, 900, 30)] + [("long", 1, "v " * 3000), (None, 1, "u " * 500)]
+    pages = spark.createDataFrame(texts, "filename string, page_num long, text string")
+    engine = Engine(spark, str(tmp_path / "store"), embed=lambda texts: [None if len(t) % 5 == 0 else [1.0] for t in texts], batch=4)
+    log = engine.staged(pages)
+    rows = [r.asDict() for r in engine._staged_chunks(log.folder).orderBy("chunk_id").collect()]
+    key = lambda r: (r["filename"] is not None, r["filename"], r["page_num"], r["chunk_seq"])
+    assert [r["chunk_id"] for r in rows] == list(range(len(rows))) and rows == sorted(rows, key=key)
+    read, whole = [], Engine._staged_chunks
+    monkeypatch.setattr(Engine, "_staged_chunks", lambda self, folder, batches=None: read.append(batches) or whole(self, folder, batches))
+    pending = log.pending()
+    got = engine.embed_batches(log, pending[:2])
+    for lot in (pending[2:5], pending[5:]):
+        before = len(read)
+        got += engine.embed_batches(log, lot)
+        assert read[before:] == [lot]
+    assert read.count(None) == 1
+    for e in got:
+        here = rows[e["first_chunk"] : e["last_chunk"] + 1]
+        last = here[-1]["filename"]
+        ended = {r["filename"] for r in here} - {r["filename"] for r in rows[e["last_chunk"] + 1 :]}
+        current = [r["chunk_id"] for r in rows[: e["last_chunk"] + 1] if r["filename"] == last]
+        n = sum(len(r["text"]) % 5 != 0 for r in here)
+        assert (e["n_files_ended"], e["current_file"], e["chunks_in_current"], e["n_vectors"], e["n_skipped"]) == (len(ended), last, len(current), n, len(here) - n)
+
+
+def test_a_piece_is_one_task(spark, tmp_path, monkeypatch):
+    """Batches larger than a piece are staged and embedded by several tasks; a call's texts are of one file and one piece."""
+    from paperloom.plans import engine as engines
+
+    monkeypatch.setattr(engines, "PIECE", 3)
+    calls = tmp_path / "calls"
+
+    def embed(texts):
+        with open(calls, "a") as f:
+            f.write(" ".join(t.split()[0] for t in texts) + "\n")
+        return [[float(len(t)), 1.0] for t in texts]
+
+    pages = spark.createDataFrame([(f"f{f}", p, f"f{f}p{p:02d} x") for f in range(2) for p in range(10)], "filename string, page_num long, text string")
+    engine = Engine(spark, str(tmp_path / "store"), embed=embed, batch=8)
+    assert engine.ingest(pages, dim=2)["chunk_count"] == 20 == engine.verify()["total_vectors"]
+    at = lambda lo, hi: " ".join(f"f{k // 10}p{k % 10:02d}" for k in range(lo, hi))
+    assert sorted(calls.read_text().splitlines()) == sorted(at(*c) for c in [(0, 3), (3, 6), (6, 8), (8, 10), (10, 11), (11, 14), (14, 16), (16, 19), (19, 20)])

@@ -132,3 +132,24 @@ def test_texts_stay_where_they_are(spark):
         assert "LeftSemi, BuildRight" in out._jdf.queryExecution().executedPlan().toString().replace("BroadcastHashJoin", "") and [r.window_text for r in out.collect()] == ["a"]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("held", [1 << 20, 1])
+def test_postings_are_made_where_texts_are(spark, monkeypatch, held):
+    """An index is the postings and block tops as JVM expressions make them, whatever is held at once; no posting is shuffled, and
+    only one row a term and block."""
+    monkeypatch.setattr(lexical, "HELD", held)
+    monkeypatch.setattr(lexical, "SENT_ROWS", 100)
+    chunks, _ = corpus(spark, 7, 300)
+    odd = [(-3, "x X x"), (-70, "y"), (1000, "é Z中 \U0001f600"), (1001, None), (None, "t0 n n"), (299, "t0 again t0")]
+    chunks = chunks.unionByName(spark.createDataFrame(odd, "chunk_id long, text string"))
+    index = lexical.build(chunks, block=16)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    want = lexical.postings(chunks, 16)
+    assert rows(index.posting) == rows(want.select(*index.posting.columns)) != []
+    assert rows(index.blocks.select("term", "block", "n")) == rows(want.groupBy("term", "block").agg(F.count("*")))
+    tops = index.blocks.withColumnRenamed("avgdl", "then").join(want, ["term", "block"])
+    x = F.col("tf") / (lexical.K1 * (1 - lexical.B + lexical.B * F.col("len") / F.col("then")))
+    assert tops.groupBy("term", "block", "top").agg(F.max(x).alias("x")).filter("abs(x - top) > 1e-12").isEmpty()
+    assert rows(index.terms.select("term", "df")) == rows(want.groupBy("term").agg(F.count("*")))
+    assert (index.corpus.first().n, index.corpus.first().words) == (chunks.count(), want.agg(F.sum("tf")).first()[0])
