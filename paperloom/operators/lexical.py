@@ -25,8 +25,8 @@ FULL = 100_000_000
 SENT = 500_000
 #: Weights of questions' terms times chunks that a worker multiplies at once.
 PRODUCT = 1 << 20
-#: Words whose postings a worker makes at once, or one block's; postings of an Arrow batch.
-HELD, SENT_ROWS = 1 << 20, 1 << 16
+#: Bytes of texts whose postings a worker makes at once, or one block's; postings of an Arrow batch.
+HELD, SENT_ROWS = 8 << 20, 1 << 16
 POSTING, TOP = "term string, block long, chunk_id long, tf int, len int", "top double, avgdl double, n long"
 #: Scores that are closer than this aren't told apart when chunks are skipped: sums depend on the order of adding.
 SLACK = 1e-6
@@ -82,7 +82,7 @@ def build(chunks: DataFrame, epsilon: float = EPSILON, block: int = BLOCK, asked
         bounded_batches(chunks.sparkSession)
         rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "text")
         rows = rows.repartition(F.col("chunk_id") - F.pmod("chunk_id", F.lit(block))).sortWithinPartitions("chunk_id")
-        made = written(rows.select("chunk_id", terms_of("text").alias("terms")).mapInArrow(_by_block(block), POSTING + ", " + TOP), "posting", path=at("posting"))
+        made = written(rows.select("chunk_id", F.lower("text").alias("text")).mapInArrow(_by_block(block), POSTING + ", " + TOP), "posting", path=at("posting"))
         posting = chunks.sparkSession.read.schema(POSTING).parquet(made.written_path)
         posting.written_path = made.written_path
         blocks = written(made.filter("n is not null").select("term", "block", "top", "avgdl", "n"), "blocks", path=at("block"))
@@ -99,20 +99,23 @@ def build(chunks: DataFrame, epsilon: float = EPSILON, block: int = BLOCK, asked
 
 
 def _by_block(block: int, k1: float = K1, b: float = B) -> Callable:
-    """Postings of a task's chunks (chunk_id, terms), which are in order and have whole blocks: some blocks at a time, in order of
+    """Postings of a task's chunks (chunk_id, text in lower case), which are in order and have whole blocks: some blocks at a time, in order of
     term, block and chunk. The first of a term and block says what block_tops does of them; avgdl is that of these blocks."""
 
-    def made(ids: pa.Array, terms: pa.Array) -> Iterator[pa.RecordBatch]:
-        rows, length = len(ids), pc.fill_null(pc.list_value_length(terms), 0).to_numpy().astype(np.int64)
-        if not length.sum():
+    def made(ids: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+        rows, terms = len(ids), pc.ascii_split_whitespace(texts)  # the white space of terms_of
+        word, owner = terms.flatten(), np.repeat(np.arange(rows), pc.fill_null(pc.list_value_length(terms), 0).to_numpy())
+        some = pc.not_equal(word, "")
+        word, owner = word.filter(some).dictionary_encode(), owner[some.to_numpy(zero_copy_only=False)]
+        length = np.bincount(owner, minlength=rows)
+        if not len(owner):
             return
         number, null = pc.fill_null(ids, 0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
         number = number - number % block
-        word = terms.flatten().dictionary_encode()
         order = pc.sort_indices(word.dictionary).to_numpy()
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        key, tf = np.unique(rank[word.indices.to_numpy()] * rows + np.repeat(np.arange(rows), length), return_counts=True)
+        key, tf = np.unique(rank[word.indices.to_numpy()] * rows + owner, return_counts=True)
         term, row = key // rows, key % rows
         new = np.ones(len(key), bool)
         new[1:] = (np.diff(term) != 0) | (np.diff(number[row]) != 0) | (np.diff(null[row].astype(np.int8)) != 0)
@@ -126,21 +129,24 @@ def _by_block(block: int, k1: float = K1, b: float = B) -> Callable:
         for lo in range(0, len(key), SENT_ROWS):
             yield whole.slice(lo, SENT_ROWS)
 
+    def size(texts: pa.Array) -> int:
+        return pc.sum(pc.binary_length(texts)).as_py() or 0
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, terms, held = [], [], 0
+        ids, texts, held = [], [], 0
         for batch in batches:
             ids.append(batch.column("chunk_id"))
-            terms.append(batch.column("terms"))
-            held += len(terms[-1].flatten())
+            texts.append(batch.column("text"))
+            held += size(texts[-1])
             if held >= HELD:
-                i, t = pa.concat_arrays(ids), pa.concat_arrays(terms)
+                i, t = pa.concat_arrays(ids), pa.concat_arrays(texts)
                 number = pc.fill_null(i, -1).to_numpy() // block
                 last = int(np.flatnonzero(number != number[-1])[-1]) + 1 if (number != number[-1]).any() else 0  # its block may go on
                 yield from made(i.slice(0, last), t.slice(0, last))
-                ids, terms = [i.slice(last)], [t.slice(last)]
-                held = len(terms[0].flatten())
+                ids, texts = [i.slice(last)], [t.slice(last)]
+                held = size(texts[0])
         if ids:
-            yield from made(pa.concat_arrays(ids), pa.concat_arrays(terms))
+            yield from made(pa.concat_arrays(ids), pa.concat_arrays(texts))
 
     return run
 

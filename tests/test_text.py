@@ -51,3 +51,19 @@ def test_vectors(spark):
     got = df.select(V.normalised("a"), V.normalised("z"), V.cosine("a", "z"), V.cosine("a", "a"), V.blended("a", "a")).first()
     assert got[0] == [0.6, 0.8] and got[1] == [0.0, 0.0] and got[2] == 0.0
     assert abs(got[3] - 1) < 1e-9 and abs(got[4][0] - 0.6) < 1e-12
+
+
+def test_headings_of_odd_lines(spark):
+    """Lines are told by length first; headings are those of the rule without that, and a text is split once for its chunks."""
+    from paperloom.functions.text import is_upper, section_heading, strip, words
+    from paperloom.operators.chunking import text_chunks
+
+    long_ = "x" * 90
+    odd = ["A" * 79 + "  \u2028", "A" * 80 + " \u2029", "B" * 78 + " " * 9 + "\x85", "  Cap " + " " * 99, "\x0b\fDab\x0b", "Ab", "lower\r\r\nUp Here\n" + long_, long_ + "\rÉté 中", "", " \r\n ", "Z" * 81]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*odd, *(f"{long_}\n{o}\nLast One" for o in odd), None])], "i int, text string")
+    fits = lambda x: F.length(x).between(3, 80) & (is_upper(x) | (is_upper(F.substring(x, 1, 1)) & (F.size(words(x)) <= 8)))
+    plain = F.coalesce(F.try_element_at(F.filter(F.transform(F.split("text", "\r\n|\n|\r"), lambda x: strip(x)), fits), F.lit(1)), F.lit(""))
+    got = rows.select(section_heading("text").alias("a"), plain.alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got] and len({r.a for r in got}) > 6
+    plan = text_chunks(rows.withColumns({"filename": F.lit("f"), "page_num": F.lit(1)}))._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter" in line and "split" in line for line in plan.splitlines())
